@@ -459,6 +459,16 @@ def _around(pattern: str, slot: str, value: Column) -> list[Column]:
     return [F.lit(head), value, F.lit(tail)]
 
 
+def tool_parts(df: DataFrame, *, sample: str = "sample_id", chat: str = "chat", turns: str = "num_turns",
+               meta: str = "meta_instruction") -> DataFrame:
+    """Nested tool dialogues ``chat.turn_i.{key: text}`` -> one row per part, key order kept."""
+    per_turn = df.select(sample, F.col(meta).alias("meta_instruction"), F.col(chat).alias("_chat"),
+                         F.explode(F.sequence(F.lit(1).cast("long"), F.col(turns).cast("long"))).alias("turn_no"))
+    said = F.map_entries(F.col("_chat")[F.concat(F.lit("turn_"), F.col("turn_no").cast("string"))])
+    return per_turn.select(sample, "meta_instruction", "turn_no", F.posexplode(said).alias("key_no", "_e")).select(
+        sample, "meta_instruction", "turn_no", "key_no", F.col("_e.key").alias("key"), F.col("_e.value").alias("value"))
+
+
 # ---------------------------------------------------------------- preference records
 
 MESSAGE = "struct<role:string,content:string>"

@@ -76,6 +76,44 @@ def render_turns(turns: DataFrame, name: str | Template, *, round_no: Column | s
             .withColumn("sep", F.lit(t.sep)))
 
 
+def number_rounds(turns: DataFrame, sample: str = "sample_id", chunk: int = CHUNK) -> DataFrame:
+    """Dense 0-based ``turn_no`` per sample; needed by templates that print ``{round}``."""
+    placed = running(turns, order=["turn_no"], keys=[sample], bucket=chunk_bucket("turn_no", chunk), index="_round")
+    return placed.withColumn("turn_no", F.col("_round")).drop("_round")
+
+
+def rendered_sizes(turns: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Every turn in every named template: turns, rejects and characters per template.
+
+    The templates are an array literal that is exploded, and the counts combine map-side.
+    """
+    per = []
+    for name in names or list(catalog.TEMPLATES):
+        t = template(name)
+        shown = rendered_input(t, "input", "system", F.col("turn_no") + 1)
+        per.append(F.struct(F.lit(name).alias("template"), F.length(shown).alias("n_in"),
+                            F.length(rendered_output(t, "output")).alias("n_out"), shown.isNull().alias("bad")))
+    rows = turns.select(F.explode(F.array(*per)).alias("_t")).select("_t.*")
+    return rows.groupBy("template").agg(
+        F.count(F.lit(1)).alias("n_turns"), F.count_if("bad").alias("n_rejects"),
+        F.sum(F.when(~F.col("bad"), F.col("n_in") + F.col("n_out"))).alias("n_chars"))
+
+
+def marked_inputs(turns: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Per template: placeholder faults, and turns whose raw input already holds one of its stop words."""
+    per = []
+    for name in names or list(catalog.TEMPLATES):
+        t = template(name)
+        hit = F.lit(False)
+        for word in t.stop_words:
+            hit = hit | F.contains("input", F.lit(word))
+        per.append(F.struct(F.lit(name).alias("template"), F.lit("; ".join(template_faults(t))).alias("faults"),
+                            F.lit(t.system is not None).alias("has_system"), hit.alias("marked")))
+    rows = turns.select(F.explode(F.array(*per)).alias("_t")).select("_t.*")
+    return rows.groupBy("template", "faults", "has_system").agg(
+        F.count(F.lit(1)).alias("n_turns"), F.count_if("marked").alias("n_marked"))
+
+
 RENDERED = ("array<struct<input:string,output:string,output_with_loss:boolean,"
             "need_eos_token:boolean,sep:string>>")
 
