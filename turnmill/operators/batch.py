@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from turnmill.functions.text import col
 from turnmill.functions.tokens import IGNORE_INDEX, PAD_INDEX
-from turnmill.operators.order import running, shuffle_key, shuffled
+from turnmill.operators.order import int_div, running, shuffle_key, shuffled
 
 
 def group_size(n: Column, batch: int, world: int, mult: int | None = None) -> Column:
     """Rows per megabatch: ``mult`` total batches; default ``min(n // (4 * total), 50)``, at least 1."""
     total = batch * world
-    m = F.lit(mult) if mult else F.greatest(F.least(F.floor(n / (total * 4)), F.lit(50)), F.lit(1))
+    m = F.lit(mult) if mult else F.greatest(F.least(int_div(n, total * 4), F.lit(50)), F.lit(1))
     return (m * total).cast("long")
 
 
@@ -35,7 +35,7 @@ def length_grouped(lengths: DataFrame, batch: int, world: int, *, length: str =
     """Shuffle, cut in megabatches, sort each by falling length, put the longest sample first; adds ``pos``."""
     placed = shuffled(lengths, sample, seed=seed, epoch=epoch, index="_i", totals={"_n": "_i"}, digits=digits)
     placed = placed.withColumn("_m", group_size(F.col("_n"), batch, world, mult))
-    placed = placed.withColumn("_mega", F.floor(F.col("_i") / F.col("_m")).cast("long"))
+    placed = placed.withColumn("_mega", int_div("_i", F.col("_m")))
     w = Window.partitionBy("_mega").orderBy(F.desc(length), "_i")
     placed = placed.withColumn("_rank", F.row_number().over(w) - 1)
     placed = placed.withColumn("pos", F.col("_mega") * F.col("_m") + F.col("_rank"))
@@ -48,10 +48,10 @@ def length_grouped_by_rank(lengths: DataFrame, batch: int, world: int, *, length
     """Variant: a sorted megabatch is cut in groups of ``world`` and the groups are shuffled."""
     placed = shuffled(lengths, sample, seed=seed, epoch=epoch, index="_i", totals={"_n": "_i"}, digits=digits)
     placed = placed.withColumn("_m", group_size(F.col("_n"), batch, world, mult))
-    placed = placed.withColumn("_mega", F.floor(F.col("_i") / F.col("_m")).cast("long"))
+    placed = placed.withColumn("_mega", int_div("_i", F.col("_m")))
     w = Window.partitionBy("_mega").orderBy(F.desc(length), "_i")
     placed = placed.withColumn("_rank", F.row_number().over(w) - 1)
-    placed = placed.withColumn("_group", F.floor(F.col("_rank") / world).cast("long"))
+    placed = placed.withColumn("_group", int_div("_rank", world))
     key = shuffle_key("_mega", "_group", seed=seed, epoch=epoch)
     again = Window.partitionBy("_mega").orderBy("_gkey", "_group", "_rank")
     placed = placed.withColumn("_gkey", key)
@@ -73,8 +73,8 @@ def length_grouped_by_modality(lengths: DataFrame, batch: int, world: int, *, le
     total = lengths.agg(F.count(F.lit(1))).scalar()
     placed = placed.withColumn("_all", total).withColumn("_m", group_size(F.col("_all"), batch, world, mult))
     single = F.col("_n") == F.col("_all")
-    placed = placed.withColumn("_own", F.floor(F.col("_i") / F.col("_m")).cast("long"))
-    placed = placed.withColumn("_last", ~single & (F.col("_own") == F.floor((F.col("_n") - 1) / F.col("_m"))))
+    placed = placed.withColumn("_own", int_div("_i", F.col("_m")))
+    placed = placed.withColumn("_last", ~single & (F.col("_own") == int_div(F.col("_n") - 1, F.col("_m"))))
     # one row per whole megabatch: numbered in permuted order
     megas = placed.where(~F.col("_last")).select("_text", "_own", "_all", "_n", "_m").distinct()
     natural = F.lpad(F.col("_own").cast("string"), 20, "0")
@@ -96,17 +96,17 @@ def round_up(planned: DataFrame, batch: int, world: int, *, pos: str = "pos", to
     A sample at position p appears at p, p + n, p + 2n, ..; ``total`` is the column that holds n.
     """
     unit = batch * world
-    size = F.ceil(F.col(total) / unit) * unit
+    size = int_div(F.col(total) + (unit - 1), unit) * unit
     return planned.withColumn("i", F.explode(F.sequence(F.col(pos), size - 1, F.col(total))))
 
 
 def drop_remainder(planned: DataFrame, world: int, *, pos: str = "pos", total: str = "n") -> DataFrame:
-    return planned.where(F.col(pos) < F.floor(F.col(total) / world) * world).withColumn("i", F.col(pos))
+    return planned.where(F.col(pos) < int_div(total, world) * world).withColumn("i", F.col(pos))
 
 
 def stripe(planned: DataFrame, world: int, *, from_step: int = 0, i: str = "i") -> DataFrame:
     """``rank`` and ``step`` of each position; resumes at ``from_step``."""
-    out = planned.withColumn("rank", F.col(i) % world).withColumn("step", F.floor(F.col(i) / world).cast("long"))
+    out = planned.withColumn("rank", F.col(i) % world).withColumn("step", int_div(i, world))
     return out.where(F.col("step") >= from_step) if from_step else out
 
 
@@ -169,7 +169,7 @@ def shard_sequence(rows: DataFrame, shards: int, columns: list[str]) -> DataFram
 def padding_report(planned: DataFrame, batch: int, *, pos: str = "pos", length: str = "length",
                    by: str = "strategy") -> DataFrame:
     """Useful and padded tokens of batches of ``batch`` consecutive positions, per strategy."""
-    per = planned.groupBy(by, F.floor(F.col(pos) / batch).alias("_batch")).agg(
+    per = planned.groupBy(by, int_div(pos, batch).alias("_batch")).agg(
         F.sum(length).alias("_useful"), F.max(length).alias("_max"), F.count(F.lit(1)).alias("_n"))
     return per.groupBy(by).agg(
         F.sum("_useful").alias("useful_tokens"), F.sum(F.col("_max") * F.col("_n")).alias("padded_tokens")

@@ -291,11 +291,12 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
 def build_vocab(counts: DataFrame, specials: tuple[str, ...] = catalog.SPECIAL_TOKENS, first_id: int = 0) -> DataFrame:
     """``(word, n, token_id)``: dense ids by falling frequency (ties by md5), missing specials behind.
 
-    The bucket of the running index joins frequency and leading md5 digits, so the long tail of words
-    seen once is spread too.
+    The bucket of the running index joins frequency and, for rare words, leading md5 digits, so the
+    long tail of words seen once is spread too; at most 1024 * 4096 buckets plus one per higher count.
     """
     keyed = counts.withColumn("_key", F.md5("word"))
-    bucket = (F.lit(1 << 40) - F.col("n")) * 4096 + F.conv(F.substring("_key", 1, 3), 16, 10).cast("long")
+    spread = F.when(F.col("n") < 1024, F.conv(F.substring("_key", 1, 3), 16, 10).cast("long")).otherwise(0)
+    bucket = (F.lit(1 << 40) - F.col("n")) * 4096 + spread
     ranked = running(keyed, order=[F.desc("n"), "_key", "word"], bucket=bucket, index="token_id",
                      totals={"_size": "token_id"})
     known = ranked.select("word", "n", (F.col("token_id") + first_id).alias("token_id"))

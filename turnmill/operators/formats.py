@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from turnmill import catalog
 from turnmill.functions.text import after_first, col, strip
 from turnmill.functions.tokens import IMAGE_MARK
-from turnmill.operators.order import CHUNK, chunk_bucket, running
+from turnmill.operators.order import CHUNK, chunk_bucket, int_div, running
 
 TURN = ("struct<system:string,input:string,output:string,"
         "output_with_loss:boolean,need_eos_token:boolean>")
@@ -273,7 +273,7 @@ def positional_turns(messages: DataFrame, *, sample: str = "sample_id", order: s
     odd = sizes.where("n_messages % 2 = 1")
     even = messages.join(sizes.where("n_messages % 2 = 0"), sample)
     first = (F.col(order) % 2) == 0
-    turns = (even.groupBy(sample, F.floor(F.col(order) / 2).cast("long").alias("turn_no"))
+    turns = (even.groupBy(sample, int_div(order, 2).alias("turn_no"))
              .agg(F.max(F.when(first, F.col(text))).alias("input"),
                   F.max(F.when(~first, F.col(text))).alias("output")))
     return turns, odd

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.functions.tokens import boundaries, clip, restarting_positions
-from turnmill.operators.order import running, shuffled
+from turnmill.operators.order import int_div, running, shuffled
 
 SEGMENT = 262_144
 
@@ -43,9 +43,9 @@ def range_fragments(samples: DataFrame, limit: int, *, length: str = "num_tokens
                          totals={"_total": "_begin"})
     size = F.lit(limit)
     end = F.col("_begin") + n
-    full = F.floor(F.col("_total") / size)
+    full = int_div("_total", limit)
     out = (placed.where(n > 0)
-           .withColumn("pack", F.explode(F.sequence(F.floor(F.col("_begin") / size), F.floor((end - 1) / size)))))
+           .withColumn("pack", F.explode(F.sequence(int_div("_begin", limit), int_div(end - 1, limit)))))
     if tail == "drop":
         out = out.where(F.col("pack") < full)
     start = F.greatest(F.col("_begin"), F.col("pack") * size)
@@ -171,7 +171,7 @@ def next_fit(samples: DataFrame, limit: int, *, length: str = "num_tokens", samp
     if drop_oversize:
         narrow = narrow.where(F.col(length) <= limit)
     placed = shuffled(narrow, sample, seed=seed, epoch=epoch, keys=[source], index="_i", digits=digits)
-    placed = placed.withColumn("_seg", F.floor(F.col("_i") / segment).cast("long")).withColumn("_n", F.col(length))
+    placed = placed.withColumn("_seg", int_div("_i", segment)).withColumn("_n", F.col(length))
     types = dict(placed.dtypes)
     lists = "array<bigint>"
     summaries = placed.select(source, "_seg", "_i", "_n").groupBy(source, "_seg").applyInPandas(

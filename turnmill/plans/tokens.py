@@ -262,7 +262,7 @@ def max_length(spark, d):
 
 
 @query("category_date_filter", """
-SELECT l_orderkey, l_linenumber, l_partkey, o_orderdate, p_type || ' ' || p_name AS categories
+SELECT l_orderkey, l_linenumber, l_partkey, CAST(o_orderdate AS DATE) AS o_orderdate, p_type || ' ' || p_name AS categories
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey
 WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND list_has_any(string_split(p_type || ' ' || p_name, ' '), ['SMALL', 'ring', 'hot'])""")
 def category_date_filter(spark, d):
@@ -270,4 +270,5 @@ def category_date_filter(spark, d):
             .join(inputs.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
             .join(inputs.table(spark, d, "part").select(
                 F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_type", "p_name").alias("categories")), "l_partkey"))
-    return en.category_since(rows, ["SMALL", "ring", "hot"], "1998-01-01", date="o_orderdate")
+    return en.category_since(rows, ["SMALL", "ring", "hot"], "1998-01-01", date="o_orderdate").withColumn(
+        "o_orderdate", F.col("o_orderdate").cast("date"))
