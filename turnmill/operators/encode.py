@@ -95,11 +95,10 @@ def encode_conversation(df: DataFrame, encoder=HashEncoder(), *, max_length: int
                      F.when(t["output_with_loss"], learned).otherwise(masked(learned)), masked(sep)).alias("labels"),
             t["need_eos_token"].alias("bos")).cast(state)
 
-    coded = F.aggregate(column, start, step)
-    return (df.withColumn("_coded", coded)
-            .withColumn("input_ids", clip("_coded.ids", max_length))
-            .withColumn("labels", clip("_coded.labels", max_length))
-            .withColumn("num_tokens", F.size("input_ids")).drop("_coded"))
+    # a one-row generator: later filters on the result cannot be pushed into a second evaluation
+    coded = df.select(*df.columns, F.inline(F.array(F.aggregate(column, start, step))))
+    return coded.select(*df.columns, clip("ids", max_length).alias("input_ids"), clip("labels", max_length).alias("labels"),
+                        F.least(F.size("ids"), F.lit(max_length)).alias("num_tokens"))
 
 
 def image_pieces(text: Column | str, encoder=HashEncoder()) -> Column:

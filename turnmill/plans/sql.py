@@ -34,6 +34,11 @@ def text(expr: str) -> str:
     return f"coalesce(array_to_string({expr}, ','), '')"
 
 
+def r6(expr: str) -> str:
+    """Six digits, without negative zero."""
+    return f"(round({expr}, 6) + CAST(0 AS DOUBLE))"
+
+
 def key(ident: str, seed: int = 1024, epoch: int = 0) -> str:
     return f"md5(concat_ws(':', '{seed}', '{epoch}', CAST({ident} AS VARCHAR)))"
 

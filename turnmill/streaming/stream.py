@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -45,15 +46,17 @@ def _packer(limit: int, key: str, flush: str):
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ids, labels, lens, packs = ([], [], [], 0)
         if state.exists:
-            ids, labels, lens, packs = (list(v) if i < 3 else v for i, v in enumerate(state.get))
+            *kept, packs = state.get
+            ids, labels, lens = ([int(x) for x in v] for v in kept)
+            packs = int(packs)
         for batch in batches:
             done = []
             for row_ids, row_labels, last in zip(batch["input_ids"], batch["labels"], batch[flush]):
                 at = 0
                 while at < len(row_ids):
                     take = min(limit - len(ids), len(row_ids) - at)
-                    ids.extend(row_ids[at:at + take])
-                    labels.extend(row_labels[at:at + take])
+                    ids.extend(int(x) for x in row_ids[at:at + take])
+                    labels.extend(int(x) for x in row_labels[at:at + take])
                     lens.append(take)
                     at += take
                     if len(ids) == limit:
@@ -66,7 +69,7 @@ def _packer(limit: int, key: str, flush: str):
                 yield pd.DataFrame({
                     key: [group[0]] * len(done), "pack": [p for p, *_ in done],
                     "input_ids": [i for _, i, _, _ in done], "labels": [x for _, _, x, _ in done],
-                    "cumulative_len": [[0, *pd.Series(n).cumsum().tolist()] for *_, n in done]})
+                    "cumulative_len": [[0, *accumulate(n)] for *_, n in done]})
         state.update((ids, labels, lens, packs))
 
     return run
