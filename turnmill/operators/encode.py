@@ -13,8 +13,6 @@ from turnmill.functions.tokens import (IGNORE_INDEX, IMAGE_INDEX, IMAGE_MARK, IN
 from turnmill.operators.order import CHUNK, chunk_bucket, running
 from turnmill.operators.render import chat_template, render_messages, role_begin, role_end
 
-PIECES = "array<int>"
-
 
 def assemble(pieces: DataFrame, *, sample: str = "sample_id", order: str = "turn_no", max_length: int,
              chunk: int = CHUNK, keep: dict[str, Column] | None = None) -> DataFrame:
@@ -78,27 +76,30 @@ def encode_sft(turns: DataFrame, encoder=HashEncoder(), *, max_length: int, samp
 
 def encode_conversation(df: DataFrame, encoder=HashEncoder(), *, max_length: int,
                         column: str = "conversation") -> DataFrame:
-    """Array form of ``encode_sft``: one record per row, any mix of ``need_eos_token``; no shuffle."""
-    state = "struct<ids:array<int>,labels:array<int>,bos:boolean>"
+    """Array form of ``encode_sft``: one record per row, any mix of ``need_eos_token``; no shuffle.
+
+    The token pieces pass a one-row generator, so that every text is encoded once however often ids
+    and labels are referred to, and later filters cannot be pushed below the encoding.
+    """
     empty = F.array().cast(INTS)
-    start = F.struct(empty.alias("ids"), empty.alias("labels"), F.lit(True).alias("bos")).cast(state)
-
-    def step(s: Column, t: Column) -> Column:
-        bos = F.when(s["bos"], int_array(encoder.bos)).otherwise(empty)
-        into = encoder.ids(blank_if_null(t["input"]))
-        eos = F.when(t["need_eos_token"], int_array(encoder.eos)).otherwise(empty)
-        learned = F.concat(encoder.ids(t["output"]), eos)
-        sep = encoder.ids(blank_if_null(t["sep"]))
-        return F.struct(
-            F.concat(s["ids"], bos, into, learned, sep).alias("ids"),
-            F.concat(s["labels"], masked(bos), masked(into),
-                     F.when(t["output_with_loss"], learned).otherwise(masked(learned)), masked(sep)).alias("labels"),
-            t["need_eos_token"].alias("bos")).cast(state)
-
-    # a one-row generator: later filters on the result cannot be pushed into a second evaluation
-    coded = df.select(*df.columns, F.inline(F.array(F.aggregate(column, start, step))))
-    return coded.select(*df.columns, clip("ids", max_length).alias("input_ids"), clip("labels", max_length).alias("labels"),
-                        F.least(F.size("ids"), F.lit(max_length)).alias("num_tokens"))
+    bos, eos = int_array(encoder.bos), int_array(encoder.eos)
+    before = lambda i: F.get(F.col(column), i - 1)["need_eos_token"]
+    pieces = F.transform(column, lambda t, i: F.struct(
+        F.when((i == 0) | before(i), bos).otherwise(empty).alias("b"),
+        encoder.ids(blank_if_null(t["input"])).alias("i"),
+        encoder.ids(t["output"]).alias("o"),
+        F.when(t["need_eos_token"], eos).otherwise(empty).alias("e"),
+        encoder.ids(blank_if_null(t["sep"])).alias("s"),
+        t["output_with_loss"].alias("loss")))
+    coded = df.select(*df.columns, F.inline(F.array(F.struct(pieces.alias("_p")))))
+    ids = F.flatten(F.transform("_p", lambda p: F.concat(p["b"], p["i"], p["o"], p["e"], p["s"])))
+    labels = F.flatten(F.transform("_p", lambda p: F.concat(
+        masked(p["b"]), masked(p["i"]), F.when(p["loss"], p["o"]).otherwise(masked(p["o"])),
+        F.when(p["loss"], p["e"]).otherwise(masked(p["e"])), masked(p["s"]))))
+    n = F.aggregate("_p", F.lit(0), lambda acc, p: acc + F.size(p["b"]) + F.size(p["i"]) + F.size(p["o"])
+                    + F.size(p["e"]) + F.size(p["s"]))
+    return coded.select(*df.columns, clip(ids, max_length).alias("input_ids"), clip(labels, max_length).alias("labels"),
+                        F.least(n, F.lit(max_length)).alias("num_tokens"))
 
 
 def image_pieces(text: Column | str, encoder=HashEncoder()) -> Column:
