@@ -23,9 +23,19 @@ PAD_INDEX = 0
 IMAGE_INDEX = -200
 IMAGE_MARK = "<image>"
 
+# BOS ids by tokenizer family; every other family has one BOS id of its own.
+BOS_BY_FAMILY: dict[str, tuple[int, ...]] = {"qwen": (), "qwen2": (), "chatglm": (64790, 64792)}
+
 INTS = "array<int>"
 
 
+def bos_ids(family: str, own: int | None = None) -> tuple[int, ...]:
+    """BOS ids of a tokenizer family; ``own`` is the tokenizer's id where the family has no fixed rule."""
+    if family in BOS_BY_FAMILY:
+        return BOS_BY_FAMILY[family]
+    return () if own is None else (own,)
+
+
 def words(c: Column | str) -> Column:
     """Non-empty pieces between single spaces."""
     return F.filter(F.split(col(c), " "), lambda w: w != "")

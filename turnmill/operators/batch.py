@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions.text import col
 from turnmill.functions.tokens import IGNORE_INDEX, PAD_INDEX
-from turnmill.operators.order import int_div, running, shuffle_key, shuffled
+from turnmill.operators.order import DIGITS, int_div, md5_bucket, running, shuffle_key, shuffled
 
 
 def group_size(n: Column, batch: int, world: int, mult: int | None = None) -> Column:
@@ -22,16 +22,15 @@ def group_size(n: Column, batch: int, world: int, mult: int | None = None) -> Co
 
 def _longest_first(placed: DataFrame, length: str) -> DataFrame:
     """Swap the head of megabatch 0 with the head of the megabatch that holds the longest sample."""
-    heads = placed.where("_rank = 0")
-    best = heads.agg(F.max_by("_mega", F.struct(F.abs(F.col(length)), -F.col("_mega")))).scalar()
-    at_best = heads.where(F.col("_mega") == best).agg(F.max("pos")).scalar()
-    pos = (F.when((F.col("_rank") == 0) & (F.col("_mega") == best), F.lit(0))
-           .when(F.col("pos") == 0, at_best).otherwise(F.col("pos")))
+    best = placed.where("_rank = 0").agg(F.max_by(
+        F.struct("_mega", "pos"), F.struct(F.abs(F.col(length)), -F.col("_mega")))).scalar()
+    pos = (F.when((F.col("_rank") == 0) & (F.col("_mega") == best["_mega"]), F.lit(0))
+           .when(F.col("pos") == 0, best["pos"]).otherwise(F.col("pos")))
     return placed.withColumn("pos", pos.cast("long"))
 
 
 def length_grouped(lengths: DataFrame, batch: int, world: int, *, length: str = "length", sample: str = "sample_id",
-                   mult: int | None = None, seed: int = 1024, epoch: int = 0, digits: int = 3) -> DataFrame:
+                   mult: int | None = None, seed: int = 1024, epoch: int = 0, digits: int = DIGITS) -> DataFrame:
     """Shuffle, cut in megabatches, sort each by falling length, put the longest sample first; adds ``pos``."""
     placed = shuffled(lengths, sample, seed=seed, epoch=epoch, index="_i", totals={"_n": "_i"}, digits=digits)
     placed = placed.withColumn("_m", group_size(F.col("_n"), batch, world, mult))
@@ -44,7 +43,7 @@ def length_grouped(lengths: DataFrame, batch: int, world: int, *, length: str =
 
 def length_grouped_by_rank(lengths: DataFrame, batch: int, world: int, *, length: str = "length",
                            sample: str = "sample_id", mult: int | None = None, seed: int = 1024, epoch: int = 0,
-                           digits: int = 3) -> DataFrame:
+                           digits: int = DIGITS) -> DataFrame:
     """Variant: a sorted megabatch is cut in groups of ``world`` and the groups are shuffled."""
     placed = shuffled(lengths, sample, seed=seed, epoch=epoch, index="_i", totals={"_n": "_i"}, digits=digits)
     placed = placed.withColumn("_m", group_size(F.col("_n"), batch, world, mult))
@@ -61,7 +60,7 @@ def length_grouped_by_rank(lengths: DataFrame, batch: int, world: int, *, length
 
 def length_grouped_by_modality(lengths: DataFrame, batch: int, world: int, *, length: str = "length",
                                sample: str = "sample_id", mult: int | None = None, seed: int = 1024,
-                               epoch: int = 0, digits: int = 3) -> DataFrame:
+                               epoch: int = 0, digits: int = DIGITS) -> DataFrame:
     """Signed lengths (negative: text only): megabatches keep to one modality and are permuted.
 
     The last megabatch of each modality joins one mixed last batch.  With one modality present this
@@ -70,19 +69,28 @@ def length_grouped_by_modality(lengths: DataFrame, batch: int, world: int, *, le
     signed = lengths.withColumn("_text", (F.col(length) < 0).cast("int"))
     placed = shuffled(signed, sample, seed=seed, epoch=epoch, keys=["_text"], index="_i", totals={"_n": "_i"},
                       digits=digits)
-    total = lengths.agg(F.count(F.lit(1))).scalar()
-    placed = placed.withColumn("_all", total).withColumn("_m", group_size(F.col("_all"), batch, world, mult))
-    single = F.col("_n") == F.col("_all")
+    counts = lengths.agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col(length) < 0).alias("_texts"))
+    counts = counts.withColumn("_m", group_size(F.col("_all"), batch, world, mult)).withColumn(
+        "_single", (F.col("_texts") == 0) | (F.col("_texts") == F.col("_all")))
+    facts = counts.select(F.struct("_all", "_m", "_single")).scalar()
+    placed = placed.withColumn("_m", facts["_m"]).withColumn("_single", facts["_single"])
     placed = placed.withColumn("_own", int_div("_i", F.col("_m")))
-    placed = placed.withColumn("_last", ~single & (F.col("_own") == int_div(F.col("_n") - 1, F.col("_m"))))
-    # one row per whole megabatch: numbered in permuted order
-    megas = placed.where(~F.col("_last")).select("_text", "_own", "_all", "_n", "_m").distinct()
+    placed = placed.withColumn("_last", ~F.col("_single") & (F.col("_own") == int_div(F.col("_n") - 1, F.col("_m"))))
+    # whole megabatches follow from the counts; they are numbered in permuted order
+    whole = lambda n: int_div(n + F.col("_m") - 1, F.col("_m")) - F.when(F.col("_single"), 0).otherwise(1)
+    ranges = F.array(F.struct(F.lit(0).alias("_text"), whole(F.col("_all") - F.col("_texts")).alias("_count")),
+                     F.struct(F.lit(1).alias("_text"), whole(F.col("_texts")).alias("_count")))
+    megas = counts.select("_single", F.inline(F.filter(
+        F.transform(ranges, lambda r: F.struct(r["_text"].alias("_text"), r["_count"].alias("_count"))),
+        lambda r: r["_count"] > 0)))
+    megas = megas.select("_single", "_text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1)).alias("_own"))
     natural = F.lpad(F.col("_own").cast("string"), 20, "0")
-    megas = megas.withColumn("_key", F.when(single, natural).otherwise(shuffle_key("_text", "_own", seed=seed, epoch=epoch)))
-    in_order = F.when(single, F.col("_own")).otherwise(F.conv(F.substring("_key", 1, 3), 16, 10).cast("long"))
-    megas = running(megas, order=["_key", "_text", "_own"], bucket=in_order, index="_mega").select("_text", "_own", "_mega")
-    n_whole = megas.agg(F.count(F.lit(1))).scalar()
-    placed = placed.join(megas, ["_text", "_own"], "left")
+    megas = megas.withColumn("_key", F.when(F.col("_single"), natural).otherwise(
+        shuffle_key("_text", "_own", seed=seed, epoch=epoch)))
+    spread = F.when(F.col("_single"), F.col("_own")).otherwise(md5_bucket("_key"))
+    megas = running(megas, order=["_key", "_text", "_own"], bucket=spread, index="_mega", totals={"_whole": "_mega"})
+    n_whole = megas.agg(F.coalesce(F.max("_whole"), F.lit(0).cast("long"))).scalar()
+    placed = placed.join(megas.select("_text", "_own", "_mega"), ["_text", "_own"], "left")
     placed = placed.withColumn("_mega", F.when(F.col("_last"), n_whole).otherwise(F.col("_mega")))
     w = Window.partitionBy("_mega").orderBy(F.desc(F.abs(F.col(length))), "_text", "_i")
     placed = placed.withColumn("_rank", F.row_number().over(w) - 1)
@@ -130,6 +138,22 @@ def pad_batch(samples: DataFrame, batch: str, *, pad: int = PAD_INDEX, mask_from
             .withColumn("position_ids", F.sequence(F.lit(0), F.col("_size") - 1)).drop("_size", "_own"))
 
 
+def truncate(samples: DataFrame, n: int) -> DataFrame:
+    """Clip ids and labels before padding."""
+    return samples.withColumn("input_ids", F.slice("input_ids", 1, n)).withColumn("labels", F.slice("labels", 1, n))
+
+
+def shape_faults(samples: DataFrame) -> DataFrame:
+    """Rows whose ids and labels differ in length; a right corpus has none."""
+    return samples.where(F.size("input_ids") != F.size("labels"))
+
+
+def max_seqlen(cumulative_len: Column | str) -> Column:
+    """Longest segment of a packed row."""
+    c = col(cumulative_len)
+    return F.array_max(F.zip_with(F.slice(c, F.lit(2), F.size(c)), F.slice(c, F.lit(1), F.size(c) - 1), lambda b, a: b - a))
+
+
 def pair_rows(pairs: DataFrame) -> DataFrame:
     """Pairs -> chosen and rejected rows, interleaved by ``side`` (0 chosen, 1 rejected)."""
     keep = [c for c in pairs.columns if c not in ("chosen_ids", "chosen_labels", "rejected_ids", "rejected_labels")]

@@ -297,14 +297,14 @@ def build_vocab(counts: DataFrame, specials: tuple[str, ...] = catalog.SPECIAL_T
     keyed = counts.withColumn("_key", F.md5("word"))
     spread = F.when(F.col("n") < 1024, F.conv(F.substring("_key", 1, 3), 16, 10).cast("long")).otherwise(0)
     bucket = (F.lit(1 << 40) - F.col("n")) * 4096 + spread
-    ranked = running(keyed, order=[F.desc("n"), "_key", "word"], bucket=bucket, index="token_id",
-                     totals={"_size": "token_id"})
+    ranked = running(keyed, order=[F.desc("n"), "_key", "word"], bucket=bucket, index="token_id")
     known = ranked.select("word", "n", (F.col("token_id") + first_id).alias("token_id"))
-    extra = df_of_words(counts, specials).join(counts, "word", "left_anti")
-    w = Window.orderBy("pos")  # at most len(specials) rows
-    size = counts.agg(F.count(F.lit(1)).alias("_size"))
-    extra = extra.select("word", F.row_number().over(w).alias("_r")).join(F.broadcast(size)).select(
-        "word", F.lit(0).cast("long").alias("n"), (F.col("_size") + F.col("_r") - 1 + first_id).alias("token_id"))
+    present = counts.where(F.col("word").isin(*specials)).select("word")  # at most len(specials) rows
+    extra = df_of_words(counts, specials).join(present, "word", "left_anti")
+    w = Window.orderBy("pos")
+    size = counts.agg(F.count(F.lit(1))).scalar()
+    extra = extra.select("word", F.lit(0).cast("long").alias("n"),
+                         (size + F.row_number().over(w) - 1 + first_id).cast("long").alias("token_id"))
     return known.unionByName(extra)
 
 

@@ -228,19 +228,60 @@ for _name, _fn in {
 
 # ---------------------------------------------------------------- long form
 
+def long_groups(rows: DataFrame, key: str, limit: int) -> DataFrame | None:
+    """Keys with more than ``limit`` rows, or None where there are none.
+
+    Reads the key column only and counts map-side; the answer picks the plan, so it is asked once, here.
+    """
+    found = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(key)
+    return None if found.isEmpty() else found
+
+
+def by_length(rows: DataFrame, key: str, limit: int, short, long) -> DataFrame:
+    """Apply ``short`` to the groups of at most ``limit`` rows and ``long`` to the others; nothing is left out."""
+    big = long_groups(rows, key, limit)
+    if big is None:
+        return short(rows)
+    return short(rows.join(big, key, "left_anti")).unionByName(long(rows.join(big, key, "left_semi")))
+
+
+def message_arrays(messages: DataFrame, *, sample: str, order: str, cols: list[str]) -> DataFrame:
+    """One row per dialogue with its ordered messages; for dialogues of bounded length."""
+    packed = F.array_sort(F.collect_list(F.struct(order, *cols)))
+    return messages.groupBy(sample).agg(F.transform(packed, lambda m: F.struct(*[m[c].alias(c) for c in cols])).alias("messages"))
+
+
 def pair_turns(messages: DataFrame, *, sample: str = "sample_id", order: str = "turn", role: str = "role",
                text: str = "content", human: str = "user", model: str = "assistant", system: str = "system",
                loss: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """Long form of turn pairing: ``(sample, turn_no, is_first, system, input, output, output_with_loss)``.
 
-    A turn's key is the number of model messages before it, a running total taken in chunks of the
-    message order.  Rows behind the last model message are dropped before the texts are collected,
-    so a group holds one turn.
+    Dialogues of at most ``chunk`` messages take one shuffle and are folded in place; longer ones are
+    paired by running totals over chunks of their messages, so no task ever holds one whole.
+    """
+    known = messages.where(F.col(role).isin(human, model, system))
+    names = dict(sample=sample, order=order, role=role, text=text, human=human, model=model, system=system, loss=loss)
+
+    def short(rows: DataFrame) -> DataFrame:
+        lists = message_arrays(rows, sample=sample, order=order, cols=[role, text, *([loss] if loss else [])])
+        conv = pair_messages(F.col("messages"), role=role, text=text, human=human, model=model, system=system, loss=loss)
+        turns = lists.select(sample, F.posexplode(conv).alias("turn_no", "_t"))
+        return turns.select(
+            sample, F.col("turn_no").cast("long").alias("turn_no"), (F.col("turn_no") == 0).alias("is_first"),
+            *[F.col(f"_t.{c}").alias(c) for c in ("system", "input", "output", "output_with_loss")])
+
+    return by_length(known, sample, chunk, short, lambda rows: _pair_chunks(rows, chunk=chunk, **names))
+
+
+def _pair_chunks(messages: DataFrame, *, sample: str, order: str, role: str, text: str, human: str, model: str,
+                 system: str, loss: str | None, chunk: int) -> DataFrame:
+    """A turn's key is the number of model messages before it.
+
+    Rows behind the last model message are dropped before the texts are collected, so a group holds one turn.
     """
     is_model = F.col(role) == model
     placed = running(
-        messages.where(F.col(role).isin(human, model, system)), order=[order], keys=[sample],
-        bucket=chunk_bucket(order, chunk),
+        messages, order=[order], keys=[sample], bucket=chunk_bucket(order, chunk),
         sums={"_grp": is_model.cast("int"), "_opened": (~is_model).cast("int")}, totals={"_models": "_grp"})
     body = F.when(F.col(role) == human, F.col(text))
     keep_loss = (F.lower(F.coalesce(F.col(loss).cast("string"), F.lit("true"))) == "true") if loss else F.lit(True)
@@ -248,7 +289,6 @@ def pair_turns(messages: DataFrame, *, sample: str = "sample_id", order: str = "
     # a model message before anything else opens no turn
     placed = placed.where(~(is_model & (F.col("_opened") == 0)))
     grouped = placed.groupBy(sample, "_grp").agg(
-        (F.min("_opened") == 0).alias("is_first"),
         F.max_by(F.when(F.col(role) == system, F.col(text)),
                  F.when(F.col(role) == system, F.col(order))).alias("_system"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(body.isNotNull(), F.struct(order, body.alias("t"))))),
@@ -256,11 +296,16 @@ def pair_turns(messages: DataFrame, *, sample: str = "sample_id", order: str = "
         F.max(F.when(is_model, F.col(text))).alias("output"),
         F.bool_or(F.when(is_model, keep_loss)).alias("output_with_loss"),
     )
-    return grouped.select(
-        sample, F.col("_grp").alias("turn_no"), "is_first",
+    numbered = running(grouped, order=["_grp"], keys=[sample], bucket=chunk_bucket("_grp", chunk), index="turn_no")
+    return numbered.select(
+        sample, "turn_no", (F.col("turn_no") == 0).alias("is_first"),
         F.coalesce("_system", F.lit("")).alias("system"), "input", "output", "output_with_loss")
 
 
+def ids_as_text(df: DataFrame, id_col: str = "id") -> DataFrame:
+    return df.withColumn(id_col, F.col(id_col).cast("string"))
+
+
 def unknown_roles(messages: DataFrame, role: str = "role",
                   known: tuple[str, ...] = ("user", "assistant", "system")) -> DataFrame:
     return messages.where(~F.coalesce(F.col(role).isin(*known), F.lit(False)))

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from turnmill.functions.text import col
 
 CHUNK = 8192
+# Leading md5 digits of an order: 65 536 buckets of 1.5 million rows each at 10^11 rows.
+DIGITS = 4
+# Orders that carry token arrays: a million buckets, about 100 MB each at 100 TB.
+WIDE_DIGITS = 5
 
 
 def shuffle_key(*ids: Column | str, seed: int = 1024, epoch: int = 0) -> Column:
@@ -23,7 +27,7 @@ def shuffle_key(*ids: Column | str, seed: int = 1024, epoch: int = 0) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), *[col(i).cast("string") for i in ids]))
 
 
-def md5_bucket(key: Column | str, digits: int = 3) -> Column:
+def md5_bucket(key: Column | str, digits: int = DIGITS) -> Column:
     """Order-preserving bucket of an md5 key: its leading hex digits as a number."""
     return F.conv(F.substring(col(key), 1, digits), 16, 10).cast("long")
 
@@ -38,14 +42,6 @@ def chunk_bucket(order: Column | str, size: int = CHUNK) -> Column:
     return int_div(order, size)
 
 
-def digits_for(rows: int, per_bucket: int = 1_000_000) -> int:
-    """Hex digits so that a bucket holds about ``per_bucket`` rows; results do not depend on it."""
-    digits = 2
-    while 16 ** digits * per_bucket < rows and digits < 7:
-        digits += 1
-    return digits
-
-
 def _bucket_offsets(sizes: DataFrame, keys: list[str], names: list[str], totals: dict[str, str]) -> DataFrame:
     """Exclusive prefix sums over the bucket totals of each key, and the keys' grand totals.
 
@@ -90,7 +86,7 @@ def running(df: DataFrame, *, order: Sequence[Column | str], bucket: Column, key
 
 def shuffled(df: DataFrame, id_col: str, *, seed: int = 1024, epoch: int = 0, keys: Sequence[str] = (),
              index: str = "idx", sums: dict[str, Column] | None = None,
-             totals: dict[str, str] | None = None, digits: int = 3) -> DataFrame:
+             totals: dict[str, str] | None = None, digits: int = DIGITS) -> DataFrame:
     """Seeded shuffle as a column: the 0-based position of each row in md5 order, per key."""
     keyed = df.withColumn("_key", shuffle_key(id_col, seed=seed, epoch=epoch))
     out = running(keyed, order=["_key", id_col], bucket=md5_bucket("_key", digits), keys=keys,
@@ -128,7 +124,7 @@ def sample_exact(df: DataFrame, id_col: str, n: int, seed: int = 1024) -> DataFr
 
 
 def sample_ratio(df: DataFrame, id_col: str, ratios: dict[str, float] | float, *, key: str | None = None,
-                 seed: int = 1024, digits: int = 3) -> DataFrame:
+                 seed: int = 1024, digits: int = DIGITS) -> DataFrame:
     """``int(n * r)`` rows per key: ``floor(r)`` full copies and distinct extras in md5 order.
 
     Adds ``copy`` (0-based).  ``ratios`` is one number, or one per value of ``key`` (missing: 1.0).
@@ -150,7 +146,7 @@ def sample_ratio(df: DataFrame, id_col: str, ratios: dict[str, float] | float, *
 
 
 def sample_with_replacement(df: DataFrame, id_col: str, ratio: float, *, rows: int, seed: int = 1024,
-                            digits: int = 3) -> DataFrame:
+                            digits: int = DIGITS) -> DataFrame:
     """``int(ratio * rows)`` independent draws; adds ``draw``.  ``rows`` is the row count of ``df``."""
     spark = df.sparkSession
     picks = spark.range(int(rows * ratio)).select(

@@ -77,6 +77,13 @@ def _slots(pattern: str, value: Column) -> list[Column]:
     return [F.lit(head), value, F.lit(tail)]
 
 
+def eval_ids(regions: DataFrame, image_root: str = "coco/train2017/") -> DataFrame:
+    """Evaluation rows: image and id from the last but one part of ``img_id``."""
+    image = F.element_at(F.split("img_id", "_"), -2)
+    return regions.withColumn("image", F.concat(F.lit(image_root), image, F.lit(".jpg"))).withColumn(
+        "id", F.concat(image, F.lit("-"), "sent"))
+
+
 def ratio_candidates(low: int, high: int) -> list[tuple[int, int]]:
     """Tile grids (i, j) with ``low <= i*j <= high``, by area, then i."""
     grids = [(i, j) for i in range(1, high + 1) for j in range(1, high // i + 1) if low <= i * j]

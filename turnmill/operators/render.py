@@ -76,12 +76,6 @@ def render_turns(turns: DataFrame, name: str | Template, *, round_no: Column | s
             .withColumn("sep", F.lit(t.sep)))
 
 
-def number_rounds(turns: DataFrame, sample: str = "sample_id", chunk: int = CHUNK) -> DataFrame:
-    """Dense 0-based ``turn_no`` per sample; needed by templates that print ``{round}``."""
-    placed = running(turns, order=["turn_no"], keys=[sample], bucket=chunk_bucket("turn_no", chunk), index="_round")
-    return placed.withColumn("turn_no", F.col("_round")).drop("_round")
-
-
 def rendered_sizes(turns: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Every turn in every named template: turns, rejects and characters per template.
 

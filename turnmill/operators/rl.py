@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions.text import col
 from turnmill.functions.tokens import joined
+from turnmill.operators.formats import by_length
 from turnmill.operators.order import chunk_bucket, previous_row, running
 
 STEPS = 1024
@@ -55,7 +56,24 @@ def gae(steps: DataFrame, *, gamma: float = 1.0, lam: float = 0.99, traj: str =
         value: str = "value", chunk: int = STEPS) -> DataFrame:
     """``advantage`` and ``ret`` of every step.
 
-    Each chunk of steps is folded backwards on its own; the tail of a chunk then needs only the first
+    Trajectories of at most ``chunk`` steps are folded backwards as one array; longer ones in chunks.
+    """
+    def short(rows: DataFrame) -> DataFrame:
+        lists = rows.groupBy(traj).agg(F.array_sort(F.collect_list(F.struct(
+            "step", F.col(reward).alias("r"), F.col(value).alias("v")))).alias("_s"))
+        rewards, values = F.transform("_s", lambda s: s["r"]), F.transform("_s", lambda s: s["v"])
+        found = lists.withColumn("_a", gae_arrays(rewards, values, gamma=gamma, lam=lam))
+        each = found.select(traj, F.explode(F.arrays_zip("_s", "_a")).alias("_r"))
+        return each.select(traj, F.col("_r._s.step").alias("step"), F.col("_r._a").alias("advantage"),
+                           (F.col("_r._a") + F.col("_r._s.v")).alias("ret"))
+
+    return by_length(steps, traj, chunk, short, lambda rows: _gae_chunks(
+        rows, gamma=gamma, lam=lam, traj=traj, reward=reward, value=value, chunk=chunk))
+
+
+def _gae_chunks(steps: DataFrame, *, gamma: float, lam: float, traj: str, reward: str, value: str,
+                chunk: int) -> DataFrame:
+    """Each chunk of steps is folded backwards on its own; the tail of a chunk then needs only the first
     advantage of the chunk behind it, weighted by the distance.  The chain over chunks sees one row per
     ``chunk`` steps.
     """

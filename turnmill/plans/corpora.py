@@ -135,6 +135,17 @@ def src_permissive(spark, d):
     return count(good, False).unionByName(count(bad, True))
 
 
+@query("src_tsv", """
+SELECT doc_id AS "index", lang AS "A", source AS "B", CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS answer, 'dev' AS split FROM documents""")
+def src_tsv(spark, d):
+    """A multiple-choice table as tab-separated text; it has answers, so it is a dev split."""
+    path = fresh_path(spark, "tsv")
+    _documents(spark, d).select(F.col("doc_id").alias("index"), F.col("lang").alias("A"), F.col("source").alias("B"), F.when(
+        F.col("doc_id") % 2 == 0, "A").otherwise("B").alias("answer")).write.option("sep", "\t").option("header", True).csv(path)
+    rows = rd.read_tsv(spark, "index bigint, A string, B string, answer string", path)
+    return rows.withColumn("split", F.lit(rd.mcq_split(rows)))
+
+
 @query("split_select", """
 SELECT 'test' AS asked, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE doc_id % 10 = 0
 UNION ALL SELECT 'all', count(*), sum(n_chars)::BIGINT FROM documents""")

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.functions.tokens import HashEncoder, words
-from turnmill.operators.encode import encode_sft
 from turnmill.operators.formats import pair_turns
 from turnmill.operators.order import chunk_bucket, running
 from turnmill.operators.render import render_turns
+from turnmill.plans.presets import encode_dialogues
+from turnmill.session import stage
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -38,7 +39,7 @@ def rendered(spark: SparkSession, d: str, template: str = "qwen_chat") -> DataFr
 
 
 def samples(spark: SparkSession, d: str, max_length: int = 2048) -> DataFrame:
-    return encode_sft(rendered(spark, d), HashEncoder(), max_length=max_length)
+    return encode_dialogues(messages(spark, d), "qwen_chat", HashEncoder(), max_length=max_length)
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +49,8 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_lengths(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).select("sample_id", "source", "lang", F.col("num_tokens"))
+    """The length table of the corpus, staged: texts are read once, planning reads this."""
+    return stage(documents(spark, d).select("sample_id", "source", "lang", "num_tokens"), "lengths")
 
 
 def steps(spark: SparkSession, d: str) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.functions.tokens import HashEncoder
-from turnmill.operators.encode import drop_empty, drop_unsupervised, encode_conversation
-from turnmill.operators.formats import normalise
-from turnmill.operators.order import sample_exact
+from turnmill.operators.encode import (drop_empty, drop_unsupervised, encode_conversation, encode_sft,
+                                       encode_tool_dialogue)
+from turnmill.operators.formats import by_length, message_arrays, normalise, pair_turns, tool_parts
+from turnmill.operators.order import CHUNK, sample_exact
 from turnmill.operators.pack import pack_range
-from turnmill.operators.render import render_conversation
+from turnmill.operators.render import render_conversation, render_turns
 from turnmill.session import stage
 
 
@@ -77,9 +78,55 @@ def encode_corpus(records: DataFrame, fmt: str, template: str, encoder=HashEncod
     return drop_unsupervised(coded)
 
 
+def encode_dialogues(messages: DataFrame, template: str, encoder=HashEncoder(), *, max_length: int,
+                     sample: str = "sample_id", order: str = "turn", loss: str | None = None,
+                     chunk: int = CHUNK) -> DataFrame:
+    """Flat message table -> ``(sample, input_ids, labels, num_tokens)``.
+
+    Dialogues of at most ``chunk`` messages are gathered by one shuffle and then paired, rendered and
+    encoded in place; longer ones stay in long form to the end.  Encoders that run in Python take the
+    long form throughout, because a fold over an array cannot call them.
+    """
+    known = messages.where(F.col("role").isin("user", "assistant", "system"))
+
+    def long(rows: DataFrame) -> DataFrame:
+        turns = render_turns(pair_turns(rows, sample=sample, order=order, loss=loss, chunk=chunk), template)
+        return encode_sft(turns, encoder, sample=sample, max_length=max_length, chunk=chunk)
+
+    def short(rows: DataFrame) -> DataFrame:
+        cols = ["role", "content", *([loss] if loss else [])]
+        turns = drop_empty(normalise(message_arrays(rows, sample=sample, order=order, cols=cols), "openai"))
+        coded = encode_conversation(render_conversation(turns, template), encoder, max_length=max_length)
+        return coded.select(sample, "input_ids", "labels", "num_tokens")
+
+    if not isinstance(encoder, HashEncoder):
+        return long(known)
+    return by_length(known, sample, chunk, short, long)
+
+
 def build_preset(records: DataFrame, name: str, encoder=HashEncoder(), *, id_col: str) -> DataFrame:
     """Encoded samples of a preset, or its packs where the preset packs."""
     p = PRESETS[name]
     coded = encode_corpus(records, p.fmt, p.template, encoder, id_col=id_col, max_length=p.max_length)
     coded = coded.withColumn("source", F.lit(name))
     return pack_range(stage(coded, name), p.max_length, sample=id_col, shuffle=p.shuffle) if p.pack else coded
+
+
+def build_mix(records: dict[str, DataFrame], encoder=HashEncoder(), *, id_col: str) -> DataFrame:
+    """Several presets as one corpus; each keeps its name in ``source`` and its own packs."""
+    out = None
+    for name, rows in records.items():
+        part = build_preset(rows, name, encoder, id_col=id_col)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def build_tool_dialogues(records: dict[str, DataFrame], encoder=HashEncoder(), *, id_col: str, max_length: int = 2048,
+                         bot_name: str | None = None) -> DataFrame:
+    """Tool-dialogue corpora (with and without plugins) from nested records, as one corpus."""
+    out = None
+    for name, rows in records.items():
+        part = encode_tool_dialogue(tool_parts(rows, sample=id_col), encoder, max_length=max_length,
+                                    bot_name=bot_name, sample=id_col).withColumn("source", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out

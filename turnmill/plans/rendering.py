@@ -22,7 +22,7 @@ SELECT sample_id, CAST(round - 1 AS BIGINT) AS turn_no,
        CASE WHEN system <> '' THEN system || chr(10) ELSE '' END || '[Round ' || round || ']' || chr(10) || chr(10) || '问：' || input
        || chr(10) || chr(10) || '答：' AS input, output, TRUE AS need_eos_token, chr(10) || chr(10) AS sep FROM r""")
 def render_round(spark, d):
-    turns = rn.render_turns(rn.number_rounds(inputs.turns(spark, d)), "chatglm2")
+    turns = rn.render_turns(inputs.turns(spark, d), "chatglm2")
     return turns.select("sample_id", "turn_no", "input", "output", "need_eos_token", "sep")
 
 

@@ -60,7 +60,7 @@ grouped AS (
   FROM msgs WHERE NOT (role = 'assistant' AND opened = 0)
   GROUP BY sample_id, grp HAVING count(*) FILTER (WHERE role = 'assistant') > 0),
 turns AS (
-  SELECT sample_id, CAST(grp AS BIGINT) AS turn_no, is_first, system, input, output, TRUE AS output_with_loss
+  SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY grp) - 1 AS turn_no, is_first, system, input, output, TRUE AS output_with_loss
   FROM grouped)
 """
 
@@ -97,8 +97,3 @@ samples AS (
   SELECT sample_id, ids[1:{max_length}] AS input_ids, labels[1:{max_length}] AS labels,
          CAST(len(ids[1:{max_length}]) AS BIGINT) AS num_tokens FROM whole)
 """
-
-
-DOC_PAIRS = f"""
-docs AS (SELECT doc_id, source, lang, {n_words('text')} AS num_tokens FROM documents)
-"""

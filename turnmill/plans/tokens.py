@@ -14,6 +14,7 @@ from turnmill.plans import inputs, sql
 from turnmill.plans.formats import pair_texts, _PAIR_ROWS
 from turnmill.plans.registry import query
 from turnmill.plans.rendering import MERGED, sub_role_messages
+from turnmill.session import stage
 
 ENC = HashEncoder()
 
@@ -214,7 +215,7 @@ s AS (SELECT * FROM (VALUES {', '.join(f"({sql.lit(w)}, {i})" for i, w in enumer
 SELECT word, n, token_id FROM r UNION ALL
 SELECT word, CAST(0 AS BIGINT), (SELECT count(*) FROM c) + row_number() OVER (ORDER BY pos) - 1 FROM s WHERE word NOT IN (SELECT word FROM c)""")
 def vocab_build(spark, d):
-    return en.build_vocab(en.word_counts(inputs.table(spark, d, "documents"), "text"))
+    return en.build_vocab(stage(en.word_counts(inputs.table(spark, d, "documents"), "text"), "words"))
 
 
 @query("encode_vocab", f"""
@@ -225,7 +226,7 @@ r AS (SELECT word, row_number() OVER (ORDER BY n DESC, md5(word), word) - 1 AS t
 SELECT msg_id, string_agg(CAST(token_id AS VARCHAR), ',' ORDER BY pos) AS input_ids FROM x JOIN r USING (word) GROUP BY msg_id""")
 def encode_vocab(spark, d):
     m = inputs.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text")
-    coded = en.encode_with_vocab(m, "msg_id", "text", en.build_vocab(en.word_counts(m, "text")))
+    coded = en.encode_with_vocab(m, "msg_id", "text", en.build_vocab(stage(en.word_counts(m, "text"), "words")))
     return coded.select("msg_id", joined("input_ids").alias("input_ids"))
 
 
