@@ -15,7 +15,7 @@ from turnmill.plans import inputs
 class Digits:
     """Encoder for golden cases: words are numbers already."""
 
-    bos, eos, version = (1,), (2,), "digits"
+    bos, eos, version, in_jvm = (1,), (2,), "digits", True
 
     def ids(self, c) -> Column:
         return F.transform(tk.words(c), lambda w: w.cast("int"))
@@ -121,3 +121,33 @@ def test_tool_dialogue_mask_and_cut(spark):
     assert got["n_turns"] == 1 and got["num_tokens"] == 9
     assert [x == -100 for x in got["labels"]] == [True] * 3 + [False, False, True, True, False, False]
     assert en.encode_tool_dialogue(df, max_length=4).count() == 0
+
+
+def test_short_and_long_dialogues_agree(spark):
+    """Chunks of one or two messages force the long form; results are the same."""
+    from turnmill.operators import formats as fm
+    from turnmill.plans.formats import _react_messages
+    from turnmill.plans.presets import encode_dialogues
+    from turnmill.plans.rendering import sub_role_messages
+    m = inputs.messages(spark, SF)
+    for fn in (lambda c: fm.pair_turns(m, chunk=c), lambda c: encode_dialogues(m, "chatglm2", max_length=150, chunk=c),
+               lambda c: en.encode_messages(m, "llama3", max_length=150, chunk=c),
+               lambda c: rn.merge_sub_roles(sub_role_messages(spark, SF), chunk=c),
+               lambda c: en.encode_markup(sub_role_messages(spark, SF), max_length=150, chunk=c),
+               lambda c: fm.react_turns(_react_messages(spark, SF), chunk=c)):
+        whole = fn(8192)
+        cut = fn(3)
+        assert rows(whole) == rows(cut.select(*whole.columns)) and whole.count() > 0
+
+
+def test_python_tokenizer_gives_the_same_corpus(spark):
+    import hashlib
+    from turnmill.plans.presets import encode_dialogues
+    slow = tk.UserEncoder(lambda t: [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) + 1 for w in t.split(" ") if w], bos=(1,), eos=(2,))
+    m = inputs.messages(spark, SF)
+    assert rows(encode_dialogues(m, "qwen_chat", slow, max_length=100)) == rows(encode_dialogues(m, "qwen_chat", max_length=100))
+    assert rows(en.encode_messages(m, "qwen2", slow, max_length=100)) == rows(en.encode_messages(m, "qwen2", max_length=100))
+
+
+def test_bos_policies():
+    assert tk.bos_ids("qwen") == () and tk.bos_ids("chatglm") == (64790, 64792) and tk.bos_ids("llama", 1) == (1,)

@@ -48,6 +48,9 @@ def hash_id(word: Column) -> Column:
 
 @dataclass(frozen=True)
 class HashEncoder:
+    """Expressions only, so it can run inside array functions (``in_jvm``)."""
+
+    in_jvm = True
     bos: tuple[int, ...] = (1,)
     eos: tuple[int, ...] = (2,)
     version: str = "hash-md5-7"
@@ -64,6 +67,7 @@ class HashEncoder:
 class UserEncoder:
     """Any tokenizer: ``encode`` maps one text to a list of ints; it runs in Arrow batches."""
 
+    in_jvm = False
     encode: Callable[[str], Sequence[int]]
     bos: tuple[int, ...] = ()
     eos: tuple[int, ...] = ()

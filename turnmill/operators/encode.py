@@ -10,8 +10,11 @@ from turnmill.catalog import ChatTemplate, Template
 from turnmill.functions.text import blank_if_null, col, fill, strip
 from turnmill.functions.tokens import (IGNORE_INDEX, IMAGE_INDEX, IMAGE_MARK, INTS, HashEncoder, clip, int_array,
                                        masked, negate, supervised, words)
+from turnmill.operators.formats import by_length
 from turnmill.operators.order import CHUNK, chunk_bucket, running
-from turnmill.operators.render import chat_template, render_messages, role_begin, role_end
+from turnmill.operators.render import (chat_template, merge_long, merge_short, render_messages, role_begin,
+                                       role_end)
+from turnmill.session import stage
 
 
 def assemble(pieces: DataFrame, *, sample: str = "sample_id", order: str = "turn_no", max_length: int,
@@ -54,24 +57,38 @@ def encode_turns(turns: DataFrame, encoder=HashEncoder(), *, sample: str = "samp
     opens = F.col("is_first") | F.col("need_eos_token")
     n = (F.when(opens, len(encoder.bos)).otherwise(0) + encoder.length("input") + encoder.length("output")
          + F.when(F.col("need_eos_token"), len(encoder.eos)).otherwise(0) + encoder.length("sep"))
-    t = (turns.withColumn("n", n)
+    t = (turns.withColumn("n", n if encoder.in_jvm else F.lit(None))
          .withColumn("_bos", F.when(opens, int_array(encoder.bos)).otherwise(empty))
          .withColumn("_in", encoder.ids("input"))
          .withColumn("_out", encoder.ids("output"))
          .withColumn("_eos", F.when(F.col("need_eos_token"), int_array(encoder.eos)).otherwise(empty))
          .withColumn("_sep", encoder.ids("sep")))
     learned = F.concat("_out", "_eos")
+    ids = F.concat("_bos", "_in", "_out", "_eos", "_sep")
     return t.select(
-        sample, "turn_no", "n",
-        F.concat("_bos", "_in", "_out", "_eos", "_sep").alias("ids"),
+        sample, "turn_no", F.col("n") if encoder.in_jvm else F.size(ids).alias("n"), ids.alias("ids"),
         F.concat(masked("_bos"), masked("_in"), F.when(F.col("output_with_loss"), learned).otherwise(masked(learned)),
                  masked("_sep")).alias("labels"))
 
 
 def encode_sft(turns: DataFrame, encoder=HashEncoder(), *, max_length: int, sample: str = "sample_id",
                chunk: int = CHUNK) -> DataFrame:
-    """Rendered turns -> ``(sample, input_ids, labels, num_tokens)``."""
-    return assemble(encode_turns(turns, encoder, sample=sample), sample=sample, max_length=max_length, chunk=chunk)
+    """Rendered turns -> ``(sample, input_ids, labels, num_tokens)``.
+
+    Pieces of a tokenizer that runs in Python are staged, so that it runs once per text.
+    """
+    pieces = encode_turns(turns, encoder, sample=sample)
+    pieces = pieces if encoder.in_jvm else stage(pieces, "pieces")
+    return assemble(pieces, sample=sample, max_length=max_length, chunk=chunk)
+
+
+def gather(pieces: DataFrame, *, sample: str, order: str = "turn_no", max_length: int) -> DataFrame:
+    """``assemble`` for samples known to have a bounded number of pieces: one shuffle."""
+    rows = pieces.groupBy(sample).agg(F.array_sort(F.collect_list(F.struct(order, "ids", "labels"))).alias("_p"))
+    return rows.select(
+        sample, clip(F.flatten(F.transform("_p", lambda p: p["ids"])), max_length).alias("input_ids"),
+        clip(F.flatten(F.transform("_p", lambda p: p["labels"])), max_length).alias("labels")).withColumn(
+        "num_tokens", F.size("input_ids"))
 
 
 def encode_conversation(df: DataFrame, encoder=HashEncoder(), *, max_length: int,
@@ -119,21 +136,42 @@ def encode_messages(messages: DataFrame, template: str | ChatTemplate, encoder=H
     loss = F.col("role") == "assistant"
     if "loss" in messages.columns:
         loss = F.coalesce(F.col("loss"), loss)
-    m = render_messages(messages, chat_template(template)).withColumn("_loss", loss)
-    m = (m.withColumn("n", encoder.length("prompt") + encoder.length("tail"))
-         .withColumn("_ids", encoder.ids("prompt")).withColumn("_tail", encoder.ids("tail")))
-    pieces = m.select(sample, F.col(order).alias("turn_no"), "n", F.concat("_ids", "_tail").alias("ids"), F.concat(
-        F.when(F.col("_loss"), F.col("_ids")).otherwise(masked("_ids")), masked("_tail")).alias("labels"))
+    room = max_length - len(encoder.bos)
+
+    def pieces(rows: DataFrame) -> DataFrame:
+        m = render_messages(rows, chat_template(template)).withColumn("_loss", loss)
+        m = m.withColumn("_ids", encoder.ids("prompt")).withColumn("_tail", encoder.ids("tail"))
+        n = encoder.length("prompt") + encoder.length("tail") if encoder.in_jvm else F.size("_ids") + F.size("_tail")
+        out = m.select(sample, F.col(order).alias("turn_no"), n.alias("n"), F.concat("_ids", "_tail").alias("ids"), F.concat(
+            F.when(F.col("_loss"), F.col("_ids")).otherwise(masked("_ids")), masked("_tail")).alias("labels"))
+        return out if encoder.in_jvm else stage(out, "pieces")
+
+    rows = by_length(messages, sample, chunk,
+                     lambda r: gather(pieces(r), sample=sample, max_length=room),
+                     lambda r: assemble(pieces(r), sample=sample, max_length=room, chunk=chunk))
     lead = int_array(encoder.bos)
-    rows = assemble(pieces, sample=sample, max_length=max_length - len(encoder.bos), chunk=chunk)
     return (rows.withColumn("input_ids", F.concat(lead, "input_ids"))
             .withColumn("labels", F.concat(masked(lead), "labels"))
             .withColumn("num_tokens", F.size("input_ids")))
 
 
+def encode_markup(messages: DataFrame, encoder=HashEncoder(), *, max_length: int = 32768, sample: str = "sample_id",
+                  order: str = "turn", chunk: int = CHUNK) -> DataFrame:
+    """Chat-markup messages with sub-roles -> signed tokens per sample."""
+    names = dict(sample=sample, order=order)
+    return by_length(
+        messages, sample, chunk,
+        lambda r: encode_signed(merge_short(r, **names), encoder, max_length=max_length, sample=sample, bounded=True),
+        lambda r: encode_signed(merge_long(r, chunk=chunk, **names), encoder, max_length=max_length, sample=sample,
+                                chunk=chunk))
+
+
 def encode_signed(messages: DataFrame, encoder=HashEncoder(), *, max_length: int = 32768,
-                  sample: str = "sample_id", order: str = "msg", chunk: int = CHUNK) -> DataFrame:
-    """Merged chat-markup messages -> signed tokens (negative: no loss), BOS in front, cut at ``max_length``."""
+                  sample: str = "sample_id", order: str = "msg", chunk: int = CHUNK, bounded: bool = False) -> DataFrame:
+    """Merged chat-markup messages -> signed tokens (negative: no loss), BOS in front, cut at ``max_length``.
+
+    ``bounded`` says that every sample is known to have few messages.
+    """
     begin, end = role_begin("role", "name"), role_end("role")
     loss = F.lit(False)
     end_loss = F.lit(False)
@@ -145,18 +183,20 @@ def encode_signed(messages: DataFrame, encoder=HashEncoder(), *, max_length: int
         end_loss = F.when(hit, F.lit(cfg.end_loss)).otherwise(end_loss)
     m = (messages.withColumn("_begin", begin).withColumn("_end", end).withColumn("_loss", loss)
          .withColumn("_end_loss", end_loss)
-         .withColumn("_whole_text", F.concat("_begin", "content", "_end")))
-    n_begin, n_end, n_whole = (encoder.length(c) for c in ("_begin", "_end", "_whole_text"))
-    m = (m.withColumn("_n_content", F.greatest(n_whole - n_begin - n_end, F.lit(0)))
-         .withColumn("n", n_begin + n_end + F.col("_n_content"))
+         .withColumn("_whole_text", F.concat("_begin", "content", "_end"))
          .withColumn("_b", encoder.ids("_begin")).withColumn("_e", encoder.ids("_end"))
          .withColumn("_whole", encoder.ids("_whole_text")))
-    m = m.withColumn("_c", F.slice("_whole", F.size("_b") + 1, F.col("_n_content")))
+    content = F.greatest(F.size("_whole") - F.size("_b") - F.size("_e"), F.lit(0))
+    m = m.withColumn("_c", F.slice("_whole", F.size("_b") + 1, content))
     signed = F.concat(negate("_b"), F.when(F.col("_loss"), F.col("_c")).otherwise(negate("_c")),
                       F.when(F.col("_end_loss"), F.col("_e")).otherwise(negate("_e")))
-    pieces = m.select(sample, F.col(order).alias("turn_no"), "n", signed.alias("ids")).withColumn(
-        "labels", F.col("ids"))
-    rows = assemble(pieces, sample=sample, max_length=max_length - len(encoder.bos), chunk=chunk)
+    marks = encoder.length("_begin") + encoder.length("_end")
+    n = F.greatest(encoder.length("_whole_text"), marks) if encoder.in_jvm else F.size(signed)
+    pieces = m.select(sample, F.col(order).alias("turn_no"), n.alias("n"), signed.alias("ids")).withColumn("labels", F.col("ids"))
+    pieces = pieces if encoder.in_jvm else stage(pieces, "pieces")
+    room = max_length - len(encoder.bos)
+    rows = gather(pieces, sample=sample, max_length=room) if bounded else assemble(
+        pieces, sample=sample, max_length=room, chunk=chunk)
     return rows.select(sample, F.concat(int_array(encoder.bos), "input_ids").alias("tokens")).withColumn(
         "num_tokens", F.size("tokens"))
 

@@ -478,6 +478,44 @@ def react_turns(messages: DataFrame, *, sample: str = "sample_id", order: str =
                  F.when(is_model, output).when(F.col(role) == "system", system_text)
                  .when(F.col(role) == "user", F.concat(t, F.lit("\n"))).alias("_text"),
                  F.when(is_model, response).alias("_response"))
+    turns = by_length(messages, sample, chunk, lambda r: _react_short(
+        m if r is messages else m.join(r.select(sample).distinct(), sample, "left_semi"), sample, order, role),
+        lambda r: _react_long(m.join(r.select(sample).distinct(), sample, "left_semi"), sample, order, role, chunk))
+    halves = F.split(F.col("_response"), "Final Answer:")
+    extra = F.when(F.size(halves) == 2, F.struct(
+        (2 * F.col("_grp") + 1).alias("turn_no"), F.get(halves, F.lit(0)).alias("system"),
+        F.lit(None).cast("string").alias("input"),
+        F.concat(F.lit("Final Answer:"), F.get(halves, F.lit(1))).alias("output")))
+    main = F.struct((2 * F.col("_grp")).alias("turn_no"), "system", "input", "output")
+    return turns.select(sample, F.explode(F.array_compact(F.array(main, extra))).alias("_t")).select(sample, "_t.*")
+
+
+REACT_TURNS = "array<struct<system:string,input:string,output:string,_response:string>>"
+
+
+def _react_short(m: DataFrame, sample: str, order: str, role: str) -> DataFrame:
+    """Bounded dialogues: one shuffle, then a fold; every message is parsed once."""
+    lists = message_arrays(m, sample=sample, order=order, cols=[role, "_broken", "_text", "_response"])
+    lists = lists.where((F.size("messages") >= 2) & ~F.exists("messages", lambda x: x["_broken"]))
+    state = f"struct<system:string,input:string,turns:{REACT_TURNS}>"
+    start = F.struct(F.lit("").alias("system"), F.lit("").alias("input"), F.array().cast(REACT_TURNS).alias("turns")).cast(state)
+
+    def step(s: Column, x: Column) -> Column:
+        closes = x[role] == "assistant"
+        closed = F.concat(s["turns"], F.array(F.struct(s["system"].alias("system"), s["input"].alias("input"),
+                                                       x["_text"].alias("output"), x["_response"].alias("_response"))))
+        grown = lambda c, who: F.when(closes, F.lit("")).when(x[role] == who, F.concat(s[c], x["_text"])).otherwise(s[c])
+        return F.struct(grown("system", "system").alias("system"), grown("input", "user").alias("input"),
+                        F.when(closes, closed).otherwise(s["turns"]).alias("turns")).cast(state)
+
+    folded = F.aggregate("messages", start, step, lambda s: s["turns"])
+    return lists.select(sample, F.posexplode(folded).alias("_grp", "_t")).select(
+        sample, F.col("_grp").cast("long").alias("_grp"), "_t.*")
+
+
+def _react_long(m: DataFrame, sample: str, order: str, role: str, chunk: int) -> DataFrame:
+    """Dialogues of any length: a turn's key is the number of model messages before it."""
+    is_model = F.col(role) == "assistant"
     placed = running(m, order=[order], keys=[sample], bucket=chunk_bucket(order, chunk),
                      index="_at", sums={"_grp": is_model.cast("int"), "_faults": F.col("_broken").cast("int")},
                      totals={"_n": "_at", "_models": "_grp", "_bad": "_faults"})
@@ -487,16 +525,9 @@ def react_turns(messages: DataFrame, *, sample: str = "sample_id", order: str =
         rows = F.collect_list(F.when(F.col(role) == which, F.struct(F.col(order), F.col("_text"))))
         return F.array_join(F.transform(F.array_sort(rows), lambda r: r["_text"]), "")
 
-    turns = placed.groupBy(sample, "_grp").agg(
+    return placed.groupBy(sample, "_grp").agg(
         ordered("system").alias("system"), ordered("user").alias("input"),
         F.max(F.when(is_model, F.col("_text"))).alias("output"), F.max("_response").alias("_response"))
-    halves = F.split(F.col("_response"), "Final Answer:")
-    extra = F.when(F.size(halves) == 2, F.struct(
-        (2 * F.col("_grp") + 1).alias("turn_no"), F.get(halves, F.lit(0)).alias("system"),
-        F.lit(None).cast("string").alias("input"),
-        F.concat(F.lit("Final Answer:"), F.get(halves, F.lit(1))).alias("output")))
-    main = F.struct((2 * F.col("_grp")).alias("turn_no"), "system", "input", "output")
-    return turns.select(sample, F.explode(F.array_compact(F.array(main, extra))).alias("_t")).select(sample, "_t.*")
 
 
 def _around(pattern: str, slot: str, value: Column) -> list[Column]:

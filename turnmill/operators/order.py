@@ -115,11 +115,17 @@ def previous_row(df: DataFrame, *, order: str, bucket: Column, keys: Sequence[st
     return out.select(*df.columns, *[F.col("_lag")[new].alias(new) for new in cols])
 
 
+TOP_ROWS = 1_000_000
+
+
 def sample_exact(df: DataFrame, id_col: str, n: int, seed: int = 1024) -> DataFrame:
     """Exactly ``min(count, n)`` rows without replacement: the first ``n`` in md5 order.
 
-    ``n`` is the feature (a sample size); a top-n keeps n rows per task and one merge.
+    ``n`` is the feature (a sample size).  Up to a million rows a top-n merges in one task; above, the
+    rows whose shuffled position is below ``n`` are kept where they are.  Both give the same rows.
     """
+    if n > TOP_ROWS:
+        return shuffled(df, id_col, seed=seed, index="_pos").where(F.col("_pos") < n).drop("_pos")
     return df.withColumn("_key", shuffle_key(id_col, seed=seed)).orderBy("_key", id_col).limit(n).drop("_key")
 
 

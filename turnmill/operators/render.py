@@ -9,6 +9,7 @@ from turnmill import catalog
 from turnmill.catalog import ChatTemplate, Role, Template
 from turnmill.functions.text import blank_if_null, col, fill
 from turnmill.functions.tokens import IMAGE_MARK
+from turnmill.operators.formats import by_length, message_arrays
 from turnmill.operators.order import CHUNK, chunk_bucket, previous_row, running
 
 
@@ -193,10 +194,41 @@ def belongs(role: Column | str) -> Column:
 
 def merge_sub_roles(messages: DataFrame, *, sample: str = "sample_id", order: str = "turn", role: str = "role",
                     text: str = "content", name: str = "name", chunk: int = CHUNK) -> DataFrame:
-    """Tool and thought messages join the assistant message before them, or open one.
+    """Tool and thought messages join the assistant message before them, or open one: rows numbered by ``msg``."""
+    names = dict(sample=sample, order=order, role=role, text=text, name=name)
+    return by_length(messages, sample, chunk, lambda r: merge_short(r, **names), lambda r: merge_long(r, chunk=chunk, **names))
 
-    A sub-role message starts a new message exactly where the message before it is neither assistant
-    nor another sub-role; messages are then numbered by a running count of starts.
+
+def merge_short(messages: DataFrame, *, sample: str = "sample_id", order: str = "turn", role: str = "role",
+                text: str = "content", name: str = "name") -> DataFrame:
+    """Dialogues of bounded length: one shuffle, then a fold over each dialogue's messages."""
+    extra = [c for c in ("type", "loss") if c in messages.columns]
+    sub = belongs(role)
+    shown = F.when(sub, F.concat(role_begin(role, name), F.col(text), role_end(role))).otherwise(F.col(text))
+    m = messages.select(sample, order, F.when(sub, F.lit("assistant")).otherwise(F.col(role)).alias("role"),
+                        F.when(~sub, F.col(name)).alias("name"), shown.alias("content"), sub.alias("sub"), *extra)
+    types = dict(m.dtypes)
+    fields = ["role", "name", "content", *extra]
+    merged = "array<struct<" + ",".join(f"{c}:{types[c]}" for c in fields) + ">>"
+    lists = message_arrays(m, sample=sample, order=order, cols=[*fields, "sub"])
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        joins = x["sub"] & (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["role"] == "assistant")
+        longer = F.struct(*[(F.concat(last["content"], x["content"]) if c == "content" else last[c]).alias(c) for c in fields])
+        own = F.struct(*[x[c].alias(c) for c in fields])
+        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(
+            F.concat(done, F.array(own))).cast(merged)
+
+    folded = F.aggregate("messages", F.array().cast(merged), step)
+    return lists.select(sample, F.posexplode(folded).alias("msg", "_m")).select(
+        sample, F.col("msg").cast("long").alias("msg"), *[F.col(f"_m.{c}").alias(c) for c in fields])
+
+
+def merge_long(messages: DataFrame, *, sample: str = "sample_id", order: str = "turn", role: str = "role",
+               text: str = "content", name: str = "name", chunk: int = CHUNK) -> DataFrame:
+    """Dialogues of any length.  A sub-role message starts a new message exactly where the message before
+    it is neither assistant nor another sub-role; messages are numbered by a running count of starts.
     """
     sub = belongs(role)
     edged = previous_row(messages, order=order, bucket=chunk_bucket(order, chunk), keys=[sample],

@@ -9,6 +9,7 @@ from turnmill import catalog
 from turnmill.functions.text import strip
 from turnmill.functions.tokens import HashEncoder, joined
 from turnmill.operators import order as od
+from turnmill.operators.rl import trajectory_lines
 from turnmill.plans import inputs, sql
 from turnmill.plans.formats import _ALPACA, _alpaca
 from turnmill.plans.presets import encode_corpus
@@ -222,22 +223,22 @@ def corpus_token_totals(spark, d):
 
 
 @query("trajectory_dump", """
-SELECT user_id AS traj_id, count(*) AS num_tokens, round(sum(value / 100) / count(*), 6) AS reward,
-       string_agg(event_type, ' ' ORDER BY event_id) AS "sequence" FROM events GROUP BY user_id""")
+WITH s AS (SELECT user_id, event_id, event_type, value, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 256 AS episode FROM events)
+SELECT user_id AS traj_id, CAST(episode AS BIGINT) AS episode, count(*) AS num_tokens, round(sum(value / 100) / count(*), 6) AS reward,
+       string_agg(event_type, ' ' ORDER BY event_id) AS "sequence" FROM s GROUP BY user_id, episode""")
 def trajectory_dump(spark, d):
-    """Trajectories logged as JSON lines and read back; a trajectory is a record, as in the log."""
-    from turnmill.operators.rl import trajectory_lines
-    e = inputs.table(spark, d, "events")
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda s: s["event_type"]), " ")
-    t = e.groupBy(F.col("user_id").alias("traj_id")).agg(
-        F.count(F.lit(1)).alias("num_tokens"), F.round(F.sum(F.col("value") / 100) / F.count(F.lit(1)), 6).alias("ori_reward"),
-        said.alias("sequence"))
+    """Episodes of at most 256 steps, logged as JSON lines and read back."""
+    e = inputs.steps(spark, d).withColumn("episode", od.int_div("step", 256))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "event_type"))), lambda s: s["event_type"]), " ")
+    t = e.groupBy("traj_id", "episode").agg(
+        F.count(F.lit(1)).alias("num_tokens"), F.round(F.sum("x") / F.count(F.lit(1)), 6).alias("ori_reward"), said.alias("sequence"))
     path = fresh_path(spark, "trajectories")
-    lines = trajectory_lines(t.withColumn("sequence", F.concat(F.col("traj_id").cast("string"), F.lit("|"), "sequence")))
-    sk.write_report(lines, path)
+    head = F.concat_ws("|", F.col("traj_id").cast("string"), F.col("episode").cast("string"), "sequence")
+    sk.write_report(trajectory_lines(t.withColumn("sequence", head)), path)
     back = spark.read.schema("num_tokens bigint, reward double, sequence string").json(path)
-    return back.select(F.substring_index("sequence", "|", 1).cast("long").alias("traj_id"), "num_tokens", "reward",
-                       F.regexp_extract("sequence", r"(?s)^[^|]*\|(.*)$", 1).alias("sequence"))
+    part = lambda i: F.get(F.split("sequence", r"\|"), F.lit(i))
+    return back.select(part(0).cast("long").alias("traj_id"), part(1).cast("long").alias("episode"), "num_tokens", "reward",
+                       part(2).alias("sequence"))
 
 
 @query("content_hash_index", """

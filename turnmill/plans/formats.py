@@ -142,9 +142,9 @@ def _sharegpt(spark, d):
     who = F.when(F.col("role") == "user", "human").otherwise("gpt")
     shown = F.when((F.col("role") == "user") & (F.col("sample_id") % 3 == 0),
                    F.concat(F.lit("see <image> and "), "content")).otherwise(F.col("content"))
-    return m.select("sample_id", "turn", who.alias("from"), shown.alias("value")).groupBy("sample_id").agg(F.transform(
+    return m.select("sample_id", "turn", who.alias("from"), shown.alias("value")).groupBy("sample_id", inputs.record_part()).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("turn", "from", "value"))),
-        lambda x: F.struct(x["from"].alias("from"), x["value"].alias("value"))).alias("conversations"))
+        lambda x: F.struct(x["from"].alias("from"), x["value"].alias("value"))).alias("conversations")).drop("part")
 
 
 def _sharegpt_sql(edit: str) -> str:
@@ -205,8 +205,8 @@ FROM r WHERE rn < n - n % 2 GROUP BY conv_id, rn // 2""")
 def fmt_oasst1(spark, d):
     m = inputs.messages(spark, d).where("role <> 'system'")
     said = F.concat(F.when(F.col("role") == "user", "### Human: ").otherwise("### Assistant: "), "content")
-    texts = m.select(F.col("sample_id").alias("conv_id"), "turn", said.alias("s")).groupBy("conv_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "s"))), lambda x: x["s"]), "").alias("text"))
+    texts = m.select(F.col("sample_id").alias("conv_id"), "turn", said.alias("s")).groupBy("conv_id", inputs.record_part()).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "s"))), lambda x: x["s"]), "").alias("text")).drop("part")
     return _flat(fm.normalise(texts, "oasst1"), "conv_id").drop("system")
 
 

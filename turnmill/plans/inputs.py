@@ -23,11 +23,16 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
         F.col("conv_id").alias("sample_id"), "turn", "role", F.col("text").alias("content"))
 
 
+def record_part() -> Column:
+    """A record holds at most 8192 messages; a longer dialogue would come in parts, each a record."""
+    return chunk_bucket("turn").alias("part")
+
+
 def message_lists(spark: SparkSession, d: str) -> DataFrame:
-    """One row per conversation with its message list: the shape of a JSON record."""
-    return messages(spark, d).groupBy("sample_id").agg(F.transform(
+    """One row per record with its message list: the shape of a JSON record."""
+    return messages(spark, d).groupBy("sample_id", record_part()).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("turn", "role", "content"))),
-        lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+        lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages")).drop("part")
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:

@@ -99,7 +99,7 @@ def encode_dialogues(messages: DataFrame, template: str, encoder=HashEncoder(),
         coded = encode_conversation(render_conversation(turns, template), encoder, max_length=max_length)
         return coded.select(sample, "input_ids", "labels", "num_tokens")
 
-    if not isinstance(encoder, HashEncoder):
+    if not encoder.in_jvm:
         return long(known)
     return by_length(known, sample, chunk, short, long)
 

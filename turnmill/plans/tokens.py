@@ -9,7 +9,6 @@ from turnmill.functions import tokens as tk
 from turnmill.functions.tokens import HashEncoder, joined
 from turnmill.operators import encode as en
 from turnmill.operators import formats as fm
-from turnmill.operators.render import merge_sub_roles
 from turnmill.plans import inputs, sql
 from turnmill.plans.formats import pair_texts, _PAIR_ROWS
 from turnmill.plans.registry import query
@@ -95,8 +94,7 @@ s AS (SELECT sample_id, msg, list_concat(list_transform(bi, lambda x: -x),
 w AS (SELECT sample_id, list_concat([CAST(1 AS BIGINT)], flatten(list(toks ORDER BY msg)))[1:512] AS toks FROM s GROUP BY sample_id)
 SELECT sample_id, CAST(len(toks) AS BIGINT) AS num_tokens, {sql.text('toks')} AS tokens FROM w""")
 def encode_signed(spark, d):
-    merged = merge_sub_roles(sub_role_messages(spark, d))
-    out = en.encode_signed(merged, ENC, max_length=512)
+    out = en.encode_markup(sub_role_messages(spark, d), ENC, max_length=512)
     return out.select("sample_id", F.col("num_tokens").cast("long").alias("num_tokens"), joined("tokens").alias("tokens"))
 
 
