@@ -57,7 +57,7 @@ def test_llava_moves_image(spark):
 def test_positional_pairs_odd_is_reject(spark):
     schema = "conversations array<struct<role:string,value:string>>"
     df = spark.createDataFrame([([("user", "a"), ("model", "b")],), ([("user", "a")],)], schema)
-    out = fm.normalise(df, "nursing_patient").collect()
+    out = fm.normalise(df, "role_patient").collect()
     assert [(t["input"], t["output"]) for t in out[0]["conversation"]] == [("a", "b")]
     assert out[1]["conversation"] is None
 
@@ -91,3 +91,17 @@ def test_registry(spark):
         fm.register_format("alpaca", lambda d: d)
     with pytest.raises(ValueError):
         fm.normalise(spark.range(1), "nope")
+
+
+def test_react_blocks(spark):
+    call = lambda n: '<|startofthink|>```JSON\n{"api_name": "%s", "parameters": {}}```<|endofthink|>' % n
+    data = [(1, 0, "user", "q"), (1, 1, "assistant", "a" + call("f") + "b" + call("g") + "tail<|startofthink|>open"),
+            (2, 0, "user", "q"), (2, 1, "assistant", "x<|startofexec|>not closed"),
+            (3, 0, "user", "q"), (3, 1, "assistant", "x<|startofexec|>[1]<|endofexec|> done "),
+            (4, 0, "user", "q"), (4, 1, "assistant", "<|startofexec|>1<|endofexec|><|startofexec|>2<|endofexec|>"),
+            (5, 0, "user", "q"), (5, 1, "assistant", "x<|startofexec|>[bad<|endofexec|> done")]
+    got = rows(fm.react_turns(spark.createDataFrame(data, MESSAGES)), "sample_id", "system", "output")
+    assert got == [
+        (1, "", "Thought:a\nAction:f\nAction Input:{}\nThought:b\nAction:g\nAction Input:{}\ntail<|startofthink|>open\n"),
+        (2, "", "Final Answer:x\n"), (3, "", "Final Answer:x\n"), (3, "Response:[1]\n", "Final Answer:done\n"),
+        (5, "", "Final Answer:x\n")]

@@ -24,6 +24,7 @@ from turnmill import catalog
 from turnmill.functions.text import after_first, col, strip
 from turnmill.functions.tokens import IMAGE_MARK
 from turnmill.operators.order import CHUNK, chunk_bucket, int_div, running
+from turnmill.session import stage
 
 TURN = ("struct<system:string,input:string,output:string,"
         "output_with_loss:boolean,need_eos_token:boolean>")
@@ -217,9 +218,9 @@ for _name, _fn in {
     "stack_exchange": _single(_one("question"), "response"),
     "tiny_codes": _single(_one("prompt"), "response", "coder"),
     "wizardlm": wizardlm,
-    "nursing_patient": positional_pairs,
-    "nursing_expert": _single(_one("input"), "output"),
-    "nursing_teacher": _single(_one("question"), "answer"),
+    "role_patient": positional_pairs,
+    "role_expert": _single(_one("input"), "output"),
+    "role_teacher": _single(_one("question"), "answer"),
     "single_turn": _single(_one("toy_input"), "toy_output", system_col="toy_system"),
     "multi_turn_nested": nested_turns,
 }.items():
@@ -232,9 +233,11 @@ def long_groups(rows: DataFrame, key: str, limit: int) -> DataFrame | None:
     """Keys with more than ``limit`` rows, or None where there are none.
 
     Reads the key column only and counts map-side; the answer picks the plan, so it is asked once, here.
+    The keys found are written down (at most one per ``limit`` rows), so that Spark sees their size and
+    joins them without shuffling the rows where they are few.
     """
     found = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(key)
-    return None if found.isEmpty() else found
+    return None if found.isEmpty() else stage(found, "long-keys")
 
 
 def by_length(rows: DataFrame, key: str, limit: int, short, long) -> DataFrame:
@@ -381,8 +384,9 @@ REACT_FORMAT = (
     "工具返回按照以下格式回复：\n```\nResponse:调用工具后的结果\n```\n"
     "如果你已经知道了答案，或者你不需要工具，请遵循以下格式回复\n```\n"
     "Thought:给出最终答案的思考过程\nFinal Answer:最终答案\n```\n开始!\n")
-THINK = r"(?s)(.*?)<\|startofthink\|>(.*?)<\|endofthink\|>"
-EXEC = r"(?s)<\|startofexec\|>(.*?)<\|endofexec\|>(.*)$"
+# Block marks, as patterns.
+THINK_OPEN, THINK_CLOSE = r"<\|startofthink\|>", r"<\|endofthink\|>"
+EXEC_OPEN, EXEC_CLOSE = r"<\|startofexec\|>", r"<\|endofexec\|>"
 
 
 @F.pandas_udf(T.StructType([T.StructField("listing", T.StringType()), T.StructField("names", T.StringType())]))
@@ -449,29 +453,41 @@ def react_turns(messages: DataFrame, *, sample: str = "sample_id", order: str =
     left out.
     """
     t = F.col(text)
-    has_exec = F.contains(t, F.lit("<|startofexec|>"))
-    pieces = F.split(t, r"<\|startofexec\|>")
-    m = messages.withColumn("_said", F.when(has_exec, F.element_at(pieces, 1)).otherwise(t))
-    m = m.withColumn("_exec", F.when(has_exec, F.concat(F.lit("<|startofexec|>"), F.get(pieces, F.lit(1)))))
     is_model = F.col(role) == "assistant"
-    m = (m.withColumn("_lead", F.regexp_extract_all("_said", F.lit(THINK), F.lit(1)))
-         .withColumn("_think", F.transform(F.regexp_extract_all("_said", F.lit(THINK), F.lit(2)), _json_body))
-         .withColumn("_tail", F.when(F.size("_think") > 0, F.regexp_extract("_said", r"(?s)^.*<\|endofthink\|>(.*)$", 1))
-                     .otherwise(F.col("_said")))
+    has_exec = is_model & F.contains(t, F.lit("<|startofexec|>"))
+    pieces = F.split(t, EXEC_OPEN)
+    m = messages.withColumn("_said", F.when(has_exec, F.get(pieces, F.lit(0))).otherwise(t))
+    m = m.withColumn("_exec", F.when(has_exec, F.get(pieces, F.lit(1))))
+    # behind each opening mark: block, closing mark, and the lead of the next block or the tail
+    m = m.withColumn("_cut", F.when(is_model, F.split("_said", THINK_OPEN)))
+    blocks = F.transform(F.slice("_cut", F.lit(2), F.size("_cut")), lambda p: F.split(p, THINK_CLOSE, 2))
+    m = m.withColumn("_blocks", F.when(F.size("_cut") > 1, blocks))
+    closed = F.coalesce(F.filter("_blocks", lambda b: F.size(b) == 2), F.array().cast("array<array<string>>"))
+    m = (m.withColumn("_closed", closed)
+         .withColumn("_open_end", F.coalesce(F.size(F.element_at("_blocks", -1)) == 1, F.lit(False)))
+         .withColumn("_unclosed", F.coalesce(F.exists(F.slice("_blocks", F.lit(1), F.greatest(
+             F.size("_blocks") - 1, F.lit(0))), lambda b: F.size(b) == 1), F.lit(False)))
+         .withColumn("_after", F.transform("_closed", lambda b: F.get(b, F.lit(1))))
+         .withColumn("_think", F.transform("_closed", lambda b: _json_body(F.get(b, F.lit(0)))))
+         .withColumn("_lead", F.slice(F.concat(F.array(F.get("_cut", F.lit(0))), "_after"), F.lit(1), F.size("_closed")))
+         .withColumn("_tail", F.when(F.size("_closed") == 0, F.col("_said")).otherwise(F.concat(
+             F.element_at("_after", -1), F.when(F.col("_open_end"), F.concat(
+                 F.lit("<|startofthink|>"), F.get(F.element_at("_blocks", -1), F.lit(0)))).otherwise(F.lit("")))))
+         .withColumn("_done", F.split("_exec", EXEC_CLOSE, 2))
+         .withColumn("_exec_hit", F.coalesce(F.size("_done") == 2, F.lit(False)))
          .withColumn("_calls", tool_calls("_think"))
          .withColumn("_tools", tool_listing(F.when(F.col(role) == "system", t)))
-         .withColumn("_exec_hit", F.coalesce(F.col("_exec").rlike(EXEC), F.lit(False)))
-         .withColumn("_exec_json", python_literals(F.array(_json_body(F.regexp_extract("_exec", EXEC, 1))))[0])
-         .withColumn("_exec_rest", strip(F.regexp_extract("_exec", EXEC, 2))))
+         .withColumn("_exec_json", F.get(python_literals(F.array(_json_body(F.get("_done", F.lit(0))))), F.lit(0)))
+         .withColumn("_exec_rest", strip(F.get("_done", F.lit(1)))))
     actions = F.zip_with("_lead", "_calls", lambda lead, call: F.concat(
         F.when(strip(lead) != "", F.concat(F.lit("Thought:"), strip(lead), F.lit("\n"))).otherwise(F.lit("")),
         F.lit("Action:"), call["api"], F.lit("\nAction Input:"), call["params"], F.lit("\n")))
-    broken = is_model & (F.exists("_calls", lambda c: c.isNull()) | (has_exec & (F.size(pieces) > 2)))
+    broken = is_model & (F.col("_unclosed") | F.exists("_calls", lambda c: c.isNull()) | (has_exec & (F.size(pieces) > 2)))
     output = F.when(F.size("_think") > 0, F.concat(F.array_join(actions, ""), F.col("_tail"), F.lit("\n"))) \
         .otherwise(F.concat(F.lit("Final Answer:"), F.col("_said"), F.lit("\n")))
     answered = F.concat(F.lit("Response:"), F.col("_exec_json"), F.lit("\n"), F.when(
         F.col("_exec_rest") != "", F.concat(F.lit("Final Answer:"), F.col("_exec_rest"), F.lit("\n"))).otherwise(F.lit("")))
-    response = F.when(F.col("_exec_hit"), answered).otherwise(F.col("_exec"))
+    response = F.when(F.col("_exec_hit"), answered).otherwise(F.concat(F.lit("<|startofexec|>"), "_exec"))
     system_text = F.concat(F.lit(REACT_HEAD), F.col("_tools.listing"), F.lit("\n"),
                            *_around(REACT_FORMAT, "{names}", F.col("_tools.names")))
     m = m.select(sample, order, role, F.coalesce(broken, F.lit(False)).alias("_broken"),

@@ -94,13 +94,13 @@ def fmt_colors(spark, d):
 @query("fmt_default", "\nUNION ALL\n".join(
     f"SELECT '{f}' AS format, doc_id, {s} AS system, lang AS input, text AS output FROM documents"
     for f, s in {"default": "CAST(NULL AS VARCHAR)", "openorca": "source", "stack_exchange": "CAST(NULL AS VARCHAR)",
-                 "nursing_expert": "CAST(NULL AS VARCHAR)", "nursing_teacher": "CAST(NULL AS VARCHAR)"}.items()))
+                 "role_expert": "CAST(NULL AS VARCHAR)", "role_teacher": "CAST(NULL AS VARCHAR)"}.items()))
 def fmt_default(spark, d):
     docs = inputs.table(spark, d, "documents")
     out = None
     for f, (a, b) in {"default": ("input", "output"), "openorca": ("question", "response"),
-                      "stack_exchange": ("question", "response"), "nursing_expert": ("input", "output"),
-                      "nursing_teacher": ("question", "answer")}.items():
+                      "stack_exchange": ("question", "response"), "role_expert": ("input", "output"),
+                      "role_teacher": ("question", "answer")}.items():
         raw = docs.select("doc_id", F.col("source").alias("system_prompt"), F.col("lang").alias(a), F.col("text").alias(b))
         part = _flat(fm.normalise(raw, f), "doc_id").select(F.lit(f).alias("format"), "doc_id", "system", "input", "output")
         out = part if out is None else out.unionByName(part)
