@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions.text import col
 from turnmill.functions.tokens import IGNORE_INDEX, PAD_INDEX
-from turnmill.operators.order import DIGITS, int_div, md5_bucket, running, shuffle_key, shuffled
+from turnmill.operators.order import int_div, md5_bucket, running, shuffle_key, shuffled
 
 
 def group_size(n: Column, batch: int, world: int, mult: int | None = None) -> Column:
@@ -30,7 +30,7 @@ def _longest_first(placed: DataFrame, length: str) -> DataFrame:
 
 
 def length_grouped(lengths: DataFrame, batch: int, world: int, *, length: str = "length", sample: str = "sample_id",
-                   mult: int | None = None, seed: int = 1024, epoch: int = 0, digits: int = DIGITS) -> DataFrame:
+                   mult: int | None = None, seed: int = 1024, epoch: int = 0, digits: int | None = None) -> DataFrame:
     """Shuffle, cut in megabatches, sort each by falling length, put the longest sample first; adds ``pos``."""
     placed = shuffled(lengths, sample, seed=seed, epoch=epoch, index="_i", totals={"_n": "_i"}, digits=digits)
     placed = placed.withColumn("_m", group_size(F.col("_n"), batch, world, mult))
@@ -43,7 +43,7 @@ def length_grouped(lengths: DataFrame, batch: int, world: int, *, length: str =
 
 def length_grouped_by_rank(lengths: DataFrame, batch: int, world: int, *, length: str = "length",
                            sample: str = "sample_id", mult: int | None = None, seed: int = 1024, epoch: int = 0,
-                           digits: int = DIGITS) -> DataFrame:
+                           digits: int | None = None) -> DataFrame:
     """Variant: a sorted megabatch is cut in groups of ``world`` and the groups are shuffled."""
     placed = shuffled(lengths, sample, seed=seed, epoch=epoch, index="_i", totals={"_n": "_i"}, digits=digits)
     placed = placed.withColumn("_m", group_size(F.col("_n"), batch, world, mult))
@@ -60,7 +60,7 @@ def length_grouped_by_rank(lengths: DataFrame, batch: int, world: int, *, length
 
 def length_grouped_by_modality(lengths: DataFrame, batch: int, world: int, *, length: str = "length",
                                sample: str = "sample_id", mult: int | None = None, seed: int = 1024,
-                               epoch: int = 0, digits: int = DIGITS) -> DataFrame:
+                               epoch: int = 0, digits: int | None = None) -> DataFrame:
     """Signed lengths (negative: text only): megabatches keep to one modality and are permuted.
 
     The last megabatch of each modality joins one mixed last batch.  With one modality present this

@@ -361,6 +361,33 @@ def encode_with_vocab(df: DataFrame, id_col: str, text: str, vocab: DataFrame, u
         lambda s: s["token_id"]).alias("input_ids"))
 
 
+def rank_ids(samples: DataFrame, *, reserved: int = 3) -> DataFrame:
+    """``(token_id, n, rank_id)``: dense ids by falling frequency (ties by id), behind the reserved ones."""
+    seen = samples.select(F.explode("input_ids").alias("token_id")).where(F.col("token_id") >= reserved)
+    counts = stage(seen.groupBy("token_id").agg(F.count(F.lit(1)).alias("n")), "token-counts")
+    spread = F.when(F.col("n") < 1024, F.shiftright(F.col("token_id").cast("long"), 20)).otherwise(0)
+    bucket = (F.lit(1 << 40) - F.col("n")) * 4096 + spread
+    ranked = running(counts, order=[F.desc("n"), "token_id"], bucket=bucket, index="_r")
+    return ranked.select("token_id", "n", (F.col("_r") + reserved).cast("int").alias("rank_id"))
+
+
+def apply_ranks(samples: DataFrame, ranks: DataFrame, *, sample: str = "sample_id") -> DataFrame:
+    """Samples of hashed ids -> samples of vocabulary ids; reserved ids and masked labels stay.
+
+    A row's tokens are bounded by its ``max_length``.  The id table is staged, so that Spark joins it by
+    its size: without a shuffle of the tokens while it is small, with skew handling beyond.
+    """
+    table = stage(ranks.select("token_id", "rank_id"), "ranks")
+    each = samples.select(sample, F.posexplode(F.arrays_zip("input_ids", "labels")).alias("pos", "_t")).select(
+        sample, "pos", F.col("_t.input_ids").alias("token_id"), F.col("_t.labels").alias("label"))
+    new = F.coalesce("rank_id", "token_id")
+    coded = each.join(table, "token_id", "left").select(
+        sample, F.struct("pos", new.alias("i"), F.when(F.col("label") >= 0, new).otherwise(F.col("label")).alias("l")).alias("_t"))
+    rows = coded.groupBy(sample).agg(F.array_sort(F.collect_list("_t")).alias("_t"))
+    return rows.select(sample, F.transform("_t", lambda t: t["i"]).alias("input_ids"),
+                       F.transform("_t", lambda t: t["l"]).alias("labels"), F.size("_t").alias("num_tokens"))
+
+
 def decode_preview(samples: DataFrame, vocab: DataFrame, *, sample: str = "sample_id", k: int = 10,
                    order: list | None = None) -> DataFrame:
     """Text and loss-masked text of the first ``k`` samples (a preview: the limit is its purpose)."""

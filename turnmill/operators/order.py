@@ -16,10 +16,26 @@ from pyspark.sql import functions as F
 from turnmill.functions.text import col
 
 CHUNK = 8192
-# Leading md5 digits of an order: 65 536 buckets of 1.5 million rows each at 10^11 rows.
-DIGITS = 4
-# Orders that carry token arrays: a million buckets, about 100 MB each at 100 TB.
-WIDE_DIGITS = 5
+# Bytes of input behind one md5 bucket, and the most leading digits used: 16^5 is a million buckets,
+# about 100 MB each at 100 TB.
+BUCKET_BYTES = 64 << 20
+MAX_DIGITS = 5
+
+
+def digits_for(df: DataFrame) -> int:
+    """Leading md5 digits that cut ``df`` in buckets of about ``BUCKET_BYTES``.
+
+    Takes the optimizer's size estimate (no job).  The number of digits never changes a result: longer
+    prefixes split the same order more finely.
+    """
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except AttributeError:  # sessions without a local optimizer
+        return MAX_DIGITS - 1
+    digits = 1
+    while digits < MAX_DIGITS and 16 ** digits * BUCKET_BYTES < size:
+        digits += 1
+    return digits
 
 
 def shuffle_key(*ids: Column | str, seed: int = 1024, epoch: int = 0) -> Column:
@@ -27,7 +43,7 @@ def shuffle_key(*ids: Column | str, seed: int = 1024, epoch: int = 0) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), *[col(i).cast("string") for i in ids]))
 
 
-def md5_bucket(key: Column | str, digits: int = DIGITS) -> Column:
+def md5_bucket(key: Column | str, digits: int = 3) -> Column:
     """Order-preserving bucket of an md5 key: its leading hex digits as a number."""
     return F.conv(F.substring(col(key), 1, digits), 16, 10).cast("long")
 
@@ -86,10 +102,10 @@ def running(df: DataFrame, *, order: Sequence[Column | str], bucket: Column, key
 
 def shuffled(df: DataFrame, id_col: str, *, seed: int = 1024, epoch: int = 0, keys: Sequence[str] = (),
              index: str = "idx", sums: dict[str, Column] | None = None,
-             totals: dict[str, str] | None = None, digits: int = DIGITS) -> DataFrame:
+             totals: dict[str, str] | None = None, digits: int | None = None) -> DataFrame:
     """Seeded shuffle as a column: the 0-based position of each row in md5 order, per key."""
     keyed = df.withColumn("_key", shuffle_key(id_col, seed=seed, epoch=epoch))
-    out = running(keyed, order=["_key", id_col], bucket=md5_bucket("_key", digits), keys=keys,
+    out = running(keyed, order=["_key", id_col], bucket=md5_bucket("_key", digits or digits_for(df)), keys=keys,
                   index=index, sums=sums, totals=totals)
     return out.drop("_key")
 
@@ -130,7 +146,7 @@ def sample_exact(df: DataFrame, id_col: str, n: int, seed: int = 1024) -> DataFr
 
 
 def sample_ratio(df: DataFrame, id_col: str, ratios: dict[str, float] | float, *, key: str | None = None,
-                 seed: int = 1024, digits: int = DIGITS) -> DataFrame:
+                 seed: int = 1024, digits: int | None = None) -> DataFrame:
     """``int(n * r)`` rows per key: ``floor(r)`` full copies and distinct extras in md5 order.
 
     Adds ``copy`` (0-based).  ``ratios`` is one number, or one per value of ``key`` (missing: 1.0).
@@ -152,7 +168,7 @@ def sample_ratio(df: DataFrame, id_col: str, ratios: dict[str, float] | float, *
 
 
 def sample_with_replacement(df: DataFrame, id_col: str, ratio: float, *, rows: int, seed: int = 1024,
-                            digits: int = DIGITS) -> DataFrame:
+                            digits: int | None = None) -> DataFrame:
     """``int(ratio * rows)`` independent draws; adds ``draw``.  ``rows`` is the row count of ``df``."""
     spark = df.sparkSession
     picks = spark.range(int(rows * ratio)).select(

@@ -18,16 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.functions.tokens import boundaries, clip, restarting_positions
-from turnmill.operators.order import DIGITS, WIDE_DIGITS, int_div, running, shuffled
+from turnmill.operators.order import int_div, running, shuffled
 from turnmill.session import stage
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 
 def range_fragments(samples: DataFrame, limit: int, *, length: str = "num_tokens", sample: str = "sample_id",
                     source: str = "source", tail: str = "drop", seed: int = 1024, epoch: int = 0,
                     shuffle: bool = True, order: str | None = None, bucket: Column | None = None,
-                    digits: int = DIGITS) -> DataFrame:
+                    digits: int | None = None) -> DataFrame:
     """Fragments of range packing: adds ``pack``, ``at`` (offset in pack), ``skip`` (offset in sample), ``n``.
 
     ``tail``: ``drop`` leaves out the short last pack of each source, ``emit`` keeps it.  Other columns
@@ -82,7 +82,7 @@ def gather_packs(fragments: DataFrame, *, keys: list[str], at: str = "at", ids:
 
 def pack_range(samples: DataFrame, limit: int, *, source: str = "source", **kw) -> DataFrame:
     """``(source, pack, input_ids, labels, cumulative_len, position_ids)``."""
-    cut = range_fragments(samples, limit, source=source, **{"digits": WIDE_DIGITS, **kw})
+    cut = range_fragments(samples, limit, source=source, **kw)
     part = lambda c: F.slice(c, F.col("skip") + 1, F.col("n"))
     cut = cut.select(source, "pack", "at", part("input_ids").alias("ids"), part("labels").alias("labels"))
     return gather_packs(cut, keys=[source, "pack"])
@@ -161,7 +161,7 @@ def _assign(limit: int, cols: list[str]):
 
 def next_fit(samples: DataFrame, limit: int, *, length: str = "num_tokens", sample: str = "sample_id",
              source: str = "source", drop_oversize: bool, seed: int = 1024, epoch: int = 0,
-             segment: int = SEGMENT, digits: int = DIGITS) -> DataFrame:
+             segment: int = SEGMENT, digits: int | None = None) -> DataFrame:
     """Next-fit plan ``(source, sample, length, bin, at)`` over the seeded shuffle of each source.
 
     ``drop_oversize``: samples above ``limit`` are left out (pairs), else they get a bin of their own.

@@ -12,7 +12,7 @@ from turnmill.operators import order as od
 from turnmill.operators.rl import trajectory_lines
 from turnmill.plans import inputs, sql
 from turnmill.plans.formats import _ALPACA, _alpaca
-from turnmill.plans.presets import encode_corpus
+from turnmill.plans.presets import PRESETS, encode_corpus
 from turnmill.plans.registry import query
 from turnmill.session import fresh_path, stage
 from turnmill.sources import readers as rd
@@ -284,8 +284,7 @@ def _preset_sql(name: str) -> str:
 @query("preset_corpora", f"WITH {_ALPACA}\n" + "\nUNION ALL\n".join(_preset_sql(n) for n in _PRESET_SQL))
 def preset_corpora(spark, d):
     """Ready-made corpora: samples, tokens and full packs of each."""
-    from turnmill.plans.presets import PRESETS
-    docs = _documents(spark, d)
+    docs = inputs.texts(spark, d).select("doc_id", "source", "lang", "text")
     shapes = {
         "alpaca": _alpaca(spark, d),
         "arxiv": docs.select("doc_id", F.col("text").alias("abstract"), F.col("source").alias("title")),

@@ -12,6 +12,7 @@ from turnmill.operators.order import dedup_split, int_div
 from turnmill.plans import inputs, sql
 from turnmill.plans.inputs import six
 from turnmill.plans.registry import query
+from turnmill.session import spread
 
 _SUBJECT_LIST = list(catalog.SUBJECTS)[::6]  # ten subjects, one per label
 
@@ -136,7 +137,7 @@ def iou_accuracy(spark, d):
 
 def region_tables(spark, d):
     """Images are orders, annotations and references are lines, sentences are the words of a part's name."""
-    orders, li, part = (inputs.table(spark, d, t) for t in ("orders", "lineitem", "part"))
+    orders, li, part = inputs.table(spark, d, "orders"), inputs.table(spark, d, "lineitem"), inputs.table(spark, d, "part")
     images = orders.select(F.col("o_orderkey").alias("image_id"), (F.col("o_custkey") % 300 + 200).cast("int").alias("height"),
                            (F.col("o_orderkey") % 400 + 300).cast("int").alias("width"))
     # a line is keyed by order and number; repeated lines collapse
@@ -240,7 +241,7 @@ p AS (SELECT o_orderkey, w, h, i, j FROM r WHERE large OR rn = 1
       QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY CASE WHEN large AND rn > 1 THEN 1 ELSE 0 END DESC, k DESC) = 1)
 SELECT o_orderkey, w, h, i, j, CAST(CASE WHEN i * j > 1 THEN i * j + 1 ELSE 1 END AS INTEGER) AS tiles, CAST(256 * (i * j + 1) AS INTEGER) AS n_tokens FROM p""")
 def vision_tokens(spark, d):
-    im = inputs.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 1500 + 200).cast("int").alias("w"),
+    im = spread(inputs.table(spark, d, "orders")).select("o_orderkey", (F.col("o_custkey") % 1500 + 200).cast("int").alias("w"),
                                                  (F.col("o_orderkey") % 900 + 200).cast("int").alias("h"))
     im = im.withColumn("grid", rg.closest_grid("w", "h"))
     return im.select("o_orderkey", "w", "h", F.col("grid.i").alias("i"), F.col("grid.j").alias("j"),

@@ -10,13 +10,18 @@ from turnmill.operators.formats import pair_turns
 from turnmill.operators.order import chunk_bucket, running
 from turnmill.operators.render import render_turns
 from turnmill.plans.presets import encode_dialogues
-from turnmill.session import stage
+from turnmill.session import spread, stage
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """The documents, for CPU-heavy text work."""
+    return spread(table(spark, d, "documents"))
+
+
 def messages(spark: SparkSession, d: str) -> DataFrame:
     """``(sample_id, turn, role, content)``."""
     return table(spark, d, "conversations").select(
@@ -49,7 +54,7 @@ def samples(spark: SparkSession, d: str, max_length: int = 2048) -> DataFrame:
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """``(sample_id, source, lang, text, num_tokens)``: the pretraining corpus."""
-    return table(spark, d, "documents").select(
+    return texts(spark, d).select(
         F.col("doc_id").alias("sample_id"), "source", "lang", "text", F.size(words("text")).cast("long").alias("num_tokens"))
 
 

@@ -14,6 +14,7 @@ from turnmill.plans.formats import pair_lists
 from turnmill.plans.inputs import six
 from turnmill.plans.packing import _PAIR_LENGTHS
 from turnmill.plans.registry import query
+from turnmill.session import stage
 
 ENC = HashEncoder()
 _M = 200
@@ -199,7 +200,7 @@ SELECT a.traj_id, a.step, {sql.r6('sum(b.delta * pow(0.99 * 0.95, b.step - a.ste
        round(sum(b.delta * pow(0.99 * 0.95, b.step - a.step)) + any_value(a.v), 6) AS ret
 FROM dl a JOIN dl b ON b.traj_id = a.traj_id AND b.step >= a.step GROUP BY a.traj_id, a.step""")
 def gae(spark, d):
-    s = inputs.steps(spark, d).select("traj_id", "step", F.col("x").alias("reward"), (F.col("x") / 2).alias("value"))
+    s = stage(inputs.steps(spark, d).select("traj_id", "step", F.col("x").alias("reward"), (F.col("x") / 2).alias("value")), "steps")
     return rl.gae(s, gamma=0.99, lam=0.95).select("traj_id", "step", six("advantage").alias("advantage"), six("ret").alias("ret"))
 
 

@@ -32,7 +32,7 @@ SELECT source, lang, count(*) AS n_samples, CAST(sum(n) AS BIGINT) AS n_tokens,
        CAST(min(n) AS INTEGER) AS shortest, CAST(max(n) AS INTEGER) AS longest FROM c GROUP BY source, lang""")
 def token_accounting(spark, d):
     """A pretraining corpus: BOS, then the text, all of it with loss."""
-    docs = inputs.table(spark, d, "documents").select("source", "lang", ENC.ids(strip("text")).alias("ids"))
+    docs = inputs.texts(spark, d).select("source", "lang", ENC.ids(strip("text")).alias("ids"))
     coded = docs.select("source", "lang", F.concat(int_array(ENC.bos), "ids").alias("input_ids"),
                         F.concat(masked(int_array(ENC.bos)), "ids").alias("labels")).withColumn("num_tokens", F.size("input_ids"))
     return pf.token_accounting(coded, ["source", "lang"])

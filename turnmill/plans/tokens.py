@@ -37,7 +37,7 @@ w AS (SELECT doc_id, list_concat([CAST(1 AS BIGINT)], b)[1:1024] AS input_ids, l
 SELECT doc_id, CAST(len(input_ids) AS BIGINT) AS num_tokens, {sql.text('input_ids')} AS input_ids, {sql.text('labels')} AS labels FROM w""")
 def encode_pretrain(spark, d):
     """Array form on a pretraining corpus: one record per row, no shuffle."""
-    df = fm.normalise(inputs.table(spark, d, "documents").select("doc_id", "text"), "pretrain")
+    df = fm.normalise(inputs.texts(spark, d).select("doc_id", "text"), "pretrain")
     turns = F.transform("conversation", lambda t: F.struct(
         t["input"].alias("input"), t["output"].alias("output"), t["output_with_loss"].alias("output_with_loss"),
         t["need_eos_token"].alias("need_eos_token"), F.lit("").alias("sep")))
@@ -52,7 +52,7 @@ e AS (SELECT doc_id, CASE WHEN len(c) = 1 THEN {sql.ids('c[1]')} WHEN len(c) = 2
         list_concat({sql.ids('c[1]')}, [CAST(-200 AS BIGINT)], {sql.ids('c[2]')}) END AS ids FROM s)
 SELECT doc_id, ids IS NULL AS rejected, CASE WHEN ids IS NOT NULL THEN {sql.text('ids')} END AS input_ids FROM e""")
 def encode_image(spark, d):
-    docs = inputs.table(spark, d, "documents")
+    docs = inputs.texts(spark, d)
     text = F.concat(F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat("lang", F.lit(" <image> "), "text")),
                     F.when(F.col("doc_id") % 5 == 0, " <image>").otherwise(""))
     coded = docs.select("doc_id", en.image_pieces(text, ENC).alias("ids"))
@@ -105,7 +105,7 @@ SELECT doc_id, CAST(len(toks) AS BIGINT) AS num_tokens, {sql.text('list_transfor
        {sql.text('list_transform(toks, lambda x: CASE WHEN x > 0 THEN x ELSE -100 END)')} AS labels
 FROM s WHERE len(toks) >= 50""")
 def signed_tokens_decode(spark, d):
-    docs = inputs.table(spark, d, "documents").select("doc_id", F.transform(ENC.ids("text"), lambda x, i: F.when(
+    docs = inputs.texts(spark, d).select("doc_id", F.transform(ENC.ids("text"), lambda x, i: F.when(
         (i + 1) % 3 == 0, -x).when((i + 1) % 11 == 0, 0).otherwise(x)).alias("tokens"))
     kept = en.min_length(docs.withColumn("num_tokens", F.size("tokens")), 50)
     return shown(kept.withColumn("input_ids", tk.signed_to_ids("tokens")).withColumn("labels", tk.signed_to_labels("tokens")), "doc_id")
@@ -213,7 +213,7 @@ s AS (SELECT * FROM (VALUES {', '.join(f"({sql.lit(w)}, {i})" for i, w in enumer
 SELECT word, n, token_id FROM r UNION ALL
 SELECT word, CAST(0 AS BIGINT), (SELECT count(*) FROM c) + row_number() OVER (ORDER BY pos) - 1 FROM s WHERE word NOT IN (SELECT word FROM c)""")
 def vocab_build(spark, d):
-    return en.build_vocab(stage(en.word_counts(inputs.table(spark, d, "documents"), "text"), "words"))
+    return en.build_vocab(stage(en.word_counts(inputs.texts(spark, d), "text"), "words"))
 
 
 @query("encode_vocab", f"""
@@ -228,6 +228,20 @@ def encode_vocab(spark, d):
     return coded.select("msg_id", joined("input_ids").alias("input_ids"))
 
 
+@query("encode_sft_vocab", f"""
+WITH {sql.samples(256)},
+x AS (SELECT sample_id, unnest(input_ids) AS tok, unnest(labels) AS label, generate_subscripts(input_ids, 1) AS pos FROM samples),
+c AS (SELECT tok, count(*) AS n FROM x WHERE tok >= 3 GROUP BY tok),
+r AS (SELECT tok, row_number() OVER (ORDER BY n DESC, tok) + 2 AS id FROM c),
+m AS (SELECT sample_id, pos, coalesce(id, tok) AS id, CASE WHEN label >= 0 THEN coalesce(id, tok) ELSE label END AS label FROM x LEFT JOIN r USING (tok))
+SELECT sample_id, count(*) AS num_tokens, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS input_ids,
+       string_agg(CAST(label AS VARCHAR), ',' ORDER BY pos) AS labels FROM m GROUP BY sample_id""")
+def encode_sft_vocab(spark, d):
+    """Dialogues in the ids of a frequency-ranked vocabulary built from themselves."""
+    s = stage(inputs.samples(spark, d, 256), "samples")
+    return shown(en.apply_ranks(s, en.rank_ids(s)), "sample_id")
+
+
 @query("drop_empty", "SELECT doc_id, lang || chr(10) || substr(text, 1, 40) AS input FROM documents WHERE doc_id % 17 <> 0")
 def drop_empty(spark, d):
     from turnmill.plans.formats import _alpaca
