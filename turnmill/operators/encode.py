@@ -9,7 +9,7 @@ from turnmill import catalog
 from turnmill.catalog import ChatTemplate, Template
 from turnmill.functions.text import blank_if_null, col, fill, strip
 from turnmill.functions.tokens import (IGNORE_INDEX, IMAGE_INDEX, IMAGE_MARK, INTS, HashEncoder, clip, int_array,
-                                       masked, negate, supervised, words)
+                                       masked, negate, words)
 from turnmill.operators.formats import by_length
 from turnmill.operators.order import CHUNK, chunk_bucket, running
 from turnmill.operators.render import (chat_template, merge_long, merge_short, render_messages, role_begin,
@@ -404,7 +404,3 @@ def decode_preview(samples: DataFrame, vocab: DataFrame, *, sample: str = "sampl
         F.array_join(F.transform("_r", lambda r: F.when(r["label"] >= 0, r["_w"]).otherwise(
             F.lit("[-100]"))), " ").alias("masked_text"),
         F.size("_r").alias("n_tokens"))
-
-
-__all__ = ["assemble", "encode_turns", "encode_sft", "encode_conversation", "encode_messages", "encode_signed",
-           "encode_tool_dialogue", "encode_vision", "rl_labels", "image_pieces", "supervised"]

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.functions.tokens import boundaries, clip, restarting_positions
+from turnmill.functions.tokens import boundaries, restarting_positions
 from turnmill.operators.order import int_div, running, shuffled
 from turnmill.session import stage
 
@@ -222,7 +222,3 @@ def pack_batch(samples: DataFrame, batch: str, order: str) -> DataFrame:
     """Collator concatenation: the samples of a (bounded) batch become one packed row."""
     return gather_packs(samples.select(batch, F.col(order).alias("at"), F.col("input_ids").alias("ids"), "labels"),
                         keys=[batch])
-
-
-__all__ = ["clip", "gather_packs", "longest_fragment", "next_fit", "pack_batch", "pack_pairs", "pack_range",
-           "range_fragments", "range_plan", "soft_pack", "unpack"]

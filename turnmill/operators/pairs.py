@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.catalog import ChatTemplate
-from turnmill.functions.text import col
 from turnmill.functions.tokens import IGNORE_INDEX, HashEncoder, clip, int_array
 from turnmill.operators.render import chat_template, rendered_chat
 
@@ -148,7 +147,3 @@ def reward_losses(scores: DataFrame, *, by: list[str], gamma: int = 2, low: floa
         F.avg(barrier(c) + barrier(r)).alias("log_barrier"), F.avg(c * c + r * r).alias("l2"),
         F.avg((c > r).cast("double")).alias("acc"), F.avg(c).alias("chosen_score_mean"),
         F.avg(r).alias("rejected_score_mean"), F.count(F.lit(1)).alias("num_samples"))
-
-
-__all__ = ["dpo_losses", "encode_pairs", "log_sigmoid", "orpo_report", "preference_set", "reward_losses",
-           "sequence_logps", "sigmoid", "col"]
