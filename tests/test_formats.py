@@ -105,3 +105,13 @@ def test_react_blocks(spark):
         (1, "", "Thought:a\nAction:f\nAction Input:{}\nThought:b\nAction:g\nAction Input:{}\ntail<|startofthink|>open\n"),
         (2, "", "Final Answer:x\n"), (3, "", "Final Answer:x\n"), (3, "Response:[1]\n", "Final Answer:done\n"),
         (5, "", "Final Answer:x\n")]
+
+
+def test_dialogues_with_unknown_roles_are_rejects_in_both_forms(spark):
+    from turnmill.plans.presets import encode_dialogues
+    data = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "q"), (2, 1, "narrator", "n"), (2, 2, "assistant", "a")]
+    df = spark.createDataFrame(data, MESSAGES)
+    for chunk in (1, 100):
+        assert rows(fm.pair_turns(df, chunk=chunk), "sample_id", "input", "output") == [(1, "q", "a")]
+        assert rows(encode_dialogues(df, "default", max_length=9, chunk=chunk), "sample_id") == [(1,)]
+    assert rows(fm.unknown_roles(df), "sample_id", "role") == [(2, "narrator")]

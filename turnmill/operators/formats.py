@@ -260,9 +260,9 @@ def pair_turns(messages: DataFrame, *, sample: str = "sample_id", order: str = "
     """Long form of turn pairing: ``(sample, turn_no, is_first, system, input, output, output_with_loss)``.
 
     Dialogues of at most ``chunk`` messages take one shuffle and are folded in place; longer ones are
-    paired by running totals over chunks of their messages, so no task ever holds one whole.
+    paired by running totals over chunks of their messages, so no task ever holds one whole.  A dialogue
+    with a role outside the known ones is a reject: it gives no turns, and ``unknown_roles`` lists it.
     """
-    known = messages.where(F.col(role).isin(human, model, system))
     names = dict(sample=sample, order=order, role=role, text=text, human=human, model=model, system=system, loss=loss)
 
     def short(rows: DataFrame) -> DataFrame:
@@ -273,7 +273,7 @@ def pair_turns(messages: DataFrame, *, sample: str = "sample_id", order: str = "
             sample, F.col("turn_no").cast("long").alias("turn_no"), (F.col("turn_no") == 0).alias("is_first"),
             *[F.col(f"_t.{c}").alias(c) for c in ("system", "input", "output", "output_with_loss")])
 
-    return by_length(known, sample, chunk, short, lambda rows: _pair_chunks(rows, chunk=chunk, **names))
+    return by_length(messages, sample, chunk, short, lambda rows: _pair_chunks(rows, chunk=chunk, **names))
 
 
 def _pair_chunks(messages: DataFrame, *, sample: str, order: str, role: str, text: str, human: str, model: str,
@@ -282,13 +282,15 @@ def _pair_chunks(messages: DataFrame, *, sample: str, order: str, role: str, tex
 
     Rows behind the last model message are dropped before the texts are collected, so a group holds one turn.
     """
-    is_model = F.col(role) == model
+    is_model = F.coalesce(F.col(role) == model, F.lit(False))
+    odd = ~F.coalesce(F.col(role).isin(human, model, system), F.lit(False))
     placed = running(
         messages, order=[order], keys=[sample], bucket=chunk_bucket(order, chunk),
-        sums={"_grp": is_model.cast("int"), "_opened": (~is_model).cast("int")}, totals={"_models": "_grp"})
+        sums={"_grp": is_model.cast("int"), "_opened": (~is_model).cast("int"), "_odd": odd.cast("int")},
+        totals={"_models": "_grp", "_bad": "_odd"})
     body = F.when(F.col(role) == human, F.col(text))
     keep_loss = (F.lower(F.coalesce(F.col(loss).cast("string"), F.lit("true"))) == "true") if loss else F.lit(True)
-    placed = placed.where(F.col("_grp") < F.col("_models"))
+    placed = placed.where((F.col("_bad") == 0) & (F.col("_grp") < F.col("_models")))
     # a model message before anything else opens no turn
     placed = placed.where(~(is_model & (F.col("_opened") == 0)))
     grouped = placed.groupBy(sample, "_grp").agg(

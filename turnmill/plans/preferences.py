@@ -226,7 +226,7 @@ b AS (SELECT batch, avg(x) AS m, var_samp(x) AS v FROM r GROUP BY batch),
 c AS (SELECT batch, avg(m) OVER (ORDER BY batch) AS rm, avg(v) OVER (ORDER BY batch) AS rv FROM b)
 SELECT event_id, batch, round((x - rm) / sqrt(rv + 1e-5), 6) + CAST(0 AS DOUBLE) AS reward, ori AS ori_reward FROM r JOIN c USING (batch)""")
 def reward_normalize(spark, d):
-    e = inputs.table(spark, d, "events").select("event_id", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400).cast("long").alias("batch"),
+    e = inputs.table(spark, d, "events").select("event_id", F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("batch"),
                                                 (F.col("value") / 100).alias("reward"))
     return rl.reward_normalise(e).select("event_id", "batch", six("reward").alias("reward"), "ori_reward")
 

@@ -85,10 +85,9 @@ def encode_dialogues(messages: DataFrame, template: str, encoder=HashEncoder(),
 
     Dialogues of at most ``chunk`` messages are gathered by one shuffle and then paired, rendered and
     encoded in place; longer ones stay in long form to the end.  Encoders that run in Python take the
-    long form throughout, because a fold over an array cannot call them.
+    long form throughout, because a fold over an array cannot call them.  Dialogues with unknown roles
+    are rejects (see ``pair_turns``).
     """
-    known = messages.where(F.col("role").isin("user", "assistant", "system"))
-
     def long(rows: DataFrame) -> DataFrame:
         turns = render_turns(pair_turns(rows, sample=sample, order=order, loss=loss, chunk=chunk), template)
         return encode_sft(turns, encoder, sample=sample, max_length=max_length, chunk=chunk)
@@ -100,8 +99,8 @@ def encode_dialogues(messages: DataFrame, template: str, encoder=HashEncoder(),
         return coded.select(sample, "input_ids", "labels", "num_tokens")
 
     if not encoder.in_jvm:
-        return long(known)
-    return by_length(known, sample, chunk, short, long)
+        return long(messages)
+    return by_length(messages, sample, chunk, short, long)
 
 
 def build_preset(records: DataFrame, name: str, encoder=HashEncoder(), *, id_col: str) -> DataFrame:
