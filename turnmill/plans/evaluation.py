@@ -12,7 +12,7 @@ from turnmill.operators.order import dedup_split, int_div
 from turnmill.plans import inputs, sql
 from turnmill.plans.inputs import six
 from turnmill.plans.registry import query
-from turnmill.session import spread
+from turnmill.session import spread, stage
 
 _SUBJECT_LIST = list(catalog.SUBJECTS)[::6]  # ten subjects, one per label
 
@@ -170,8 +170,9 @@ dedup AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ref_id * 64 + se
 
 
 def _regions(spark, d):
-    rows = rg.region_rows(*region_tables(spark, d), dataset="set", split_by="by").withColumn(
-        "_seq", F.col("ref_id") * 64 + F.col("sent_no"))
+    # joined once, read by the bucket totals and by the ranking
+    rows = stage(rg.region_rows(*region_tables(spark, d), dataset="set", split_by="by").withColumn(
+        "_seq", F.col("ref_id") * 64 + F.col("sent_no")), "regions")
     return dedup_split(rows, "id", "_seq", int_div("_seq", 512))
 
 

@@ -114,7 +114,7 @@ SELECT pair_id, round(-{_ls('0.1 * x')} * 0.9 - {_ls('-0.1 * x')} * 0.1, 6) AS l
        round(-{_ls('0.1 * c')} - 0.5 * {_ls('-0.1 * c')} - 0.5 * {_ls('-0.1 * j')}, 6) AS loss_nca_pair,
        {sql.r6('0.1 * c')} AS chosen_reward, {sql.r6('0.1 * j')} AS rejected_reward, CASE WHEN c > j THEN 1 ELSE 0 END AS reward_acc, {sql.r6('0.1 * (c - j)')} AS reward_margin FROM k""")
 def dpo_losses(spark, d):
-    lp = pr.sequence_logps(token_rows(spark, d)).withColumn("batch", F.col("pair_id") % 64)
+    lp = stage(pr.sequence_logps(token_rows(spark, d)).withColumn("batch", F.col("pair_id") % 64), "logps")
     out = pr.dpo_losses(lp, beta=0.1, label_smoothing=0.1, batch="batch")
     return out.select("pair_id", *[six(c).alias(c) for c in out.columns if c.startswith("loss_")], six("chosen_reward").alias("chosen_reward"),
                       six("rejected_reward").alias("rejected_reward"), "reward_acc", six("reward_margin").alias("reward_margin"))
