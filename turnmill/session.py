@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}
 
 
 def build_session(app: str = "turnmill", master: str | None = None, shuffle_partitions: int | None = None,
@@ -33,14 +35,19 @@ def build_session(app: str = "turnmill", master: str | None = None, shuffle_part
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors see: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary folder is made and
-    remembered in the session.
+    Where the session names none, a single-machine session (master ``local`` or ``local[..]``, whose tasks run in the
+    driver's process) gets one temporary folder per application; any other session is refused, because a machine-local
+    folder would not be seen by its executors.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="turnmill-")
-        spark.conf.set(CHECKPOINT_CONF, path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="turnmill-")
+    return _LOCAL[context.applicationId]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
