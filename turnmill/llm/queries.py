@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import curriculum, decontaminate, planes, simhash
+from turnmill.llm import curriculum, decontaminate, host_rules, language, planes, simhash
 from turnmill.llm.common import read_only_columns, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_host_rules")
+def op1_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
 @query("op3_simhash")
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"))
@@ -41,6 +46,11 @@ def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read(*planes.write(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+@query("op5_language")
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 @query("op8_decontaminate")
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
