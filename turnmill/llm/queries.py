@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import curriculum, decontaminate, host_rules, language, planes, simhash
-from turnmill.llm.common import read_only_columns, stage, table
+from turnmill.llm import chat, curriculum, decontaminate, host_rules, language, planes, quality, shards, simhash, warc
+from turnmill.llm.common import read_only_columns, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,11 @@ def op1_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+@query("op2_warc")
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(*warc.write(table(spark, sf_dir, "pages"))).drop("url")
+
+
 @query("op3_simhash")
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"))
@@ -51,6 +56,19 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_shards")
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shards.shuffle(table(spark, sf_dir, "documents"))
+    crc = F.crc32(F.coalesce(F.col("rec.text"), F.lit("")).cast("binary"))
+    return found.select("rec.doc_id", shards.size_of(F.col("rec.text")).alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"),
+                        "shard", "slot", "grown_shard")
+
+
 @query("op8_decontaminate")
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -62,3 +80,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.plan(read_only_columns(table(spark, sf_dir, "documents"), "doc_id", "source", "text")).select(
         "rec.doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_chat_repair")
+def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_dialogues(table(spark, sf_dir, "conversations"))
