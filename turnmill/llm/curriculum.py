@@ -27,7 +27,7 @@ SHARE = 1.5
 MAX_COPIES = 2
 # Weight schedules at times 0, 0.5 and 1, given to the sources in turn: early, even, late.
 SCHEDULES = ((2.0, 1.0, 0.0), (1.0, 1.0, 1.0), (0.0, 1.0, 2.0))
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 SEED = 9
 
 
