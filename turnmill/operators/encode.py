@@ -10,9 +10,8 @@ from turnmill.catalog import ChatTemplate, Template
 from turnmill.functions.text import blank_if_null, col, fill, strip
 from turnmill.functions.tokens import (IGNORE_INDEX, IMAGE_INDEX, IMAGE_MARK, INTS, HashEncoder, clip, int_array,
                                        masked, negate, words)
-from turnmill.operators.formats import by_length
 from turnmill.operators.order import CHUNK, chunk_bucket, running
-from turnmill.operators.render import (chat_template, merge_long, merge_short, render_messages, role_begin,
+from turnmill.operators.render import (chat_template, merge_sub_roles, render_messages, role_begin,
                                        role_end)
 from turnmill.session import stage
 
@@ -24,7 +23,9 @@ def assemble(pieces: DataFrame, *, sample: str = "sample_id", order: str = "turn
     The offset of a piece is a running total in chunks, taken from ``n`` alone; pieces behind the cut
     and empty pieces go before the arrays are collected, so a row gathers at most ``max_length``
     tokens whatever the length of the dialogue.  ``keep`` adds aggregates over the whole sample.
+    Where pieces carry ``reject``, samples with any such piece give no row.
     """
+    flagged = "reject" in pieces.columns
     placed = running(pieces, order=[order], keys=[sample], bucket=chunk_bucket(order, chunk),
                      sums={"_at": F.col("n")})
     inside = (F.col("_at") < max_length) & (F.col("n") > 0)
@@ -32,7 +33,9 @@ def assemble(pieces: DataFrame, *, sample: str = "sample_id", order: str = "turn
     piece = F.struct(F.col("_at"), clip("ids", room).alias("ids"), clip("labels", room).alias("labels"))
     rows = placed.groupBy(sample).agg(
         F.array_sort(F.collect_list(F.when(inside, piece))).alias("_p"),
-        *[c.alias(name) for name, c in (keep or {}).items()])
+        *[c.alias(name) for name, c in (keep or {}).items()], *([F.bool_or("reject").alias("_reject")] if flagged else []))
+    if flagged:
+        rows = rows.where(~F.col("_reject"))
     return rows.select(
         sample,
         F.flatten(F.transform("_p", lambda p: p["ids"])).alias("input_ids"),
@@ -46,7 +49,7 @@ def encode_turns(turns: DataFrame, encoder=HashEncoder(), *, sample: str = "samp
 
     BOS opens the first turn and every turn behind one that ended with EOS (``need_eos_token`` is a
     property of the template, hence of the sample).  Input, BOS and separator carry no loss; output
-    and EOS carry it where ``output_with_loss``.
+    and EOS carry it where ``output_with_loss``.  A turn without a rendering (null) is marked ``reject``.
     """
     if not with_output:
         return (turns.withColumn("_in", encoder.ids("input"))
@@ -66,14 +69,14 @@ def encode_turns(turns: DataFrame, encoder=HashEncoder(), *, sample: str = "samp
     learned = F.concat("_out", "_eos")
     ids = F.concat("_bos", "_in", "_out", "_eos", "_sep")
     return t.select(
-        sample, "turn_no", F.col("n") if encoder.in_jvm else F.size(ids).alias("n"), ids.alias("ids"),
-        F.concat(masked("_bos"), masked("_in"), F.when(F.col("output_with_loss"), learned).otherwise(masked(learned)),
-                 masked("_sep")).alias("labels"))
+        sample, "turn_no", F.coalesce(F.col("n") if encoder.in_jvm else F.when(F.col("input").isNotNull(), F.size(ids)), F.lit(0)).alias("n"),
+        ids.alias("ids"), F.concat(masked("_bos"), masked("_in"), F.when(F.col("output_with_loss"), learned).otherwise(masked(learned)),
+                                   masked("_sep")).alias("labels"), (F.col("input").isNull() | F.col("output").isNull()).alias("reject"))
 
 
 def encode_sft(turns: DataFrame, encoder=HashEncoder(), *, max_length: int, sample: str = "sample_id",
                chunk: int = CHUNK) -> DataFrame:
-    """Rendered turns -> ``(sample, input_ids, labels, num_tokens)``.
+    """Rendered turns -> ``(sample, input_ids, labels, num_tokens)``; samples with a turn that has no rendering are left out.
 
     Pieces of a tokenizer that runs in Python are staged, so that it runs once per text.
     """
@@ -84,7 +87,11 @@ def encode_sft(turns: DataFrame, encoder=HashEncoder(), *, max_length: int, samp
 
 def gather(pieces: DataFrame, *, sample: str, order: str = "turn_no", max_length: int) -> DataFrame:
     """``assemble`` for samples known to have a bounded number of pieces: one shuffle."""
-    rows = pieces.groupBy(sample).agg(F.array_sort(F.collect_list(F.struct(order, "ids", "labels"))).alias("_p"))
+    flagged = "reject" in pieces.columns
+    rows = pieces.groupBy(sample).agg(F.array_sort(F.collect_list(F.struct(order, "ids", "labels"))).alias("_p"),
+                                      *([F.bool_or("reject").alias("_reject")] if flagged else []))
+    if flagged:
+        rows = rows.where(~F.col("_reject"))
     return rows.select(
         sample, clip(F.flatten(F.transform("_p", lambda p: p["ids"])), max_length).alias("input_ids"),
         clip(F.flatten(F.transform("_p", lambda p: p["labels"])), max_length).alias("labels")).withColumn(
@@ -116,7 +123,7 @@ def encode_conversation(df: DataFrame, encoder=HashEncoder(), *, max_length: int
     n = F.aggregate("_p", F.lit(0), lambda acc, p: acc + F.size(p["b"]) + F.size(p["i"]) + F.size(p["o"])
                     + F.size(p["e"]) + F.size(p["s"]))
     return coded.select(*df.columns, clip(ids, max_length).alias("input_ids"), clip(labels, max_length).alias("labels"),
-                        F.least(n, F.lit(max_length)).alias("num_tokens"))
+                        F.when(F.col("_p").isNotNull(), F.least(n, F.lit(max_length))).alias("num_tokens"))
 
 
 def image_pieces(text: Column | str, encoder=HashEncoder()) -> Column:
@@ -128,11 +135,14 @@ def image_pieces(text: Column | str, encoder=HashEncoder()) -> Column:
 
 
 def encode_messages(messages: DataFrame, template: str | ChatTemplate, encoder=HashEncoder(), *, max_length: int,
-                    sample: str = "sample_id", order: str = "turn", chunk: int = CHUNK) -> DataFrame:
+                    sample: str = "sample_id", order: str = "turn", chunk: int = CHUNK, bounded: bool = False) -> DataFrame:
     """Chat messages with message-wise loss (``loss`` column optional; default: assistant only).
 
-    The sample opens with BOS; the separator behind assistant messages carries no loss.
+    The sample opens with BOS; the separator behind assistant messages carries no loss.  A null text is an
+    empty text; samples with a role that the template does not know are left out.  ``bounded`` is the
+    caller's word that every dialogue is short; both forms give the same.
     """
+    messages = messages.withColumn("content", blank_if_null("content"))
     loss = F.col("role") == "assistant"
     if "loss" in messages.columns:
         loss = F.coalesce(F.col("loss"), loss)
@@ -142,13 +152,14 @@ def encode_messages(messages: DataFrame, template: str | ChatTemplate, encoder=H
         m = render_messages(rows, chat_template(template)).withColumn("_loss", loss)
         m = m.withColumn("_ids", encoder.ids("prompt")).withColumn("_tail", encoder.ids("tail"))
         n = encoder.length("prompt") + encoder.length("tail") if encoder.in_jvm else F.size("_ids") + F.size("_tail")
+        n = F.when(F.col("prompt").isNull(), 0).otherwise(n)
         out = m.select(sample, F.col(order).alias("turn_no"), n.alias("n"), F.concat("_ids", "_tail").alias("ids"), F.concat(
-            F.when(F.col("_loss"), F.col("_ids")).otherwise(masked("_ids")), masked("_tail")).alias("labels"))
+            F.when(F.col("_loss"), F.col("_ids")).otherwise(masked("_ids")), masked("_tail")).alias("labels"),
+            F.col("prompt").isNull().alias("reject"))
         return out if encoder.in_jvm else stage(out, "pieces")
 
-    rows = by_length(messages, sample, chunk,
-                     lambda r: gather(pieces(r), sample=sample, max_length=room),
-                     lambda r: assemble(pieces(r), sample=sample, max_length=room, chunk=chunk))
+    rows = (gather(pieces(messages), sample=sample, max_length=room) if bounded
+            else assemble(pieces(messages), sample=sample, max_length=room, chunk=chunk))
     lead = int_array(encoder.bos)
     return (rows.withColumn("input_ids", F.concat(lead, "input_ids"))
             .withColumn("labels", F.concat(masked(lead), "labels"))
@@ -156,14 +167,10 @@ def encode_messages(messages: DataFrame, template: str | ChatTemplate, encoder=H
 
 
 def encode_markup(messages: DataFrame, encoder=HashEncoder(), *, max_length: int = 32768, sample: str = "sample_id",
-                  order: str = "turn", chunk: int = CHUNK) -> DataFrame:
-    """Chat-markup messages with sub-roles -> signed tokens per sample."""
-    names = dict(sample=sample, order=order)
-    return by_length(
-        messages, sample, chunk,
-        lambda r: encode_signed(merge_short(r, **names), encoder, max_length=max_length, sample=sample, bounded=True),
-        lambda r: encode_signed(merge_long(r, chunk=chunk, **names), encoder, max_length=max_length, sample=sample,
-                                chunk=chunk))
+                  order: str = "turn", chunk: int = CHUNK, bounded: bool = False) -> DataFrame:
+    """Chat-markup messages with sub-roles -> signed tokens per sample (``bounded``: every sample has few messages)."""
+    merged = merge_sub_roles(messages, sample=sample, order=order, chunk=chunk, bounded=bounded)
+    return encode_signed(merged, encoder, max_length=max_length, sample=sample, chunk=chunk, bounded=bounded)
 
 
 def encode_signed(messages: DataFrame, encoder=HashEncoder(), *, max_length: int = 32768,

@@ -21,10 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnmill import catalog
-from turnmill.functions.text import after_first, col, strip
+from turnmill.functions.text import after_first, blank_if_null, col, strip
 from turnmill.functions.tokens import IMAGE_MARK
 from turnmill.operators.order import CHUNK, chunk_bucket, int_div, running
-from turnmill.session import stage
 
 TURN = ("struct<system:string,input:string,output:string,"
         "output_with_loss:boolean,need_eos_token:boolean>")
@@ -117,7 +116,7 @@ def oasst1(df: DataFrame) -> DataFrame:
 
 def pair_messages(messages: Column, *, role: str, text: str, human: str, model: str, system: str | None = None,
                   loss: str | None = None, edit: Callable[[Column], Column] = lambda t: t) -> Column:
-    """Array form of turn pairing, as a fold over one record's messages.
+    """Array form of turn pairing, as a fold over one record's messages; a null text is an empty text.
 
     Leading model messages are skipped; human texts are concatenated until a model message closes the
     turn; the last system text since the previous turn applies; an unanswered rest is dropped.  A role
@@ -128,7 +127,7 @@ def pair_messages(messages: Column, *, role: str, text: str, human: str, model:
                      F.lit(False).alias("bad"), _no_turns().alias("turns")).cast(state)
 
     def step(s: Column, m: Column) -> Column:
-        r, t = m[role], m[text]
+        r, t = m[role], blank_if_null(m[text])
         is_model, is_human = r == model, r == human
         is_system = (r == system) if system else F.lit(False)
         keep_loss = (F.lower(F.coalesce(m[loss].cast("string"), F.lit("true"))) == "true") if loss else None
@@ -229,25 +228,6 @@ for _name, _fn in {
 
 # ---------------------------------------------------------------- long form
 
-def long_groups(rows: DataFrame, key: str, limit: int) -> DataFrame | None:
-    """Keys with more than ``limit`` rows, or None where there are none.
-
-    Reads the key column only and counts map-side; the answer picks the plan, so it is asked once, here.
-    The keys found are written down (at most one per ``limit`` rows), so that Spark sees their size and
-    joins them without shuffling the rows where they are few.
-    """
-    found = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(key)
-    return None if found.isEmpty() else stage(found, "long-keys")
-
-
-def by_length(rows: DataFrame, key: str, limit: int, short, long) -> DataFrame:
-    """Apply ``short`` to the groups of at most ``limit`` rows and ``long`` to the others; nothing is left out."""
-    big = long_groups(rows, key, limit)
-    if big is None:
-        return short(rows)
-    return short(rows.join(big, key, "left_anti")).unionByName(long(rows.join(big, key, "left_semi")))
-
-
 def message_arrays(messages: DataFrame, *, sample: str, order: str, cols: list[str]) -> DataFrame:
     """One row per dialogue with its ordered messages; for dialogues of bounded length."""
     packed = F.array_sort(F.collect_list(F.struct(order, *cols)))
@@ -256,13 +236,15 @@ def message_arrays(messages: DataFrame, *, sample: str, order: str, cols: list[s
 
 def pair_turns(messages: DataFrame, *, sample: str = "sample_id", order: str = "turn", role: str = "role",
                text: str = "content", human: str = "user", model: str = "assistant", system: str = "system",
-               loss: str | None = None, chunk: int = CHUNK) -> DataFrame:
+               loss: str | None = None, chunk: int = CHUNK, bounded: bool = False) -> DataFrame:
     """Long form of turn pairing: ``(sample, turn_no, is_first, system, input, output, output_with_loss)``.
 
-    Dialogues of at most ``chunk`` messages take one shuffle and are folded in place; longer ones are
-    paired by running totals over chunks of their messages, so no task ever holds one whole.  A dialogue
-    with a role outside the known ones is a reject: it gives no turns, and ``unknown_roles`` lists it.
+    Dialogues are paired by running totals over chunks of their messages, so no task ever holds one whole.
+    ``bounded`` is the caller's word that every dialogue is short: they are then gathered by one shuffle and
+    folded in place, with the same result.  A null text is an empty text.  A dialogue with a role outside
+    the known ones is a reject: it gives no turns, and ``unknown_roles`` lists it.
     """
+    messages = messages.withColumn(text, blank_if_null(text))
     names = dict(sample=sample, order=order, role=role, text=text, human=human, model=model, system=system, loss=loss)
 
     def short(rows: DataFrame) -> DataFrame:
@@ -273,7 +255,7 @@ def pair_turns(messages: DataFrame, *, sample: str = "sample_id", order: str = "
             sample, F.col("turn_no").cast("long").alias("turn_no"), (F.col("turn_no") == 0).alias("is_first"),
             *[F.col(f"_t.{c}").alias(c) for c in ("system", "input", "output", "output_with_loss")])
 
-    return by_length(messages, sample, chunk, short, lambda rows: _pair_chunks(rows, chunk=chunk, **names))
+    return short(messages) if bounded else _pair_chunks(messages, chunk=chunk, **names)
 
 
 def _pair_chunks(messages: DataFrame, *, sample: str, order: str, role: str, text: str, human: str, model: str,
@@ -391,29 +373,40 @@ THINK_OPEN, THINK_CLOSE = r"<\|startofthink\|>", r"<\|endofthink\|>"
 EXEC_OPEN, EXEC_CLOSE = r"<\|startofexec\|>", r"<\|endofexec\|>"
 
 
+def tool_objects(text: str) -> list[dict]:
+    """The JSON objects in a text that describe a tool: ``name`` and ``description`` are texts.
+
+    An object that describes none is searched for objects inside it; text that is no JSON is passed over.
+    """
+    decoder, found, at = json.JSONDecoder(), [], text.find("{")
+    while at >= 0:
+        try:
+            value, end = decoder.raw_decode(text, at)
+        except (ValueError, RecursionError):
+            value, end = None, at + 1
+        if isinstance(value, dict) and all(isinstance(value.get(k), str) for k in ("name", "description")):
+            found.append(value)
+        else:
+            end = at + 1
+        at = text.find("{", end)
+    return found
+
+
+def tool_parameters(tool: dict) -> str:
+    """The listing of a tool's parameters; a tool whose parameters are not well formed is listed without."""
+    try:
+        given = tool["paths"][0]["parameters"]
+        return f"\n输入参数: { {p['name']: p['description'] for p in given} }"
+    except (LookupError, TypeError):
+        return ""
+
+
 @F.pandas_udf(T.StructType([T.StructField("listing", T.StringType()), T.StructField("names", T.StringType())]))
 def tool_listing(texts: pd.Series) -> pd.DataFrame:
     """Tools named by JSON objects inside a text: their listing and names."""
-    decoder = json.JSONDecoder()
-
     def scan(text: str | None) -> tuple[str, str]:
-        tools: dict[str, str] = {}
-        at = (text or "").find("{")
-        while at >= 0:
-            step = at + 1
-            try:
-                obj, end = decoder.raw_decode(text, at)
-                if "name" in obj and "description" in obj:
-                    step = end
-                    about = obj["description"]
-                    given = (obj.get("paths") or [{}])[0].get("parameters")
-                    if given is not None:
-                        about += f"\n输入参数: { {p['name']: p['description'] for p in given} }"
-                    tools[obj["name"]] = about
-            except ValueError:
-                pass
-            at = text.find("{", step)
-        return str(tools), str(list(tools))
+        about = {tool["name"]: tool["description"] + tool_parameters(tool) for tool in tool_objects(text or "")}
+        return str(about), str(list(about))
 
     return pd.DataFrame([scan(t) for t in texts], columns=["listing", "names"])
 
@@ -447,15 +440,16 @@ def _json_body(c: Column) -> Column:
 
 
 def react_turns(messages: DataFrame, *, sample: str = "sample_id", order: str = "turn", role: str = "role",
-                text: str = "content", chunk: int = CHUNK) -> DataFrame:
-    """Tool dialogues in long form: ``(sample, turn_no, system, input, output)``.
+                text: str = "content", chunk: int = CHUNK, bounded: bool = False) -> DataFrame:
+    """Tool dialogues in long form: ``(sample, turn_no, system, input, output)``; ``bounded`` as in ``pair_turns``.
 
     Think blocks become Thought / Action / Action Input, exec blocks a Response and a turn of their own
     for the final answer.  Dialogues with under two messages, or with a block that does not parse, are
     left out.
     """
+    messages = messages.withColumn(text, blank_if_null(text))
     t = F.col(text)
-    is_model = F.col(role) == "assistant"
+    is_model = F.coalesce(F.col(role) == "assistant", F.lit(False))
     has_exec = is_model & F.contains(t, F.lit("<|startofexec|>"))
     pieces = F.split(t, EXEC_OPEN)
     m = messages.withColumn("_said", F.when(has_exec, F.get(pieces, F.lit(0))).otherwise(t))
@@ -496,9 +490,7 @@ def react_turns(messages: DataFrame, *, sample: str = "sample_id", order: str =
                  F.when(is_model, output).when(F.col(role) == "system", system_text)
                  .when(F.col(role) == "user", F.concat(t, F.lit("\n"))).alias("_text"),
                  F.when(is_model, response).alias("_response"))
-    turns = by_length(messages, sample, chunk, lambda r: _react_short(
-        m if r is messages else m.join(r.select(sample).distinct(), sample, "left_semi"), sample, order, role),
-        lambda r: _react_long(m.join(r.select(sample).distinct(), sample, "left_semi"), sample, order, role, chunk))
+    turns = _react_short(m, sample, order, role) if bounded else _react_long(m, sample, order, role, chunk)
     halves = F.split(F.col("_response"), "Final Answer:")
     extra = F.when(F.size(halves) == 2, F.struct(
         (2 * F.col("_grp") + 1).alias("turn_no"), F.get(halves, F.lit(0)).alias("system"),
@@ -533,7 +525,7 @@ def _react_short(m: DataFrame, sample: str, order: str, role: str) -> DataFrame:
 
 def _react_long(m: DataFrame, sample: str, order: str, role: str, chunk: int) -> DataFrame:
     """Dialogues of any length: a turn's key is the number of model messages before it."""
-    is_model = F.col(role) == "assistant"
+    is_model = F.coalesce(F.col(role) == "assistant", F.lit(False))
     placed = running(m, order=[order], keys=[sample], bucket=chunk_bucket(order, chunk),
                      index="_at", sums={"_grp": is_model.cast("int"), "_faults": F.col("_broken").cast("int")},
                      totals={"_n": "_at", "_models": "_grp", "_bad": "_faults"})

@@ -57,6 +57,12 @@ def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
+def log1m_exp(x: Column) -> Column:
+    """log(1 - exp(x)); minus infinity at 0 and not a number above, where Spark's ``log1p`` would give null."""
+    p = F.exp(x)
+    return F.when(p == 1, F.lit(float("-inf"))).when(p > 1, F.lit(float("nan"))).otherwise(F.log1p(-p))
+
+
 def sequence_logps(tokens: DataFrame, *, average: bool = False, pair: str = "pair_id", side: str = "side") -> DataFrame:
     """Token rows -> one row per pair with summed (or averaged) log-probs of both sides.
 
@@ -85,8 +91,9 @@ def dpo_losses(logps: DataFrame, *, beta: float = 0.1, label_smoothing: float =
                batch: str | None = None) -> DataFrame:
     """All losses of the family per pair: ``loss_<name>`` columns, rewards, ``reward_acc``, margin.
 
-    ``kto_pair`` takes the clamped mean log-ratio of its batch (or of all rows); the means are one
-    aggregate, joined back.
+    ``logps`` are sums (see ``sequence_logps``).  ``ipo`` alone works on averages over the counted tokens
+    (``n_chosen``, ``n_rejected``).  ``kto_pair`` takes the clamped mean log-ratio of its batch (or of all
+    rows); the means are one aggregate, joined back.
     """
     chosen = F.col("policy_chosen") - F.col("ref_chosen")
     rejected = F.col("policy_rejected") - F.col("ref_rejected")
@@ -98,6 +105,8 @@ def dpo_losses(logps: DataFrame, *, beta: float = 0.1, label_smoothing: float =
     else:
         p = (logps.withColumn("_kl_c", logps.agg(F.greatest(F.avg(chosen), F.lit(0.0))).scalar())
              .withColumn("_kl_r", logps.agg(F.greatest(F.avg(rejected), F.lit(0.0))).scalar()))
+    per_token = ((F.col("policy_chosen") - F.col("ref_chosen")) / F.col("n_chosen")
+                 - (F.col("policy_rejected") - F.col("ref_rejected")) / F.col("n_rejected"))
     b, s = F.lit(beta), label_smoothing
     good, bad = log_sigmoid(b * logits), log_sigmoid(-b * logits)
     kto_c = 1 - sigmoid(b * (chosen - F.col("_kl_r")))
@@ -106,7 +115,7 @@ def dpo_losses(logps: DataFrame, *, beta: float = 0.1, label_smoothing: float =
         "sigmoid": -good * (1 - s) - bad * s,
         "robust": (-good * (1 - s) + bad * s) / (1 - 2 * s),
         "hinge": F.greatest(1 - b * logits, F.lit(0.0)),
-        "ipo": F.pow(logits - 1 / (2 * beta), 2),
+        "ipo": F.pow(per_token - 1 / (2 * beta), 2),
         "kto_pair": (kto_c + kto_r) / 2,
         "sppo_hard": F.pow(chosen - 0.5 / beta, 2) + F.pow(rejected + 0.5 / beta, 2),
         "nca_pair": -log_sigmoid(b * chosen) - 0.5 * log_sigmoid(-b * chosen) - 0.5 * log_sigmoid(-b * rejected),
@@ -118,10 +127,14 @@ def dpo_losses(logps: DataFrame, *, beta: float = 0.1, label_smoothing: float =
 
 
 def orpo_report(logps: DataFrame, nll: Column | float, *, beta: float = 0.1) -> DataFrame:
-    """One-row report over length-averaged log-probs; rows whose odds are not a number are skipped."""
+    """One-row report over length-averaged log-probs of all pairs.
+
+    A log-prob of 0 has infinite odds.  Only the mean ratio skips pairs whose odds are not a number (both
+    sides 0); all other means are over every pair.
+    """
     c, r = F.col("policy_chosen"), F.col("policy_rejected")
-    odds = (c - r) - (F.log1p(-F.exp(c)) - F.log1p(-F.exp(r)))
-    ratio = F.when(~F.isnan(odds) & odds.isNotNull(), log_sigmoid(odds))
+    odds = (c - r) - (log1m_exp(c) - log1m_exp(r))
+    ratio = F.when(~F.isnan(odds), log_sigmoid(odds))
     out = logps.agg(
         F.avg(ratio).alias("log_odds_ratio"), F.avg(odds).alias("log_odds_chosen"),
         F.avg(beta * c).alias("chosen_rewards"), F.avg(beta * r).alias("rejected_rewards"),
@@ -132,8 +145,15 @@ def orpo_report(logps: DataFrame, nll: Column | float, *, beta: float = 0.1) ->
 
 
 def reward_losses(scores: DataFrame, *, by: list[str], gamma: int = 2, low: float = -5.0, high: float = 5.0,
-                  epsilon: float = 1e-3) -> DataFrame:
-    """Ranking and focal losses with both penalties, averaged over pairs, per group."""
+                  epsilon: float = 1e-3, loss: str = "ranking", penalty: str = "log_barrier",
+                  penalty_weight: float = 0.01) -> DataFrame:
+    """Ranking and focal losses with both penalties, averaged over pairs, per group.
+
+    ``loss`` is the chosen one of ``ranking`` and ``focal`` plus the weighted ``penalty`` (``log_barrier``, ``l2``
+    or ``none``).
+    """
+    if loss not in ("ranking", "focal") or penalty not in ("log_barrier", "l2", "none"):
+        raise ValueError("loss is ranking or focal, penalty is log_barrier, l2 or none")
     c, r = F.col("chosen"), F.col("rejected")
     rank = -log_sigmoid(c - r)
     focal = F.pow(1 - 2 * F.greatest(sigmoid(c - r) - 0.5, F.lit(0.0)), gamma) * rank
@@ -142,7 +162,9 @@ def reward_losses(scores: DataFrame, *, by: list[str], gamma: int = 2, low: floa
         x = F.greatest(F.least(x, F.lit(high - epsilon)), F.lit(low + epsilon))
         return -F.log(high - x) - F.log(x - low)
 
+    rest = {"log_barrier": barrier(c) + barrier(r), "l2": c * c + r * r, "none": F.lit(0.0)}[penalty]
     return scores.groupBy(*by).agg(
+        F.avg((rank if loss == "ranking" else focal) + penalty_weight * rest).alias("loss"),
         F.avg(rank).alias("ranking_loss"), F.avg(focal).alias("focal_loss"),
         F.avg(barrier(c) + barrier(r)).alias("log_barrier"), F.avg(c * c + r * r).alias("l2"),
         F.avg((c > r).cast("double")).alias("acc"), F.avg(c).alias("chosen_score_mean"),

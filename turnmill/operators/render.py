@@ -9,7 +9,7 @@ from turnmill import catalog
 from turnmill.catalog import ChatTemplate, Template
 from turnmill.functions.text import blank_if_null, col, fill
 from turnmill.functions.tokens import IMAGE_MARK
-from turnmill.operators.formats import by_length, message_arrays
+from turnmill.operators.formats import message_arrays
 from turnmill.operators.order import CHUNK, chunk_bucket, previous_row, running
 
 
@@ -193,10 +193,13 @@ def belongs(role: Column | str) -> Column:
 
 
 def merge_sub_roles(messages: DataFrame, *, sample: str = "sample_id", order: str = "turn", role: str = "role",
-                    text: str = "content", name: str = "name", chunk: int = CHUNK) -> DataFrame:
-    """Tool and thought messages join the assistant message before them, or open one: rows numbered by ``msg``."""
+                    text: str = "content", name: str = "name", chunk: int = CHUNK, bounded: bool = False) -> DataFrame:
+    """Tool and thought messages join the assistant message before them, or open one: rows numbered by ``msg``.
+
+    A null text is an empty text.  ``bounded`` is the caller's word that every dialogue is short; both forms give the same.
+    """
     names = dict(sample=sample, order=order, role=role, text=text, name=name)
-    return by_length(messages, sample, chunk, lambda r: merge_short(r, **names), lambda r: merge_long(r, chunk=chunk, **names))
+    return merge_short(messages, **names) if bounded else merge_long(messages, chunk=chunk, **names)
 
 
 def merge_short(messages: DataFrame, *, sample: str = "sample_id", order: str = "turn", role: str = "role",
@@ -204,7 +207,7 @@ def merge_short(messages: DataFrame, *, sample: str = "sample_id", order: str =
     """Dialogues of bounded length: one shuffle, then a fold over each dialogue's messages."""
     extra = [c for c in ("type", "loss") if c in messages.columns]
     sub = belongs(role)
-    shown = F.when(sub, F.concat(role_begin(role, name), F.col(text), role_end(role))).otherwise(F.col(text))
+    shown = F.when(sub, F.concat(role_begin(role, name), blank_if_null(text), role_end(role))).otherwise(blank_if_null(text))
     m = messages.select(sample, order, F.when(sub, F.lit("assistant")).otherwise(F.col(role)).alias("role"),
                         F.when(~sub, F.col(name)).alias("name"), shown.alias("content"), sub.alias("sub"), *extra)
     types = dict(m.dtypes)
@@ -238,7 +241,7 @@ def merge_long(messages: DataFrame, *, sample: str = "sample_id", order: str = "
     placed = running(edged.withColumn("_start", starts.cast("int")), order=[order], keys=[sample],
                      bucket=chunk_bucket(order, chunk), sums={"_before": F.col("_start")})
     group = F.col("_before") + F.col("_start")
-    shown = F.when(sub, F.concat(role_begin(role, name), F.col(text), role_end(role))).otherwise(F.col(text))
+    shown = F.when(sub, F.concat(role_begin(role, name), blank_if_null(text), role_end(role))).otherwise(blank_if_null(text))
     rows = placed.select(sample, (group - 1).alias("msg"), order, F.when(sub, F.lit("assistant")).otherwise(
         F.col(role)).alias("role"), F.when(~sub, F.col(name)).alias("name"), shown.alias("_text"),
         *[c for c in ("type", "loss") if c in messages.columns])

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from turnmill.functions.text import col
 from turnmill.functions.tokens import joined
-from turnmill.operators.formats import by_length
 from turnmill.operators.order import chunk_bucket, previous_row, running
 
 STEPS = 1024
@@ -53,10 +52,10 @@ def _carry(decay: float, traj: str):
 
 
 def gae(steps: DataFrame, *, gamma: float = 1.0, lam: float = 0.99, traj: str = "traj_id", reward: str = "reward",
-        value: str = "value", chunk: int = STEPS) -> DataFrame:
-    """``advantage`` and ``ret`` of every step.
+        value: str = "value", chunk: int = STEPS, bounded: bool = False) -> DataFrame:
+    """``advantage`` and ``ret`` of every step, folded backwards in chunks of ``chunk`` steps.
 
-    Trajectories of at most ``chunk`` steps are folded backwards as one array; longer ones in chunks.
+    ``bounded`` is the caller's word that every trajectory is short: each is then folded as one array.
     """
     def short(rows: DataFrame) -> DataFrame:
         lists = rows.groupBy(traj).agg(F.array_sort(F.collect_list(F.struct(
@@ -67,8 +66,8 @@ def gae(steps: DataFrame, *, gamma: float = 1.0, lam: float = 0.99, traj: str =
         return each.select(traj, F.col("_r._s.step").alias("step"), F.col("_r._a").alias("advantage"),
                            (F.col("_r._a") + F.col("_r._s.v")).alias("ret"))
 
-    return by_length(steps, traj, chunk, short, lambda rows: _gae_chunks(
-        rows, gamma=gamma, lam=lam, traj=traj, reward=reward, value=value, chunk=chunk))
+    return short(steps) if bounded else _gae_chunks(
+        steps, gamma=gamma, lam=lam, traj=traj, reward=reward, value=value, chunk=chunk)
 
 
 def _gae_chunks(steps: DataFrame, *, gamma: float, lam: float, traj: str, reward: str, value: str,
@@ -117,10 +116,11 @@ def reward_normalise(rewards: DataFrame, *, batch: str = "batch", reward: str =
     """Clip, then scale by the running mean and variance over update batches.
 
     The running values are plain averages of the batch means and unbiased batch variances up to the
-    row's batch.  Batch statistics are map-side combined; the join back is on the batch.
+    row's batch.  The variance of a batch of one row is 0.  Batch statistics are map-side combined; the
+    join back is on the batch.
     """
     clipped = F.greatest(F.least(F.col(reward), F.lit(high)), F.lit(low))
-    stats = rewards.groupBy(batch).agg(F.avg(clipped).alias("_mean"), F.var_samp(clipped).alias("_var"),
+    stats = rewards.groupBy(batch).agg(F.avg(clipped).alias("_mean"), F.coalesce(F.var_samp(clipped), F.lit(0.0)).alias("_var"),
                                        F.avg(reward).alias("current_mean"))
     bucket = batch_bucket if batch_bucket is not None else chunk_bucket(batch)
     stats = running(stats, order=[batch], bucket=bucket, index="_k", as_type="double",

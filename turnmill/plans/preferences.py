@@ -84,13 +84,12 @@ WITH {_TOKENS}
 SELECT 'sum' AS kind, pair_id, {sql.r6('pc')} AS policy_chosen, {sql.r6('pj')} AS policy_rejected, {sql.r6('rc')} AS ref_chosen, {sql.r6('rj')} AS ref_rejected, nc AS n_chosen, nj AS n_rejected FROM lp
 UNION ALL SELECT 'average', pair_id, round(pc / nc, 6), round(pj / nj, 6), round(rc / nc, 6), round(rj / nj, 6), nc, nj FROM lp""")
 def sequence_logps(spark, d):
-    out = None
-    for kind, average in (("sum", False), ("average", True)):
-        lp = pr.sequence_logps(token_rows(spark, d), average=average)
-        part = lp.select(F.lit(kind).alias("kind"), "pair_id", *[six(c).alias(c) for c in (
-            "policy_chosen", "policy_rejected", "ref_chosen", "ref_rejected")], "n_chosen", "n_rejected")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Both readings of the same sums: the lines are aggregated once."""
+    sides = ("policy_chosen", "policy_rejected", "ref_chosen", "ref_rejected")
+    lp = pr.sequence_logps(token_rows(spark, d))
+    kinds = [F.struct(F.lit(kind).alias("kind"), *[six(F.col(c) / F.col("n_" + c.split("_")[1]) if average else F.col(c)).alias(c) for c in sides])
+             for kind, average in (("sum", False), ("average", True))]
+    return lp.select("pair_id", "n_chosen", "n_rejected", F.inline(F.array(*kinds)))
 
 
 def _ls(x: str) -> str:
@@ -99,7 +98,7 @@ def _ls(x: str) -> str:
 
 _DPO = f"""
 {_TOKENS},
-b AS (SELECT pair_id, pair_id % 64 AS batch, pc - rc AS c, pj - rj AS j, (pc - pj) - (rc - rj) AS x FROM lp),
+b AS (SELECT pair_id, pair_id % 64 AS batch, pc - rc AS c, pj - rj AS j, (pc - pj) - (rc - rj) AS x, (pc - rc) / nc - (pj - rj) / nj AS xa FROM lp),
 k AS (SELECT *, greatest(avg(c) OVER (PARTITION BY batch), 0.0) AS klc, greatest(avg(j) OVER (PARTITION BY batch), 0.0) AS klj FROM b)
 """
 
@@ -108,7 +107,7 @@ k AS (SELECT *, greatest(avg(c) OVER (PARTITION BY batch), 0.0) AS klc, greatest
 WITH {_DPO}
 SELECT pair_id, round(-{_ls('0.1 * x')} * 0.9 - {_ls('-0.1 * x')} * 0.1, 6) AS loss_sigmoid,
        round((-{_ls('0.1 * x')} * 0.9 + {_ls('-0.1 * x')} * 0.1) / 0.8, 6) AS loss_robust, round(greatest(1 - 0.1 * x, 0.0), 6) AS loss_hinge,
-       round(pow(x - 5, 2), 6) AS loss_ipo,
+       round(pow(xa - 5, 2), 6) AS loss_ipo,
        round(((1 - 1 / (1 + exp(-0.1 * (c - klj)))) + (1 - 1 / (1 + exp(-0.1 * (klc - j))))) / 2, 6) AS loss_kto_pair,
        round(pow(c - 5, 2) + pow(j + 5, 2), 6) AS loss_sppo_hard,
        round(-{_ls('0.1 * c')} - 0.5 * {_ls('-0.1 * c')} - 0.5 * {_ls('-0.1 * j')}, 6) AS loss_nca_pair,
@@ -122,15 +121,18 @@ def dpo_losses(spark, d):
 
 @query("orpo_report", f"""
 WITH {_TOKENS},
-a AS (SELECT pc / nc AS c, pj / nj AS j FROM lp WHERE pc < 0 AND pj < 0),
-o AS (SELECT *, (c - j) - (ln(1 - exp(c)) - ln(1 - exp(j))) AS odds FROM a),
+a AS (SELECT pc / nc AS c, pj / nj AS j FROM lp),
+g AS (SELECT *, CASE WHEN exp(c) >= 1 THEN '-Infinity'::DOUBLE ELSE ln(1 - exp(c)) END AS lc,
+             CASE WHEN exp(j) >= 1 THEN '-Infinity'::DOUBLE ELSE ln(1 - exp(j)) END AS lj FROM a),
+o AS (SELECT *, (c - j) - (lc - lj) AS odds FROM g),
+v AS (SELECT avg({_ls('odds')}) AS lor FROM o WHERE NOT isnan(odds)),
 n AS (SELECT sum(-p) FILTER (WHERE ch AND label <> -100) / count(*) FILTER (WHERE ch AND label <> -100) AS nll FROM tok)
-SELECT round(avg({_ls('odds')}), 6) AS log_odds_ratio, round(avg(odds), 6) AS log_odds_chosen, round(avg(0.1 * c), 6) AS chosen_rewards,
+SELECT round(any_value(lor), 6) AS log_odds_ratio, round(avg(odds), 6) AS log_odds_chosen, round(avg(0.1 * c), 6) AS chosen_rewards,
        round(avg(0.1 * j), 6) AS rejected_rewards, round(avg(CASE WHEN c > j THEN 1.0 ELSE 0.0 END), 6) AS reward_acc, round(avg(0.1 * (c - j)), 6) AS reward_margin,
-       round(any_value(nll), 6) AS nll_loss, round(any_value(nll) - 0.1 * avg({_ls('odds')}), 6) AS loss FROM o, n""")
+       round(any_value(nll), 6) AS nll_loss, round(any_value(nll) - 0.1 * any_value(lor), 6) AS loss FROM o, n, v""")
 def orpo_report(spark, d):
     tok = token_rows(spark, d)
-    lp = pr.sequence_logps(tok, average=True).where("policy_chosen < 0 and policy_rejected < 0")
+    lp = pr.sequence_logps(tok, average=True)
     learned = tok.where("side = 'chosen' and label <> -100")
     nll = learned.agg(F.sum(-F.col("policy_lp")) / F.count(F.lit(1))).scalar()
     out = pr.orpo_report(lp, nll, beta=0.1)
@@ -153,7 +155,8 @@ sc AS (SELECT a.event_type AS ds_name, a.value / 100 AS c, b.value / 100 AS r FR
 
 @query("reward_losses", f"""
 WITH {_SCORES}
-SELECT ds_name, round(avg(-{_ls('c - r')}), 6) AS ranking_loss, round(avg(pow(1 - 2 * greatest(1 / (1 + exp(-(c - r))) - 0.5, 0.0), 2) * -{_ls('c - r')}), 6) AS focal_loss,
+SELECT ds_name, round(avg(-{_ls('c - r')} + 0.01 * (-ln(5 - least(greatest(c, -4.999), 4.999)) - ln(least(greatest(c, -4.999), 4.999) + 5) - ln(5 - least(greatest(r, -4.999), 4.999)) - ln(least(greatest(r, -4.999), 4.999) + 5))), 6) AS loss,
+       round(avg(-{_ls('c - r')}), 6) AS ranking_loss, round(avg(pow(1 - 2 * greatest(1 / (1 + exp(-(c - r))) - 0.5, 0.0), 2) * -{_ls('c - r')}), 6) AS focal_loss,
        round(avg(-ln(5 - least(greatest(c, -4.999), 4.999)) - ln(least(greatest(c, -4.999), 4.999) + 5) - ln(5 - least(greatest(r, -4.999), 4.999)) - ln(least(greatest(r, -4.999), 4.999) + 5)), 6) AS log_barrier,
        round(avg(c * c + r * r), 6) AS l2, round(avg(CASE WHEN c > r THEN 1.0 ELSE 0.0 END), 6) AS acc, round(avg(c), 6) AS chosen_score_mean,
        round(avg(r), 6) AS rejected_score_mean, count(*) AS num_samples FROM sc GROUP BY ds_name""")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from turnmill.functions.tokens import HashEncoder
 from turnmill.operators.encode import (drop_empty, drop_unsupervised, encode_conversation, encode_sft,
                                        encode_tool_dialogue)
-from turnmill.operators.formats import by_length, message_arrays, normalise, pair_turns, tool_parts
+from turnmill.operators.formats import message_arrays, normalise, pair_turns, tool_parts, unknown_roles
 from turnmill.operators.order import CHUNK, sample_exact
 from turnmill.operators.pack import pack_range
 from turnmill.operators.render import render_conversation, render_turns
@@ -80,13 +80,14 @@ def encode_corpus(records: DataFrame, fmt: str, template: str, encoder=HashEncod
 
 def encode_dialogues(messages: DataFrame, template: str, encoder=HashEncoder(), *, max_length: int,
                      sample: str = "sample_id", order: str = "turn", loss: str | None = None,
-                     chunk: int = CHUNK) -> DataFrame:
+                     chunk: int = CHUNK, bounded: bool = False) -> DataFrame:
     """Flat message table -> ``(sample, input_ids, labels, num_tokens)``.
 
-    Dialogues of at most ``chunk`` messages are gathered by one shuffle and then paired, rendered and
-    encoded in place; longer ones stay in long form to the end.  Encoders that run in Python take the
-    long form throughout, because a fold over an array cannot call them.  Dialogues with unknown roles
-    are rejects (see ``pair_turns``).
+    Dialogues stay in long form to the end.  ``bounded`` is the caller's word that every dialogue is short:
+    they are then gathered by one shuffle and paired, rendered and encoded in place, with the same rows.
+    Encoders that run in Python take the long form throughout, because a fold over an array cannot call
+    them.  Rejects give no row: dialogues with unknown roles (see ``pair_turns``), and dialogues with a
+    system text where the template has no place for it; ``dialogue_rejects`` lists both.
     """
     def long(rows: DataFrame) -> DataFrame:
         turns = render_turns(pair_turns(rows, sample=sample, order=order, loss=loss, chunk=chunk), template)
@@ -96,11 +97,21 @@ def encode_dialogues(messages: DataFrame, template: str, encoder=HashEncoder(),
         cols = ["role", "content", *([loss] if loss else [])]
         turns = drop_empty(normalise(message_arrays(rows, sample=sample, order=order, cols=cols), "openai"))
         coded = encode_conversation(render_conversation(turns, template), encoder, max_length=max_length)
-        return coded.select(sample, "input_ids", "labels", "num_tokens")
+        return coded.where(F.col("input_ids").isNotNull()).select(sample, "input_ids", "labels", "num_tokens")
 
-    if not encoder.in_jvm:
-        return long(messages)
-    return by_length(messages, sample, chunk, short, long)
+    return short(messages) if bounded and encoder.in_jvm else long(messages)
+
+
+def dialogue_rejects(messages: DataFrame, name: str, *, sample: str = "sample_id", order: str = "turn",
+                     role: str = "role", text: str = "content") -> DataFrame:
+    """``(sample, reason)`` of the dialogues that ``encode_dialogues`` leaves out, one row each.
+
+    ``unknown role`` goes before ``system text without a place``, which concerns turns that are answered.
+    """
+    roles = unknown_roles(messages, role).select(sample).distinct().withColumn("reason", F.lit("unknown role"))
+    turns = render_turns(pair_turns(messages, sample=sample, order=order, role=role, text=text), name)
+    placeless = turns.where(F.col("input").isNull()).select(sample).distinct().withColumn("reason", F.lit("system text without a place"))
+    return roles.unionByName(placeless)
 
 
 def build_preset(records: DataFrame, name: str, encoder=HashEncoder(), *, id_col: str) -> DataFrame:

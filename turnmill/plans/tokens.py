@@ -11,6 +11,7 @@ from turnmill.operators import encode as en
 from turnmill.operators import formats as fm
 from turnmill.plans import inputs, sql
 from turnmill.plans.formats import pair_texts, _PAIR_ROWS
+from turnmill.plans.presets import dialogue_rejects, encode_dialogues
 from turnmill.plans.registry import query
 from turnmill.plans.rendering import MERGED, sub_role_messages
 from turnmill.session import stage
@@ -26,6 +27,37 @@ def shown(df, *ids):
 _SHOWN = f"num_tokens, {sql.text('input_ids')} AS input_ids, {sql.text('labels')} AS labels"
 
 
+def odd_messages(spark, d):
+    """The conversations with every fault: unknown roles, null texts, null system texts."""
+    m = inputs.messages(spark, d)
+    odd, turn = F.col("sample_id") % 10, F.col("turn")
+    return m.withColumn("role", F.when((odd == 3) & (turn == 1), "tool").when((odd == 4) & (turn == 0), F.lit(None)).otherwise(F.col("role"))).withColumn(
+        "content", F.when((odd == 5) & (turn % 2 == 0), F.lit(None)).when((odd == 6) & (turn == 0), F.lit(None)).otherwise(F.col("content")))
+
+
+@query("encode_rejects", f"""
+WITH m AS (SELECT conv_id, turn, CASE WHEN conv_id % 10 = 3 AND turn = 1 THEN 'tool' WHEN conv_id % 10 = 4 AND turn = 0 THEN NULL ELSE role END AS role,
+  CASE WHEN conv_id % 10 = 5 AND turn % 2 = 0 THEN '' WHEN conv_id % 10 = 6 AND turn = 0 THEN '' ELSE text END AS text FROM conversations),
+bad AS (SELECT DISTINCT conv_id FROM m WHERE role IS NULL OR role NOT IN ('user', 'assistant', 'system')),
+conversations AS (SELECT * FROM m WHERE conv_id NOT IN (SELECT conv_id FROM bad)),
+{sql.TURNS},
+placeless AS (SELECT DISTINCT sample_id FROM turns WHERE system <> ''),
+kept AS (SELECT sample_id, CAST(sum(5 + {sql.n_words('input')} + {sql.n_words('output')}) AS BIGINT) AS n FROM turns
+         WHERE sample_id NOT IN (SELECT sample_id FROM placeless) GROUP BY sample_id)
+SELECT conv_id AS sample_id, 'unknown role' AS reason, CAST(NULL AS BIGINT) AS num_tokens FROM bad
+UNION ALL SELECT sample_id, 'system text without a place', NULL FROM placeless
+UNION ALL SELECT sample_id, 'encoded', n FROM kept""")
+def encode_rejects(spark, d):
+    """Dialogues that a template without a place for system texts cannot encode, and the tokens of the others.
+
+    A turn has BOS, two marks, its words, EOS and a separator.
+    """
+    m = odd_messages(spark, d)
+    coded = encode_dialogues(m, "minicpm", ENC, max_length=1 << 20)
+    return dialogue_rejects(m, "minicpm").withColumn("num_tokens", F.lit(None).cast("long")).unionByName(
+        coded.select("sample_id", F.lit("encoded").alias("reason"), F.col("num_tokens").cast("long").alias("num_tokens")))
+
+
 @query("encode_sft", f"WITH {sql.samples(256)} SELECT sample_id, {_SHOWN} FROM samples")
 def encode_sft(spark, d):
     return shown(inputs.samples(spark, d, 256), "sample_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -135,9 +137,11 @@ def _quote(text: str) -> str:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, block, line, value)``: text lines with an order that no split of the files changes.
 
-    ``block`` is the byte at which the line's split starts and ``line`` rises inside a split.
+    ``block`` is the byte at which the line's split starts and ``line`` rises inside a split.  Of a line that ends in
+    CR LF, ``value`` keeps the CR.
     """
-    rows = spark.read.option("recursiveFileLookup", True).text(path)
+    # Only a line feed ends a line; a carriage return before it stays in ``value`` and counts.
+    rows = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
     line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                        line.alias("line"), "value")
@@ -164,22 +168,48 @@ def read_signed(spark: SparkSession, path: str, min_length: int = 0) -> DataFram
     return rows.where(F.col("length") >= min_length) if min_length > 0 else rows
 
 
-HASH_LIMIT = 1 << 30
+BLOCK_BYTES = 1 << 20
 
 
 def content_keys(spark: SparkSession, folder: str, fn_version: str, suffix: str = "") -> DataFrame:
-    """``(path, file_key, cache_key)``: sha256 of the bytes, joined with the encoder's version.
+    """``(path, file_key, cache_key)``: a key of the bytes, joined with the encoder's version.
 
-    Files above 1 GiB do not fit one row's binary value; their key is taken from path, size and time.
+    One rule for files of every size: a file is read in blocks of ``BLOCK_BYTES``, so no row holds more, and its
+    key is the sha256 over the sha256 texts of its blocks in order.  Equal bytes have equal keys whatever their
+    path or time.  Spark does not list empty files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     if suffix:
         files = files.where(F.col("path").endswith(suffix))
-    small = files.where(F.col("length") <= HASH_LIMIT).select("path", F.sha2("content", 256).alias("file_key"))
-    large = files.where(F.col("length") > HASH_LIMIT).select("path", F.sha2(F.concat_ws(
-        "|", "path", F.col("length").cast("string"), F.col("modificationTime").cast("string")), 256).alias("file_key"))
-    return small.unionByName(large).withColumn(
-        "cache_key", F.concat_ws("/", "file_key", F.sha2(F.lit(fn_version), 256)))
+    blocks = file_blocks(files.select("path", "length"))
+    hashed = blocks.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "sha"))), lambda b: b["sha"]).alias("shas"))
+    keys = hashed.select("path", F.sha2(F.array_join("shas", ""), 256).alias("file_key"))
+    return keys.withColumn("cache_key", F.concat_ws("/", "file_key", F.sha2(F.lit(fn_version), 256)))
+
+
+def file_blocks(files: DataFrame) -> DataFrame:
+    """``(path, block, sha)`` of every ``BLOCK_BYTES`` of the files, one short read per row.
+
+    ``files`` is (path, length); blocks of a file are spread over the tasks.
+    """
+    parts = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(
+        F.ceil(F.col("length") / BLOCK_BYTES) - 1, F.lit(0)).cast("long"))).alias("block"))
+
+    def read(batches):
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow import fs
+        for batch in batches:
+            shas = []
+            for path, block in zip(batch["path"].to_pylist(), batch["block"].to_pylist(), strict=True):
+                store, inner = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
+                with store.open_input_file(inner) as f:
+                    f.seek(block * BLOCK_BYTES)
+                    shas.append(hashlib.sha256(f.read(BLOCK_BYTES)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch["path"], batch["block"], pa.array(shas, pa.string())], ["path", "block", "sha"])
+
+    return parts.repartition("path", "block").mapInArrow(read, "path string, block long, sha string")
 
 
 def not_done(keys: DataFrame, done: DataFrame, on: str = "cache_key") -> DataFrame:
