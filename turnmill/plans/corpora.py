@@ -199,12 +199,12 @@ def train_valid_meta(spark, d):
 
 
 @query("train_valid_files", f"""
-WITH {_LINES} SELECT split, file, count(*) AS n_lines, CAST(sum(strlen(line) + 1) AS BIGINT) AS n_bytes FROM parts GROUP BY 1, 2""")
+WITH {_LINES} SELECT split, file, event_id, num_tokens, line FROM parts""")
 def train_valid_files(spark, d):
+    """Every line, read from the files at the offset that the meta table names."""
     path = fresh_path(spark, "train-valid")
-    sk.write_lines(_train_valid(spark, d), path, file="file")
-    return spark.read.text(path).groupBy("split", "file").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum(F.octet_length("value") + 1).cast("long").alias("n_bytes"))
+    meta = sk.write_lines(_train_valid(spark, d), path, file="file", part_bytes=1 << 16)
+    return sk.read_at(meta).select("split", "file", "event_id", "num_tokens", "line")
 
 
 @query("corpus_token_totals", f"""
