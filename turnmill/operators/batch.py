@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from turnmill.functions.text import col
 from turnmill.functions.tokens import IGNORE_INDEX, PAD_INDEX
-from turnmill.operators.order import int_div, md5_bucket, running, shuffle_key, shuffled
+from turnmill.operators.order import CHUNK, chunk_bucket, int_div, md5_bucket, running, shuffle_key, shuffled
+from turnmill.session import stage
 
 
 def group_size(n: Column, batch: int, world: int, mult: int | None = None) -> Column:
@@ -21,7 +22,11 @@ def group_size(n: Column, batch: int, world: int, mult: int | None = None) -> Co
 
 
 def _longest_first(placed: DataFrame, length: str) -> DataFrame:
-    """Swap the head of megabatch 0 with the head of the megabatch that holds the longest sample."""
+    """Swap the head of megabatch 0 with the head of the megabatch that holds the longest sample.
+
+    The plan is written once, because the search for the longest sample and the swap both read it.
+    """
+    placed = stage(placed, "megabatches")
     best = placed.where("_rank = 0").agg(F.max_by(
         F.struct("_mega", "pos"), F.struct(F.abs(F.col(length)), -F.col("_mega")))).scalar()
     pos = (F.when((F.col("_rank") == 0) & (F.col("_mega") == best["_mega"]), F.lit(0))
@@ -75,19 +80,16 @@ def length_grouped_by_modality(lengths: DataFrame, batch: int, world: int, *, le
     facts = counts.select(F.struct("_all", "_m", "_single")).scalar()
     placed = placed.withColumn("_m", facts["_m"]).withColumn("_single", facts["_single"])
     placed = placed.withColumn("_own", int_div("_i", F.col("_m")))
-    placed = placed.withColumn("_last", ~F.col("_single") & (F.col("_own") == int_div(F.col("_n") - 1, F.col("_m"))))
-    # whole megabatches follow from the counts; they are numbered in permuted order
-    whole = lambda n: int_div(n + F.col("_m") - 1, F.col("_m")) - F.when(F.col("_single"), 0).otherwise(1)
-    ranges = F.array(F.struct(F.lit(0).alias("_text"), whole(F.col("_all") - F.col("_texts")).alias("_count")),
-                     F.struct(F.lit(1).alias("_text"), whole(F.col("_texts")).alias("_count")))
-    megas = counts.select("_single", F.inline(F.filter(
-        F.transform(ranges, lambda r: F.struct(r["_text"].alias("_text"), r["_count"].alias("_count"))),
-        lambda r: r["_count"] > 0)))
-    megas = megas.select("_single", "_text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1)).alias("_own"))
+    placed = stage(placed.withColumn("_last", ~F.col("_single") & (F.col("_own") == int_div(F.col("_n") - 1, F.col("_m")))), "modalities")
+    # the whole megabatches, as the data has them; they are numbered in permuted order
+    megas = stage(placed.where(~F.col("_last")).select("_single", "_text", "_own").distinct(), "megas")
+    spread_digits = 1
+    while 16 ** spread_digits * CHUNK < megas.count() and spread_digits < 8:
+        spread_digits += 1
     natural = F.lpad(F.col("_own").cast("string"), 20, "0")
     megas = megas.withColumn("_key", F.when(F.col("_single"), natural).otherwise(
         shuffle_key("_text", "_own", seed=seed, epoch=epoch)))
-    spread = F.when(F.col("_single"), F.col("_own")).otherwise(md5_bucket("_key"))
+    spread = F.when(F.col("_single"), chunk_bucket("_own")).otherwise(md5_bucket("_key", spread_digits))
     megas = running(megas, order=["_key", "_text", "_own"], bucket=spread, index="_mega", totals={"_whole": "_mega"})
     n_whole = megas.agg(F.coalesce(F.max("_whole"), F.lit(0).cast("long"))).scalar()
     placed = placed.join(megas.select("_text", "_own", "_mega"), ["_text", "_own"], "left")

@@ -10,7 +10,7 @@ from turnmill.catalog import ChatTemplate, Template
 from turnmill.functions.text import blank_if_null, col, fill, strip
 from turnmill.functions.tokens import (IGNORE_INDEX, IMAGE_INDEX, IMAGE_MARK, INTS, HashEncoder, clip, int_array,
                                        masked, negate, words)
-from turnmill.operators.order import CHUNK, chunk_bucket, running
+from turnmill.operators.order import CHUNK, chunk_bucket, count_ranks, running
 from turnmill.operators.render import (chat_template, merge_sub_roles, render_messages, role_begin,
                                        role_end)
 from turnmill.session import stage
@@ -338,13 +338,10 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
 def build_vocab(counts: DataFrame, specials: tuple[str, ...] = catalog.SPECIAL_TOKENS, first_id: int = 0) -> DataFrame:
     """``(word, n, token_id)``: dense ids by falling frequency (ties by md5), missing specials behind.
 
-    The bucket of the running index joins frequency and, for rare words, leading md5 digits, so the
-    long tail of words seen once is spread too; at most 1024 * 4096 buckets plus one per higher count.
+    Ranks come from the histogram of the counts and, inside one count, from md5 buckets sized by its words.
     """
-    keyed = counts.withColumn("_key", F.md5("word"))
-    spread = F.when(F.col("n") < 1024, F.conv(F.substring("_key", 1, 3), 16, 10).cast("long")).otherwise(0)
-    bucket = (F.lit(1 << 40) - F.col("n")) * 4096 + spread
-    ranked = running(keyed, order=[F.desc("n"), "_key", "word"], bucket=bucket, index="token_id")
+    counts = stage(counts, "word-counts")
+    ranked = count_ranks(counts, key=F.md5("word"), index="token_id")
     known = ranked.select("word", "n", (F.col("token_id") + first_id).alias("token_id"))
     present = counts.where(F.col("word").isin(*specials)).select("word")  # at most len(specials) rows
     extra = df_of_words(counts, specials).join(present, "word", "left_anti")
@@ -372,9 +369,7 @@ def rank_ids(samples: DataFrame, *, reserved: int = 3) -> DataFrame:
     """``(token_id, n, rank_id)``: dense ids by falling frequency (ties by id), behind the reserved ones."""
     seen = samples.select(F.explode("input_ids").alias("token_id")).where(F.col("token_id") >= reserved)
     counts = stage(seen.groupBy("token_id").agg(F.count(F.lit(1)).alias("n")), "token-counts")
-    spread = F.when(F.col("n") < 1024, F.shiftright(F.col("token_id").cast("long"), 20)).otherwise(0)
-    bucket = (F.lit(1 << 40) - F.col("n")) * 4096 + spread
-    ranked = running(counts, order=[F.desc("n"), "token_id"], bucket=bucket, index="_r")
+    ranked = count_ranks(counts, key=F.lpad(F.hex(F.col("token_id").cast("long")), 8, "0"), index="_r", skip=1)
     return ranked.select("token_id", "n", (F.col("_r") + reserved).cast("int").alias("rank_id"))
 
 

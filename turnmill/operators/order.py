@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnmill.functions.text import col
+from turnmill.session import stage
 
 CHUNK = 8192
 # Bytes of input behind one md5 bucket, and the most leading digits used: 16^5 is a million buckets,
@@ -100,6 +101,48 @@ def running(df: DataFrame, *, order: Sequence[Column | str], bucket: Column, key
         *[F.col(f"_all_{of}").alias(n) for n, of in (totals or {}).items()])
 
 
+def running_sparse(df: DataFrame, *, order: Sequence[Column | str], bucket: Column, keys: Sequence[str],
+                   index: str | None = None, sums: dict[str, Column] | None = None,
+                   totals: dict[str, str] | None = None, bound: int = CHUNK) -> DataFrame:
+    """``running`` for keys of which most have few rows: only keys with more than ``bound`` rows are cut in buckets.
+
+    The other keys are summed by one window and need no table of bucket totals, which would be about as long as
+    the rows.  Long keys are found by map-side counts, at most one per ``bound`` rows.
+    """
+    keys = list(keys)
+    long = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bound).select(*keys), "long-keys")
+    values = {name: col(v).cast("long") for name, v in (sums or {}).items()}
+    if index:
+        values[index] = F.lit(1).cast("long")
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    short = df.join(long, keys, "left_anti").select(
+        *df.columns, *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(n) for n, v in values.items()],
+        *[F.sum(values[of]).over(whole).alias(n) for n, of in (totals or {}).items()])
+    if long.isEmpty():
+        return short
+    cut = running(df.join(long, keys, "left_semi"), order=order, bucket=bucket, keys=keys, index=index, sums=sums, totals=totals)
+    return short.unionByName(cut)
+
+
+def count_ranks(counts: DataFrame, *, key: Column, index: str, n: str = "n", skip: int = 0) -> DataFrame:
+    """Adds ``index``: the 0-based dense place of each row by falling ``n``, then by ``key``, a hex text.
+
+    The places at which each count begins come from the histogram of the counts, one row per different count.
+    Rows of one count are ranked by key, in buckets of its leading digits (behind ``skip`` constant ones); their
+    number follows from how many rows have that count.  ``counts`` is read three times: stage it.
+    """
+    before = Window.orderBy(F.desc("_times")).rowsBetween(Window.unboundedPreceding, -1)
+    histogram = counts.groupBy(F.col(n).alias("_times")).agg(F.count(F.lit(1)).alias("_words"))
+    histogram = stage(histogram.select(
+        "_times", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_first"),
+        F.greatest(F.ceil(F.log(F.col("_words") / CHUNK) / F.log(F.lit(16.0))), F.lit(0)).cast("int").alias("_digits")), "histogram")
+    keyed = counts.withColumn("_key", key).join(histogram, F.col(n) == F.col("_times"))
+    leading = F.conv(F.expr(f"substring(_key, 1, _digits + {skip})"), 16, 10).cast("long")
+    ranked = running(keyed, order=["_key"], keys=["_times"], bucket=F.when(F.col("_digits") > 0, leading).otherwise(0), index="_in")
+    return ranked.select(*counts.columns, (F.col("_first") + F.col("_in")).alias(index))
+
+
 def shuffled(df: DataFrame, id_col: str, *, seed: int = 1024, epoch: int = 0, keys: Sequence[str] = (),
              index: str = "idx", sums: dict[str, Column] | None = None,
              totals: dict[str, str] | None = None, digits: int | None = None) -> DataFrame:
@@ -131,18 +174,19 @@ def previous_row(df: DataFrame, *, order: str, bucket: Column, keys: Sequence[st
     return out.select(*df.columns, *[F.col("_lag")[new].alias(new) for new in cols])
 
 
-TOP_ROWS = 1_000_000
-
-
-def sample_exact(df: DataFrame, id_col: str, n: int, seed: int = 1024) -> DataFrame:
+def sample_exact(df: DataFrame, id_col: str, n: int, seed: int = 1024, digits: int | None = None) -> DataFrame:
     """Exactly ``min(count, n)`` rows without replacement: the first ``n`` in md5 order.
 
-    ``n`` is the feature (a sample size).  Up to a million rows a top-n merges in one task; above, the
-    rows whose shuffled position is below ``n`` are kept where they are.  Both give the same rows.
+    The sizes of the md5 buckets tell which leading ones surely hold ``n`` rows; only their rows are ranked, where
+    they are.  ``n`` is the feature (a sample size); the plan is the same for every ``n``.
     """
-    if n > TOP_ROWS:
-        return shuffled(df, id_col, seed=seed, index="_pos").where(F.col("_pos") < n).drop("_pos")
-    return df.withColumn("_key", shuffle_key(id_col, seed=seed)).orderBy("_key", id_col).limit(n).drop("_key")
+    keyed = df.withColumn("_key", shuffle_key(id_col, seed=seed))
+    bucket = md5_bucket("_key", digits or digits_for(df))
+    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = keyed.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
+    last = sizes.agg(F.coalesce(F.min(F.when(F.col("_upto") >= n, F.col("_bucket"))), F.max("_bucket"))).scalar()
+    kept = running(keyed.where(bucket <= last), order=["_key", id_col], bucket=bucket, index="_pos")
+    return kept.where(F.col("_pos") < n).drop("_key", "_pos")
 
 
 def sample_ratio(df: DataFrame, id_col: str, ratios: dict[str, float] | float, *, key: str | None = None,
@@ -190,7 +234,7 @@ def mix(parts: dict[str, DataFrame], source: str = "source") -> DataFrame:
 def dedup_split(df: DataFrame, id_col: str, order: str, bucket: Column) -> DataFrame:
     """Flag the first row of each id (``dup`` = 0) and the later ones (``dup`` = their rank).
 
-    Copies of one id are ranked in bounded buckets, so a third of all rows sharing an id still
-    spreads over many tasks.
+    Copies of an id with many rows are ranked in bounded buckets, so a third of all rows sharing an id
+    still spreads over many tasks.
     """
-    return running(df, order=[order], bucket=bucket, keys=[id_col], index="dup")
+    return running_sparse(df, order=[order], bucket=bucket, keys=[id_col], index="dup")

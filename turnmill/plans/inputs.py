@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions.tokens import HashEncoder, words
 from turnmill.operators.formats import pair_turns
-from turnmill.operators.order import chunk_bucket, running
+from turnmill.operators.order import chunk_bucket, running_sparse
 from turnmill.operators.render import render_turns
 from turnmill.plans.presets import encode_dialogues
 from turnmill.session import spread, stage
@@ -62,7 +62,7 @@ def steps(spark: SparkSession, d: str) -> DataFrame:
     """Step log: trajectory = user, steps in event order, with dense ``step`` and ``n_steps``."""
     e = table(spark, d, "events").select(
         F.col("user_id").alias("traj_id"), "event_id", (F.col("value") / 100).alias("x"), "ts", "event_type")
-    return running(e, order=["event_id"], keys=["traj_id"], bucket=chunk_bucket("event_id"), index="step",
+    return running_sparse(e, order=["event_id"], keys=["traj_id"], bucket=chunk_bucket("event_id"), index="step",
                    totals={"n_steps": "step"})
 
 
