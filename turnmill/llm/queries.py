@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import chat, curriculum, decontaminate, host_rules, language, planes, quality, shards, simhash, warc
+from turnmill.llm import chat, curriculum, decontaminate, host_rules, language, planes, quality, shards, simhash, sql, warc
 from turnmill.llm.common import read_only_columns, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,12 +30,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@query("op1_host_rules")
+@query("op1_host_rules", sql.OP1)
 def op1_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.verdicts(table(spark, sf_dir, "documents"))
+    return host_rules.verdicts(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
-@query("op2_warc")
+@query("op2_warc", sql.OP2)
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(*warc.write(table(spark, sf_dir, "pages"))).drop("url")
 
@@ -69,14 +69,14 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "shard", "slot", "grown_shard")
 
 
-@query("op8_decontaminate")
+@query("op8_decontaminate", sql.OP8)
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
                         "contaminated")
 
 
-@query("op9_curriculum")
+@query("op9_curriculum", sql.OP9)
 def op9_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.plan(read_only_columns(table(spark, sf_dir, "documents"), "doc_id", "source", "text")).select(
         "rec.doc_id", "size", "source_size", "target", "taken")
