@@ -307,14 +307,10 @@ def min_length(df: DataFrame, n: int, length: str = "num_tokens") -> DataFrame:
 
 
 def max_length(df: DataFrame, n: int, length: str = "num_tokens") -> DataFrame:
-    """Strictly shorter than ``n``; see ``dropped`` for the count that is left out."""
+    """Rows strictly shorter than ``n``."""
     return df.where(F.col(length) < n)
 
 
-def dropped(df: DataFrame, kept: Column) -> DataFrame:
-    return df.agg(F.count_if(kept).alias("n_kept"), F.count_if(~kept).alias("n_dropped"))
-
-
 def category_since(df: DataFrame, categories: list[str], start: str, *, column: str = "categories",
                    date: str = "update_date") -> DataFrame:
     """Any of ``categories`` in a whitespace list, and a date from ``start`` on.

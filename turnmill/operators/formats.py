@@ -289,10 +289,6 @@ def _pair_chunks(messages: DataFrame, *, sample: str, order: str, role: str, tex
         F.coalesce("_system", F.lit("")).alias("system"), "input", "output", "output_with_loss")
 
 
-def ids_as_text(df: DataFrame, id_col: str = "id") -> DataFrame:
-    return df.withColumn(id_col, F.col(id_col).cast("string"))
-
-
 def unknown_roles(messages: DataFrame, role: str = "role",
                   known: tuple[str, ...] = ("user", "assistant", "system")) -> DataFrame:
     return messages.where(~F.coalesce(F.col(role).isin(*known), F.lit(False)))

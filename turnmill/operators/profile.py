@@ -43,11 +43,6 @@ def format_faults(turns: DataFrame, *, sample: str = "sample_id", by: list[str]
         F.count_if(F.col("input") == "").alias("empty_input"), F.count_if(F.col("output") == "").alias("empty_output"))
 
 
-def stage_previews(stages: dict[str, DataFrame], k: int = 1) -> dict[str, DataFrame]:
-    """The first ``k`` rows after each stage, for looking at; nothing runs until one is shown."""
-    return {name: df.limit(k) for name, df in stages.items()}
-
-
 def dialogue_checks(messages: DataFrame, *, sample: str = "sample_id", order: str = "turn", role: str = "role",
                     chunk: int = CHUNK) -> DataFrame:
     """Per dialogue: message count, repeated roles in a row, odd count, first and last role."""

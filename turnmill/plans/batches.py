@@ -158,6 +158,17 @@ def pad_to_multiple(spark, d):
         joined("cumulative_len").alias("cumulative_len"), _mask(F.col("attention_mask")).alias("attention_mask"))
 
 
+@query("max_seqlen", f"""
+WITH {_PACKS} SELECT source, pack, CAST(list_max(lens) AS INTEGER) AS max_seqlen, CAST(len(input_ids[1:100]) AS INTEGER) AS n_cut, 0 AS n_faults FROM packs""")
+def max_seqlen(spark, d):
+    """Longest segment of each pack; ids and labels of a pack have one length, also when cut."""
+    packs = pk.pack_range(sourced_samples(spark, d), L)
+    cut = bt.truncate(packs, 100)
+    faults = bt.shape_faults(cut).groupBy("source", "pack").agg(F.count(F.lit(1)).alias("f"))
+    return cut.select("source", "pack", bt.max_seqlen("cumulative_len").alias("max_seqlen"), F.size("input_ids").alias("n_cut")).join(
+        faults, ["source", "pack"], "left").select("source", "pack", "max_seqlen", "n_cut", F.coalesce("f", F.lit(0)).cast("int").alias("n_faults"))
+
+
 @query("sequence_shard", f"""
 WITH {_PACKS}
 SELECT source, pack, CAST(s AS INTEGER) AS shard, {sql.text(f'input_ids[s * {L // 4} + 1 : (s + 1) * {L // 4}]')} AS input_ids,

@@ -12,7 +12,7 @@ from turnmill.operators import order as od
 from turnmill.operators.rl import trajectory_lines
 from turnmill.plans import inputs, sql
 from turnmill.plans.formats import _ALPACA, _alpaca
-from turnmill.plans.presets import PRESETS, encode_corpus
+from turnmill.plans.presets import MIXES, PRESETS, build_mix, encode_corpus
 from turnmill.plans.registry import query
 from turnmill.session import fresh_path, stage
 from turnmill.sources import readers as rd
@@ -263,6 +263,8 @@ def _default_turn(system: str | None, i: str, o: str) -> str:
 
 
 _PRESET_SQL = {
+    "law_crime": ("lawyer", "text", "source", "documents"),
+    "law_reference": ("lawyer", "lang", "text", "documents"),
     "alpaca": (None, "instruction || chr(10) || input", "output", "alpaca WHERE output <> '<nooutput>'"),
     "arxiv": ("arxiv_gentile", "text", "source", "documents"),
     "code_alpaca": ("coder", "text", "source", "documents"),
@@ -281,7 +283,7 @@ def _preset_sql(name: str) -> str:
             f"FROM (SELECT {_default_turn(system, i, o)} FROM {table}) WHERE before < 2048")
 
 
-@query("preset_corpora", f"WITH {_ALPACA}\n" + "\nUNION ALL\n".join(_preset_sql(n) for n in _PRESET_SQL))
+@query("preset_corpora", f"WITH {_ALPACA}\n" + "\nUNION ALL\n".join(_preset_sql(n) for n in _PRESET_SQL if not n.startswith("law")))
 def preset_corpora(spark, d):
     """Ready-made corpora: samples, tokens and full packs of each."""
     docs = inputs.texts(spark, d).select("doc_id", "source", "lang", "text")
@@ -304,3 +306,13 @@ def preset_corpora(spark, d):
         out = part if out is None else out.unionByName(part)
     return out
 
+
+
+@query("mix_corpora", f"SELECT preset AS source, n_packs, CAST(n_packs * 2048 AS BIGINT) AS n_tokens FROM ({_preset_sql('law_crime')} UNION ALL {_preset_sql('law_reference')})")
+def mix_corpora(spark, d):
+    """A ready-made mix of two corpora: each keeps its name and its own packs."""
+    docs = inputs.texts(spark, d).select("doc_id", "source", "lang", "text")
+    shapes = {"law_crime": docs.select("doc_id", F.col("text").alias("input"), F.col("source").alias("output")),
+              "law_reference": docs.select("doc_id", F.col("lang").alias("question"), F.col("text").alias("answer"))}
+    packs = build_mix({name: shapes[name] for name in MIXES["lawyer"]}, id_col="doc_id")
+    return packs.groupBy("source").agg(F.count(F.lit(1)).alias("n_packs"), F.sum(F.size("input_ids")).alias("n_tokens"))

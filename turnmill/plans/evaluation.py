@@ -207,6 +207,14 @@ def instruction_fanout(spark, d):
     return out
 
 
+@query("region_eval_ids", f"""
+WITH {_REGION} SELECT image || '-' || sent AS id, 'coco/train2017/' || image || '.jpg' AS image, sent FROM dedup WHERE dup = 0""")
+def region_eval_ids(spark, d):
+    """Evaluation rows: image and id from the last but one part of the image name."""
+    rows = _regions(spark, d).where("dup = 0").withColumn("img_id", F.concat(F.lit("COCO_train_"), "image", F.lit("_0")))
+    return rg.eval_ids(rows).select("id", "image", "sent")
+
+
 @query("region_filter", f"""
 WITH {_REGION}
 SELECT 'testA' AS asked, count(*) AS n, CAST(sum(ref_id) AS BIGINT) AS ids FROM refs WHERE contains(split, 'A')

@@ -11,10 +11,10 @@ from turnmill.operators import encode as en
 from turnmill.operators import formats as fm
 from turnmill.plans import inputs, sql
 from turnmill.plans.formats import pair_texts, _PAIR_ROWS
-from turnmill.plans.presets import dialogue_rejects, encode_dialogues
+from turnmill.plans.presets import build_tool_dialogues, dialogue_rejects, encode_dialogues
 from turnmill.plans.registry import query
 from turnmill.plans.rendering import MERGED, sub_role_messages
-from turnmill.session import stage
+from turnmill.session import fresh_path, stage
 
 ENC = HashEncoder()
 
@@ -158,7 +158,7 @@ def _tool_list(expr: str) -> str:
     return f"[{expr}]"
 
 
-@query("encode_tool_dialogue", f"""
+_TOOL_SQL = f"""
 WITH {sql.TURNS},
 k AS (SELECT sample_id, turn_no, {sql.ids("'<|Human|>: ' || input || '<eoh>' || chr(10)")} AS h,
         {sql.ids("'<|Inner Thoughts|>: ask Ada<eot>' || chr(10)")} AS i, {sql.ids("'<|Results|>: found ' || replace(system, 'MOSS', 'Ada') || ' by Ada <eor>' || chr(10)")} AS r,
@@ -170,12 +170,31 @@ a AS (SELECT *, 1 + {sql.n_words("'Ada no ' || sample_id")} + sum(len(ids)) OVER
 w AS (SELECT sample_id, count(*) AS n_turns, list_concat([CAST(1 AS BIGINT)], {sql.ids("'Ada no ' || sample_id")}) AS lead,
         flatten(list(ids ORDER BY turn_no)) AS ids, flatten(list(labels ORDER BY turn_no)) AS labels FROM a WHERE upto <= 300 GROUP BY sample_id)
 SELECT sample_id, n_turns, CAST(len(lead) + len(ids) AS BIGINT) AS num_tokens, {sql.text('list_concat(lead, ids)')} AS input_ids,
-       {sql.text(f"list_concat({sql.masked('lead')}, labels)")} AS labels FROM w""")
+       {sql.text(f"list_concat({sql.masked('lead')}, labels)")} AS labels FROM w"""
+
+
+@query("encode_tool_dialogue", _TOOL_SQL)
 def encode_tool_dialogue(spark, d):
     out = en.encode_tool_dialogue(_tool_parts(spark, d), ENC, max_length=300, bot_name="Ada")
     return shown(out, "sample_id", "n_turns")
 
 
+@query("encode_tool_records", f"SELECT sample_id, 'moss' AS source, n_turns, num_tokens, input_ids, labels FROM ({_TOOL_SQL})")
+def encode_tool_records(spark, d):
+    """The same dialogues as nested JSON records: written, read, flattened and encoded."""
+    parts = _tool_parts(spark, d)
+    said = parts.groupBy("sample_id", "meta_instruction", "turn_no").agg(F.map_from_entries(F.transform(
+        F.array_sort(F.collect_list(F.struct("key_no", "key", "value"))), lambda p: F.struct(p["key"], p["value"]))).alias("said"))
+    records = said.groupBy("sample_id", "meta_instruction").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("turn_"), (F.col("turn_no") + 1).cast("string")), "said"))).alias("chat"),
+        F.count(F.lit(1)).alias("num_turns"))
+    path = fresh_path(spark, "tool-records")
+    records.write.json(path)
+    schema = "sample_id long, meta_instruction string, chat map<string, map<string, string>>, num_turns long"
+    coded = build_tool_dialogues({"moss": spark.read.schema(schema).json(path)}, ENC, id_col="sample_id", max_length=300, bot_name="Ada")
+    return shown(coded, "sample_id", "source", "n_turns")
+
+
 _VIS_SYS = "You see images."
 
 
@@ -302,8 +321,10 @@ WITH n AS (SELECT source, len({sql.words('text')}) AS n FROM documents)
 SELECT source, count(*) FILTER (WHERE n < 256) AS n_kept, count(*) FILTER (WHERE n >= 256) AS n_dropped FROM n GROUP BY source""")
 def max_length(spark, d):
     docs = inputs.document_lengths(spark, d)
-    kept = F.col("num_tokens") < 256
-    return docs.groupBy("source").agg(F.count_if(kept).alias("n_kept"), F.count_if(~kept).alias("n_dropped"))
+    kept = en.max_length(docs, 256).groupBy("source").agg(F.count(F.lit(1)).alias("n_kept"))
+    whole = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    n_kept = F.coalesce("n_kept", F.lit(0))
+    return whole.join(kept, "source", "left").select("source", n_kept.alias("n_kept"), (F.col("n") - n_kept).alias("n_dropped"))
 
 
 @query("category_date_filter", """
