@@ -96,6 +96,10 @@ def longest_fragment(plan: DataFrame, *, source: str = "source") -> DataFrame:
 
 # ---------------------------------------------------------------- next-fit
 
+# Children of a node of the tree over a source's segments.
+FAN = 64
+
+
 def _bin_starts(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums, and for a bin that starts at k the start of the bin behind it."""
     prefix = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
@@ -103,39 +107,74 @@ def _bin_starts(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray
     return prefix, np.maximum(nxt, np.arange(len(lengths)) + 1)
 
 
+def _jumps(nxt: np.ndarray) -> list[np.ndarray]:
+    """Tables of 1, 2, 4, .. steps from bin start to bin start; the end of the segment points to itself."""
+    tables = [np.append(nxt, len(nxt))]
+    while tables[-1][0] < len(nxt):
+        tables.append(tables[-1][tables[-1]])
+    return tables
+
+
 def _summarise(limit: int, source: str):
+    """A segment as a function of the fill of the open bin: where its first new bin starts (``_fits``), and for each
+    such start the bins it opens and the fill it leaves behind."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lengths = pdf.sort_values("_i")["_n"].to_numpy()
         size = len(lengths)
         prefix, nxt = _bin_starts(lengths, limit)
-        opened = np.zeros(size + 1, dtype=np.int64)
-        fill = np.zeros(size + 1, dtype=np.int64)
-        for k in range(size - 1, -1, -1):
-            after = nxt[k]
-            opened[k] = opened[after] + 1
-            fill[k] = fill[after] if after < size else prefix[size] - prefix[k]
-        # entries: the first new bin can start no later than the first item that overflows an empty bin
-        reach = int(np.searchsorted(prefix[1:], limit, side="right"))
-        entries = min(reach, size - 1) + 1
+        # the first new bin can start no later than the first item that overflows an empty bin
+        entries = min(int(np.searchsorted(prefix[1:], limit, side="right")), size - 1) + 1
+        last, opened = np.arange(entries), np.ones(entries, dtype=np.int64)
+        for power, table in reversed(list(enumerate(_jumps(nxt)))):
+            ahead = table[last]
+            opened += np.where(ahead < size, 1 << power, 0)
+            last = np.where(ahead < size, ahead, last)
         return pd.DataFrame({
             source: [pdf[source].iloc[0]], "_seg": [pdf["_seg"].iloc[0]], "_sum": [int(prefix[size])],
-            "_size": [size], "_fits": [prefix[1:entries + 1].tolist()],
-            "_opened": [opened[:entries].tolist()], "_fill": [fill[:entries].tolist()]})
+            "_fits": [prefix[1:entries + 1].tolist()], "_opened": [opened.tolist()], "_fill": [(prefix[size] - prefix[last]).tolist()]})
+    return run
+
+
+def _enter(limit: int, fill: int, row) -> tuple[int, int]:
+    """``(fill, bins)`` behind a segment that is entered with ``fill`` (-1: no open bin)."""
+    fits, opened, left = row
+    first = 0 if fill < 0 else int(np.searchsorted(fits, limit - fill, side="right"))
+    return (fill + int(fits[-1]), 0) if first >= len(opened) else (int(left[first]), int(opened[first]))
+
+
+def _rows(pdf: pd.DataFrame):
+    pdf = pdf.sort_values("_seg")
+    return zip(pdf["_fits"], pdf["_opened"], pdf["_fill"])
+
+
+def _compose(limit: int, source: str):
+    """Neighbouring segments as one.  Its list grows only while all before it fits in one bin, so it is no longer
+    than the items of one bin."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        total, fits, opened, left = 0, [], [], []
+        for row in _rows(pdf):
+            moved = [_enter(limit, f, row) for f in left]
+            left, opened = [f for f, _ in moved], [o + b for o, (_, b) in zip(opened, moved)]
+            if total <= limit:
+                fits += [int(x) + total for x in row[0]]
+                opened += [int(x) for x in row[1]]
+                left += [int(x) for x in row[2]]
+            total = fits[-1] if total <= limit else total
+        return pd.DataFrame({source: [pdf[source].iloc[0]], "_seg": [pdf["_group"].iloc[0]], "_sum": [int(pdf["_sum"].sum())],
+                             "_fits": [fits], "_opened": [opened], "_fill": [left]})
     return run
 
 
 def _chain(limit: int, source: str):
+    """The fill and bins with which each segment of a group is entered, from those of the group."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, fill, bins = [], -1, 0
-        for row in pdf.sort_values("_seg").itertuples(index=False):
-            r = dict(zip(pdf.columns, row))
-            out.append((r[source], r["_seg"], fill, bins))
-            first = 0 if fill < 0 else int(np.searchsorted(r["_fits"], limit - fill, side="right"))
-            if first >= r["_size"]:
-                fill += r["_sum"]
-            else:
-                fill, bins = r["_fill"][first], bins + r["_opened"][first]
-        return pd.DataFrame(out, columns=[source, "_seg", "_fill_in", "_bins_in"])
+        pdf = pdf.sort_values("_seg")
+        fill, bins, out = int(pdf["_fill_in"].iloc[0]), int(pdf["_bins_in"].iloc[0]), []
+        for row in _rows(pdf):
+            out.append((fill, bins))
+            fill, more = _enter(limit, fill, row)
+            bins += more
+        return pdf[[source, "_seg"]].assign(_fill_in=[f for f, _ in out], _bins_in=[b for _, b in out])
     return run
 
 
@@ -148,9 +187,15 @@ def _assign(limit: int, cols: list[str]):
         fill, bins = int(pdf["_fill_in"].iloc[0]), int(pdf["_bins_in"].iloc[0])
         k = 0 if fill < 0 else int(np.searchsorted(prefix[1:], limit - fill, side="right"))
         starts = np.zeros(size, dtype=np.int64)
-        while k < size:
-            starts[k] = 1
-            k = nxt[k]
+        # from the starts found so far, as many steps ahead as there are of them
+        found, jump = np.array([k])[:int(k < size)], np.append(nxt, size)
+        while len(found):
+            starts[found] = 1
+            ahead = jump[found]
+            more = ahead[ahead < size]
+            if not len(more):
+                break
+            found, jump = np.concatenate((found, more)), jump[jump]
         number = bins - 1 + np.cumsum(starts)
         # offset in bin: distance to the start of the item's bin; items of the open bin add its fill
         base = np.maximum.accumulate(np.where(starts == 1, prefix[:-1], -1))
@@ -165,8 +210,9 @@ def next_fit(samples: DataFrame, limit: int, *, length: str = "num_tokens", samp
     """Next-fit plan ``(source, sample, length, bin, at)`` over the seeded shuffle of each source.
 
     ``drop_oversize``: samples above ``limit`` are left out (pairs), else they get a bin of their own.
-    Only ids and lengths take part; Python sees one segment (at most ``segment`` rows) at a time, and
-    the chaining task one short row per segment.
+    Only ids and lengths take part.  Python sees one segment (at most ``segment`` rows) at a time.  Segments
+    are summarised up a tree of ``FAN`` children per node and entered down again, so no task sees more than
+    ``FAN`` summaries, each no longer than the items of one bin.
     """
     narrow = samples.select(source, sample, F.col(length).cast("long").alias(length)).where(F.col(length) > 0)
     if drop_oversize:
@@ -175,13 +221,19 @@ def next_fit(samples: DataFrame, limit: int, *, length: str = "num_tokens", samp
     # ids, lengths and positions only: written once, read by the summary and by the assignment
     placed = stage(placed.withColumn("_seg", int_div("_i", segment)).withColumn("_n", F.col(length)), "positions")
     types = dict(placed.dtypes)
-    lists = "array<bigint>"
-    summaries = placed.select(source, "_seg", "_i", "_n").groupBy(source, "_seg").applyInPandas(
-        _summarise(limit, source),
-        f"{source} {types[source]}, _seg bigint, _sum bigint, _size bigint, "
-        f"_fits {lists}, _opened {lists}, _fill {lists}")
-    carried = summaries.groupBy(source).applyInPandas(
-        _chain(limit, source), f"{source} {types[source]}, _seg bigint, _fill_in bigint, _bins_in bigint")
+    summary = f"{source} {types[source]}, _seg bigint, _sum bigint, _fits array<bigint>, _opened array<bigint>, _fill array<bigint>"
+    levels = [stage(placed.select(source, "_seg", "_i", "_n").groupBy(source, "_seg").applyInPandas(
+        _summarise(limit, source), summary), "segments")]
+    while (levels[-1].agg(F.max("_seg")).first()[0] or 0) >= FAN:
+        levels.append(stage(levels[-1].withColumn("_group", int_div("_seg", FAN)).groupBy(source, "_group").applyInPandas(
+            _compose(limit, source), summary), "segments"))
+    entered = f"{source} {types[source]}, _seg bigint, _fill_in bigint, _bins_in bigint"
+    carried = levels[-1].select(source).distinct().select(
+        source, F.lit(0).cast("bigint").alias("_group"), F.lit(-1).cast("bigint").alias("_fill_in"), F.lit(0).cast("bigint").alias("_bins_in"))
+    for level in reversed(levels):
+        children = level.withColumn("_group", int_div("_seg", FAN)).join(carried, [source, "_group"])
+        carried = children.groupBy(source, "_group").applyInPandas(_chain(limit, source), entered).withColumnRenamed("_seg", "_group")
+    carried = carried.withColumnRenamed("_group", "_seg")
     cols = [source, sample, length]
     schema = ", ".join(f"{c} {types[c]}" for c in cols) + ", bin bigint, at bigint"
     return (placed.join(carried, [source, "_seg"]).groupBy(source, "_seg")
