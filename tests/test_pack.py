@@ -61,7 +61,8 @@ def walk(values, limit, drop):
 
 @pytest.mark.parametrize("drop", [True, False])
 @pytest.mark.parametrize("segment", [1, 3, 16, 10_000])
-def test_next_fit_equals_one_pass(spark, drop, segment):
+def test_next_fit_equals_one_pass(spark, drop, segment, monkeypatch):
+    monkeypatch.setattr(pk, "FAN", 3)  # a tree of several levels
     rnd = random.Random(segment)
     values = [rnd.choice([1, 2, 3, 5, 8, 13, 40]) for _ in range(150)] + [500] * 3
     df = lengths(spark, values)
