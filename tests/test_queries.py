@@ -11,8 +11,8 @@ from turnmill.plans import registry
 registry.load_all()
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
-# A window without keys is allowed on a table of bucket totals, of different counts, of special tokens or of folder names.
-BOUNDED_ORDER = ("_bucket", "pos", "top", "_times")
+# A window without keys is allowed on a table of bucket totals, of different counts, of special tokens, of folder or of file names.
+BOUNDED_ORDER = ("_bucket", "pos", "top", "path", "_times")
 
 
 @pytest.fixture(scope="module")

@@ -43,17 +43,20 @@ def src_jsonl(spark, d):
 
 
 @query("src_multi", f"""
-WITH a AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {sql.key('doc_id')}, doc_id) - 1 AS pos,
-             count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IN ('src0', 'src1'))
-SELECT CASE WHEN source = 'src0' THEN 'first' ELSE 'second' END AS "part", doc_id FROM a, unnest(range(2)) t(copy)
-WHERE (source = 'src0' AND copy = 0) OR (source = 'src1' AND (copy = 0 OR pos < floor(n * 1.5) - n))""")
+WITH f AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS no FROM (SELECT DISTINCT source FROM documents)),
+a AS (SELECT doc_id, no, CASE no % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 1.5 ELSE 0.5 END AS ratio,
+        row_number() OVER (PARTITION BY source ORDER BY {sql.key('doc_id')}, doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+      FROM documents JOIN f USING (source))
+SELECT CAST(no AS INTEGER) AS "part", doc_id FROM a, unnest(range(2)) t(copy)
+WHERE copy < floor(ratio) OR (copy = floor(ratio) AND pos < floor(n * ratio) - n * floor(ratio))""")
 def src_multi(spark, d):
-    """Two folders with a ratio each."""
-    paths = {s: fresh_path(spark, f"multi-{s}") for s in ("src0", "src1")}
-    for s, path in paths.items():
-        _documents(spark, d).where(F.col("source") == s).write.json(path)
-    rows = rd.read_many(spark, _DOC_SCHEMA, list(paths.values()), id_col="doc_id", ratios=[1.0, 1.5])
-    return rows.select(F.when(F.col("path") == paths["src0"], "first").otherwise("second").alias("part"), "doc_id")
+    """A folder per source, written in one job; each has a ratio of its own."""
+    root = fresh_path(spark, "multi")
+    _documents(spark, d).withColumn("folder", F.col("source")).write.partitionBy("folder").json(root)
+    names = sorted(r["source"] for r in inputs.table(spark, d, "documents").select("source").distinct().collect())
+    paths = [f"{root}/folder={name}" for name in names]
+    rows = rd.read_many(spark, _DOC_SCHEMA, paths, id_col="doc_id", ratios=[(1.0, 1.5, 0.5)[i % 3] for i in range(len(paths))])
+    return rows.select((F.array_position(F.lit(paths), F.col("path")) - 1).cast("int").alias("part"), "doc_id")
 
 
 @query("src_message_lines", "SELECT conv_id, count(*) AS n_messages, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
@@ -88,19 +91,23 @@ def line_offsets(spark, d):
 SELECT CAST(doc_id % 5 AS INTEGER) AS file_idx, count(*) AS n_samples, CAST(sum(1 + {sql.n_words(sql.strip('text'))}) AS BIGINT) AS n_tokens
 FROM documents GROUP BY 1""")
 def corpus_by_file(spark, d):
-    """Every file of a folder becomes its own data set, written under its index."""
-    docs = _documents(spark, d).withColumn("file_idx", (F.col("doc_id") % 5).cast("int"))
-    path = fresh_path(spark, "by-file")
-    coded = _encode_plain(docs)
-    sk.write_corpus(coded, path, partition_by=["file_idx"])
-    return spark.read.parquet(path).groupBy("file_idx").agg(
+    """Every input file becomes its own data set, written under the file's number in the order of paths."""
+    root, out = fresh_path(spark, "files"), fresh_path(spark, "by-file")
+    docs = _documents(spark, d).withColumn("file", F.col("doc_id") % 5)
+    docs.repartition(5, "file").write.partitionBy("file").json(root)
+    rows = spark.read.schema(_DOC_SCHEMA).option("recursiveFileLookup", True).json(root)
+    rows = rows.select("doc_id", "text", F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1).alias("path"))
+    # One row per input file.
+    files = stage(rows.select("path").distinct(), "files").select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("int").alias("file_idx"))
+    sk.write_corpus(_encode_plain(rows.join(files, "path")), out, partition_by=["file_idx"])
+    return spark.read.parquet(out).groupBy("file_idx").agg(
         F.count(F.lit(1)).alias("n_samples"), F.sum("num_tokens").cast("long").alias("n_tokens"))
 
 
-def _encode_plain(docs):
+def _encode_plain(docs, folder="file_idx"):
     enc = HashEncoder()
     ids = F.concat(F.array(*[F.lit(b) for b in enc.bos]), enc.ids(strip("text")))
-    return docs.select("doc_id", "file_idx", ids.alias("input_ids")).withColumn("num_tokens", F.size("input_ids"))
+    return docs.select("doc_id", folder, ids.alias("input_ids")).withColumn("num_tokens", F.size("input_ids"))
 
 
 @query("file_manifest", """
@@ -208,18 +215,25 @@ def train_valid_files(spark, d):
 
 
 @query("corpus_token_totals", f"""
-WITH p AS (SELECT '/corpus/' || CASE WHEN doc_id % 4 = 0 THEN 'raw' ELSE 'processed' END || '/' || source || '/' || lang || '.jsonl' AS path, text, source, lang FROM documents),
-t AS (SELECT source AS dataset, 1 + {sql.n_words('text')} AS n FROM p WHERE contains(path, '/processed/') AND NOT (source = 'src3' AND lang = 'en'))
+WITH t AS (SELECT source AS dataset, 1 + {sql.n_words(sql.strip('text'))} AS n FROM documents WHERE doc_id % 4 <> 0)
 SELECT dataset, count(*) AS n_samples, CAST(sum(n) AS BIGINT) AS n_tokens FROM t GROUP BY dataset""")
 def corpus_token_totals(spark, d):
-    """Only files below processed/, and only those the done list does not name."""
-    stage_name = F.when(F.col("doc_id") % 4 == 0, "raw").otherwise("processed")
-    rows = _documents(spark, d).select(F.concat(F.lit("/corpus/"), stage_name, F.lit("/"), "source", F.lit("/"), "lang",
-                                                F.lit(".jsonl")).alias("path"), HashEncoder().length("text").alias("n"))
-    done = rows.select("path").distinct().where(F.col("path").endswith("/src3/en.jsonl"))
-    todo = rd.not_done(rows.where(F.contains("path", F.lit("/processed/"))), done, on="path")
-    return todo.groupBy(F.regexp_extract("path", "/processed/([^/]+)/", 1).alias("dataset")).agg(
-        F.count(F.lit(1)).alias("n_samples"), F.sum(F.col("n") + 1).cast("long").alias("n_tokens"))
+    """Files below ``processed`` are encoded in two runs; the second skips the folders whose output is there."""
+    root, out = fresh_path(spark, "raw-corpus"), fresh_path(spark, "encoded-corpus")
+    _documents(spark, d).withColumns({"step": F.when(F.col("doc_id") % 4 == 0, "raw").otherwise("processed"), "set": F.col("source")}).write.partitionBy(
+        "step", "set").json(root)
+    rows = spark.read.schema(_DOC_SCHEMA).option("recursiveFileLookup", True).json(root)
+    folder = F.regexp_extract("_metadata.file_path", "/step=processed/set=([^/]+)/", 1)
+    rows = rows.select("doc_id", "text", folder.alias("set")).where("set <> ''")
+
+    def run(todo):
+        sk.write_corpus(_encode_plain(todo, "set"), out, partition_by=["set"], mode="append")
+
+    run(rows.where("set = 'src3'"))
+    done = spark.read.schema("num_tokens int, set string").parquet(out).select("set").distinct()
+    run(rd.not_done(rows, done, on="set"))
+    return spark.read.schema("num_tokens int, set string").parquet(out).groupBy(F.col("set").alias("dataset")).agg(
+        F.count(F.lit(1)).alias("n_samples"), F.sum("num_tokens").cast("long").alias("n_tokens"))
 
 
 @query("trajectory_dump", """

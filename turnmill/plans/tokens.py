@@ -15,6 +15,7 @@ from turnmill.plans.presets import build_tool_dialogues, dialogue_rejects, encod
 from turnmill.plans.registry import query
 from turnmill.plans.rendering import MERGED, sub_role_messages
 from turnmill.session import fresh_path, stage
+from turnmill.sources import readers as rd
 
 ENC = HashEncoder()
 
@@ -133,14 +134,16 @@ def encode_signed(spark, d):
 @query("signed_tokens_decode", f"""
 WITH c AS (SELECT doc_id, {sql.ids('text')} AS ids FROM documents),
 s AS (SELECT doc_id, list_transform(ids, lambda x, i: CASE WHEN i % 3 = 0 THEN -x WHEN i % 11 = 0 THEN 0 ELSE x END) AS toks FROM c)
-SELECT doc_id, CAST(len(toks) AS BIGINT) AS num_tokens, {sql.text('list_transform(toks, lambda x: abs(x))')} AS input_ids,
+SELECT CAST(len(toks) AS BIGINT) AS num_tokens, {sql.text('list_transform(toks, lambda x: abs(x))')} AS input_ids,
        {sql.text('list_transform(toks, lambda x: CASE WHEN x > 0 THEN x ELSE -100 END)')} AS labels
 FROM s WHERE len(toks) >= 50""")
 def signed_tokens_decode(spark, d):
-    docs = inputs.texts(spark, d).select("doc_id", F.transform(ENC.ids("text"), lambda x, i: F.when(
-        (i + 1) % 3 == 0, -x).when((i + 1) % 11 == 0, 0).otherwise(x)).alias("tokens"))
-    kept = en.min_length(docs.withColumn("num_tokens", F.size("tokens")), 50)
-    return shown(kept.withColumn("input_ids", tk.signed_to_ids("tokens")).withColumn("labels", tk.signed_to_labels("tokens")), "doc_id")
+    """Signed-token lines, written to a folder and read from it."""
+    path = fresh_path(spark, "signed")
+    inputs.texts(spark, d).select(F.transform(ENC.ids("text"), lambda x, i: F.when(
+        (i + 1) % 3 == 0, -x).when((i + 1) % 11 == 0, 0).otherwise(x)).alias("tokens")).write.json(path)
+    kept = rd.read_signed(spark, path, min_length=50).withColumn("num_tokens", F.col("length"))
+    return shown(kept.withColumn("input_ids", tk.signed_to_ids("tokens")).withColumn("labels", tk.signed_to_labels("tokens")))
 
 
 def _tool_parts(spark, d):

@@ -162,9 +162,14 @@ def read_message_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_signed(spark: SparkSession, path: str, min_length: int = 0) -> DataFrame:
-    """Signed-token lines, ordered files; rows below ``min_length`` tokens are left out."""
+    """Signed-token lines: ``(file, block, line, tokens, length)``; rows below ``min_length`` tokens are left out.
+
+    Ordered by file, block and line, the rows stand as in the folder, whatever the splits.
+    """
     rows = spark.read.schema("tokens array<int>").option("recursiveFileLookup", True).json(path)
-    rows = rows.select(F.col("_metadata.file_path").alias("file"), "tokens", F.size("tokens").alias("length"))
+    line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), line.alias("line"),
+                       "tokens", F.size("tokens").alias("length"))
     return rows.where(F.col("length") >= min_length) if min_length > 0 else rows
 
 
