@@ -13,7 +13,8 @@ HEADLINE = (
     "pack_summary", "encode_pretrain", "vocab_build", "pack_range_plan", "pack_soft", "pack_soft_blended",
     "length_grouped", "length_grouped_modality", "padding_efficiency", "global_prefix_sum", "turn_pairing",
     "chatml_merge", "template_catalog", "region_join", "circular_eval", "dpo_losses", "gae", "reward_normalize",
-    "vision_tokens", "token_accounting",
+    "vision_tokens", "token_accounting", "instruction_fanout", "fmt_react", "region_filter", "preset_corpora", "encode_sft_vocab",
+    "stream_encode", "stream_pack",
 )
 
 

@@ -30,6 +30,15 @@ def _flat(df, *ids):
         F.col("t.input").alias("input"), F.col("t.output").alias("output"))
 
 
+def _at_once(docs, shapes):
+    """Several formats of one table in one scan: ``(doc_id, format, conversation)``; ``shapes`` names each format's columns."""
+    df = docs
+    for k, (name, cols) in enumerate(shapes.items()):
+        df = fm.normalise(df.withColumns(cols), name).drop(*cols).withColumnRenamed("conversation", f"_c{k}")
+    each = [F.struct(F.lit(name).alias("format"), F.col(f"_c{k}").alias("conversation")) for k, name in enumerate(shapes)]
+    return df.select("doc_id", F.inline(F.array(*each)))
+
+
 @query("fmt_alpaca", f"""
 WITH {_ALPACA}
 SELECT doc_id, CAST(CASE WHEN output = '<nooutput>' THEN 0 ELSE 1 END AS BIGINT) AS n_turns,
@@ -65,20 +74,14 @@ _FIXED = {
     f"SELECT '{f}' AS format, doc_id, {sql.lit(catalog.SYSTEMS[s])} AS system, {i} AS input, source AS output FROM documents"
     for f, (s, i) in _FIXED.items()))
 def fmt_fixed_system(spark, d):
+    names = {"arxiv": ("abstract", None, "title"), "code_alpaca": ("prompt", None, "completion"),
+             "crime_kg_assitan": ("input", None, "output"), "law_reference": ("question", None, "answer"),
+             "medical": ("input", "instruction", "output"), "sql": ("question", "context", "answer"),
+             "tiny_codes": ("prompt", None, "response")}
+    shapes = {f: {first: F.col("text"), answer: F.col("source"), **({second: F.col("lang")} if second else {})}
+              for f, (first, second, answer) in names.items()}
     docs = inputs.table(spark, d, "documents").select("doc_id", "text", "lang", "source")
-    out = None
-    for f, (first, second, answer) in {
-            "arxiv": ("abstract", None, "title"), "code_alpaca": ("prompt", None, "completion"),
-            "crime_kg_assitan": ("input", None, "output"), "law_reference": ("question", None, "answer"),
-            "medical": ("input", "instruction", "output"), "sql": ("question", "context", "answer"),
-            "tiny_codes": ("prompt", None, "response")}.items():
-        cols = [F.col("text").alias(first), F.col("source").alias(answer)]
-        if second:
-            cols.append(F.col("lang").alias(second))
-        part = _flat(fm.normalise(docs.select("doc_id", *cols), f), "doc_id").select(
-            F.lit(f).alias("format"), "doc_id", "system", "input", "output")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _flat(_at_once(docs, shapes), "format", "doc_id").drop("turn_no")
 
 
 @query("fmt_colors", f"""
@@ -96,15 +99,11 @@ def fmt_colors(spark, d):
     for f, s in {"default": "CAST(NULL AS VARCHAR)", "openorca": "source", "stack_exchange": "CAST(NULL AS VARCHAR)",
                  "role_expert": "CAST(NULL AS VARCHAR)", "role_teacher": "CAST(NULL AS VARCHAR)"}.items()))
 def fmt_default(spark, d):
-    docs = inputs.table(spark, d, "documents")
-    out = None
-    for f, (a, b) in {"default": ("input", "output"), "openorca": ("question", "response"),
-                      "stack_exchange": ("question", "response"), "role_expert": ("input", "output"),
-                      "role_teacher": ("question", "answer")}.items():
-        raw = docs.select("doc_id", F.col("source").alias("system_prompt"), F.col("lang").alias(a), F.col("text").alias(b))
-        part = _flat(fm.normalise(raw, f), "doc_id").select(F.lit(f).alias("format"), "doc_id", "system", "input", "output")
-        out = part if out is None else out.unionByName(part)
-    return out
+    names = {"default": ("input", "output"), "openorca": ("question", "response"), "stack_exchange": ("question", "response"),
+             "role_expert": ("input", "output"), "role_teacher": ("question", "answer")}
+    shapes = {f: {"system_prompt": F.col("source"), a: F.col("lang"), b: F.col("text")} for f, (a, b) in names.items()}
+    docs = inputs.table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return _flat(_at_once(docs, shapes), "format", "doc_id").drop("turn_no")
 
 
 @query("fmt_pretrain", f"SELECT doc_id, '' AS input, {sql.strip('text')} AS output, FALSE AS need_eos_token FROM documents")

@@ -59,12 +59,12 @@ def _chat_sql(t) -> str:
 @query("render_chat", "\nUNION ALL\n".join(
     f"SELECT '{n}' AS template, * FROM ({_chat_sql(t)})" for n, t in catalog.CHAT_TEMPLATES.items()))
 def render_chat(spark, d):
-    out = None
-    for name in catalog.CHAT_TEMPLATES:
-        part = rn.render_messages(inputs.messages(spark, d), name).select(
-            F.lit(name).alias("template"), "sample_id", "turn", "role", "prompt", "tail")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """All templates in one scan."""
+    m, shown = inputs.messages(spark, d), []
+    for k, name in enumerate(catalog.CHAT_TEMPLATES):
+        m = rn.render_messages(m, name).withColumnsRenamed({"prompt": f"_p{k}", "tail": f"_t{k}"})
+        shown.append(F.struct(F.lit(name).alias("template"), F.col(f"_p{k}").alias("prompt"), F.col(f"_t{k}").alias("tail")))
+    return m.select("sample_id", "turn", "role", F.inline(F.array(*shown)))
 
 
 def sub_role_messages(spark, d):
