@@ -12,7 +12,11 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Template:
-    """Turn 0: system + instruction, [output + suffix], sep; later turns without system."""
+    """How one exchange is written.
+
+    ``instruction`` frames the question, ``system`` stands before it where the exchange brings a system text,
+    ``suffix`` closes the answer (and takes the place of EOS if ``suffix_as_eos``), ``sep`` parts exchanges.
+    """
 
     instruction: str
     system: str | None = None
