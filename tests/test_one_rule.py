@@ -1,5 +1,6 @@
 """Both forms of an operator give the same rows: null texts, null system texts, unknown roles, rejects, any chunk size."""
 
+import os
 import random
 
 import pytest
@@ -119,3 +120,23 @@ def test_content_keys_follow_the_bytes_alone(spark, tmp_path, monkeypatch):
         (tmp_path / name).write_bytes(data)
     keys = {r["path"][-1]: r["file_key"] for r in rd.content_keys(spark, str(tmp_path), "v").collect()}
     assert set(keys) == set("abc") and keys["a"] == keys["b"] != keys["c"]
+
+
+def test_staged_folders_end_with_their_block(spark, tmp_path):
+    from turnmill.session import fresh_path, stage, staging
+    kept = fresh_path(spark, "kept")
+    with staging(spark):
+        df = stage(spark.range(5), "inner")
+        inner = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+        df.write.parquet(kept)
+        assert os.path.isdir(inner)
+    assert not os.path.exists(inner) and spark.read.parquet(kept).count() == 5
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from turnmill.session import shared_dir
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(cluster)

@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _LOCAL: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def build_session(app: str = "turnmill", master: str | None = None, shuffle_partitions: int | None = None,
@@ -51,7 +54,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/turnmill/{label}-{uuid.uuid4().hex[:12]}"
+    """A new folder name below the shared folder; the innermost ``staging`` block owns it."""
+    path = f"{shared_dir(spark)}/turnmill/{label}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
+    return path
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Removes the folders that are made inside, when the block ends.
+
+    What is to outlive the block must have been written to a folder named before it.  Tables staged outside any block
+    stay until their folder is dropped.
+    """
+    mark = len(_MADE)
+    try:
+        yield
+    finally:
+        conf = spark._jsc.hadoopConfiguration()
+        for path in _MADE[mark:]:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+        del _MADE[mark:]
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
