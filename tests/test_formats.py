@@ -115,3 +115,16 @@ def test_dialogues_with_unknown_roles_are_rejects_in_both_forms(spark):
         assert rows(fm.pair_turns(df, chunk=chunk), "sample_id", "input", "output") == [(1, "q", "a")]
         assert rows(encode_dialogues(df, "default", max_length=9, chunk=chunk), "sample_id") == [(1,)]
     assert rows(fm.unknown_roles(df), "sample_id", "role") == [(2, "narrator")]
+
+
+def test_official_keys_and_bare_lists(spark):
+    message = "struct<role:string,content:string>"
+    said = [("user", "q"), ("assistant", "a")]
+    keyed = spark.createDataFrame([(1, said, None, None), (2, None, said, None), (3, None, None, said)],
+                                  f"id int, messages array<{message}>, message_data array<{message}>, dialogs array<{message}>")
+    bare = spark.createDataFrame([(1, said)], f"id int, record array<{message}>")
+    for df, n in ((keyed, 3), (bare, 1)):
+        got = fm.normalise(df, "openai").selectExpr("id", "inline(conversation)").collect()
+        assert [(r["id"], r["input"], r["output"]) for r in sorted(got)] == [(k + 1, "q", "a") for k in range(n)]
+    with pytest.raises(ValueError):
+        fm.normalise(spark.range(1), "openai")

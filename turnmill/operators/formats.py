@@ -171,13 +171,19 @@ def llava_image_only(df: DataFrame) -> DataFrame:
 
 
 def openai(df: DataFrame) -> DataFrame:
-    """``messages``, else ``message_data``, else ``dialogs``; ``loss`` is optional."""
-    name = next((n for n in ("messages", "message_data", "dialogs") if n in df.columns), None)
-    if name is None:
-        raise ValueError("openai format needs a messages, message_data or dialogs column")
-    has_loss = "loss" in df.schema[name].dataType.elementType.names
+    """Per record ``messages``, else ``message_data``, else ``dialogs``; ``loss`` is optional.
+
+    A table with none of these columns holds bare lists: its one column of message lists is taken.
+    """
+    names = [n for n in ("messages", "message_data", "dialogs") if n in df.columns]
+    if not names:
+        names = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)
+                 and {"role", "content"} <= set(f.dataType.elementType.names)]
+        if len(names) != 1:
+            raise ValueError("openai format needs messages, message_data or dialogs, or one column of message lists")
+    has_loss = "loss" in df.schema[names[0]].dataType.elementType.names
     return df.withColumn("conversation", pair_messages(
-        F.col(name), role="role", text="content", human="user", model="assistant", system="system",
+        F.coalesce(*[F.col(n) for n in names]), role="role", text="content", human="user", model="assistant", system="system",
         loss="loss" if has_loss else None))
 
 

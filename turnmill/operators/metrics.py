@@ -48,11 +48,15 @@ def circular_hits(predictions: DataFrame, answers: DataFrame, base: int = 1_000_
     Variants of a question share ``index % base``; the question reports under its own row
     (``index < base``).
     """
-    said = F.regexp_extract(F.col("prediction"), "([A-D]+)", 1)
-    judged = predictions.join(answers.select("index", "answer"), "index")
-    per = judged.groupBy((F.col("index") % base).alias("question")).agg(
-        F.min((said == F.col("answer")).cast("int")).alias("hit"),
-        F.bool_or(F.col("index") < base).alias("_main"))
+    question, none = (F.col("index") % base).alias("question"), F.lit(None).cast("string")
+    said = F.coalesce(F.regexp_extract(F.col("prediction"), "([A-D]+)", 1), F.lit(""))
+    # Dealt by question once: variants are matched and questions judged where they are.
+    both = predictions.select(question, "index", said.alias("_said"), none.alias("_answer")).unionByName(
+        answers.select(question, "index", none.alias("_said"), F.col("answer").alias("_answer"))).repartition("question")
+    matched = both.groupBy("question", "index").agg(F.min("_said").alias("_low"), F.max("_said").alias("_high"), F.max("_answer").alias("_answer"))
+    hit = (F.col("_low") == F.col("_answer")) & (F.col("_high") == F.col("_answer"))
+    per = matched.where("_low is not null and _answer is not null").groupBy("question").agg(
+        F.min(hit.cast("int")).alias("hit"), F.bool_or(F.col("index") < base).alias("_main"))
     return per.where("_main").select("question", "hit")
 
 

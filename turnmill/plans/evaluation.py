@@ -12,7 +12,8 @@ from turnmill.operators.order import dedup_split, int_div
 from turnmill.plans import inputs, sql
 from turnmill.plans.inputs import six
 from turnmill.plans.registry import query
-from turnmill.session import spread, stage
+from turnmill.session import fresh_path, spread, stage
+from turnmill.sources.sinks import write_report
 
 _SUBJECT_LIST = list(catalog.SUBJECTS)
 
@@ -89,6 +90,23 @@ def circular_eval(spark, d):
     return mt.circular_accuracy(predictions, questions, base=_BASE).withColumn("accuracy", six("accuracy"))
 
 
+@query("report_files", f"""
+WITH {_CIRC}, a AS (SELECT ability, count(*) AS n, round(avg(hit), 6) AS accuracy FROM m GROUP BY ability)
+SELECT 'metric' AS kind, ability AS name, CAST(n AS BIGINT) AS n, CAST(accuracy AS DOUBLE) AS "value" FROM a
+UNION ALL SELECT 'metric', 'Average', count(*), round(avg(hit), 6) FROM m
+UNION ALL SELECT 'result', CAST(question AS VARCHAR), 1, CAST(hit AS DOUBLE) FROM m""")
+def report_files(spark, d):
+    """A result table and a metrics file, written as JSON lines and read back."""
+    predictions, questions = _circular(spark, d)
+    results, metrics = fresh_path(spark, "results"), fresh_path(spark, "metrics")
+    write_report(mt.circular_hits(predictions, questions, _BASE), results)
+    write_report(mt.circular_accuracy(predictions, questions, base=_BASE), metrics)
+    back = spark.read.schema("question long, hit int").json(results).select(
+        F.lit("result").alias("kind"), F.col("question").cast("string").alias("name"), F.lit(1).cast("long").alias("n"), F.col("hit").cast("double").alias("value"))
+    return back.unionByName(spark.read.schema("ability string, n long, accuracy double").json(metrics).select(
+        F.lit("metric").alias("kind"), F.col("ability").alias("name"), "n", six("accuracy").alias("value")))
+
+
 @query("circular_hits", f"WITH {_CIRC} SELECT question, CAST(hit AS INTEGER) AS hit FROM m")
 def circular_hits(spark, d):
     predictions, questions = _circular(spark, d)

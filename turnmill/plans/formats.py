@@ -127,8 +127,10 @@ WITH {sql.TURNS}
 SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY turn_no) - 1 AS turn_no, system, input, output,
        output_with_loss FROM turns""")
 def fmt_openai(spark, d):
-    """Array form: the message list of one record is folded in place, without a shuffle."""
-    df = fm.normalise(inputs.message_lists(spark, d), "openai")
+    """Array form, the list under one of three keys: it is folded in place, without a shuffle."""
+    lists, key = inputs.message_lists(spark, d), F.col("sample_id") % 3
+    df = fm.normalise(lists.select("sample_id", *[F.when(key == k, F.col("messages")).alias(name) for k, name in enumerate(
+        ("message_data", "dialogs", "messages"))]), "openai")
     return df.select("sample_id", F.posexplode("conversation").alias("turn_no", "t")).select(
         "sample_id", F.col("turn_no").cast("long").alias("turn_no"), F.col("t.system").alias("system"),
         F.col("t.input").alias("input"), F.col("t.output").alias("output"),
