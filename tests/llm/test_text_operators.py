@@ -226,7 +226,7 @@ def test_allocation_is_the_fixed_point_of_resharing(spark):
 def test_mix_takes_about_the_target_and_sorts_by_position(spark):
     texts = [" ".join("w" for _ in range(5 + k % 40)) for k in range(900)] + [None, "", "solo"]
     df = documents(spark, texts, ("x", "x", "x", "y", None, "z"), extra="1 AS size")
-    plan = curriculum.plan(df).collect()
+    plan = curriculum.plan(df, keep=("doc_id", "source")).collect()
     assert len(plan) == len(texts)
     by = collections.defaultdict(list)
     for r in plan:

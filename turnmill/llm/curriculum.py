@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import small, stage
+from turnmill.llm.common import by_range, range_cuts, range_of, small, stage
 from turnmill.operators.order import md5_bucket, running, shuffle_key
 
 WEIGHTS = (3, 1, 2)
@@ -29,6 +29,8 @@ MAX_COPIES = 2
 SCHEDULES = ((2.0, 1.0, 0.0), (1.0, 1.0, 1.0), (0.0, 1.0, 2.0))
 BUCKET_ROWS = 2_000
 SEED = 9
+# Words in a range of the sorted mix.
+RANGE_WORDS = 2_000_000
 
 
 def n_words(text: Column) -> Column:
@@ -72,24 +74,28 @@ def time_of(share: Column, schedule: Column) -> Column:
     return F.least((piece + F.when(under > 0, 2 * rest / under * m).otherwise(0.0)) / m, F.lit(1.0))
 
 
-def plan(documents: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
-         schedules: Sequence[Sequence[float]] = SCHEDULES, seed: int = SEED) -> DataFrame:
-    """``(rec, size, source_size, target, taken, positions)``, one row per document; ``rec`` holds its columns.
+def _rows(documents: DataFrame, keep: Sequence[str], seed: int) -> DataFrame:
+    """``rec`` (the columns to keep), source key, size, and the place in the seeded order."""
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("all"))
+    return whole.select(F.struct(*[F.col("all")[c].alias(c) for c in keep]).alias("rec"), F.col("all")["source"].alias("source"),
+                        source_key(F.col("all")["source"]).alias("key"), n_words(F.col("all")["text"]).alias("size"),
+                        shuffle_key(F.col("all")["doc_id"], seed=seed).alias("at"), F.xxhash64(F.col("all")["text"]).alias("tie"))
 
-    ``positions`` are the training positions of the copies used, so its size is their number.
-    """
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("rec")).select(
-        "rec", source_key(F.col("rec.source")).alias("key"), n_words(F.col("rec.text")).alias("size"),
-        shuffle_key("rec.doc_id", seed=seed).alias("at"), F.xxhash64("rec.text").alias("tie"))
-    sources = stage(rows.groupBy("key").agg(F.first(F.col("rec.source")).alias("source"), F.sum("size").alias("source_size"),
+
+def _targets(rows: DataFrame, weights: Sequence[int], share: float, schedules: Sequence[Sequence[float]]) -> tuple[DataFrame, int]:
+    """``(key, source_size, target, shape)`` per source, and the digits that cut the seeded order in short buckets."""
+    sources = stage(rows.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"),
                                             F.count(F.lit(1)).alias("n")), "mix-sources")
     total = sources.agg(F.sum("n")).first()[0] or 0
     digits = 1
     while digits < 8 and 16 ** digits * BUCKET_ROWS < total:
         digits += 1
-    shapes = F.lit([list(map(float, s)) for s in schedules])
-    targets = stage(allocate(sources, weights, share).withColumn("shape", F.element_at(shapes, F.col("rank") % len(schedules) + 1)).select(
-        "key", "source_size", "target", "shape"), "mix-targets")
+    shape = F.element_at(F.lit([list(map(float, s)) for s in schedules]), F.col("rank") % len(schedules) + 1)
+    found = allocate(sources, weights, share).select("key", "source_size", "target", shape.alias("shape"))
+    return stage(found, "mix-targets"), digits
+
+
+def _place(rows: DataFrame, targets: DataFrame, digits: int) -> DataFrame:
     placed = running(rows, order=["at", "tie", "size"], bucket=md5_bucket("at", digits), keys=["key"], sums={"before": F.col("size")})
     aimed = placed.join(small(targets), "key")
     middle = F.transform(F.sequence(F.lit(0), F.lit(MAX_COPIES - 1)), lambda c: F.col("before") + F.col("size") / 2 + c * F.col("source_size"))
@@ -99,7 +105,30 @@ def plan(documents: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
                         positions.alias("positions"))
 
 
-def mix(documents: DataFrame, **options) -> DataFrame:
-    """The documents in training order: all their columns, each row once per copy used, range-sorted by position."""
-    copies = plan(documents, **options).select("rec", "at", F.posexplode("positions").alias("copy", "position"))
-    return copies.orderBy("position", "at", "copy").select("rec.*")
+def plan(documents: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
+         schedules: Sequence[Sequence[float]] = SCHEDULES, seed: int = SEED, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``(rec, size, source_size, target, taken, positions)``, one row per document; ``rec`` holds the columns to keep.
+
+    ``positions`` are the training positions of the copies used, so its size is their number.  Texts are read once;
+    all else works on the short rows written then.
+    """
+    rows = stage(_rows(documents, keep, seed), "mix-sizes")
+    return _place(rows, *_targets(rows, weights, share, schedules))
+
+
+def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
+        schedules: Sequence[Sequence[float]] = SCHEDULES, seed: int = SEED) -> DataFrame:
+    """The documents in training order: all their columns, each row once per copy used, range-sorted by position.
+
+    The ranges are cut on a plan without texts, so that the documents themselves are placed and sorted once: one shuffle
+    to their place in the source's order, one to their range.
+    """
+    short = stage(_rows(documents, ("doc_id",), seed), "mix-sizes")
+    targets, digits = _targets(short, weights, share, schedules)
+    ticks = lambda position: F.floor(position * float(1 << 40)).cast("long")
+    used = stage(_place(short, targets, digits).select(F.explode("positions").alias("position"), "size").select(
+        ticks(F.col("position")).alias("tick"), (F.col("size") + 1).alias("weight")), "mix-positions")
+    cuts = range_cuts(used, "tick", "weight", RANGE_WORDS)
+    copies = _place(_rows(documents, documents.columns, seed), targets, digits).select("rec", "at", F.posexplode("positions").alias("copy", "position"))
+    ranged = by_range(copies.withColumn("range", range_of(ticks(F.col("position")), cuts)), "range", cuts, "position", "at", "copy")
+    return ranged.select("rec.*")

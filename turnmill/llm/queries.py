@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.llm import chat, curriculum, decontaminate, host_rules, language, planes, quality, shards, simhash, sql, warc
-from turnmill.llm.common import read_only_columns, table
+from turnmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,8 +78,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_curriculum", sql.OP9)
 def op9_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.plan(read_only_columns(table(spark, sf_dir, "documents"), "doc_id", "source", "text")).select(
-        "rec.doc_id", "size", "source_size", "target", "taken")
+    return curriculum.plan(table(spark, sf_dir, "documents")).select("rec.doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op10_chat_repair")
