@@ -25,7 +25,10 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from contextlib import suppress
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +44,12 @@ SHARD_BYTES = 16 << 20
 LEVEL = 3
 END_ID = 2
 SPECIAL = "<|endoftext|>"
-# Entries of a worker's unit cache; beyond that it starts anew, which costs time but changes no id.
-CACHE = 400_000
+# Entries of a worker's unit cache, half of them the older ones that are dropped next; its size changes no id.
+CACHE = 1_000_000
 # Letters below this code point are letters in every Unicode version.
 LATIN_END = "\u0250"
+# ASCII characters that are neither letters, digits nor white space.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 # ---- ids of a text -------------------------------------------------------------------------------------------------
@@ -60,38 +65,59 @@ class Units(dict):
     """Ids, as bytes, of the stretches of a text between single spaces; filled on demand, bounded.
 
     In byte-level vocabularies that split at a blank before a word, a space between two non-blank characters is always a
-    boundary, so a text's ids are those of its stretches.  Plain words go straight to the model; every other stretch goes
-    through the whole tokenizer.  ``None`` marks a stretch that touches other white space: its text is encoded whole.
+    boundary, and so are the edge between a word and the signs behind it and a single line feed between non-blanks.  A
+    text's ids are those of its stretches.  Words and signs go straight to the model; every other stretch goes through the
+    whole tokenizer.  ``None`` marks a stretch that touches other white space: its text is encoded whole.
     """
 
-    def __init__(self, tokenizer, lead: str, dtype) -> None:
+    def __init__(self, tokenizer, lead: str, dtype, bare: Units | None = None) -> None:
         super().__init__()
         self.tokenizer, self.lead, self.dtype = tokenizer, lead, dtype
         self.model, self.letters = tokenizer.model, byte_letters()
+        self.blank, self.code = chr(self.letters[32]), "H" if dtype.itemsize == 2 else "I"
+        self.bare = self if bare is None else bare
+        self.older: dict[str, bytes | None] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def word(self, text: str) -> bytes:
-        letters = (self.lead + text).encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(letters)], self.dtype).tobytes()
+    def piece(self, text: str) -> bytes:
+        """Ids of a text that the tokenizer does not cut before its model."""
+        if text.isalpha() and text.isascii():
+            letters = text
+        elif text[0] == " " and text[1:].isalpha() and text.isascii():
+            letters = self.blank + text[1:]
+        else:
+            letters = text.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def __missing__(self, unit: str) -> bytes | None:
-        if len(self) >= CACHE:
+        if len(self) >= CACHE // 2:
+            self.older = dict(self)
             self.clear()
-        if not unit or unit[0].isspace() or unit[-1].isspace():
-            found = None
-        elif unit.isalpha() and max(unit) < LATIN_END:
-            found = self.word(unit)
-        elif len(unit) > 1 and unit[-1] in ".,!" and unit[:-1].isalpha() and max(unit) < LATIN_END:
-            found = self[unit[:-1]] + self.mark(unit[-1])
-        else:
-            found = self.encode(self.lead + unit)
+        found = self.older.get(unit)
+        if found is None:
+            if unit.isalpha():
+                found = self.piece(self.lead + unit) if unit.isascii() or max(unit) < LATIN_END else self.encode(self.lead + unit)
+            elif unit and not unit[0].isspace() and not unit[-1].isspace():
+                found = self.cut(unit)
         self[unit] = found
         return found
 
-    def mark(self, sign: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(sign)], self.dtype).tobytes()
+    def cut(self, unit: str) -> bytes:
+        word = unit.rstrip(SIGNS)
+        if word.isalpha():
+            return self[word] + self.bare[unit[len(word):]]
+        if not word:
+            return self.piece(self.lead + unit)
+        lines = unit.split("\n")
+        if len(lines) > 1 and all(part and not part[0].isspace() and not part[-1].isspace() for part in lines):
+            return b"".join([self[lines[0]], *(part for line in lines[1:] for part in (self.line_feed, self.bare[line]))])
+        return self.encode(self.lead + unit)
+
+    @cached_property
+    def line_feed(self) -> bytes:
+        return self.piece("\n")
 
 
 class Encoder:
@@ -105,7 +131,8 @@ class Encoder:
         before = kind.get("pre_tokenizer") or {}
         self.by_units = (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
                          and kind["model"]["type"] == "BPE" and not kind.get("normalizer") and not kind["model"].get("dropout"))
-        self.first, self.rest = Units(self.tokenizer, "", self.dtype), Units(self.tokenizer, " ", self.dtype)
+        self.first = Units(self.tokenizer, "", self.dtype)
+        self.rest = Units(self.tokenizer, " ", self.dtype, self.first)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -113,9 +140,9 @@ class Encoder:
         if self.by_units and SPECIAL not in text:
             units = text.split(" ")
             head = self.first[units[0]]
-            tail = [self.rest[u] for u in units[1:]] if head is not None else [None]
-            if None not in tail:
-                return head + b"".join(tail)
+            del units[0]
+            with suppress(TypeError):  # a stretch without ids of its own
+                return head + b"".join(map(self.rest.__getitem__, units))
         return self.first.encode(text)
 
 
