@@ -157,8 +157,10 @@ def classes(documents: DataFrame, hot: int = HOT) -> DataFrame:
 def representatives(documents: DataFrame) -> DataFrame:
     """One document of each group, with all its columns: the one with the smallest doc_id.
 
-    Of rows that share that id, one is kept.
+    Of rows that share that id, one is kept; texts are shuffled for that only if such rows are counted.
     """
-    keep = stage(classes(documents).select(F.col("component_id").alias("keep")).distinct(), "simhash-keep")
+    found = stage(classes(documents).select("doc_id", F.col("component_id").alias("keep")), "simhash-classes")
+    keep = stage(found.select("keep").distinct(), "simhash-keep")
     one = documents.join(small(keep), documents["doc_id"].eqNullSafe(keep["keep"]), "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    repeated = found.where(F.col("doc_id").eqNullSafe(F.col("keep"))).count() > keep.count()
+    return one.dropDuplicates(["doc_id"]) if repeated else one
