@@ -123,6 +123,17 @@ def dealt(manifest: DataFrame) -> DataFrame:
     return manifest.repartition(max(1, min(files, 1 << 15)))
 
 
+def about(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows with the smallest hashes ``h`` of ``key``, about ``2 n`` of them (all, if there are no more).
+
+    A bound on the hash, from the counted rows, is a filter that every task applies alone, so that a sample of ``n``
+    rows taken from the result sends no more than about ``2 n`` rows to the driver, however many tasks there are.
+    """
+    hashed = df.withColumn("h", F.pmod(F.xxhash64(key), F.lit(1 << 32)))
+    rows = df.count()
+    return hashed if rows <= 2 * n else hashed.where(F.col("h") < int(2 * n / rows * (1 << 32)))
+
+
 def learns(doc_id: str = "doc_id") -> Column:
     """Whether labels of a row may be learned: crc32 of the id's text modulo 4 is not 2 (null ids: never)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2, F.lit(False))

@@ -4,8 +4,8 @@ A text is read as UTF-8 in windows of ``WINDOW`` bytes.  One gated recurrent lay
 window; a softmax over both states labels every position, and a document's probability of a language is the mean over all
 of its positions.  All bytes of all windows count; the last window is padded and its padding is masked.
 
-Training takes a bounded sample of labelled rows (``SAMPLE_DOCS``, the smallest hashes of the id): whole texts of the
-sample are read by the driver, at most ``SAMPLE_DOCS * SAMPLE_BYTES`` bytes.  Scoring runs in Spark over all rows.
+Training takes a bounded sample of labelled rows (``SAMPLE_DOCS``, the smallest hashes of the id, with texts of at most
+``SAMPLE_BYTES``): whole texts of the sample are read by the driver, at most ``SAMPLE_DOCS * SAMPLE_BYTES`` bytes.  Scoring runs in Spark over all rows.
 
 Null texts and texts without a letter get ``und`` and score 0, and so does every text if no row has a label.  Equal texts get
 equal predictions.  An empty table gives an empty table.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import held_out, learns, read_only_columns, slices
+from turnmill.llm.common import about, held_out, learns, read_only_columns, slices
 
 WINDOW = 48
 HIDDEN = 8
@@ -233,11 +233,11 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
 def fit(documents: DataFrame, docs: int = SAMPLE_DOCS) -> Model | None:
     """Train on at most ``docs`` labelled rows outside the held-out part, those with the smallest hash of the id.
 
-    Texts longer than ``SAMPLE_BYTES`` characters give that many to the training alone; they are scored whole.
+    Rows whose text is longer than ``SAMPLE_BYTES`` are not in the sample; they are scored like all others.
     """
-    known = read_only_columns(documents, "doc_id", "text", "lang").where(learns() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = known.select("doc_id", "lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.xxhash64("doc_id").alias("h"),
-                          F.xxhash64("text").alias("tie")).orderBy("h", "tie", "lang").limit(docs).collect()
+    known = read_only_columns(documents, "doc_id", "text", "lang").where(
+        learns() & F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
+    sample = about(known, "doc_id", docs).select("lang", "text", "h", F.xxhash64("text").alias("tie")).orderBy("h", "tie", "lang").limit(docs).collect()
     usable = [(r["text"], r["lang"]) for r in sample if has_letter(r["text"])]
     return train([t for t, _ in usable], [y for _, y in usable])
 
@@ -256,10 +256,10 @@ def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(documents: DataFrame, least: float = 0.3) -> DataFrame:
+def accepted(documents: DataFrame, least: float = 0.0) -> DataFrame:
     """The documents with all their columns, but for those without a language or with a score below ``least``.
 
-    The verdict is taken on the row itself, in the pass that scores it, so there is no join.
+    Scores of short clean texts can be low, so by default only texts without a language go.  The verdict is taken on the row itself, in the pass that scores it, so there is no join.
     """
     model = fit(documents)
     schema = documents.schema

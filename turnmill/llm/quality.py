@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import held_out, learns, read_only_columns, slices, stage, worker_state
+from turnmill.llm.common import about, held_out, learns, read_only_columns, slices, stage, worker_state
 
 LETTER_SLOTS = 1 << 14
 SHAPE_SLOTS = 1 << 10
@@ -197,7 +197,7 @@ def fit(documents: DataFrame, labels: DataFrame, docs: int = SAMPLE_DOCS) -> Mod
     """Word vectors from all documents; the network from at most ``docs`` labels outside the held-out part."""
     vectors = word_vectors(documents)
     known = read_only_columns(labels, "doc_id", "quality").where(learns() & F.col("quality").isNotNull())
-    sample = stage(known.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label"), F.xxhash64("doc_id").alias("h")).orderBy(
+    sample = stage(about(known, "doc_id", docs).select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label"), "h").orderBy(
         "h", "label").limit(docs), "quality-sample")
     texts = read_only_columns(documents, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
     # At most ``docs`` rows.
