@@ -6,10 +6,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from conftest import rows
 
-from turnmill.llm import curriculum, decontaminate, host_rules, simhash
+from turnmill.llm import curriculum, decontaminate, host_rules, queries, simhash
 from turnmill.llm.components import components
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -244,6 +245,36 @@ def test_mix_takes_about_the_target_and_sorts_by_position(spark):
         (r["rec"]["doc_id"], r["positions"]) for r in plan)
 
 
+def test_query_rows_come_from_the_sorted_mix(spark, tmp_path, monkeypatch):
+    texts = [" ".join("w" for _ in range(5 + k % 40)) for k in range(600)] + [None, "", "solo"]
+    df = documents(spark, texts + texts[:30], ("x", "x", "x", "y", None, "z"))
+    df = df.unionByName(df.limit(20))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(curriculum, "RANGE_WORDS", 2_000)
+    staged, put = {}, curriculum.stage
+
+    def spy(df, label):
+        out = put(df, label)
+        staged.setdefault(label, out)
+        return out
+    monkeypatch.setattr(curriculum, "stage", spy)
+    got = queries.QUERIES["op9_curriculum"](spark, str(tmp_path))
+    want = curriculum.plan(df)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("rec.doc_id", "size", "source_size", "target", "taken").collect()))
+    files = sorted(f.removeprefix("file://") for f in staged["mix-order"].inputFiles())
+    order = [r for f in files for r in pq.read_table(f).to_pylist()]
+    positions = [r["position"] for r in order]
+    assert len(files) > 3 and positions == sorted(p for r in want.collect() for p in r["positions"])
+    # Early and late sources: the first has spent three quarters of its words by half time, the third one quarter.
+    for key, part in (("=x", 0.75), ("=y", 0.5), ("=z", 0.25)):
+        of = [r for r in order if r["key"] == key]
+        assert sum(r["size"] for r in of if r["position"] < 0.5) / sum(r["size"] for r in of) == pytest.approx(part, abs=0.05)
+    flat = curriculum.dealt(df, schedules=((1.0, 1.0),)).select("rec.doc_id", "taken", "positions").collect()
+    assert sorted((r["doc_id"], r["taken"]) for r in flat) == sorted((r["doc_id"], r["taken"]) for r in got.collect())
+    assert sorted(p for r in flat for p in r["positions"]) != positions
+    assert curriculum.dealt(df.limit(0)).count() == 0
+
+
 def test_positions_invert_the_integral(spark):
     shapes = [[2.0, 1.0, 0.0], [1.0, 1.0], [0.0, 1.0, 2.0], [0.0, 3.0, 0.0, 1.0]]
     grid = [k / 50 for k in range(50)]

@@ -96,12 +96,12 @@ def _targets(rows: DataFrame, weights: Sequence[int], share: float, schedules: S
 
 
 def _place(rows: DataFrame, targets: DataFrame, digits: int) -> DataFrame:
-    placed = running(rows, order=["at", "tie", "size"], bucket=md5_bucket("at", digits), keys=["key"], sums={"before": F.col("size")})
+    placed = running(rows, order=["at", "tie", "size"], bucket=md5_bucket("at", digits), keys=["key"], index="nth", sums={"before": F.col("size")})
     aimed = placed.join(small(targets), "key")
     middle = F.transform(F.sequence(F.lit(0), F.lit(MAX_COPIES - 1)), lambda c: F.col("before") + F.col("size") / 2 + c * F.col("source_size"))
     used = F.filter(middle, lambda at: at < F.col("target"))
     positions = F.transform(used, lambda at: time_of(at / F.col("target"), F.col("shape")))
-    return aimed.select("rec", "at", "size", "source_size", "target", (F.size(used) * F.col("size")).cast("long").alias("taken"),
+    return aimed.select("key", "nth", "rec", "at", "size", "source_size", "target", (F.size(used) * F.col("size")).cast("long").alias("taken"),
                         positions.alias("positions"))
 
 
@@ -113,7 +113,40 @@ def plan(documents: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
     all else works on the short rows written then.
     """
     rows = stage(_rows(documents, keep, seed), "mix-sizes")
-    return _place(rows, *_targets(rows, weights, share, schedules))
+    return _place(rows, *_targets(rows, weights, share, schedules)).drop("key", "nth", "at")
+
+
+def _ticks(position: Column) -> Column:
+    return F.floor(position * float(1 << 40)).cast("long")
+
+
+def _cuts(copies: DataFrame) -> list[int]:
+    """Range cuts of the training positions; ``copies`` (position, size) has one row per copy."""
+    used = stage(copies.select(_ticks(F.col("position")).alias("tick"), (F.col("size") + 1).alias("weight")), "mix-positions")
+    return range_cuts(used, "tick", "weight", RANGE_WORDS)
+
+
+def _sorted(copies: DataFrame, cuts: list[int]) -> DataFrame:
+    """``copies`` (with position, at, copy) in training order, one partition per range of positions."""
+    return by_range(copies.withColumn("range", range_of(_ticks(F.col("position")), cuts)), "range", cuts, "position", "at", "copy")
+
+
+def dealt(documents: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
+          schedules: Sequence[Sequence[float]] = SCHEDULES, seed: int = SEED, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The rows of ``plan``, taken from the mix itself: its short rows are sorted by position and staged as ``mix-order``.
+
+    ``taken`` and ``positions`` (ascending) are counted from the sorted copies; documents that are not in the mix are
+    added without copies.  A document is known by its source and its place ``nth`` in the source's order.
+    """
+    rows = stage(_rows(documents, keep, seed), "mix-sizes")
+    planned = stage(_place(rows, *_targets(rows, weights, share, schedules)).drop("taken"), "mix-plan")
+    whole = ["rec", "size", "source_size", "target"]
+    copies = planned.select("key", "nth", "at", *whole, F.posexplode("positions").alias("copy", "position"))
+    order = stage(_sorted(copies, _cuts(copies)).drop("range"), "mix-order")
+    used = order.groupBy("key", "nth").agg(*[F.first(c).alias(c) for c in whole], F.sum("size").cast("long").alias("taken"),
+                                           F.array_sort(F.collect_list("position")).alias("positions")).drop("key", "nth")
+    unused = planned.where(F.size("positions") == 0).select(*whole, F.lit(0).cast("long").alias("taken"), "positions")
+    return used.unionByName(unused)
 
 
 def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
@@ -125,10 +158,6 @@ def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     """
     short = stage(_rows(documents, ("doc_id",), seed), "mix-sizes")
     targets, digits = _targets(short, weights, share, schedules)
-    ticks = lambda position: F.floor(position * float(1 << 40)).cast("long")
-    used = stage(_place(short, targets, digits).select(F.explode("positions").alias("position"), "size").select(
-        ticks(F.col("position")).alias("tick"), (F.col("size") + 1).alias("weight")), "mix-positions")
-    cuts = range_cuts(used, "tick", "weight", RANGE_WORDS)
+    cuts = _cuts(_place(short, targets, digits).select(F.explode("positions").alias("position"), "size"))
     copies = _place(_rows(documents, documents.columns, seed), targets, digits).select("rec", "at", F.posexplode("positions").alias("copy", "position"))
-    ranged = by_range(copies.withColumn("range", range_of(ticks(F.col("position")), cuts)), "range", cuts, "position", "at", "copy")
-    return ranged.select("rec.*")
+    return _sorted(copies, cuts).select("rec.*")

@@ -78,7 +78,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_curriculum", sql.OP9)
 def op9_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.plan(table(spark, sf_dir, "documents")).select("rec.doc_id", "size", "source_size", "target", "taken")
+    return curriculum.dealt(table(spark, sf_dir, "documents")).select("rec.doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op10_chat_repair")
