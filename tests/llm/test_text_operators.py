@@ -114,6 +114,18 @@ def test_classes_match_plain_version(spark):
     assert simhash.representatives(df.unionByName(df)).count() == len(kept)
 
 
+def test_representatives_of_null_and_repeated_ids(spark):
+    text = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(9)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (None, text[2]), (4, text[2]),  # groups of null ids, and one with an id
+            (5, text[3]), (9, text[3].upper()), (5, text[4]), (8, text[4].upper()),  # one id, the smallest of two groups
+            (7, text[5]), (7, text[6]), (3, text[6].upper()), (6, text[7]), (6, text[7])]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, text_hash int")
+    out = simhash.representatives(df)
+    assert out.columns == df.columns
+    want = [(None, text[0]), (None, text[1]), (4, text[2]), (5, text[3]), (5, text[4]), (7, text[5]), (3, text[6].upper()), (6, text[7])]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("hot", [1, 2, 16, 256])
 def test_links_are_complete_whatever_is_refined(spark, hot):
     rng = np.random.default_rng(3)

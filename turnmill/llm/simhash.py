@@ -55,14 +55,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` of every row; ``fp`` is the fingerprint as a signed long."""
+    """``(doc_id, fp, text_hash)`` of every row; ``fp`` is the fingerprint as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             values = np.array([fingerprint(t) for t in batch["text"].to_pylist()], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(values)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(values), batch["text_hash"]], ["doc_id", "fp", "text_hash"])
 
-    rows = read_only_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = read_only_columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def _piece(fp: Column, shift: int, width: int) -> Column:
@@ -135,13 +135,8 @@ def links(distinct: DataFrame, hot: int = HOT, bits: int = MAX_BITS) -> DataFram
     return found.distinct()
 
 
-def classes(documents: DataFrame, hot: int = HOT) -> DataFrame:
-    """``(doc_id, fp, component_id)`` of every row.
-
-    ``component_id`` is the smallest doc_id that a chain of links reaches, the row's own included; rows of equal
-    fingerprint are linked, empty texts too.  Null ids take part but are never the smallest (a component of null ids alone
-    has a null id).  Repeated rows stay repeated; an empty table gives an empty table.
-    """
+def rooted(documents: DataFrame, hot: int = HOT) -> DataFrame:
+    """``(doc_id, fp, text_hash, root, component_id)`` of every row; ``root`` names the component, also one of null ids alone."""
     rows = stage(fingerprints(documents), "simhash-rows")
     distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fingerprints")
     found = stage(links(distinct, hot), "simhash-links")
@@ -150,17 +145,29 @@ def classes(documents: DataFrame, hot: int = HOT) -> DataFrame:
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     # Only fingerprints of components with several members take part in the joins beyond their own class.
-    named = labelled.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = labelled.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "fp", "text_hash", "root", "component_id")
+
+
+def classes(documents: DataFrame, hot: int = HOT) -> DataFrame:
+    """``(doc_id, fp, component_id)`` of every row.
+
+    ``component_id`` is the smallest doc_id that a chain of links reaches, the row's own included; rows of equal
+    fingerprint are linked, empty texts too.  Null ids take part but are never the smallest (a component of null ids alone
+    has a null id).  Repeated rows stay repeated; an empty table gives an empty table.
+    """
+    return rooted(documents, hot).select("doc_id", "fp", "component_id")
 
 
 def representatives(documents: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns: the one with the smallest doc_id.
+    """One document of each group, with all its columns: the one with the smallest doc_id (null last), then text hash.
 
-    Of rows that share that id, one is kept; texts are shuffled for that only if such rows are counted.
+    A row is known by its id and the hash of its text, so that neither null ids nor one id on several texts mix groups up.
+    Of rows that share both, one is kept; texts are shuffled for that only if such rows are counted.
     """
-    found = stage(classes(documents).select("doc_id", F.col("component_id").alias("keep")), "simhash-classes")
-    keep = stage(found.select("keep").distinct(), "simhash-keep")
-    one = documents.join(small(keep), documents["doc_id"].eqNullSafe(keep["keep"]), "left_semi")
-    repeated = found.where(F.col("doc_id").eqNullSafe(F.col("keep"))).count() > keep.count()
-    return one.dropDuplicates(["doc_id"]) if repeated else one
+    found = stage(rooted(documents).select("doc_id", "text_hash", "root"), "simhash-classes")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
+    keep = stage(found.groupBy("root").agg(best).select(F.col("best.doc_id").alias("keep"), F.col("best.text_hash").alias("keep_hash")), "simhash-keep")
+    one = documents.join(small(keep), documents["doc_id"].eqNullSafe(keep["keep"]) & (F.xxhash64(documents["text"]) == keep["keep_hash"]), "left_semi")
+    copies = found.join(small(keep), found["doc_id"].eqNullSafe(keep["keep"]) & (found["text_hash"] == keep["keep_hash"]), "left_semi")
+    return one.dropDuplicates(["doc_id", "text"]) if copies.count() > keep.count() else one
