@@ -191,3 +191,21 @@ def test_parts_give_the_whole_dialogue(spark, part):
         assert part < 1000 or got[conv][0] == whole["rendered"]
         assert got[conv][0].endswith("<|end|>\n")
     assert chat.format_dialogues(df.limit(0), part).count() == 0
+
+
+def test_hot_dialogues_are_cut_by_messages(spark):
+    rng = random.Random(4)
+    data = [(None, rng.randint(0, 2), rng.choice(["system", "user", "assistant", None]), rng.choice(["a", "b", None])) for _ in range(300)]
+    data += [(7, None, "user", "x")] * 90 + [(8, 5000 * k, "user", "y") for k in range(4)]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(5)
+    out = sorted(chat.format_dialogues(df, 16).collect(), key=lambda r: r["part"])
+    assert max(r["n_messages"] for r in out) == 16 and sum(r["n_messages"] for r in out) == len(data)
+    key = lambda m: (m[1] is not None, m[1] or 0, m[2] is not None, m[2] or "", m[3] is not None, m[3] or "")
+    for conv, parts in ((None, 19), (7, 6), (8, 1)):
+        rows = sorted((d for d in data if d[0] == conv), key=key)
+        mine = [r for r in out if r["conv_id"] == conv]
+        whole = chat.render([d[2] for d in rows], [d[3] for d in rows])
+        assert [r["part"] for r in mine] == list(range(parts))
+        assert sum(r["cost"] for r in mine) == whole["cost"]
+        said = [line for line in "".join(r["rendered"] for r in mine).replace("<|end|>", "").split("\n") if line in ("a", "b", "x", "y")]
+        assert said == [d[3] for d in rows if d[3]]

@@ -8,7 +8,7 @@ Equal costs are settled by the order system, user, assistant of the state before
 agree.  The repaired dialogue is rendered as text.
 
 The cost of a stretch of messages is a table from state to state, and tables of neighbouring stretches combine.  Dialogues
-longer than ``PART`` turns are therefore repaired in parts: part tables are made in parallel, chained per dialogue (one
+of more than ``PART`` messages are therefore repaired in parts of so many: part tables are made in parallel, chained per dialogue (one
 short row per part), and every part is then rendered between the states that the best whole repair passes through.  The
 texts of a dialogue's parts, in order, are the text of the dialogue.
 
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.llm.common import read_only_columns, slices, small, stage
+from turnmill.operators.order import int_div, running
 
 ROLES = ("system", "user", "assistant")
 START = 3
@@ -35,6 +36,8 @@ LEGAL = {START: (0, 1), 0: (1,), 1: (2,), 2: (1,)}
 FINAL = 2
 MERGE, RELABEL, INSERT = 1, 3, 2
 PART = 4096
+# Leading characters of a text by which the messages of long dialogues are dealt to ranges.
+PREFIX = 1024
 NEVER = 1 << 40
 OPEN, END = "<|{}|>\n", "<|end|>\n"
 
@@ -196,26 +199,22 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
 def format_dialogues(conversations: DataFrame, part: int = PART) -> DataFrame:
     """One row per dialogue and part: counts of repairs, their cost, the turns' roles and the rendered text.
 
-    ``part`` is the number of turn numbers per part; dialogues within one part, the usual case, are one row.
+    ``part`` is the number of messages per part; dialogues of no more, the usual case, are one row.
     """
     messages = read_only_columns(conversations, "conv_id", "turn", "role", "text").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    # Null turns come first, in the first part of their dialogue.
-    numbered = messages.withColumn("part", F.floor(F.col("turn") / part).cast("long"))
-    spans = stage(numbered.groupBy("conv_id").agg(F.min("part").alias("first"), F.max("part").alias("final")), "chat-spans")
-    long = spans.where("final > first")
-    placed = numbered
+    long = stage(messages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part).select(F.col("conv_id").alias("conv")), "chat-long")
+    whole = {"part": F.lit(0).cast("long"), "pos": F.lit(0).cast("long"), "entry": F.lit(START), "leave": F.lit(None).cast("int"), "last": F.lit(True)}
     if long.isEmpty():
-        placed = numbered.withColumn("part", F.lit(0).cast("long")).withColumns(
-            {"entry": F.lit(START), "leave": F.lit(None).cast("int"), "last": F.lit(True)})
+        placed = messages.withColumns(whole)
     else:
-        named = spans.withColumnRenamed("conv_id", "conv")
-        spanned = numbered.join(small(named), numbered["conv_id"].eqNullSafe(named["conv"])).withColumn(
-            "part", F.when(F.col("final") > F.col("first"), F.coalesce("part", "first")).otherwise(F.lit(0).cast("long"))).drop("conv")
-        ways = stage(_ways(spanned.where("final > first")), "chat-ways").withColumnsRenamed({"conv_id": "conv", "part": "p"})
-        same = spanned["conv_id"].eqNullSafe(ways["conv"]) & (spanned["part"] == ways["p"])
-        placed = spanned.join(small(ways), same, "left").select(
-            "conv_id", "turn", "role", "text", "part", F.coalesce("entry", F.lit(START)).alias("entry"), "leave", F.coalesce("last", F.lit(True)).alias("last"))
+        named = small(long)
+        same = messages["conv_id"].eqNullSafe(named["conv"])
+        numbered = _numbered(messages.join(named, same, "left_semi"), part)
+        ways = stage(_ways(numbered), "chat-ways").withColumnsRenamed({"conv_id": "conv", "part": "p"})
+        known = numbered["conv_id"].eqNullSafe(ways["conv"]) & (numbered["part"] == ways["p"])
+        parts = numbered.join(small(ways), known).select("conv_id", "turn", "role", "text", "part", "pos", "entry", "leave", "last")
+        placed = messages.join(named, same, "left_anti").withColumns(whole).unionByName(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
@@ -228,11 +227,27 @@ def format_dialogues(conversations: DataFrame, part: int = PART) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_pylist(out, OUT)
 
-    ordered = placed.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "turn", "role", "text")
+    ordered = placed.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "pos", "turn", "role", "text")
     return ordered.mapInArrow(run, ", ".join(f"{f.name} {'string' if pa.types.is_string(f.type) else 'long'}" for f in OUT))
 
 
-def _ways(spanned: DataFrame) -> DataFrame:
+def _numbered(messages: DataFrame, part: int) -> DataFrame:
+    """The messages of long dialogues with their place ``pos`` in the order of turn, role and text, and their ``part``.
+
+    Rows are range-sorted by that order, whatever the dialogue, so a dialogue spreads over many ranges even if its turns
+    are null or repeated; equal messages, whose order is free, are dealt by a random number.  (Messages of one turn and
+    role whose texts share their first ``PREFIX`` characters, but are longer, stay in one range.)
+    """
+    prefix = F.substring("text", 1, PREFIX)
+    free = F.when(F.coalesce(F.length("text"), F.lit(0)) < PREFIX, F.rand(0)).otherwise(F.lit(0.0))
+    dealt = messages.withColumns({"prefix": prefix, "free": free}).repartitionByRange("conv_id", "turn", "role", "prefix", "free")
+    ranged = stage(dealt.drop("prefix", "free").withColumn("range", F.spark_partition_id().cast("long")).withColumn(
+        "key", F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))), "chat-ranges")
+    placed = running(ranged, order=["turn", "role", "text"], bucket=F.col("range"), keys=["key"], index="pos")
+    return placed.drop("range", "key").withColumn("part", int_div("pos", part))
+
+
+def _ways(numbered: DataFrame) -> DataFrame:
     """``(conv_id, part, entry, leave, last)`` of the parts of long dialogues."""
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv, number), rows in _groups(batches, ("conv_id", "part")):
@@ -246,8 +261,7 @@ def _ways(spanned: DataFrame) -> DataFrame:
                 [{"conv_id": conv, "part": r["part"], "entry": e, "leave": s, "last": r is rows[-1]} for r, (e, s) in zip(rows, states, strict=True)],
                 pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("entry", pa.int32()), ("leave", pa.int32()), ("last", pa.bool_())]))
 
-    narrow = spanned.select("conv_id", "part", "turn", "role", F.xxhash64("text").alias("tie"), "text")
-    # The order of messages is that of the rendering: turn, role, text.
-    sorted_rows = narrow.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "turn", "role", "text").select("conv_id", "part", "role")
+    narrow = numbered.select("conv_id", "part", "pos", "role")
+    sorted_rows = narrow.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "pos").select("conv_id", "part", "role")
     parts = sorted_rows.mapInArrow(tables, "conv_id long, part long, costs array<long>")
     return parts.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(chains, "conv_id long, part long, entry int, leave int, last boolean")
