@@ -73,6 +73,13 @@ def test_language_without_labels_or_rows(spark, documents):
     assert kept.columns == documents.columns and kept.count() > 0.95 * documents.count()
 
 
+def test_stage_without_a_model_keeps_texts_with_a_letter(spark):
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate([None, "", "12 ?!", "a clean text", "é"])], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in language.accepted(df).collect()) == [3, 4]
+    assert sorted(r["doc_id"] for r in language.accepted(df, 0.3).collect()) == [3, 4]
+    assert language.accepted(df.limit(0)).count() == 0
+
+
 # ---- quality -------------------------------------------------------------------------------------------------------
 
 def test_context_vectors_match_a_plain_sum():

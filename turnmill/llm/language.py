@@ -257,16 +257,22 @@ def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def accepted(documents: DataFrame, least: float = 0.0) -> DataFrame:
-    """The documents with all their columns, but for those without a language or with a score below ``least``.
+    """The documents with all their columns, but for those without a letter or with a score below ``least``.
 
-    Scores of short clean texts can be low, so by default only texts without a language go.  The verdict is taken on the row itself, in the pass that scores it, so there is no join.
+    Scores of short clean texts can be low, so by default only texts without a letter go and the network's score rejects
+    none.  If no model can be fitted, all texts with a letter stay, whatever ``least``.  The verdict is taken on the row
+    itself, in the pass that scores it, so there is no join.
     """
     model = fit(documents)
     schema = documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            names, scores = predict(model, batch.column(batch.schema.get_field_index("text")).to_pylist())
-            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            if model is None:
+                stays = [bool(t) and has_letter(t) for t in texts]
+            else:
+                stays = [n != UNKNOWN and s >= least for n, s in zip(*predict(model, texts), strict=True)]
+            yield batch.filter(pa.array(stays, pa.bool_()))
 
     return documents.mapInArrow(run, schema)
