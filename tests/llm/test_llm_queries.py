@@ -11,7 +11,7 @@ from turnmill.llm import queries as q
 from turnmill.llm import simhash
 from turnmill.llm.common import table
 
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +23,7 @@ def con():
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in q.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(q.ORACLES))

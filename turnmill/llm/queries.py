@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import chat, curriculum, decontaminate, host_rules, language, planes, quality, shards, simhash, sql, warc
+from turnmill.llm import (chat, curriculum, decontaminate, host_rules, language, ngram_join, planes, quality, runs, shards, simhash, sql, warc,
+                          whitening)
 from turnmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +85,18 @@ def op9_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_chat_repair")
 def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_dialogues(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).drop("eigenvalue")
+
+
+@query("op12_runs")
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(table(spark, sf_dir, "documents"), edit=runs.replanted)
+
+
+@query("op13_ngram_join")
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
