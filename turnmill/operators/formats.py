@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from turnmill import catalog
 from turnmill.functions.text import after_first, blank_if_null, col, strip
 from turnmill.functions.tokens import IMAGE_MARK
-from turnmill.operators.order import CHUNK, chunk_bucket, int_div, running
+from turnmill.operators.order import CHUNK, chunk_bucket, int_div, join_keys, running
 
 TURN = ("struct<system:string,input:string,output:string,"
         "output_with_loss:boolean,need_eos_token:boolean>")
@@ -305,7 +305,7 @@ def positional_turns(messages: DataFrame, *, sample: str = "sample_id", order: s
     """Long form of positional pairing over a dense 0-based order: (turns, reject ids)."""
     sizes = messages.groupBy(sample).agg(F.count(F.lit(1)).alias("n_messages"))
     odd = sizes.where("n_messages % 2 = 1")
-    even = messages.join(sizes.where("n_messages % 2 = 0"), sample)
+    even = join_keys(messages, sizes.where("n_messages % 2 = 0"), [sample])
     first = (F.col(order) % 2) == 0
     turns = (even.groupBy(sample, int_div(order, 2).alias("turn_no"))
              .agg(F.max(F.when(first, F.col(text))).alias("input"),

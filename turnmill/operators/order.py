@@ -59,6 +59,42 @@ def chunk_bucket(order: Column | str, size: int = CHUNK) -> Column:
     return int_div(order, size)
 
 
+def safe_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns that stand for its keys and are never null, and their names.
+
+    A null key is a key of its own.  Windows, joins and groups on these columns share one partitioning, which a null-safe
+    comparison of the keys themselves would not.
+    """
+    types, names = dict(df.dtypes), []
+    for i, k in enumerate(keys):
+        kind = types[k]
+        blank = "" if kind == "string" else 0 if kind in ("tinyint", "smallint", "int", "bigint") else None
+        if blank is None:
+            df, names = df.withColumn(f"_key{i}", F.struct(F.col(k))), [*names, f"_key{i}"]
+        else:
+            df = df.withColumns({f"_key{i}": F.coalesce(F.col(k), F.lit(blank).cast(kind)), f"_none{i}": F.col(k).isNull()})
+            names += [f"_key{i}", f"_none{i}"]
+    return df, names
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equality join by name in which null keys meet null keys; the keys are those of ``left``."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(renamed[f"_right_{k}"])
+    joined = left.join(renamed, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_right_{k}" for k in keys])
+
+
+# Rows without a place in the order come before all others, as they do in a sort.
+_FIRST = -(1 << 62)
+
+
+def _bucketed(df: DataFrame, keys: Sequence[str], bucket: Column) -> tuple[DataFrame, list[str]]:
+    return safe_keys(df.withColumn("_bucket", F.coalesce(bucket, F.lit(_FIRST))), keys)
+
+
 def _bucket_offsets(sizes: DataFrame, keys: list[str], names: list[str], totals: dict[str, str]) -> DataFrame:
     """Exclusive prefix sums over the bucket totals of each key, and the keys' grand totals.
 
@@ -80,7 +116,7 @@ def running(df: DataFrame, *, order: Sequence[Column | str], bucket: Column, key
     ``order`` must be unique within ``keys`` and ``bucket`` non-decreasing along it.  ``index`` names
     the 0-based dense position; ``sums`` maps new column names to the long values to total before
     each row (``as_type`` makes them doubles); ``totals`` maps further names to an index or sum whose whole-key total is wanted.
-    Keys are never null.
+    A null key is a key like any other; rows with a null bucket come first.
 
     Plan: one shuffle of the rows by (keys, bucket) that serves window and join, and one map-side
     combined shuffle of the bucket totals, which read only the columns the totals need.
@@ -90,11 +126,11 @@ def running(df: DataFrame, *, order: Sequence[Column | str], bucket: Column, key
     if index:
         values[index] = F.lit(1).cast("long")
     names = list(values)
-    keyed = df.withColumn("_bucket", bucket)
-    sizes = keyed.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(n) for n, v in values.items()])
-    offsets = _bucket_offsets(sizes, keys, names, totals or {})
-    w = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.join(offsets, [*keys, "_bucket"])
+    keyed, safe = _bucketed(df, keys, bucket)
+    sizes = keyed.groupBy(*safe, "_bucket").agg(*[F.sum(v).alias(n) for n, v in values.items()])
+    offsets = _bucket_offsets(sizes, safe, names, totals or {})
+    w = Window.partitionBy(*safe, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.join(offsets, [*safe, "_bucket"])
     return placed.select(
         *df.columns,
         *[(F.col(f"_off_{n}") + F.coalesce(F.sum(v).over(w), F.lit(0))).alias(n) for n, v in values.items()],
@@ -116,12 +152,12 @@ def running_sparse(df: DataFrame, *, order: Sequence[Column | str], bucket: Colu
         values[index] = F.lit(1).cast("long")
     whole = Window.partitionBy(*keys)
     before = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    short = df.join(long, keys, "left_anti").select(
+    short = join_keys(df, long, keys, "left_anti").select(
         *df.columns, *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(n) for n, v in values.items()],
         *[F.sum(values[of]).over(whole).alias(n) for n, of in (totals or {}).items()])
     if long.isEmpty():
         return short
-    cut = running(df.join(long, keys, "left_semi"), order=order, bucket=bucket, keys=keys, index=index, sums=sums, totals=totals)
+    cut = running(join_keys(df, long, keys, "left_semi"), order=order, bucket=bucket, keys=keys, index=index, sums=sums, totals=totals)
     return short.unionByName(cut)
 
 
@@ -161,14 +197,14 @@ def previous_row(df: DataFrame, *, order: str, bucket: Column, keys: Sequence[st
     the edge rows, one per (key, bucket).
     """
     keys = list(keys)
-    keyed = df.withColumn("_bucket", bucket)
+    keyed, safe = _bucketed(df, keys, bucket)
     packed = F.struct(*[F.col(src).alias(new) for new, src in cols.items()])
     edge = F.min_by(packed, F.col(order)) if ahead else F.max_by(packed, F.col(order))
-    edges = keyed.groupBy(*keys, "_bucket").agg(edge.alias("_edge"))
-    step = Window.partitionBy(*keys).orderBy(F.desc("_bucket") if ahead else F.col("_bucket"))
-    edges = edges.select(*keys, "_bucket", F.lag("_edge").over(step).alias("_edge"))
-    w = Window.partitionBy(*keys, "_bucket").orderBy(F.desc(order) if ahead else F.col(order))
-    joined = keyed.join(edges, [*keys, "_bucket"])
+    edges = keyed.groupBy(*safe, "_bucket").agg(edge.alias("_edge"))
+    step = Window.partitionBy(*safe).orderBy(F.desc("_bucket") if ahead else F.col("_bucket"))
+    edges = edges.select(*safe, "_bucket", F.lag("_edge").over(step).alias("_edge"))
+    w = Window.partitionBy(*safe, "_bucket").orderBy(F.desc(order) if ahead else F.col(order))
+    joined = keyed.join(edges, [*safe, "_bucket"])
     first = F.row_number().over(w) == 1
     out = joined.withColumn("_lag", F.when(first, F.col("_edge")).otherwise(F.lag(packed).over(w)))
     return out.select(*df.columns, *[F.col("_lag")[new].alias(new) for new in cols])

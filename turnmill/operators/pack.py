@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.functions.tokens import boundaries, restarting_positions
-from turnmill.operators.order import int_div, running, shuffled
+from turnmill.operators.order import int_div, join_keys, running, shuffled
 from turnmill.session import stage
 
 SEGMENT = 1 << 18
@@ -231,12 +231,12 @@ def next_fit(samples: DataFrame, limit: int, *, length: str = "num_tokens", samp
     carried = levels[-1].select(source).distinct().select(
         source, F.lit(0).cast("bigint").alias("_group"), F.lit(-1).cast("bigint").alias("_fill_in"), F.lit(0).cast("bigint").alias("_bins_in"))
     for level in reversed(levels):
-        children = level.withColumn("_group", int_div("_seg", FAN)).join(carried, [source, "_group"])
+        children = join_keys(level.withColumn("_group", int_div("_seg", FAN)), carried, [source, "_group"])
         carried = children.groupBy(source, "_group").applyInPandas(_chain(limit, source), entered).withColumnRenamed("_seg", "_group")
     carried = carried.withColumnRenamed("_group", "_seg")
     cols = [source, sample, length]
     schema = ", ".join(f"{c} {types[c]}" for c in cols) + ", bin bigint, at bigint"
-    return (placed.join(carried, [source, "_seg"]).groupBy(source, "_seg")
+    return (join_keys(placed, carried, [source, "_seg"]).groupBy(source, "_seg")
             .applyInPandas(_assign(limit, cols), schema))
 
 
@@ -253,7 +253,7 @@ def pack_pairs(pairs: DataFrame, limit: int, *, sample: str = "sample_id", sourc
     sized = pairs.withColumn("num_tokens", F.size("chosen_ids") + F.size("rejected_ids"))
     plan = next_fit(sized, limit, sample=sample, source=source, drop_oversize=True, **kw)
     tokens = pairs.select(sample, "chosen_ids", "chosen_labels", "rejected_ids", "rejected_labels")
-    rows = plan.join(tokens, sample).select(source, "bin", F.explode(F.array(
+    rows = join_keys(plan, tokens, [sample]).select(source, "bin", F.explode(F.array(
         F.struct(F.col("at"), F.col("chosen_ids").alias("ids"), F.col("chosen_labels").alias("labels")),
         F.struct((F.col("at") + F.size("chosen_ids")).alias("at"), F.col("rejected_ids").alias("ids"),
                  F.col("rejected_labels").alias("labels")))).alias("_s")).select(source, "bin", "_s.*")

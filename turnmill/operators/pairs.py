@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnmill.catalog import ChatTemplate
 from turnmill.functions.tokens import IGNORE_INDEX, HashEncoder, clip, int_array
+from turnmill.operators.order import join_keys
 from turnmill.operators.render import chat_template, rendered_chat
 
 
@@ -101,7 +102,7 @@ def dpo_losses(logps: DataFrame, *, beta: float = 0.1, label_smoothing: float =
     if batch:
         means = logps.groupBy(batch).agg(F.greatest(F.avg(chosen), F.lit(0.0)).alias("_kl_c"),
                                          F.greatest(F.avg(rejected), F.lit(0.0)).alias("_kl_r"))
-        p = logps.join(means, batch)
+        p = join_keys(logps, means, [batch])
     else:
         p = (logps.withColumn("_kl_c", logps.agg(F.greatest(F.avg(chosen), F.lit(0.0))).scalar())
              .withColumn("_kl_r", logps.agg(F.greatest(F.avg(rejected), F.lit(0.0))).scalar()))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions.text import col
 from turnmill.functions.tokens import joined
-from turnmill.operators.order import chunk_bucket, previous_row, running
+from turnmill.operators.order import chunk_bucket, join_keys, previous_row, running
 
 STEPS = 1024
 
@@ -87,7 +87,7 @@ def _gae_chunks(steps: DataFrame, *, gamma: float, lam: float, traj: str, reward
     heads = cut.select(traj, "_chunk", F.element_at("_local", 1).alias("_head"), F.size("_s").alias("_size"))
     carry = heads.groupBy(traj).applyInPandas(
         _carry(decay, traj), f"{traj} {dict(steps.dtypes)[traj]}, _chunk bigint, _carry double")
-    rows = cut.join(carry, [traj, "_chunk"]).select(
+    rows = join_keys(cut, carry, [traj, "_chunk"]).select(
         traj, F.size("_s").alias("_size"), "_carry", F.posexplode(F.arrays_zip("_s", "_local")).alias("_i", "_r"))
     advantage = F.col("_r._local") + F.pow(F.lit(decay), F.col("_size") - F.col("_i")) * F.col("_carry")
     return rows.select(traj, F.col("_r._s.step").alias("step"), advantage.alias("advantage"),
@@ -128,7 +128,7 @@ def reward_normalise(rewards: DataFrame, *, batch: str = "batch", reward: str =
     k = F.col("_k") + 1
     stats = stats.select(batch, "current_mean", ((F.col("_m") + F.col("_mean")) / k).alias("running_mean"),
                          ((F.col("_v") + F.col("_var")) / k).alias("running_var"))
-    return rewards.join(stats, batch).withColumn("ori_reward", F.col(reward)).withColumn(
+    return join_keys(rewards, stats, [batch]).withColumn("ori_reward", F.col(reward)).withColumn(
         reward, (clipped - F.col("running_mean")) / F.sqrt(F.col("running_var") + epsilon))
 
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _LOCAL: dict[str, str] = {}
@@ -90,6 +91,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# A table is sent to every executor only when it is counted to have at most so many rows.
+BROADCAST_ROWS = 1 << 20
+
+
+def if_small(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """``table`` (staged), marked for broadcast if its counted rows allow that; otherwise the join is shuffled."""
+    return F.broadcast(table) if table.count() <= (BROADCAST_ROWS if rows is None else rows) else table
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Rows of a scan with fewer partitions than the session has cores, dealt out over all cores.
 

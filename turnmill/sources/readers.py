@@ -134,7 +134,7 @@ def _quote(text: str) -> str:
     return "".join("\\" + c if c in r".^$*+?{}[]\|()" else c for c in text)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(file, block, line, value)``: text lines with an order that no split of the files changes.
 
     ``block`` is the byte at which the line's split starts and ``line`` rises inside a split.  Of a line that ends in
