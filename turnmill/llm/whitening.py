@@ -37,6 +37,8 @@ INNER = 6
 MAX_BASIS = 48
 MAX_OUTER = 60
 SEED = 11
+# Vectors in a block of the fit list.
+BLOCK = 2048
 EPS = float(np.finfo(float).eps)
 
 Product = Callable[[np.ndarray], np.ndarray]
@@ -176,16 +178,29 @@ def whole_vectors(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
     return usable.where(F.size("c") == (top["dim"] if top else 0)).select("vec_id", F.transform("c", lambda e: F.floor(e * scale)).alias("x"))
 
 
-def summed(rows: DataFrame, partial: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all rows ``x`` of what ``partial`` gives for a block of them: ``size`` numbers, added up by Spark."""
+def packed(rows: DataFrame) -> DataFrame:
+    """``(size, block)``: the rows ``x`` in blocks of ``BLOCK`` vectors, each a string of bytes, for the many passes to come."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                data = matrix(part["x"]).astype("<i8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows]), pa.array([data], pa.binary())], ["size", "block"])
+
+    return rows.mapInArrow(run, "size long, block binary")
+
+
+def summed(blocks: DataFrame, partial: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all blocks of what ``partial`` gives for their vectors: ``size`` numbers, added up by Spark."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                total += partial(matrix(batch["x"].slice(at, 4096)).astype(np.float64)).reshape(-1)
+            for rows, block in zip(batch["size"].to_pylist(), batch["block"], strict=True):
+                x = np.frombuffer(block.as_buffer(), "<i8").reshape(rows, -1)
+                total += partial(x.astype(np.float64)).reshape(-1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], ["i", "v"])
 
-    found = rows.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    found = blocks.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(size)
     for r in found:
         out[r["i"]] = r["v"]
@@ -202,6 +217,7 @@ def fit(vectors: DataFrame, wanted: int = COMPONENTS) -> Fit | None:
     sums = listed.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("x")[k].cast("decimal(38,0)")).alias(f"s{k}") for k in range(dim)]).first()
     n, exact = sums["n"], [int(sums[f"s{k}"]) for k in range(dim)]
     mean = np.array([s / n for s in exact])
+    blocks = stage(packed(listed), "whitening-blocks")
     count = 0
 
     def product(block: np.ndarray) -> np.ndarray:
@@ -211,9 +227,9 @@ def fit(vectors: DataFrame, wanted: int = COMPONENTS) -> Fit | None:
         def partial(x: np.ndarray) -> np.ndarray:
             centred = x - mean
             return centred.T @ (centred @ block)
-        return summed(listed, partial, block.size).reshape(block.shape) / n
+        return summed(blocks, partial, block.size).reshape(block.shape) / n
 
-    trace = float(summed(listed, lambda x: np.sum((x - mean) ** 2, axis=0), dim).sum() / n)
+    trace = float(summed(blocks, lambda x: np.sum((x - mean) ** 2, axis=0), dim).sum() / n)
     if trace == 0:
         k = min(wanted, dim)
         return Fit(n, exact, np.zeros(k), np.eye(dim)[:, :k], 0.0, np.zeros(k))
@@ -224,12 +240,12 @@ def fit(vectors: DataFrame, wanted: int = COMPONENTS) -> Fit | None:
     map_ = axes[:, use] / np.sqrt(values[use])
     k = int(use.sum())
     # The covariance of the whitened rows themselves; their mean is taken off first, as it is zero up to rounding only.
-    centre = summed(listed, lambda x: ((x - mean) @ map_).sum(axis=0), k) / n
+    centre = summed(blocks, lambda x: ((x - mean) @ map_).sum(axis=0), k) / n
 
     def square(x: np.ndarray) -> np.ndarray:
         y = (x - mean) @ map_ - centre
         return y.T @ y
-    found.identity_error = float(np.abs(summed(listed, square, k * k).reshape(k, k) / n - np.eye(k)).max())
+    found.identity_error = float(np.abs(summed(blocks, square, k * k).reshape(k, k) / n - np.eye(k)).max())
     return found
 
 
