@@ -23,5 +23,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from turnmill.plans import (batches, corpora, evaluation, formats, ordering, packing,  # noqa: F401
-                                preferences, profiles, rendering, streams, tokens)
+    from turnmill.plans import (batches, checks, corpora, evaluation, formats, ordering, packing,  # noqa: F401
+                                preferences, profiles, rendering, reuse, streams, tokens)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from turnmill.operators.formats import normalise
 from turnmill.operators.order import mix, running, sample_ratio, sample_with_replacement
+from turnmill.session import if_small, stage
 
 
 def _paths(files: Sequence[str] | str | None, folder: str | None) -> list[str]:
@@ -219,3 +220,48 @@ def file_blocks(files: DataFrame) -> DataFrame:
 
 def not_done(keys: DataFrame, done: DataFrame, on: str = "cache_key") -> DataFrame:
     return keys.join(done.select(on), on, "left_anti")
+
+
+# Files below a cut of the path tree, and the most rounds in which cuts are moved down.
+CUT_FILES = 8192
+CUT_ROUNDS = 64
+
+
+def path_cuts(files: DataFrame, bound: int = CUT_FILES) -> DataFrame:
+    """``files`` (sort_key) with ``cut``: a beginning of the key that so few files share that they may be sorted together.
+
+    Every file starts at its top folder.  Where more than ``bound`` files share a cut, all of theirs move one level down; below
+    the last folder they move on through the file name, two letters at a time.  Cuts stand in the order of the keys.
+    """
+    at = F.instr(F.col("sort_key"), "\x01")
+    placed = stage(files.withColumn("_cut", F.when(at > 0, at).otherwise(F.least(F.lit(3), F.length("sort_key")))), "path-cuts")
+    for _ in range(CUT_ROUNDS):
+        cut = F.substring(F.col("sort_key"), F.lit(1), F.col("_cut"))
+        sizes = placed.groupBy(cut.alias("_head")).agg(F.count(F.lit(1)).alias("_n"), F.max(F.length("sort_key") > F.col("_cut")).alias("_deeper"))
+        heavy = stage(sizes.where((F.col("_n") > bound) & F.col("_deeper")).select("_head"), "path-heavy")
+        if heavy.isEmpty():
+            break
+        further = F.call_function("locate", F.lit("\x01"), F.col("sort_key"), F.col("_cut") + 1)
+        moved = F.least(F.when(further > 0, further).otherwise(F.col("_cut") + 2), F.length("sort_key"))
+        marked = placed.join(if_small(heavy.withColumn("_heavy", F.lit(True))), cut == F.col("_head"), "left")
+        placed = stage(marked.withColumn("_cut", F.when(F.col("_heavy"), moved).otherwise(F.col("_cut"))).drop("_head", "_heavy"), "path-cuts")
+    return placed.withColumn("cut", F.substring(F.col("sort_key"), F.lit(1), F.col("_cut"))).drop("_cut")
+
+
+def ordered_files(files: DataFrame, bound: int = CUT_FILES) -> DataFrame:
+    """``files`` (rel_path, sort_key) with ``file_no``, their place in the order of ``sort_key``.
+
+    A folder with a third of all files is cut below itself, so no task sorts it whole.
+    """
+    cuts = path_cuts(files, bound)
+    # One row per cut.
+    tops = stage(cuts.select(F.col("cut").alias("top")).distinct(), "path-tops")
+    numbers = stage(running(tops, order=["top"], bucket=F.lit(0), index="_no"), "path-numbers")
+    placed = cuts.join(if_small(numbers), F.col("cut") == F.col("top"))
+    return running(placed, order=["sort_key"], bucket=F.col("_no"), index="file_no").select(*files.columns, "file_no")
+
+
+def sort_key_of(rel_path: Column) -> Column:
+    """The key of a relative path: depth first, files before folders, both by name."""
+    level = F.transform(F.split(rel_path, "/"), lambda p, i: F.concat(F.when(i == F.size(F.split(rel_path, "/")) - 1, F.lit("0")).otherwise(F.lit("1")), p))
+    return F.array_join(level, "\x01")
