@@ -11,9 +11,16 @@ prefix finds more meetings, but asks for more of them before two sets are compar
 3. ``chosen``: for each of some depths k, the counted lists give what a class would cost: the entries to scan, and the partners
    to verify, at most (entries / k).  Each class takes the cheapest depth.  A class with fewer than k shared shingles at any
    depth k has no partner and goes.
-4. ``candidates``: classes meet in their chosen prefixes, and stay a pair if they share as many shingles as the smaller of their
-   depths.  Long lists are cut in blocks, whose pairs of blocks are joined in different tasks.
-5. ``links``: pairs are verified on whole sets, packed by blocks of neighbours, so that a set is sent once per pair of blocks.
+4. ``postings``: as every pair must share several shingles, each class may leave out the longest of its lists (``spare``), if
+   that many less are asked of its pairs.  Text that very many documents share then brings nobody together.
+5. ``starred``: each class is verified against the few leaders (the classes with the fewest shingles of their own) that stand
+   in most of its lists.  That is linear, and makes one cluster of most groups of near copies.
+6. ``candidates``: only classes of different clusters are still to be compared.  Clusters meet in their lists first (long lists
+   are cut in blocks, whose pairs of blocks are joined in different tasks), then the classes of clusters that share enough, and
+   a pair stays if it shares as many shingles as the smaller of its depths asks for.
+7. ``verified``: pairs are compared on whole sets, packed by blocks of neighbours, so that a set is sent once per pair of blocks.
+
+The links that come out connect what all links would connect; pairs inside a cluster of step 5 are not listed.
 
 Shingles are told apart by 64-bit hashes: inside a pair of sets of 10,000 shingles a mix-up has a chance of 1e-11.  Classes are
 told apart by 128 bits.  Words: A-Z lower-cased, runs of characters other than ASCII white space; fewer words than a shingle:
@@ -27,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnmill.llm.common import read_only_columns, slices, small, stage
@@ -38,8 +45,11 @@ PERCENT = 90
 # Depths tried, in quarters of the greatest one; that is a fifth of the set, or so many shingles if the set is short.
 QUARTERS = 4
 LEAST_DEPTH = 16
-# Entries of the summary of frequent shingles.
+# Entries of the summary of frequent shingles; a task reports those that at least so many, and one in so many, of its texts hold.
 FREQUENT = 1 << 16
+REPORTED, REPORTED_PART = 8, 64
+# Leaders against which a class is verified first.
+LEADERS = 3
 # A list of more classes is cut in blocks of about so many.
 BLOCK = 256
 # Classes and shingles in a block of neighbours whose pairs are verified together.
@@ -103,8 +113,8 @@ class Frequent:
             counts = counts - np.partition(counts, -self.size - 1)[-self.size - 1]
         self.values, self.counts = merged[counts > 0], counts[counts > 0]
 
-    def leading(self) -> tuple[np.ndarray, np.ndarray]:
-        keep = self.counts * self.size >= self.total
+    def leading(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        keep = (self.counts * self.size >= self.total) & (self.counts >= least)
         return self.values[keep], self.counts[keep]
 
 
@@ -118,7 +128,7 @@ def depth_of(n: np.ndarray | int, percent: int = PERCENT):
     return np.maximum(np.minimum(-(-n * percent // 100), np.maximum(n // 5, LEAST_DEPTH)), 1)
 
 
-ROW = "doc_id long, text_hash long, n long, k1 long, k2 long, frequent boolean"
+ROW = "doc_id long, text_hash long, n long, k1 long, k2 long, often array<struct<value:long,times:long>>"
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -127,32 +137,35 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 
 def sets(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``ROW``: every document with its set's size and 128-bit key; rows marked ``frequent`` are a shingle (k1) and a count (n)."""
+    """``ROW``: every document with its set's size and 128-bit key; a row more per task lists frequent shingles in ``often``."""
     names = [f.split()[0] for f in ROW.split(", ")]
+    kind = pa.list_(pa.struct([("value", pa.int64()), ("times", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, often = Shingler(size), Frequent()
+        shingler, often, texts = Shingler(size), Frequent(), 0
         for batch in slices(batches):
             found = [shingler.set_of(t) for t in batch["text"].to_pylist()]
+            texts += len(found)
             keys = np.frombuffer(b"".join(hashlib.md5(s.tobytes()).digest() for s in found), np.int64).reshape(-1, 2)
             if found:
                 often.add(np.concatenate(found))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["text_hash"], pa.array([len(s) for s in found], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
-                 pa.array(np.zeros(len(found), bool))], names)
-        values, counts = often.leading()
-        none = pa.nulls(len(values), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(counts), pa.array(values.view(np.int64)), none, pa.array(np.ones(len(values), bool))], names)
+                 pa.nulls(len(found), kind)], names)
+        values, counts = often.leading(max(REPORTED, texts // REPORTED_PART))
+        listed = [{"value": v, "times": c} for v, c in zip(values.view(np.int64).tolist(), counts.tolist(), strict=True)]
+        none = pa.nulls(1, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array([listed], kind)], names)
 
     return _texts(documents).mapInArrow(run, ROW)
 
 
 def frequent_shingles(rows: DataFrame, size: int = FREQUENT) -> np.ndarray:
-    """Frequent shingles by rising count, then hash: at most ``size``, and all that hold three of ``size`` parts of the shingles."""
-    total = rows.where("NOT frequent").agg(F.sum("n")).first()[0] or 0
-    counts = rows.where("frequent").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= max(total // size, 2))
-    found = counts.collect()  # the counts add up to at most the total, so there are at most ``size``
-    return np.array([r["k1"] for r in sorted(found, key=lambda r: (r["n"], r["k1"]))], np.int64).view(np.uint64)
+    """Frequent shingles by rising count, then hash; at most ``size``, because their counts add up to at most the total."""
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    each = rows.where("often IS NOT NULL").select(F.inline("often"))
+    found = each.groupBy("value").agg(F.sum("times").alias("n")).where(F.col("n") >= max(-(-total // size), 2)).collect()
+    return np.array([r["value"] for r in sorted(found, key=lambda r: (r["n"], r["value"]))], np.int64).view(np.uint64)
 
 
 def rank_of(values: np.ndarray, often: np.ndarray) -> np.ndarray:
@@ -181,7 +194,7 @@ def _first_texts(documents: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def indexed(documents: DataFrame, classes: DataFrame, often: np.ndarray, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``(row, n, pos, token)``: the prefix of the greatest depth of every class."""
+    """``(row, pos, token)``: the prefix of the greatest depth of every class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         kind = pa.list_(pa.int64())
@@ -192,51 +205,102 @@ def indexed(documents: DataFrame, classes: DataFrame, often: np.ndarray, size: i
                 n = len(s)
                 upto = min(n - -(-n * percent // 100) + int(depth_of(n, percent)), n)
                 out.append(s[rank_of(s, often)[:upto]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["n"], pa.array(out, kind)], ["row", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(out, kind)], ["row", "tokens"])
+
+    lists = _first_texts(documents, classes).mapInArrow(run, "row long, tokens array<long>")
+    return lists.select("row", F.posexplode("tokens").alias("pos", "token"))
+
 
-    lists = _first_texts(documents, classes).mapInArrow(run, "row long, n long, tokens array<long>")
-    return lists.select("row", "n", F.posexplode("tokens").alias("pos", "token"))
+def listed(index: DataFrame) -> DataFrame:
+    """``index`` with the ``length`` of each token's list, lists of one class left out: one shuffle counts and keeps them."""
+    return index.withColumn("length", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("length > 1")
 
 
 def depth_at(n: Column, quarter: int, percent: int = PERCENT) -> Column:
-    """The depth number ``quarter`` of a set of ``n``: 1, or that many quarters of the greatest depth its partners all have."""
+    """The depth number ``quarter`` (from 1) of a set of ``n``: that many quarters of the greatest depth its partners all have."""
     o = overlap_bound(n, percent)
     top = F.greatest(F.least(overlap_bound(o, percent), F.greatest(F.floor(o / 5), F.lit(LEAST_DEPTH))), F.lit(1))
     return F.greatest(F.floor(top * quarter / QUARTERS), F.lit(1)).cast("long")
 
 
+def spare(n: Column, percent: int = PERCENT) -> Column:
+    """How many of its lists a set of ``n`` may leave out.
+
+    No partner of n is smaller than o(n), so no pair of it asks for fewer shared shingles than the first depth of o(n).  Both
+    sides leave out less than half of that, so that at least one shared shingle is left.
+    """
+    return F.floor((depth_at(overlap_bound(n, percent), 1, percent) - 1) / 2).cast("long")
+
+
 def chosen(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``(row, depth)`` of the classes that can have partners; ``entries`` (row, n, pos, length) are in shared lists."""
+    """``(row, n, depth, own)`` of the classes that can have partners; ``entries`` (row, n, pos, length) are in shared lists.
+
+    ``own`` counts the shingles of the deepest prefix that no other class has there.
+    """
     o = overlap_bound(F.col("n"), percent)
     sums = []
-    for k in range(QUARTERS + 1):
+    for k in range(1, QUARTERS + 1):
         inside = F.col("pos") < F.col("n") - o + depth_at(F.col("n"), k, percent)
         sums += [F.count(F.when(inside, 1)).alias(f"met{k}"), F.sum(F.when(inside, F.col("length") - 1).otherwise(0)).alias(f"scan{k}")]
     costs = entries.groupBy("row", "n").agg(*sums)
     enough = F.lit(True)
     choices = []
-    for k in range(QUARTERS + 1):
+    for k in range(1, QUARTERS + 1):
         depth = depth_at(F.col("n"), k, percent)
         enough = enough & (F.col(f"met{k}") >= depth)
         choices.append(F.struct((F.col(f"scan{k}") + F.col(f"scan{k}") / depth * F.col("n") * VERIFY).alias("cost"), depth.alias("depth")))
-    return costs.where(enough).select("row", F.array_min(F.array(*choices))["depth"].alias("depth"))
+    own = F.col("n") - o + depth_at(F.col("n"), QUARTERS, percent) - F.col(f"met{QUARTERS}")
+    return costs.where(enough).select("row", "n", F.array_min(F.array(*choices))["depth"].alias("depth"), own.alias("own"))
+
 
+def postings(entries: DataFrame, depths: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``(row, n, token, need, own)``: the entries of the chosen prefixes without the longest lists a class may spare.
 
-def candidates(postings: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """``(a, b)``: pairs of classes that share enough of their prefixes; ``postings`` (row, n, depth, token) is staged."""
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    placed = postings.join(lists, "token").withColumn("parts", F.ceil(F.col("m") / block).cast("int"))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    ``need`` is the class's depth, less the lists it left out; a pair must share the smaller depth, less what both left out.
+    """
+    inside = F.col("pos") < F.col("n") - overlap_bound(F.col("n"), percent) + F.col("depth")
+    open_ = entries.drop("n").join(small(depths), "row").where(inside)
+    by_length = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("length"), "pos"))
+    kept = open_.withColumn("place", by_length).where(F.col("place") > spare(F.col("n"), percent))
+    return kept.select("row", "n", "token", "depth", spare(F.col("n"), percent).alias("spared"), "own")
+
+
+def starred(kept: DataFrame) -> DataFrame:
+    """``(a, b)``: each class with the ``LEADERS`` leaders that stand in most of its lists; ``kept`` are staged postings."""
+    leader = F.min(F.struct("own", "row")).alias("best")
+    leaders = kept.groupBy("token").agg(leader, F.count(F.lit(1)).alias("m")).where("m > 1").select("token", F.col("best.row").alias("leader"))
+    met = kept.join(leaders, "token").where("row <> leader").groupBy("row", "leader").agg(F.count(F.lit(1)).alias("m"))
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("m"), "leader"))
+    top = met.withColumn("place", place).where(F.col("place") <= LEADERS)
+    return top.select(F.least("row", "leader").alias("a"), F.greatest("row", "leader").alias("b")).distinct()
+
+
+def candidates(kept: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """``(a, b)``: classes of different clusters that share enough; ``kept`` (row, n, token, depth, spared, cluster) is staged.
+
+    A pair of clusters shares at least what any of its pairs of classes shares, so few pairs of clusters reach their classes.
+    """
+    units = kept.groupBy("token", "cluster").agg(F.min("depth").alias("depth"), F.max("spared").alias("spared"), F.min("n").alias("least"),
+                                                 F.max("n").alias("most"))
+    lists = units.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
+    placed = lists.withColumn("parts", F.ceil(F.col("m") / block).cast("int"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("cluster"), F.col("parts")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "row", "n", "depth", "token", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+        "cluster", "least", "most", "depth", "spared", "token", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     x, y = cells.alias("x"), cells.alias("y")
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
     once = (F.col("x.low") == F.col("x.high")) | (F.col("x.part") != F.col("y.part"))
-    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    met = x.join(y, same & (F.col("x.row") < F.col("y.row")) & once & sizes)
-    shared = met.groupBy(F.col("x.row").alias("a"), F.col("y.row").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.min(F.least("x.depth", "y.depth")).alias("need"))
-    return shared.where("shared >= need").select("a", "b")
+    sizes = (F.col("x.least") * percent <= F.col("y.most") * 100) & (F.col("y.least") * percent <= F.col("x.most") * 100)
+    met = x.join(y, same & (F.col("x.cluster") < F.col("y.cluster")) & once & sizes)
+    shared = met.groupBy(F.col("x.cluster").alias("one"), F.col("y.cluster").alias("two")).agg(
+        F.count(F.lit(1)).alias("shared"), F.min(F.least("x.depth", "y.depth")).alias("need"), F.max("x.spared").alias("s1"), F.max("y.spared").alias("s2"))
+    close = stage(shared.where(F.col("shared") >= F.greatest(F.col("need") - F.col("s1") - F.col("s2"), F.lit(1))).select("one", "two"), "ngram-close")
+    first = kept.select(F.col("cluster").alias("one"), F.col("row").alias("a"), "token", F.col("n").alias("n1"), F.col("depth").alias("d1"), F.col("spared").alias("s1"))
+    second = kept.select(F.col("cluster").alias("two"), F.col("row").alias("b"), "token", F.col("n").alias("n2"), F.col("depth").alias("d2"), F.col("spared").alias("s2"))
+    fits = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
+    pairs = small(close).join(first, "one").join(second, ["two", "token"]).where(fits).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("shared"), F.min(F.least("d1", "d2") - F.col("s1") - F.col("s2")).alias("need"))
+    return pairs.where("shared >= need").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -289,43 +353,44 @@ def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, size: i
 
 
 def linked(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Staged tables: rows (``sets``), classes (row, k1, k2, n, doc_id, text_hash, times, least), links (a, b) of classes."""
+    """Staged tables: rows (``sets``), classes (row, k1, k2, n, doc_id, text_hash, times), and links (a, b) of classes.
+
+    The links connect all that is linked; two classes in one component need not have a row of their own.
+    """
     rows = stage(sets(documents, size), "ngram-rows")
     often = frequent_shingles(rows)
-    texts = rows.where("NOT frequent AND n > 0").groupBy("k1", "k2", "n", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
+    texts = rows.where("n > 0").groupBy("k1", "k2", "n", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "times")).alias("first")
     classes = stage(texts.groupBy("k1", "k2", "n").agg(first).select(
         F.monotonically_increasing_id().alias("row"), "k1", "k2", "n", "first.doc_id", "first.text_hash", "first.times"), "ngram-classes")
     index = stage(indexed(documents, classes, often, size, percent), "ngram-index")
-    lengths = index.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
-    entries = stage(index.join(lengths, "token"), "ngram-entries")
-    depths = stage(chosen(entries, percent), "ngram-depths")
-    open_ = entries.join(small(depths), "row").where(F.col("pos") < F.col("n") - overlap_bound(F.col("n"), percent) + F.col("depth"))
-    postings = stage(open_.select("row", "n", "depth", "token"), "ngram-postings")
-    pairs = stage(candidates(postings, percent), "ngram-candidates")
-    return rows, classes, stage(verified(documents, classes, pairs, size, percent), "ngram-links")
+    entries = stage(listed(index), "ngram-entries")
+    depths = stage(chosen(entries.join(small(classes.select("row", "n")), "row"), percent), "ngram-depths")
+    kept = stage(postings(entries, depths, percent), "ngram-postings")
+    stars = stage(verified(documents, classes, stage(starred(kept), "ngram-stars"), size, percent), "ngram-star-links")
+    clusters = stage(components(stars), "ngram-clusters")
+    named = kept.join(small(clusters), kept["row"] == clusters["node"], "left").select(
+        "row", "n", "token", "depth", "spared", F.coalesce("root", "row").alias("cluster"))
+    pairs = stage(candidates(stage(named, "ngram-named-postings"), percent), "ngram-candidates")
+    rest = stage(verified(documents, classes, pairs, size, percent), "ngram-links")
+    return rows, classes, stars.unionByName(rest)
 
 
 def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, n_links)`` of every row.
+    """``(doc_id, n_shingles, component_id)`` of every row.
 
     Rows link if ``100 * intersection >= percent * union`` of their shingle sets; ``component_id`` is the smallest doc_id that
     links reach, the row's own included (null ids take part, but are never the smallest; a component of null ids alone has a
-    null id).  ``n_links`` counts the different sets, other than its own, that a row's set links to.  Repeated rows stay
-    repeated; an empty table gives an empty table; extra columns are ignored; whole texts count, however long.
+    null id).  Repeated rows stay repeated; an empty table gives an empty table; extra columns are ignored; whole texts count,
+    however long.
     """
     rows, classes, found = linked(documents, size, percent)
     roots = stage(components(found), "ngram-roots")
-    ends = found.select(F.col("a").alias("row")).unionByName(found.select(F.col("b").alias("row"))).groupBy("row").agg(
-        F.count(F.lit(1)).alias("n_links"))
-    named = classes.join(small(roots), classes["row"] == roots["node"], "left").join(small(stage(ends, "ngram-degrees")), "row", "left").select(
-        "k1", "k2", F.coalesce("root", "row").alias("root"), F.col("doc_id").alias("least"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    named = stage(named, "ngram-named")
+    named = stage(classes.join(small(roots), classes["row"] == roots["node"], "left").select(
+        "k1", "k2", F.coalesce("root", "row").alias("root"), F.col("doc_id").alias("least")), "ngram-named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    keyed = stage(named.join(least, "root").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "component_id", "n_links"), "ngram-keys")
-    full = rows.where("NOT frequent AND n > 0")
-    matched = full.join(small(keyed), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    alone = rows.where("NOT frequent AND n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
-                                                         F.lit(0).cast("long").alias("n_links"))
+    keyed = stage(named.join(least, "root").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "component_id"), "ngram-keys")
+    matched = rows.where("n > 0").join(small(keyed), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return matched.unionByName(alone)
