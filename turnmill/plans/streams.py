@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnmill.functions.tokens import joined
+from turnmill.functions.tokens import HashEncoder, joined
 from turnmill.plans import inputs, sql
 from turnmill.plans.registry import query
 from turnmill.session import fresh_path
+from turnmill.streaming import epochs, packing
 from turnmill.streaming import stream as st
 
 _SCHEMA = "sample_id bigint, messages array<struct<role:string,content:string>>"
@@ -42,3 +43,23 @@ def stream_pack(spark, d):
     st.run_available(st.pack_stream(rows, 128), out, ck)
     packs = spark.read.schema(f"source string, {st.PACK}").parquet(out)
     return packs.groupBy("source").agg(F.count(F.lit(1)).alias("n_packs"), F.sum(F.size("input_ids")).alias("n_tokens"))
+
+
+@query("stream_pack_state", f"""
+WITH t AS (SELECT doc_id, source, {sql.ids('text')} AS ids FROM documents),
+a AS (SELECT source, flatten(list(ids ORDER BY doc_id)) AS ids FROM t GROUP BY source),
+p AS (SELECT source, ids, unnest(range(len(ids) // 512)) AS pack FROM a)
+SELECT source, pack, {sql.text('ids[pack * 512 + 1 : pack * 512 + 512]')} AS input_ids FROM p""")
+def stream_pack_state(spark, d):
+    """Lines in files by source, streamed in bounded batches and packed on keyed state: token by token one pass in document order."""
+    src, out, ck = (fresh_path(spark, n) for n in ("state-in", "state-out", "state-ck"))
+    docs = inputs.table(spark, d, "documents").select("source", "doc_id", F.to_json(F.struct("doc_id", "text")).alias("value"))
+    # Sorted as a whole, so that the files of a source follow each other by name and a large source is many files.
+    ordered = docs.repartitionByRange("source", "doc_id").sortWithinPartitions("source", "doc_id")
+    ordered.select(F.col("source").alias("folder"), "value").write.partitionBy("folder").text(src)
+    size = sum(n for _, n in epochs.listing(src, ".txt"))
+    lines = epochs.epoch_stream(spark, src, ck, suffix=".txt", max_bytes=max(min(size // 3 + 1, epochs.MAX_BYTES), 1))
+    ids = HashEncoder().ids(F.get_json_object("value", "$.text"))
+    rows = lines.select(F.regexp_extract("file", "folder=([^/]+)/", 1).alias("source"), ids.alias("input_ids"), ids.alias("labels"), "file", "offset")
+    epochs.run_epochs(packing.pack_state(rows, 512, order=["file", "offset"]), out, ck)
+    return spark.read.schema(f"source string, {st.PACK}").parquet(out).select("source", "pack", joined("input_ids").alias("input_ids"))
