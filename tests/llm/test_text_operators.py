@@ -203,18 +203,51 @@ def test_decontamination_of_empty_tables(spark):
     assert none.count() == len(texts) and none.where("contaminated").count() == 0
 
 
-def test_proximity_finds_windows_with_gaps(spark):
-    items = [(1, " ".join(f"u{i}" for i in range(10)))]
-    texts = [" ".join(f"u{i}" for i in range(10)), "u0 x u1 u2 u3 u4 u5 u6 u7 u8 u9", "u6 " + "x " * 50 + "u7 " + "x " * 50 + "u8",
-             "u0 u1 u2 u3 u4 u5 u9 " * 2]
-    docs, bench = documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
-    index = decontaminate.build_index(docs, bench)
-    names = {r["row"]: r["doc_id"] for r in index.closing.collect()}
+def plain_near(texts, items, slop=3, size=10):
+    out = []
+    for t in texts:
+        at = collections.defaultdict(list)
+        for pos, w in enumerate(WORD.findall((t or "").translate(LOWER))):
+            at[w].append(pos)
+        near = set()
+        for i, item in items:
+            w = WORD.findall((item or "").translate(LOWER))
+            for first in range(max(1, len(w) - size + 1)) if w else ():
+                places = [[p - k for p in at[w[k]]] for k in range(first, min(first + size, len(w)))]
+                if any(all(any(o <= x <= o + slop for x in xs) for xs in places) for o in {x for xs in places for x in xs}):
+                    near.add(str(i))
+        out.append(len(near))
+    return out
+
+
+def near_texts():
+    items, texts = leaks()
+    u = [f"u{i}" for i in range(30)]
+    swapped = [*u[:4], u[5], u[4], *u[6:12]]
+    texts += [" ".join(u[:5] + ["x"] + u[5:12]), " ".join(u[:5] + ["x"] * 3 + u[5:10]), " ".join(u[:5] + ["x"] * 4 + u[5:10]), " ".join(swapped[:10]),
+              " ".join(u[:3] + u[4:11]), " ".join(sum(([w, "x"] for w in u[:10]), [])), " ".join(u[9::-1]), "item short", "item x short",
+              " ".join(u[:9] + ["u0"]), "the quick x brown x fox jumps over the lazy x dog and then it sleeps"]
+    return items, texts
+
 
-    def near(slop):
-        return {names[r["row"]] for r in decontaminate.proximity_matches(index, slop).collect()}
-    assert near(1) == {0, 1} and near(100) == {0, 1, 2}
-    assert {names[r["row"]] for r in decontaminate.phrase_matches(index).collect()} == {0}
+@pytest.mark.parametrize("broadcast_rows", [None, 0])
+def test_proximity_matches_plain_version(spark, broadcast_rows, monkeypatch):
+    if broadcast_rows is not None:
+        monkeypatch.setattr("turnmill.llm.common.BROADCAST_ROWS", broadcast_rows)
+    items, texts = near_texts()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r["n_near"] for r in decontaminate.decontaminate(documents(spark, texts), bench).collect()}
+    want = plain_near(texts, items)
+    assert [got[k] for k in range(len(texts))] == want and 0 < sum(map(bool, want)) < len(want)
+
+
+def test_a_long_item_is_cut_in_bounded_rows(spark):
+    words = [f"v{i % 70000}" for i in range(200_000)]
+    items = [(1, " ".join(words)), (2, "v5 v6 v7")]
+    texts = [" ".join(words[500:600]), " ".join(words[69_990:70_020]), "v1 v3 v5", " ".join(words[199_985:] + ["v1", "v2"])]
+    df, bench = documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], list(r["item_ids"])) for r in decontaminate.decontaminate(df, bench).collect()}
+    assert got == {0: (100, ["1"]), 1: (30, ["1", "2"]), 2: (0, []), 3: (15, ["1"])}
 
 
 # ---- mixes ---------------------------------------------------------------------------------------------------------

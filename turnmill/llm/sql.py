@@ -41,10 +41,21 @@ spots AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS win FROM
          SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM win) WHERE len(w) >= m)),
 found AS (SELECT doc_id, spots.m, i, item_id FROM spots JOIN win ON spots.win = win.win AND spots.m = win.m),
 hit AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS pos FROM found) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id),
+place AS (SELECT item_id, i, m, k, w[i + k] AS term FROM (SELECT item_id, w, i, least(len(w), 10) AS m, unnest(range(least(len(w), 10))) AS k FROM (
+            SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0))),
+term AS (SELECT doc_id, unnest(list_distinct(w)) AS term FROM d),
+full_ AS (SELECT doc_id, item_id, i, any_value(m) AS m FROM place JOIN term USING (term) GROUP BY doc_id, item_id, i HAVING count(*) = any_value(m)),
+spot AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d WHERE doc_id IN (SELECT doc_id FROM full_)),
+offs AS (SELECT f.doc_id, f.item_id, f.i, f.m, k, pos - k AS o FROM full_ f JOIN place p ON p.item_id = f.item_id AND p.i = f.i
+         JOIN spot ON spot.doc_id = f.doc_id AND spot.term = p.term),
+met AS (SELECT a.doc_id, a.item_id FROM (SELECT DISTINCT doc_id, item_id, i, o FROM offs) a
+        JOIN offs z ON z.doc_id = a.doc_id AND z.item_id = a.item_id AND z.i = a.i AND z.o BETWEEN a.o AND a.o + 3
+        GROUP BY a.doc_id, a.item_id, a.i, a.o HAVING count(DISTINCT z.k) = any_value(z.m)),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM met GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated, CAST(coalesce(near.n, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id LEFT JOIN near ON near.doc_id = d.doc_id"""
 
 OP9 = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5('9:0:' || doc_id) AS seeded FROM documents),
