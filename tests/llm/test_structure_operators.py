@@ -243,7 +243,7 @@ def test_join_matches_plain_version(spark, monkeypatch, block, group, frequent):
     monkeypatch.setattr(ngram_join, "GROUP", group)
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_join, "REPORTED", 2)
-    monkeypatch.setattr(ngram_join, "LEADERS", 3 if block == 256 else 1)
+    monkeypatch.setattr(ngram_join, "LEADERS", (6, 4) if block == 256 else (1,))
     monkeypatch.setattr(ngram_join.candidates, "__defaults__", (ngram_join.PERCENT, block))
     monkeypatch.setattr(ngram_join.Frequent.__init__, "__defaults__", (frequent,))
     monkeypatch.setattr(ngram_join.frequent_shingles, "__defaults__", (frequent,))
@@ -283,12 +283,13 @@ def test_deeper_prefixes_are_chosen_where_verifying_is_dear(spark, monkeypatch):
         return {r["row"]: r["depth"] for r in ngram_join.chosen(entries).collect()}
     free, usual, dear = depths(0.0), depths(0.05), depths(100.0)
     assert {150, 151} <= set(free) and all(d <= 14 for d in free.values())
-    assert all(free[r] <= usual[r] <= dear[r] for r in usual) and any(free[r] < usual[r] for r in usual) and len(set(dear.values())) > 1
+    assert all(free[r] <= usual[r] <= dear[r] for r in usual) and all(free[r] < dear[r] for r in usual)
+    assert any(free[r] < usual[r] for r in usual)
 
 
 def test_frequent_values_are_counted_within_their_bound():
     rng = np.random.default_rng(0)
-    values = np.concatenate([rng.integers(0, 50, 4000), rng.integers(1000, 10 ** 6, 6000)]).astype(np.uint64)
+    values = np.concatenate([rng.integers(0, 20, 4000), rng.integers(1000, 10 ** 6, 6000)]).astype(np.uint64)
     rng.shuffle(values)
     often = ngram_join.Frequent(200)
     for part in np.array_split(values, 9):
@@ -296,4 +297,4 @@ def test_frequent_values_are_counted_within_their_bound():
     true = dict(zip(*np.unique(values, return_counts=True), strict=True))
     counted = dict(zip(often.values, often.counts, strict=True))
     assert all(true[v] - len(values) / 200 <= counted.get(v, 0) <= true[v] for v in true)
-    assert set(range(50)) <= {int(v) for v in often.leading(1)[0]}
+    assert set(range(20)) <= {int(v) for v in often.leading(1)[0]}

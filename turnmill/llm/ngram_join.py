@@ -13,8 +13,8 @@ prefix finds more meetings, but asks for more of them before two sets are compar
    depth k has no partner and goes.
 4. ``postings``: as every pair must share several shingles, each class may leave out the longest of its lists (``spare``), if
    that many less are asked of its pairs.  Text that very many documents share then brings nobody together.
-5. ``starred``: each class is verified against the few leaders (the classes with the fewest shingles of their own) that stand
-   in most of its lists.  That is linear, and makes one cluster of most groups of near copies.
+5. ``starred``: each class is verified against a few leaders of its lists, first any members, then those with the most links so
+   far.  That is linear, and makes one cluster of most groups of near copies.
 6. ``candidates``: only classes of different clusters are still to be compared.  Clusters meet in their lists first (long lists
    are cut in blocks, whose pairs of blocks are joined in different tasks), then the classes of clusters that share enough, and
    a pair stays if it shares as many shingles as the smaller of its depths asks for.
@@ -48,8 +48,8 @@ LEAST_DEPTH = 16
 # Entries of the summary of frequent shingles; a task reports those that at least so many, and one in so many, of its texts hold.
 FREQUENT = 1 << 16
 REPORTED, REPORTED_PART = 8, 64
-# Leaders against which a class is verified first.
-LEADERS = 3
+# Leaders against which a class is verified in each round.
+LEADERS = (6, 4)
 # A list of more classes is cut in blocks of about so many.
 BLOCK = 256
 # Classes and shingles in a block of neighbours whose pairs are verified together.
@@ -265,13 +265,21 @@ def postings(entries: DataFrame, depths: DataFrame, percent: int = PERCENT) -> D
     return kept.select("row", "n", "token", "depth", spare(F.col("n"), percent).alias("spared"), "own")
 
 
-def starred(kept: DataFrame) -> DataFrame:
-    """``(a, b)``: each class with the ``LEADERS`` leaders that stand in most of its lists; ``kept`` are staged postings."""
-    leader = F.min(F.struct("own", "row")).alias("best")
-    leaders = kept.groupBy("token").agg(leader, F.count(F.lit(1)).alias("m")).where("m > 1").select("token", F.col("best.row").alias("leader"))
-    met = kept.join(leaders, "token").where("row <> leader").groupBy("row", "leader").agg(F.count(F.lit(1)).alias("m"))
-    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("m"), "leader"))
-    top = met.withColumn("place", place).where(F.col("place") <= LEADERS)
+def starred(kept: DataFrame, links: DataFrame | None, leaders: int) -> DataFrame:
+    """``(a, b)``: each class with the ``leaders`` leaders that stand in most of its lists; ``kept`` are staged postings.
+
+    A list is led by the class with the most ``links`` so far, else by one drawn by hash, a different one in every list.
+    """
+    if links is None:
+        ranked = kept.select("row", "token", F.lit(0).alias("degree"))
+    else:
+        ends = links.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("degree"))
+        ranked = kept.select("row", "token").join(small(stage(ends, "ngram-degrees")), "row", "left").fillna(0, ["degree"])
+    best = F.min(F.struct((-F.col("degree")).alias("rank"), F.xxhash64("row", "token").alias("draw"), "row")).alias("best")
+    heads = ranked.groupBy("token").agg(best, F.count(F.lit(1)).alias("m")).where("m > 1").select("token", F.col("best.row").alias("leader"))
+    met = kept.join(heads, "token").where("row <> leader").groupBy("row", "leader").agg(F.count(F.lit(1)).alias("m"))
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("m"), F.xxhash64("row", "leader")))
+    top = met.withColumn("place", place).where(F.col("place") <= leaders)
     return top.select(F.least("row", "leader").alias("a"), F.greatest("row", "leader").alias("b")).distinct()
 
 
@@ -303,14 +311,25 @@ def candidates(kept: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> D
     return pairs.where("shared >= need").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough; ``pairs`` and ``classes`` are staged.
+def whole_sets(documents: DataFrame, classes: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``(row, n, set)``: the whole sets of the ``classes`` given, as bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(size)
+        for batch in slices(batches):
+            blobs = [shingler.set_of(t).tobytes() for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["n"], pa.array(blobs, pa.binary())], ["row", "n", "set"])
+
+    return _first_texts(documents, classes).mapInArrow(run, "row long, n long, set binary")
+
+
+def verified(whole: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough; ``pairs`` and ``whole`` (row, n, set) are staged.
 
     Classes with the same smallest partner stand in blocks; a pair of blocks gets each of its sets once.
     """
     ends = pairs.select(F.col("a").alias("row"), F.col("b").alias("p")).unionByName(pairs.select(F.col("b").alias("row"), F.col("a").alias("p")))
     leads = ends.groupBy("row").agg(F.least(F.min("p"), F.col("row")).alias("lead"))
-    members = stage(leads.join(classes, "row"), "ngram-members")
+    members = stage(leads.join(small(whole.select("row", "n")), "row"), "ngram-members")
     parts = members.groupBy("lead").agg(F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("n") / GROUP_TOKENS)).cast("int").alias("parts"))
     blocks = stage(members.join(parts, "lead").select("row", F.xxhash64("lead", F.pmod(F.xxhash64("row"), F.col("parts"))).alias("block")), "ngram-blocks")
     one, two = small(blocks), small(blocks)
@@ -318,15 +337,8 @@ def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, size: i
         two.select(F.col("row").alias("b"), F.col("block").alias("y")), "b").select(
         F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high"), "a", "b"), "ngram-cells")
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
-        for batch in slices(batches):
-            blobs = [shingler.set_of(t).tobytes() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(blobs, pa.binary())], ["row", "set"])
-
-    whole = stage(_first_texts(documents, members.select(*classes.columns)).mapInArrow(hashes, "row long, set binary"), "ngram-sets")
     wanted = celled.select("low", "high", F.explode(F.array("a", "b")).alias("row")).distinct()
-    sent = wanted.join(whole, "row").select("low", "high", F.lit(None).cast("long").alias("a"), F.col("row").alias("b"), "set")
+    sent = wanted.join(whole.select("row", "set"), "row").select("low", "high", F.lit(None).cast("long").alias("a"), F.col("row").alias("b"), "set")
     asked = celled.select("low", "high", "a", "b", F.lit(None).cast("binary").alias("set"))
     # Sets come before the pairs of their cell.
     ready = sent.unionByName(asked).repartition("low", "high").sortWithinPartitions("low", "high", F.col("a").asc_nulls_first())
@@ -367,13 +379,17 @@ def linked(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     entries = stage(listed(index), "ngram-entries")
     depths = stage(chosen(entries.join(small(classes.select("row", "n")), "row"), percent), "ngram-depths")
     kept = stage(postings(entries, depths, percent), "ngram-postings")
-    stars = stage(verified(documents, classes, stage(starred(kept), "ngram-stars"), size, percent), "ngram-star-links")
-    clusters = stage(components(stars), "ngram-clusters")
+    whole = stage(whole_sets(documents, classes.join(small(depths.select("row")), "row", "left_semi"), size), "ngram-sets")
+    found = None
+    for leaders in LEADERS:
+        stars = stage(verified(whole, stage(starred(kept, found, leaders), "ngram-stars"), percent), "ngram-star-links")
+        found = stars if found is None else stage(found.unionByName(stars).distinct(), "ngram-star-links")
+    clusters = stage(components(found), "ngram-clusters")
     named = kept.join(small(clusters), kept["row"] == clusters["node"], "left").select(
         "row", "n", "token", "depth", "spared", F.coalesce("root", "row").alias("cluster"))
     pairs = stage(candidates(stage(named, "ngram-named-postings"), percent), "ngram-candidates")
-    rest = stage(verified(documents, classes, pairs, size, percent), "ngram-links")
-    return rows, classes, stars.unionByName(rest)
+    rest = stage(verified(whole, pairs, percent), "ngram-links")
+    return rows, classes, found.unionByName(rest)
 
 
 def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
