@@ -73,10 +73,33 @@ def test_language_without_labels_or_rows(spark, documents):
     assert kept.columns == documents.columns and kept.count() > 0.95 * documents.count()
 
 
+def test_the_stage_rejects_noise_and_keeps_short_clean_texts(spark, documents):
+    rng = np.random.default_rng(9)
+    clean = [(r["doc_id"], r["text"]) for r in documents.where("length(text) > 300").limit(60).collect()]
+    short = [(10_000 + i, " ".join(t.split()[5:9])) for i, t in clean]
+    pool = [list("0123456789abcdef"), [chr(c) for c in range(33, 127)], list("qxzjkvwpbfgh")]
+    noise = [(20_000 + 3 * k + j, "".join(rng.choice(pool[j], 400))) for k in range(20) for j in range(3)]
+    labelled = documents.select("doc_id", "text", "lang")
+    probe = spark.createDataFrame([(i, t, None) for i, t in short + noise], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in language.accepted(labelled.unionByName(probe)).collect()}
+    assert not kept & {i for i, _ in noise}
+    assert len(kept & {i for i, _ in short}) >= 58 and {i for i, _ in clean} <= kept
+
+
+def test_rare_languages_are_learned(spark):
+    common = [f"the house number {k} stands near the river and the old mill" for k in range(4000)]
+    rare = [f"das Haus Nummer {k} steht nahe beim Fluss und der alten Muehle" for k in range(24)]
+    data = [(i, t, "en" if i < 4000 else "de") for i, t in enumerate(common + rare)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    pairs = language.sampled(df)
+    assert len(pairs) <= language.SAMPLE_DOCS and {y for _, y in pairs} == {"en", "de"}
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df).where("doc_id >= 3900").collect()}
+    assert np.mean([got[i] == ("en" if i < 4000 else "de") for i in got]) > 0.98
+
+
 def test_stage_without_a_model_keeps_texts_with_a_letter(spark):
     df = spark.createDataFrame([(i, t, None) for i, t in enumerate([None, "", "12 ?!", "a clean text", "é"])], "doc_id long, text string, lang string")
     assert sorted(r["doc_id"] for r in language.accepted(df).collect()) == [3, 4]
-    assert sorted(r["doc_id"] for r in language.accepted(df, 0.3).collect()) == [3, 4]
     assert language.accepted(df.limit(0)).count() == 0
 
 

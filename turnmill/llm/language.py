@@ -4,8 +4,12 @@ A text is read as UTF-8 in windows of ``WINDOW`` bytes.  One gated recurrent lay
 window; a softmax over both states labels every position, and a document's probability of a language is the mean over all
 of its positions.  All bytes of all windows count; the last window is padded and its padding is masked.
 
-Training takes a bounded sample of labelled rows (``SAMPLE_DOCS``, the smallest hashes of the id, with texts of at most
-``SAMPLE_BYTES``): whole texts of the sample are read by the driver, at most ``SAMPLE_DOCS * SAMPLE_BYTES`` bytes.  Scoring runs in Spark over all rows.
+Training takes a bounded sample of labelled rows (``SAMPLE_DOCS``, shared out evenly among the languages, of each the smallest
+hashes of the id, with texts of at most ``SAMPLE_BYTES``): whole texts of the sample are read by the driver, at most
+``SAMPLE_DOCS * SAMPLE_BYTES`` bytes.  Up to ``SAMPLE_DOCS / LEAST_DOCS`` languages are learned, the most frequent ones, however
+rare each is.  Scoring runs in Spark over all rows.
+
+``accepted`` asks a network that has learned noise as one label more whether a text is language at all (see ``Gate``).
 
 Null texts and texts without a letter get ``und`` and score 0, and so does every text if no row has a label.  Equal texts get
 equal predictions.  An empty table gives an empty table.
@@ -18,10 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import about, held_out, learns, read_only_columns, slices
+from turnmill.llm.common import held_out, learns, read_only_columns, slices
 
 WINDOW = 48
 HIDDEN = 8
@@ -29,7 +33,13 @@ STEPS = 500
 BATCH = 256
 RATE = 0.02
 SAMPLE_DOCS = 1500
+LEAST_DOCS = 20
 SAMPLE_BYTES = 1 << 16
+# The label of made-up noise; no value of ``lang``.  One sampled text in so many is kept from training, to set the limits by.
+NOISE = "\x00"
+ASIDE = 4
+NOISE_CHARS = 2000
+LENGTHS = tuple(1 << k for k in range(3, 11))
 # Windows scored together; bounds the memory of a task.
 BLOCK = 2048
 UNKNOWN = "und"
@@ -230,16 +240,84 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
     return names, scores
 
 
-def fit(documents: DataFrame, docs: int = SAMPLE_DOCS) -> Model | None:
-    """Train on at most ``docs`` labelled rows outside the held-out part, those with the smallest hash of the id.
+def sampled(documents: DataFrame, docs: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
+    """At most ``docs`` pairs (text, language) outside the held-out part, about as many of every language.
 
     Rows whose text is longer than ``SAMPLE_BYTES`` are not in the sample; they are scored like all others.
     """
     known = read_only_columns(documents, "doc_id", "text", "lang").where(
         learns() & F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
-    sample = about(known, "doc_id", docs).select("lang", "text", "h", F.xxhash64("text").alias("tie")).orderBy("h", "tie", "lang").limit(docs).collect()
-    usable = [(r["text"], r["lang"]) for r in sample if has_letter(r["text"])]
-    return train([t for t, _ in usable], [y for _, y in usable])
+    # One row per language; the bound on the hash lets every task leave out most rows by itself.
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max(docs // LEAST_DOCS, 1)).collect()
+    if not counts:
+        return []
+    share = max(docs // len(counts), 1)
+    bounds = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(2 * share * (1 << 32) // r["n"] + 1, 1 << 32) if r["n"] > 2 * share else 1 << 32)])
+    hashed = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))).where(F.col("h") < F.try_element_at(bounds, F.col("lang")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))
+    rows = hashed.withColumn("place", place).where(F.col("place") <= share).select("lang", "text", "h").collect()
+    rows.sort(key=lambda r: (r["h"], r["lang"], r["text"]))
+    return [(r["text"], r["lang"]) for r in rows if has_letter(r["text"])]
+
+
+def fit(documents: DataFrame, docs: int = SAMPLE_DOCS) -> Model | None:
+    """Train on the sample of ``sampled``."""
+    pairs = sampled(documents, docs)
+    return train([t for t, _ in pairs], [y for _, y in pairs])
+
+
+def noise_like(text: str, rng: np.random.Generator) -> str:
+    """Noise as long as a text: its own characters in another order, hexadecimal digits, or any printable characters."""
+    text = text[:NOISE_CHARS]
+    kind, n = int(rng.integers(3)), len(text)
+    if kind == 0:
+        return "".join(text[k] for k in rng.permutation(n))
+    pool = np.array(list("0123456789abcdef") if kind == 1 else [chr(c) for c in range(33, 127)])
+    return "".join(rng.choice(pool, n))
+
+
+@dataclass
+class Gate:
+    """A network with noise as a label, and the share of noise above which a text of a given length is rejected.
+
+    The evidence is the noise probability pooled over all positions.  Its limit is set by length, on texts kept from training and
+    excerpts of them: half way between what 99 in 100 of those reach and certainty, so that short clean texts pass.
+    """
+
+    model: Model
+    limits: list[float]
+
+    def noise(self, texts: list[bytes]) -> np.ndarray:
+        return probabilities(self.model, texts)[:, self.model.languages.index(NOISE)]
+
+    def passes(self, texts: list[str | None]) -> list[bool]:
+        stays = [bool(t) and has_letter(t) for t in texts]
+        at = [k for k, ok in enumerate(stays) if ok]
+        data = [texts[k].encode("utf-8", "replace") for k in at]
+        for k, d, share in zip(at, data, self.noise(data) if at else (), strict=True):
+            stays[k] = bool(share <= self.limits[np.searchsorted(LENGTHS, len(d), side="right")])
+        return stays
+
+
+def fit_gate(documents: DataFrame, docs: int = SAMPLE_DOCS) -> Gate | None:
+    pairs = sampled(documents, docs)
+    rng = np.random.default_rng(5)
+    aside, taught = [t for t, _ in pairs[::ASIDE]], [p for k, p in enumerate(pairs) if k % ASIDE]
+    noise = [noise_like(t, rng) for t, _ in taught]
+    model = train([t for t, _ in taught] + noise, [y for _, y in taught] + [NOISE] * len(noise)) if taught else None
+    if model is None:
+        return None
+    gate, limits = Gate(model, [1.0] * (len(LENGTHS) + 1)), []
+    for k in range(len(LENGTHS) + 1):
+        least, most = (LENGTHS[k - 1] if k else 1), (LENGTHS[k] if k < len(LENGTHS) else NOISE_CHARS * 4)
+        cuts = []
+        for text in aside:
+            words, start = text.split(), int(rng.integers(1 << 30))
+            piece = " ".join(words[start % max(len(words), 1):] + words)[:int(rng.integers(least, most))]
+            if has_letter(piece):
+                cuts.append(piece.encode("utf-8", "replace"))
+        limits.append(max(0.5, (1 + float(np.quantile(gate.noise(cuts), 0.99))) / 2) if len(cuts) >= LEAST_DOCS else 1.0)
+    return Gate(model, limits)
 
 
 def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
@@ -256,23 +334,18 @@ def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(documents: DataFrame, least: float = 0.0) -> DataFrame:
-    """The documents with all their columns, but for those without a letter or with a score below ``least``.
+def accepted(documents: DataFrame) -> DataFrame:
+    """The documents with all their columns, but for those that hold no letter and those that the network takes for noise.
 
-    Scores of short clean texts can be low, so by default only texts without a letter go and the network's score rejects
-    none.  If no model can be fitted, all texts with a letter stay, whatever ``least``.  The verdict is taken on the row
-    itself, in the pass that scores it, so there is no join.
+    If no model can be fitted, all texts with a letter stay.  The verdict is taken on the row itself, in the pass that scores
+    it, so there is no join.
     """
-    model = fit(documents)
-    schema = documents.schema
+    gate = fit_gate(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            if model is None:
-                stays = [bool(t) and has_letter(t) for t in texts]
-            else:
-                stays = [n != UNKNOWN and s >= least for n, s in zip(*predict(model, texts), strict=True)]
+            stays = gate.passes(texts) if gate else [bool(t) and has_letter(t) for t in texts]
             yield batch.filter(pa.array(stays, pa.bool_()))
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(run, documents.schema)
