@@ -140,6 +140,18 @@ def pad_batch(samples: DataFrame, batch: str, *, pad: int = PAD_INDEX, mask_from
             .withColumn("position_ids", F.sequence(F.lit(0), F.col("_size") - 1)).drop("_size", "_own"))
 
 
+def collate_rewards(samples: DataFrame, batch: str, order: str, *, reward: str = "reward", pad: int = PAD_INDEX) -> DataFrame:
+    """One row per batch, as a reward buffer reads it: padded ``input_ids``, ``labels`` and ``attention_mask`` of its samples in
+    ``order``, and their ``rewards`` as a list (null where a sample has none).
+
+    A batch holds as many samples as the caller puts in one, so its rows fit in one.
+    """
+    rows = pad_batch(samples, batch, pad=pad)
+    cols = ["input_ids", "labels", "attention_mask"]
+    one = rows.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_at"), *cols, F.col(reward).cast("double").alias("_reward")))).alias("_s"))
+    return one.select(batch, *[F.col(f"_s.{c}").alias(c) for c in cols], F.col("_s._reward").alias("rewards"))
+
+
 def truncate(samples: DataFrame, n: int) -> DataFrame:
     """Clip ids and labels before padding."""
     return samples.withColumn("input_ids", F.slice("input_ids", 1, n)).withColumn("labels", F.slice("labels", 1, n))

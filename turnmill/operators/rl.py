@@ -6,13 +6,12 @@ steps, so one trajectory that holds a third of the log is spread over many tasks
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.functions.text import col
 from turnmill.functions.tokens import joined
-from turnmill.operators.order import chunk_bucket, join_keys, previous_row, running
+from turnmill.operators.order import chunk_bucket, join_keys, running
 
 STEPS = 1024
 
@@ -24,12 +23,37 @@ def kl_rewards(steps: DataFrame, *, kl_coef: float = 0.01, total: str = "n_steps
         F.lit(kl_coef) * (F.col("ref_lp") - F.col("policy_lp"))))
 
 
+# Elements that are folded by appending; longer arrays are folded in pieces of so many.
+PIECE = 32
+
+
 def backward_sums(deltas: Column, decay: float) -> Column:
-    """A_t = d_t + decay * A_(t+1) along one array."""
-    back = F.aggregate(
-        F.reverse(deltas), F.array().cast("array<double>"),
-        lambda acc, d: F.concat(acc, F.array(d + F.lit(decay) * F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)))))
-    return F.reverse(back)
+    """A_t = d_t + decay * A_(t+1) along one array.
+
+    The array is cut from its end in pieces, each folded on its own, so that no fold copies more than a piece; what follows a
+    piece then reaches it as the first sum of the next one, weighted by the distance.
+    """
+    def fold(values: Column, start: Column) -> Column:
+        return F.aggregate(values, F.struct(F.array().cast("array<double>").alias("out"), start.cast("double").alias("last")),
+                           lambda acc, d: (lambda a: F.struct(F.concat(acc["out"], F.array(a)).alias("out"), a.alias("last")))(d + F.lit(decay) * acc["last"]),
+                           lambda acc: acc["out"])
+    back = F.reverse(deltas)
+    cuts = F.sequence(F.lit(1), F.greatest(F.size(deltas), F.lit(1)), F.lit(PIECE))
+    pieces = F.transform(cuts, lambda at: fold(F.slice(back, at, F.lit(PIECE)), F.lit(0.0)))
+    # Per piece: the sum that enters it, from the whole pieces before.
+    entering = fold_entries(pieces, decay)
+    whole = F.zip_with(pieces, entering, lambda piece, start: F.transform(
+        piece, lambda a, i: a + F.pow(F.lit(decay), (i + 1).cast("double")) * start))
+    return F.reverse(F.flatten(whole))
+
+
+def fold_entries(pieces: Column, decay: float) -> Column:
+    """The sum that stands before each piece: that before the last one, moved over its length, and the last one's own end."""
+    start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("last"))
+    return F.aggregate(pieces, start, lambda acc, piece: F.struct(
+        F.concat(acc["out"], F.array(acc["last"])).alias("out"),
+        (F.coalesce(F.try_element_at(piece, F.lit(-1)), F.lit(0.0)) + F.pow(F.lit(decay), F.size(piece).cast("double")) * acc["last"]).alias("last")),
+        lambda acc: acc["out"])
 
 
 def gae_arrays(rewards: Column | str, values: Column | str, *, gamma: float = 1.0, lam: float = 0.99) -> Column:
@@ -40,17 +64,6 @@ def gae_arrays(rewards: Column | str, values: Column | str, *, gamma: float = 1.
     return backward_sums(deltas, gamma * lam)
 
 
-def _carry(decay: float, traj: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk", ascending=False)
-        carry, out = 0.0, []
-        for head, size in zip(pdf["_head"], pdf["_size"]):
-            out.append(carry)
-            carry = head + decay ** int(size) * carry
-        return pdf.assign(_carry=out)[[traj, "_chunk", "_carry"]]
-    return run
-
-
 def gae(steps: DataFrame, *, gamma: float = 1.0, lam: float = 0.99, traj: str = "traj_id", reward: str = "reward",
         value: str = "value", chunk: int = STEPS, bounded: bool = False) -> DataFrame:
     """``advantage`` and ``ret`` of every step, folded backwards in chunks of ``chunk`` steps.
@@ -72,23 +85,27 @@ def gae(steps: DataFrame, *, gamma: float = 1.0, lam: float = 0.99, traj: str =
 
 def _gae_chunks(steps: DataFrame, *, gamma: float, lam: float, traj: str, reward: str, value: str,
                 chunk: int) -> DataFrame:
-    """Each chunk of steps is folded backwards on its own; the tail of a chunk then needs only the first
-    advantage of the chunk behind it, weighted by the distance.  The chain over chunks sees one row per
-    ``chunk`` steps.
+    """Each chunk of steps is folded backwards on its own, in the one shuffle that gathers it; the first step of a chunk is sent to
+    the chunk before as well, whose last step needs its value.  What follows a chunk reaches it as the first sum of the next one,
+    weighted by the distance: one number per chunk, and only of trajectories with more than one.
     """
     decay = gamma * lam
-    ahead = previous_row(steps, order="step", bucket=chunk_bucket("step", chunk), keys=[traj],
-                         cols={"_next_value": value}, ahead=True)
-    delta = F.col(reward) + F.lit(gamma) * F.coalesce("_next_value", F.lit(0.0)) - F.col(value)
-    cut = (ahead.select(traj, "step", value, delta.alias("_delta"), chunk_bucket("step", chunk).alias("_chunk"))
-           .groupBy(traj, "_chunk")
-           .agg(F.array_sort(F.collect_list(F.struct("step", F.col(value).alias("v"), "_delta"))).alias("_s")))
-    cut = cut.withColumn("_local", backward_sums(F.transform("_s", lambda s: s["_delta"]), decay))
-    heads = cut.select(traj, "_chunk", F.element_at("_local", 1).alias("_head"), F.size("_s").alias("_size"))
-    carry = heads.groupBy(traj).applyInPandas(
-        _carry(decay, traj), f"{traj} {dict(steps.dtypes)[traj]}, _chunk bigint, _carry double")
-    rows = join_keys(cut, carry, [traj, "_chunk"]).select(
-        traj, F.size("_s").alias("_size"), "_carry", F.posexplode(F.arrays_zip("_s", "_local")).alias("_i", "_r"))
+    own = steps.select(traj, "step", F.col(reward).alias("r"), F.col(value).alias("v"), chunk_bucket("step", chunk).alias("_at"))
+    opens = (F.col("step") % chunk == 0) & (F.col("step") > 0)
+    sent = own.select(traj, "step", "r", "v", F.explode(F.when(opens, F.array("_at", F.col("_at") - 1)).otherwise(F.array("_at"))).alias("_chunk"))
+    cut = sent.groupBy(traj, "_chunk").agg(F.array_sort(F.collect_list(F.struct("step", "r", "v"))).alias("_s"))
+    followed = chunk_bucket(F.element_at("_s", -1)["step"], chunk) != F.col("_chunk")
+    cut = cut.withColumn("_followed", followed).withColumn("_size", F.size("_s") - F.col("_followed").cast("int"))
+    deltas = F.transform(F.slice("_s", F.lit(1), F.col("_size")), lambda s, i: s["r"] + F.lit(gamma) * F.coalesce(
+        F.get("_s", i + 1)["v"], F.lit(0.0)) - s["v"])
+    folded = lambda rows: rows.withColumn("_local", backward_sums(deltas, decay))
+    heads = folded(cut.where(F.col("_followed") | (F.col("_chunk") > 0))).groupBy(traj).agg(
+        F.array_sort(F.collect_list(F.struct("_chunk", F.element_at("_local", 1).alias("head")))).alias("_heads"))
+    # All chunks but the last are full.
+    carried = heads.select(traj, backward_sums(F.transform("_heads", lambda h: h["head"]), decay ** chunk).alias("_sums"))
+    rows = join_keys(folded(cut), carried, [traj], "left").select(
+        traj, "_size", F.coalesce(F.get("_sums", F.col("_chunk") + 1), F.lit(0.0)).alias("_carry"),
+        F.posexplode(F.arrays_zip(F.slice("_s", F.lit(1), F.col("_size")).alias("_s"), "_local")).alias("_i", "_r"))
     advantage = F.col("_r._local") + F.pow(F.lit(decay), F.col("_size") - F.col("_i")) * F.col("_carry")
     return rows.select(traj, F.col("_r._s.step").alias("step"), advantage.alias("advantage"),
                        (advantage + F.col("_r._s.v")).alias("ret"))

@@ -130,6 +130,19 @@ def pad_batch_eval(spark, d):
         "sample_id", "batch", "subject", joined("input_ids").alias("input_ids"), _mask(F.col("attention_mask")).alias("attention_mask"))
 
 
+@query("collate_rewards", f"""
+WITH {_BATCHED}
+SELECT batch, count(*) AS n, CAST(any_value(size) AS BIGINT) AS width, string_agg({sql.text('input_ids')}, ';' ORDER BY sample_id) AS input_ids,
+       string_agg(coalesce(CAST(CASE WHEN sample_id % 5 > 0 THEN sample_id % 7 END AS VARCHAR), 'null'), ',' ORDER BY sample_id) AS rewards FROM padded GROUP BY batch""")
+def collate_rewards(spark, d):
+    reward = F.when(F.col("sample_id") % 5 > 0, (F.col("sample_id") % 7).cast("double"))
+    s = inputs.samples(spark, d, 256).withColumns({"batch": int_div("sample_id", 8), "reward": reward})
+    rows = bt.collate_rewards(s, "batch", "sample_id")
+    each = F.transform("rewards", lambda r: F.coalesce(r.cast("int").cast("string"), F.lit("null")))
+    return rows.select("batch", F.size("rewards").cast("long").alias("n"), F.size(F.element_at("input_ids", 1)).cast("long").alias("width"),
+                       F.array_join(F.transform("input_ids", joined), ";").alias("input_ids"), F.array_join(each, ",").alias("rewards"))
+
+
 @query("pad_pairs", f"""
 WITH {_PAIR_LENGTHS},
 s AS (SELECT sample_id AS pair_id, 0 AS side, ci[1:300] AS input_ids, list_concat({sql.masked('pi')}, ci[len(pi) + 1:])[1:300] AS labels FROM pairs

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnmill import catalog
 from turnmill.functions.text import strip
-from turnmill.functions.tokens import HashEncoder, joined
+from turnmill.functions.tokens import HashEncoder, bos_ids, joined
 from turnmill.operators import order as od
 from turnmill.operators.rl import trajectory_lines
 from turnmill.plans import inputs, sql
@@ -330,3 +330,24 @@ def mix_corpora(spark, d):
               "law_reference": docs.select("doc_id", F.col("lang").alias("question"), F.col("text").alias("answer"))}
     packs = build_mix({name: shapes[name] for name in MIXES["lawyer"]}, id_col="doc_id")
     return packs.groupBy("source").agg(F.count(F.lit(1)).alias("n_packs"), F.sum(F.size("input_ids")).alias("n_tokens"))
+
+
+_FAMILIES = {"qwen": (), "llama": (1,), "chatglm": (64790, 64792)}
+
+
+@query("bos_policies", f"""
+WITH {_ALPACA}, t AS (SELECT doc_id, instruction, {sql.n_words('output')} AS o, {_default_turn(None, "instruction || chr(10) || input", "output")} FROM alpaca WHERE output <> '<nooutput>'),
+f AS (SELECT * FROM (VALUES {', '.join(f"('{name}', {len(ids)}, '{','.join(map(str, ids))}')" for name, ids in _FAMILIES.items())}) v(family, k, lead))
+SELECT family, CAST(doc_id AS VARCHAR) AS doc_id, instruction AS language, CAST(least(2048, before - 1 + k + o + 2) AS BIGINT) AS num_tokens, lead
+FROM t, f WHERE before - 1 + k < 2048""")
+def bos_policies(spark, d):
+    """One corpus for tokenizer families with no, one and two BOS ids; a column is renamed, unused ones go, ids become texts."""
+    records = _alpaca(spark, d).withColumn("doc_id", F.col("doc_id").cast("string"))
+    out = None
+    for family, ids in _FAMILIES.items():
+        coded = encode_corpus(records, "alpaca", "default", HashEncoder(bos=bos_ids(family, own=1)), id_col="doc_id", max_length=2048,
+                              rename={"instruction": "language"}, keep=["language"])
+        lead = joined(F.slice("input_ids", 1, len(ids))) if ids else F.lit("")
+        part = coded.select(F.lit(family).alias("family"), "doc_id", "language", F.col("num_tokens").cast("long").alias("num_tokens"), lead.alias("lead"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -114,9 +114,14 @@ def dialogue_rejects(messages: DataFrame, name: str, *, sample: str = "sample_id
     return roles.unionByName(placeless)
 
 
-def build_preset(records: DataFrame, name: str, encoder=HashEncoder(), *, id_col: str) -> DataFrame:
-    """Encoded samples of a preset, or its packs where the preset packs."""
+def build_preset(records: DataFrame, name: str, encoder=HashEncoder(), *, id_col: str, varlen: bool = False, split: str | None = None,
+                 batch: int = 1, sp: int = 1) -> DataFrame:
+    """Encoded samples of a preset, or its packs where the preset packs.
+
+    ``varlen``, ``split``, ``batch`` and ``sp`` are those of the run the corpus is for; what does not go together is refused here.
+    """
     p = PRESETS[name]
+    check_corpus_options(varlen=varlen, pack=p.pack, split=split, batch=batch, max_length=p.max_length, sp=sp)
     coded = encode_corpus(records, p.fmt, p.template, encoder, id_col=id_col, max_length=p.max_length)
     coded = coded.withColumn("source", F.lit(name))
     return pack_range(stage(coded, name), p.max_length, sample=id_col, shuffle=p.shuffle) if p.pack else coded
