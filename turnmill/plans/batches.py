@@ -140,7 +140,7 @@ def collate_rewards(spark, d):
     rows = bt.collate_rewards(s, "batch", "sample_id")
     each = F.transform("rewards", lambda r: F.coalesce(r.cast("int").cast("string"), F.lit("null")))
     return rows.select("batch", F.size("rewards").cast("long").alias("n"), F.size(F.element_at("input_ids", 1)).cast("long").alias("width"),
-                       F.array_join(F.transform("input_ids", joined), ";").alias("input_ids"), F.array_join(each, ",").alias("rewards"))
+                       F.array_join(F.transform("input_ids", lambda ids: joined(ids)), ";").alias("input_ids"), F.array_join(each, ",").alias("rewards"))
 
 
 @query("pad_pairs", f"""
