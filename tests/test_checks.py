@@ -194,3 +194,38 @@ def test_null_sample_ids_files_and_ratios(spark):
     marked = df.selectExpr("source AS file", "sample_id", "'x' AS line", "1L AS num_tokens")
     parts = sk.train_valid(marked, file="file", order=["sample_id"], bucket=od.chunk_bucket("sample_id"), every=10, keep_above=2)
     assert sk.split_totals(parts, by=["file"]).count() == 4 and parts.count() == 110
+
+
+# ---- collators and options -----------------------------------------------------------------------------------------
+
+def test_rewards_stand_beside_their_padded_samples(spark):
+    from turnmill.operators.batch import collate_rewards
+    df = spark.createDataFrame([(2, 0, [5, 6], [-100, 6], 0.5), (1, 0, [7], [7], None), (3, 1, [8], [8], -1.0)],
+                               "sample_id long, batch long, input_ids array<int>, labels array<int>, reward double")
+    got = {r["batch"]: r for r in collate_rewards(df, "batch", "sample_id").collect()}
+    assert got[0]["input_ids"] == [[7, 0], [5, 6]] and got[0]["labels"] == [[7, -100], [-100, 6]]
+    assert got[0]["attention_mask"] == [[True, False], [True, True]] and got[0]["rewards"] == [None, 0.5]
+    assert got[1]["input_ids"] == [[8]] and got[1]["rewards"] == [-1.0]
+
+
+def test_builds_refuse_options_that_do_not_go_together(spark):
+    from turnmill.plans.presets import build_preset
+    records = spark.createDataFrame([(1, "q", "", "a")], "doc_id long, instruction string, input string, output string")
+    with pytest.raises(ValueError, match="packing needs the train split"):
+        build_preset(records, "alpaca", id_col="doc_id", split="test")
+    with pytest.raises(ValueError, match="batch size 1; max_length must divide"):
+        build_preset(records, "alpaca", id_col="doc_id", varlen=True, batch=2, sp=3)
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 64, 1000])
+@pytest.mark.parametrize("decay", [1.0, 0.99, 0.5, 0.0])
+def test_backward_sums_of_any_length(spark, n, decay):
+    from turnmill.operators.rl import backward_sums
+    rng = random.Random(n)
+    deltas = [rng.uniform(-1, 1) for _ in range(n)]
+    want, last = [], 0.0
+    for d in reversed(deltas):
+        last = d + decay * last
+        want.append(last)
+    got = spark.createDataFrame([(deltas,)], "d array<double>").select(backward_sums(F.col("d"), decay)).first()[0]
+    assert got == pytest.approx(want[::-1], abs=1e-9)
