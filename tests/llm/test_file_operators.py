@@ -178,3 +178,14 @@ def test_fisher_yates_is_uniform_enough():
         seen[order] = seen.get(order, 0) + 1
     assert len(seen) == 6 and min(seen.values()) > 850
     assert shards.fisher_yates(0, np.random.default_rng(0)) == [] and shards.fisher_yates(1, np.random.default_rng(0)) == [0]
+
+
+def test_rows_without_an_id_spread_over_buckets(spark, monkeypatch):
+    df = spark.range(6000).selectExpr("CASE WHEN id % 3 > 0 THEN id END AS doc_id", "repeat(concat('t', id), 20) AS text")
+    staged, put = {}, shards.stage
+    monkeypatch.setattr(shards, "stage", lambda d, label: staged.setdefault(label, put(d, label)))
+    out = shards.shuffle(df, shards=4, bucket_bytes=1 << 13).select("rec.doc_id", "shard", "slot").collect()
+    assert len(out) == 6000 and sum(r["doc_id"] is None for r in out) == 2000 and len({(r["shard"], r["slot"]) for r in out}) == 6000
+    sizes = sorted(b - a for a, b in zip(*(lambda f: (f[:-1], f[1:]))([r["first"] for r in staged["shard-buckets"].orderBy("bucket").collect()]), strict=True) if b > a)
+    # The shard of the null ids holds four times the rows of others, in as many more buckets.
+    assert sizes[-1] < 3 * sizes[len(sizes) // 2]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 from collections.abc import Iterator
@@ -39,8 +40,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
 
 
 def file_system(uri: str):
-    """``(file system, path)`` of a folder that driver and executors share; a plain path is a mounted folder."""
+    """``(file system, path)`` of a folder that driver and executors share.
+
+    A plain path is a mounted folder: where the session's file system is another one, ``session.shared_dir`` names it in full.
+    """
     from pyarrow import fs
+    uri = re.sub("^file:/(?!/)", "file:///", uri)
     return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
 
 

@@ -1,6 +1,7 @@
 """Host-level quality rules: failures by host, rates shrunk by an empirical beta prior, verdicts joined back to documents.
 
-1. Every document gets base counts and one failure flag per rule.
+1. Every document gets base counts, and fails if it has too few words or too many of them in repeated windows; symbols, repeated
+   lines and word lengths are counted for the caller and enter no rule.
 2. Failures are summed by host (the document's ``source``); map-side sums make a host of any size a few rows.
 3. Over all hosts a beta prior is fitted to the failure rates by moments (weighted by documents, with the binomial part of
    the variance removed), and each host's rate becomes its posterior mean: a small host is drawn to the common rate, a

@@ -11,8 +11,9 @@ prefix finds more meetings, but asks for more of them before two sets are compar
 3. ``chosen``: for each of some depths k, the counted lists give what a class would cost: the entries to scan, and the partners
    to verify, at most (entries / k).  Each class takes the cheapest depth.  A class with fewer than k shared shingles at any
    depth k has no partner and goes.
-4. ``postings``: as every pair must share several shingles, each class may leave out the longest of its lists (``spare``), if
-   that many less are asked of its pairs.  Text that very many documents share then brings nobody together.
+4. ``dense``: the whole sets of these classes are listed.  A class of which fewer than o shingles are in any other's set has no
+   partner either, and goes; that is repeated, as its shingles may have been all that others had in common with anyone.  Text
+   that makes up most, but not nine tenths, of many documents brings nobody together beyond this point.
 5. ``starred``: each class is verified against a few leaders of its lists, first any members, then those with the most links so
    far.  That is linear, and makes one cluster of most groups of near copies.
 6. ``candidates``: only classes of different clusters are still to be compared.  Clusters meet in their lists first (long lists
@@ -50,6 +51,8 @@ FREQUENT = 1 << 16
 REPORTED, REPORTED_PART = 8, 64
 # Leaders against which a class is verified in each round.
 LEADERS = (6, 4)
+# Rounds in which classes are dropped that share too little of their whole sets; more rounds drop no class that has a partner.
+ROUNDS = 3
 # A list of more classes is cut in blocks of about so many.
 BLOCK = 256
 # Classes and shingles in a block of neighbours whose pairs are verified together.
@@ -223,20 +226,13 @@ def depth_at(n: Column, quarter: int, percent: int = PERCENT) -> Column:
     return F.greatest(F.floor(top * quarter / QUARTERS), F.lit(1)).cast("long")
 
 
-def spare(n: Column, percent: int = PERCENT) -> Column:
-    """How many of its lists a set of ``n`` may leave out.
-
-    No partner of n is smaller than o(n), so no pair of it asks for fewer shared shingles than the first depth of o(n).  Both
-    sides leave out less than half of that, so that at least one shared shingle is left.
-    """
-    return F.floor((depth_at(overlap_bound(n, percent), 1, percent) - 1) / 2).cast("long")
+def pair_bound(n1: Column, n2: Column, percent: int = PERCENT) -> Column:
+    """The least number of shingles that two sets of these sizes share if they link."""
+    return F.ceil((n1 + n2) * percent / F.lit(100 + percent)).cast("long")
 
 
 def chosen(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``(row, n, depth, own)`` of the classes that can have partners; ``entries`` (row, n, pos, length) are in shared lists.
-
-    ``own`` counts the shingles of the deepest prefix that no other class has there.
-    """
+    """``(row, n, depth)`` of the classes that can have partners; ``entries`` (row, n, pos, length) are in shared lists."""
     o = overlap_bound(F.col("n"), percent)
     sums = []
     for k in range(1, QUARTERS + 1):
@@ -249,20 +245,33 @@ def chosen(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
         depth = depth_at(F.col("n"), k, percent)
         enough = enough & (F.col(f"met{k}") >= depth)
         choices.append(F.struct((F.col(f"scan{k}") + F.col(f"scan{k}") / depth * F.col("n") * VERIFY).alias("cost"), depth.alias("depth")))
-    own = F.col("n") - o + depth_at(F.col("n"), QUARTERS, percent) - F.col(f"met{QUARTERS}")
-    return costs.where(enough).select("row", "n", F.array_min(F.array(*choices))["depth"].alias("depth"), own.alias("own"))
+    return costs.where(enough).select("row", "n", F.array_min(F.array(*choices))["depth"].alias("depth"))
 
 
-def postings(entries: DataFrame, depths: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``(row, n, token, need, own)``: the entries of the chosen prefixes without the longest lists a class may spare.
+def dense(whole: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+    """``(row)`` of the classes of ``whole`` (row, n, set) that share enough of their whole sets with others, after ``rounds``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets_ = [np.frombuffer(b, np.int64) for b in batch["set"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(sets_, pa.list_(pa.int64()))], ["row", "tokens"])
+
+    left = whole.select("row", "n")
+    tokens = stage(whole.select("row", "set").mapInArrow(run, "row long, tokens array<long>").select("row", F.explode("tokens").alias("token")), "ngram-tokens")
+    for _ in range(rounds):
+        shared = tokens.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
+        met = shared.groupBy("row").agg(F.count(F.lit(1)).alias("met"))
+        before = left
+        left = stage(left.join(small(stage(met, "ngram-met")), "row").where(F.col("met") >= overlap_bound(F.col("n"), percent)).select("row", "n"), "ngram-dense")
+        if left.count() == before.count():
+            break
+        tokens = stage(shared.drop("m").join(small(left.select("row")), "row", "left_semi"), "ngram-tokens")
+    return left.select("row")
 
-    ``need`` is the class's depth, less the lists it left out; a pair must share the smaller depth, less what both left out.
-    """
+
+def postings(entries: DataFrame, depths: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``(row, n, token, depth)``: the entries of the chosen prefixes."""
     inside = F.col("pos") < F.col("n") - overlap_bound(F.col("n"), percent) + F.col("depth")
-    open_ = entries.drop("n").join(small(depths), "row").where(inside)
-    by_length = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("length"), "pos"))
-    kept = open_.withColumn("place", by_length).where(F.col("place") > spare(F.col("n"), percent))
-    return kept.select("row", "n", "token", "depth", spare(F.col("n"), percent).alias("spared"), "own")
+    return entries.join(small(depths), "row").where(inside).select("row", "n", "token", "depth")
 
 
 def starred(kept: DataFrame, links: DataFrame | None, leaders: int) -> DataFrame:
@@ -284,30 +293,32 @@ def starred(kept: DataFrame, links: DataFrame | None, leaders: int) -> DataFrame
 
 
 def candidates(kept: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """``(a, b)``: classes of different clusters that share enough; ``kept`` (row, n, token, depth, spared, cluster) is staged.
+    """``(a, b)``: classes of different clusters that share enough; ``kept`` (row, n, token, depth, cluster) is staged.
 
     A pair of clusters shares at least what any of its pairs of classes shares, so few pairs of clusters reach their classes.
     """
-    units = kept.groupBy("token", "cluster").agg(F.min("depth").alias("depth"), F.max("spared").alias("spared"), F.min("n").alias("least"),
-                                                 F.max("n").alias("most"))
+    units = kept.groupBy("token", "cluster").agg(F.min("depth").alias("depth"), F.min("n").alias("least"), F.max("n").alias("most"))
     lists = units.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
     placed = lists.withColumn("parts", F.ceil(F.col("m") / block).cast("int"))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("cluster"), F.col("parts")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "cluster", "least", "most", "depth", "spared", "token", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+        "cluster", "least", "most", "depth", "token", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     x, y = cells.alias("x"), cells.alias("y")
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
     once = (F.col("x.low") == F.col("x.high")) | (F.col("x.part") != F.col("y.part"))
     sizes = (F.col("x.least") * percent <= F.col("y.most") * 100) & (F.col("y.least") * percent <= F.col("x.most") * 100)
     met = x.join(y, same & (F.col("x.cluster") < F.col("y.cluster")) & once & sizes)
     shared = met.groupBy(F.col("x.cluster").alias("one"), F.col("y.cluster").alias("two")).agg(
-        F.count(F.lit(1)).alias("shared"), F.min(F.least("x.depth", "y.depth")).alias("need"), F.max("x.spared").alias("s1"), F.max("y.spared").alias("s2"))
-    close = stage(shared.where(F.col("shared") >= F.greatest(F.col("need") - F.col("s1") - F.col("s2"), F.lit(1))).select("one", "two"), "ngram-close")
-    first = kept.select(F.col("cluster").alias("one"), F.col("row").alias("a"), "token", F.col("n").alias("n1"), F.col("depth").alias("d1"), F.col("spared").alias("s1"))
-    second = kept.select(F.col("cluster").alias("two"), F.col("row").alias("b"), "token", F.col("n").alias("n2"), F.col("depth").alias("d2"), F.col("spared").alias("s2"))
+        F.count(F.lit(1)).alias("shared"), F.min(F.least("x.depth", "y.depth")).alias("need"))
+    close = stage(shared.where("shared >= need").select("one", "two"), "ngram-close")
+    first = kept.select(F.col("cluster").alias("one"), F.col("row").alias("a"), "token", F.col("n").alias("n1"), F.col("depth").alias("d1"))
+    second = kept.select(F.col("cluster").alias("two"), F.col("row").alias("b"), "token", F.col("n").alias("n2"), F.col("depth").alias("d2"))
     fits = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
+    # What a pair must share beyond o of either side, it must share in the prefix as well.
+    bound = pair_bound(F.col("n1"), F.col("n2"), percent)
+    need = F.least(F.col("d1") + bound - overlap_bound(F.col("n1"), percent), F.col("d2") + bound - overlap_bound(F.col("n2"), percent))
     pairs = small(close).join(first, "one").join(second, ["two", "token"]).where(fits).groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("shared"), F.min(F.least("d1", "d2") - F.col("s1") - F.col("s2")).alias("need"))
+        F.count(F.lit(1)).alias("shared"), F.min(need).alias("need"))
     return pairs.where("shared >= need").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -378,15 +389,16 @@ def linked(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     index = stage(indexed(documents, classes, often, size, percent), "ngram-index")
     entries = stage(listed(index), "ngram-entries")
     depths = stage(chosen(entries.join(small(classes.select("row", "n")), "row"), percent), "ngram-depths")
-    kept = stage(postings(entries, depths, percent), "ngram-postings")
     whole = stage(whole_sets(documents, classes.join(small(depths.select("row")), "row", "left_semi"), size), "ngram-sets")
+    depths = stage(depths.join(small(stage(dense(whole, percent), "ngram-left")), "row", "left_semi").select("row", "n", "depth"), "ngram-depths")
+    kept = stage(postings(entries, depths, percent), "ngram-postings")
     found = None
     for leaders in LEADERS:
         stars = stage(verified(whole, stage(starred(kept, found, leaders), "ngram-stars"), percent), "ngram-star-links")
         found = stars if found is None else stage(found.unionByName(stars).distinct(), "ngram-star-links")
     clusters = stage(components(found), "ngram-clusters")
     named = kept.join(small(clusters), kept["row"] == clusters["node"], "left").select(
-        "row", "n", "token", "depth", "spared", F.coalesce("root", "row").alias("cluster"))
+        "row", "n", "token", "depth", F.coalesce("root", "row").alias("cluster"))
     pairs = stage(candidates(stage(named, "ngram-named-postings"), percent), "ngram-candidates")
     rest = stage(verified(whole, pairs, percent), "ngram-links")
     return rows, classes, found.unionByName(rest)

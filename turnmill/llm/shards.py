@@ -6,8 +6,8 @@ shard in random order.
 
 A record's shard follows from its doc_id and the number of shards alone: the hash of the id draws an increasing row of
 shard numbers, and the record stays in the last one below the number of shards.  With one more shard a record either stays
-or moves to the new shard.  Within its shard a record's bucket follows from another hash, among as many buckets as the
-shard's bytes ask for.
+or moves to the new shard.  Within its shard a record's bucket follows from another hash, of id and text, among as many
+buckets as the shard's bytes ask for, so that rows of one id (null, say) spread over the buckets of their shard.
 
 Null ids hash like any other value.  Rows are ordered by id and text before the shuffle, so reruns agree; repeated rows take
 slots of their own.  A null text has no bytes.  An empty table gives an empty table.
@@ -68,7 +68,8 @@ def shuffle(documents: DataFrame, shards: int = SHARDS, bucket_bytes: int = BUCK
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("rec")).withColumn("place", placement(F.col("rec.doc_id"), shards, seed))
     rows = rows.select("rec", F.col("place.at").cast("int").alias("shard"),
                        F.when(F.col("place.next") == shards, F.lit(shards)).otherwise(F.col("place.at")).cast("int").alias("grown_shard"),
-                       F.pmod(F.xxhash64(F.lit("bucket"), F.lit(seed), F.coalesce(F.col("rec.doc_id").cast("string"), F.lit("null"))), F.lit(1 << 40)).alias("draw"))
+                       F.pmod(F.xxhash64(F.lit("bucket"), F.lit(seed), F.coalesce(F.col("rec.doc_id").cast("string"), F.lit("null")), F.col("rec.text")),
+                              F.lit(1 << 40)).alias("draw"))
     sizes = stage(rows.select("shard", "draw", size_of(F.col("rec.text")).alias("size")), "shard-sizes")
     # One number per shard: its bytes.
     held = {r["shard"]: r["b"] for r in sizes.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
