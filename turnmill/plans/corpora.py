@@ -91,10 +91,10 @@ def line_offsets(spark, d):
 SELECT CAST(doc_id % 5 AS INTEGER) AS file_idx, count(*) AS n_samples, CAST(sum(1 + {sql.n_words(sql.strip('text'))}) AS BIGINT) AS n_tokens
 FROM documents GROUP BY 1""")
 def corpus_by_file(spark, d):
-    """Every input file becomes its own data set, written under the file's number in the order of paths."""
+    """Every input folder becomes its own data set, written under its number in the order of paths; tasks write what they read."""
     root, out = fresh_path(spark, "files"), fresh_path(spark, "by-file")
     docs = _documents(spark, d).withColumn("file", F.col("doc_id") % 5)
-    docs.repartition(5, "file").write.partitionBy("file").json(root)
+    docs.write.partitionBy("file").json(root)
     rows = spark.read.schema(_DOC_SCHEMA).option("recursiveFileLookup", True).json(root)
     rows = rows.select("doc_id", "text", F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1).alias("path"))
     # One row per input file.
@@ -115,8 +115,7 @@ SELECT 'lang=' || lang || '/source=' || source AS folder, count(*) > 0 AS has_fi
        dense_rank() OVER (ORDER BY 'lang=' || lang, 'source=' || source) - 1 AS folder_no FROM documents GROUP BY lang, source""")
 def file_manifest(spark, d):
     path = fresh_path(spark, "tree")
-    _documents(spark, d).select("lang", "source", F.col("doc_id").cast("string").alias("value")).repartition("lang", "source") \
-        .write.partitionBy("lang", "source").text(path)
+    _documents(spark, d).select("lang", "source", F.col("doc_id").cast("string").alias("value")).write.partitionBy("lang", "source").text(path)
     files = rd.manifest(spark, path).select(
         F.regexp_extract("rel_path", "^(.*)/[^/]+$", 1).alias("folder"),
         F.regexp_extract("sort_key", "^(.*)\x01[^\x01]+$", 1).alias("key"))

@@ -17,7 +17,7 @@ _SCHEMA = "sample_id bigint, messages array<struct<role:string,content:string>>"
 def _stream_encoded(spark, d, max_length):
     """Conversations land as JSON files; the stream encodes whole records and writes Parquet."""
     src, out, ck = (fresh_path(spark, n) for n in ("stream-in", "stream-out", "stream-ck"))
-    inputs.message_lists(spark, d).repartition(4, "sample_id").write.json(src)
+    inputs.message_lists(spark, d).write.json(src)
     coded = st.encode_stream(st.line_stream(spark, src, _SCHEMA, max_files=2), "openai", "qwen_chat", max_length=max_length)
     st.run_available(coded.select("sample_id", "input_ids", "labels", "num_tokens"), out, ck)
     return spark.read.schema("sample_id bigint, input_ids array<int>, labels array<int>, num_tokens int").parquet(out)
@@ -38,7 +38,7 @@ def stream_pack(spark, d):
     """Residual packer per source; which sample meets which is the stream's order, the counts are not."""
     src, out, ck = (fresh_path(spark, n) for n in ("pack-in", "pack-out", "pack-ck"))
     coded = _stream_encoded(spark, d, 512).withColumn("source", F.concat(F.lit("s"), (F.col("sample_id") % 3).cast("string")))
-    coded.select("source", "input_ids", "labels", F.lit(False).alias("flush")).repartition(4).write.parquet(src)
+    coded.select("source", "input_ids", "labels", F.lit(False).alias("flush")).write.parquet(src)
     rows = spark.readStream.schema("source string, input_ids array<int>, labels array<int>, flush boolean").option("maxFilesPerTrigger", 2).parquet(src)
     st.run_available(st.pack_stream(rows, 128), out, ck)
     packs = spark.read.schema(f"source string, {st.PACK}").parquet(out)
