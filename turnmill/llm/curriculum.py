@@ -15,6 +15,7 @@ are separate documents.  An empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate, pairwise
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,14 +63,25 @@ def allocate(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: float
     return levelled.select("key", "source", "source_size", "rank", "weight", target.alias("target"))
 
 
-def time_of(share: Column, schedule: Column) -> Column:
-    """The time at which the integral of a piecewise linear ``schedule`` (array of weights at equal steps) reaches ``share``."""
-    m = F.size(schedule) - 1
-    areas = F.transform(F.sequence(F.lit(0), m - 1), lambda i: (schedule[i] + schedule[i + 1]) / (2 * m))
-    upto = F.aggregate(areas, F.array(F.lit(0.0)), lambda acc, a: F.concat(acc, F.array(acc[F.size(acc) - 1] + a)))
+def shapes(schedules: Sequence[Sequence[float]], which: Column) -> Column:
+    """``struct(knots, upto)`` of the schedule number ``which`` (from 1): its weights, and its integral up to each knot."""
+    knots = [[float(w) for w in s] for s in schedules]
+    upto = [list(accumulate(((a + b) / (2 * (len(s) - 1)) for a, b in pairwise(s)), initial=0.0)) for s in knots]
+    return F.struct(F.element_at(F.lit(knots), which).alias("knots"), F.element_at(F.lit(upto), which).alias("upto"))
+
+
+def time_of(share: Column, shape: Column, pieces: int) -> Column:
+    """The time at which the integral of a piecewise linear schedule (of ``shapes``) reaches ``share``; plain arithmetic.
+
+    ``pieces`` is the greatest number of pieces that any of the schedules has.
+    """
+    knots, upto = shape["knots"], shape["upto"]
+    m = F.size(knots) - 1
     reached = share * F.element_at(upto, -1)
-    piece = F.greatest(F.least(F.size(F.filter(upto, lambda a: a <= reached)) - 1, m - 1), F.lit(0))
-    rest, start, rise = reached - upto[piece], schedule[piece], (schedule[piece + 1] - schedule[piece]) * m
+    passed = sum((F.when(F.get(upto, F.lit(k)) <= reached, 1).otherwise(0) for k in range(1, pieces + 1)), F.lit(0))
+    piece = F.least(passed, m - 1)
+    start = F.get(knots, piece)
+    rest, rise = reached - F.get(upto, piece), (F.get(knots, piece + 1) - start) * m
     under = start + F.sqrt(F.greatest(start * start + 2 * rise * rest, F.lit(0.0)))
     return F.least((piece + F.when(under > 0, 2 * rest / under * m).otherwise(0.0)) / m, F.lit(1.0))
 
@@ -82,27 +94,28 @@ def _rows(documents: DataFrame, keep: Sequence[str], seed: int) -> DataFrame:
                         shuffle_key(F.col("all")["doc_id"], seed=seed).alias("at"), F.xxhash64(F.col("all")["text"]).alias("tie"))
 
 
-def _targets(rows: DataFrame, weights: Sequence[int], share: float, schedules: Sequence[Sequence[float]]) -> tuple[DataFrame, int]:
-    """``(key, source_size, target, shape)`` per source, and the digits that cut the seeded order in short buckets."""
+def _targets(rows: DataFrame, weights: Sequence[int], share: float, schedules: Sequence[Sequence[float]]) -> tuple[DataFrame, int, int]:
+    """``(key, source_size, target, shape)`` per source, the digits that cut the seeded order in short buckets, and the
+    pieces of the longest schedule."""
     sources = stage(rows.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"),
                                             F.count(F.lit(1)).alias("n")), "mix-sources")
     total = sources.agg(F.sum("n")).first()[0] or 0
     digits = 1
     while digits < 8 and 16 ** digits * BUCKET_ROWS < total:
         digits += 1
-    shape = F.element_at(F.lit([list(map(float, s)) for s in schedules]), F.col("rank") % len(schedules) + 1)
-    found = allocate(sources, weights, share).select("key", "source_size", "target", shape.alias("shape"))
-    return stage(found, "mix-targets"), digits
+    found = allocate(sources, weights, share).select("key", "source_size", "target", shapes(schedules, F.col("rank") % len(schedules) + 1).alias("shape"))
+    return stage(found, "mix-targets"), digits, max(len(s) for s in schedules) - 1
 
 
-def _place(rows: DataFrame, targets: DataFrame, digits: int) -> DataFrame:
+def _place(rows: DataFrame, targets: DataFrame, digits: int, pieces: int) -> DataFrame:
     placed = running(rows, order=["at", "tie", "size"], bucket=md5_bucket("at", digits), keys=["key"], index="nth", sums={"before": F.col("size")})
     aimed = placed.join(small(targets), "key")
-    middle = F.transform(F.sequence(F.lit(0), F.lit(MAX_COPIES - 1)), lambda c: F.col("before") + F.col("size") / 2 + c * F.col("source_size"))
-    used = F.filter(middle, lambda at: at < F.col("target"))
-    positions = F.transform(used, lambda at: time_of(at / F.col("target"), F.col("shape")))
-    return aimed.select("key", "nth", "rec", "at", "size", "source_size", "target", (F.size(used) * F.col("size")).cast("long").alias("taken"),
-                        positions.alias("positions"))
+    middles = [F.col("before") + F.col("size") / 2 + c * F.col("source_size") for c in range(MAX_COPIES)]
+    # A later copy is used only if the earlier ones are.
+    n_used = sum((F.when(at < F.col("target"), 1).otherwise(0) for at in middles), F.lit(0))
+    positions = F.array(*[time_of(F.try_divide(at, F.col("target")), F.col("shape"), pieces) for at in middles])
+    return aimed.select("key", "nth", "rec", "at", "size", "source_size", "target", (n_used * F.col("size")).cast("long").alias("taken"),
+                        F.slice(positions, F.lit(1), n_used).alias("positions"))
 
 
 def plan(documents: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
@@ -157,7 +170,7 @@ def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     to their place in the source's order, one to their range.
     """
     short = stage(_rows(documents, ("doc_id",), seed), "mix-sizes")
-    targets, digits = _targets(short, weights, share, schedules)
-    cuts = _cuts(_place(short, targets, digits).select(F.explode("positions").alias("position"), "size"))
-    copies = _place(_rows(documents, documents.columns, seed), targets, digits).select("rec", "at", F.posexplode("positions").alias("copy", "position"))
+    aims = _targets(short, weights, share, schedules)
+    cuts = _cuts(_place(short, *aims).select(F.explode("positions").alias("position"), "size"))
+    copies = _place(_rows(documents, documents.columns, seed), *aims).select("rec", "at", F.posexplode("positions").alias("copy", "position"))
     return _sorted(copies, cuts).select("rec.*")

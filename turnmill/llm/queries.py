@@ -79,7 +79,9 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_curriculum", sql.OP9)
 def op9_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.dealt(table(spark, sf_dir, "documents")).select("rec.doc_id", "size", "source_size", "target", "taken")
+    found = curriculum.dealt(table(spark, sf_dir, "documents"))
+    return found.select("rec.doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"),
+                        F.get("positions", F.lit(1)).alias("second_position"))
 
 
 @query("op10_chat_repair")

@@ -67,8 +67,17 @@ l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5
         / CAST(sum(weight) OVER (ORDER BY 2 * source_size / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level,
         row_number() OVER (ORDER BY 2 * source_size / weight, rank) AS place FROM r),
 c AS (SELECT arg_min(level, place) AS level FROM l WHERE level * weight <= 2 * source_size),
-t AS (SELECT source, source_size, coalesce(least(CAST(2 * source_size AS DOUBLE), c.level * weight), 2 * source_size) AS target FROM l, c),
-b AS (SELECT d.*, source_size, target, coalesce(CAST(sum(size) OVER (PARTITION BY d.source ORDER BY seeded, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0)
-        + size / 2 AS middle FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(size * ((CASE WHEN middle < target THEN 1 ELSE 0 END) + (CASE WHEN middle + source_size < target THEN 1 ELSE 0 END)) AS BIGINT) AS taken FROM b"""
+t AS (SELECT source, source_size, coalesce(least(CAST(2 * source_size AS DOUBLE), c.level * weight), 2 * source_size) AS target,
+             [[2.0, 1.0, 0.0], [1.0, 1.0, 1.0], [0.0, 1.0, 2.0]][(rank - 1) % 3 + 1]::DOUBLE[] AS y FROM l, c),
+b AS (SELECT d.*, source_size, target, y, coalesce(CAST(sum(size) OVER (PARTITION BY d.source ORDER BY seeded, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0)
+        + size / 2 AS middle FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (SELECT doc_id, 1 AS copy, y, (y[1] + y[2]) / 4 AS half, (y[1] + y[2]) / 4 + (y[2] + y[3]) / 4 AS total, middle / target AS share FROM b WHERE middle < target
+      UNION ALL SELECT doc_id, 2, y, (y[1] + y[2]) / 4, (y[1] + y[2]) / 4 + (y[2] + y[3]) / 4, (middle + source_size) / target FROM b WHERE middle + source_size < target),
+q AS (SELECT doc_id, copy, y, CASE WHEN half <= share * total THEN 1 ELSE 0 END AS piece,
+             share * total - CASE WHEN half <= share * total THEN half ELSE 0 END AS rest FROM u),
+e AS (SELECT doc_id, copy, piece, rest, y[piece + 1] + sqrt(greatest(y[piece + 1] * y[piece + 1] + 2 * ((y[piece + 2] - y[piece + 1]) * 2) * rest, 0)) AS under FROM q),
+f AS (SELECT doc_id, max(position) FILTER (WHERE copy = 1) AS first_position, max(position) FILTER (WHERE copy = 2) AS second_position FROM (
+        SELECT doc_id, copy, least((piece + CASE WHEN under > 0 THEN 2 * rest / under * 2 ELSE 0 END) / 2, 1) AS position FROM e) GROUP BY doc_id)
+SELECT b.doc_id, size, source_size, target,
+       CAST(size * ((CASE WHEN middle < target THEN 1 ELSE 0 END) + (CASE WHEN middle + source_size < target THEN 1 ELSE 0 END)) AS BIGINT) AS taken,
+       first_position, second_position FROM b LEFT JOIN f ON f.doc_id = b.doc_id"""
