@@ -10,7 +10,7 @@ import pytest
 from conftest import rows
 
 from turnmill.llm import planes, shards, warc
-from turnmill.llm.common import range_cuts, range_of
+from turnmill.llm.common import NULL_KEY, range_cuts, range_of
 from turnmill.llm.queries import tokenizer_path
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -25,7 +25,19 @@ def test_cuts_follow_the_data_alone(spark, target):
     cuts = range_cuts(df, "k", "w", target)
     assert cuts == range_cuts(df.repartition(5), "k", "w", target) == sorted(set(cuts))
     got = df.select("k", range_of(df["k"], cuts).alias("cell")).collect()
-    assert all(r["cell"] == (0 if r["k"] is None else sum(c <= r["k"] for c in cuts)) for r in got)
+    assert all(r["cell"] == (0 if r["k"] is None else sum(c <= (r["k"], 0) for c in cuts)) for r in got)
+
+
+@pytest.mark.parametrize("target", [3, 40])
+def test_a_hot_key_spans_ranges(spark, target):
+    data = [(None if k % 3 == 0 else k, k * 7919 % 1009 - 500, 1 + k % 4) for k in range(900)]
+    df = spark.createDataFrame(data, "k long, t long, w long")
+    cuts = range_cuts(df, "k", "w", target, "t")
+    assert cuts == range_cuts(df.repartition(5), "k", "w", target, "t") == sorted(set(cuts))
+    got = df.select("k", "t", "w", range_of(df["k"], cuts, df["t"]).alias("cell")).collect()
+    assert all(r["cell"] == sum(c <= (NULL_KEY if r["k"] is None else r["k"], r["t"]) for c in cuts) for r in got)
+    held = np.bincount([r["cell"] for r in got], [r["w"] for r in got])
+    assert held.max() < 2 * target + 4
 
 
 # ---- archives ------------------------------------------------------------------------------------------------------
@@ -62,6 +74,26 @@ def test_repeated_pages_are_revisits_and_an_empty_table_has_no_files(spark):
     assert manifest.count() == 0 and warc.read(folder, manifest).count() == 0
 
 
+def test_pages_without_an_id_spread_over_shards(spark):
+    pages = [(None if k % 3 == 0 else k, "u", f"page {k % 500} " + "x" * 150) for k in range(600)] + [(7, "u", f"seven {k} " + "y" * 150) for k in range(200)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    folder, manifest = warc.write(df, shard_bytes=16_000)
+    held = manifest.groupBy("shard").agg({"records": "sum"}).collect()
+    assert max(r[1] for r in held) * (160 + warc.OVERHEAD) < 2 * 16_000
+    got = rows(warc.read(folder, manifest), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    owner = {}
+    for p, _, html in pages:
+        if p is not None:
+            owner[html] = min(p, owner.get(html, p))
+    copies = [h for _, _, h in pages]
+    want = []
+    for p, _, html in pages:
+        first = owner.get(html) if copies.count(html) > 1 else None
+        revisit = first is not None and first != p
+        want.append((p, len(html), hashlib.sha256(html.encode()).hexdigest(), "revisit" if revisit else "response", first if revisit else None))
+    assert got == sorted(want, key=repr)
+
+
 def test_damaged_archives_are_refused():
     data = warc.record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None, 0)
     zipped = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -121,6 +153,18 @@ def test_token_files_of_repeated_and_missing_ids(spark):
     assert planes.read(*planes.write(df.limit(0), tokenizer_path())).count() == 0
 
 
+def test_texts_without_an_id_spread_over_files(spark, tokenizer):
+    texts = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, f"text {k} of many") for k in range(900)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    folder, manifest = planes.write(df, tokenizer_path(), shard_bytes=2_000)
+    assert max(r["records"] for r in manifest.collect()) * 30 < 2 * 2_000
+    got = planes.read(folder, manifest).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted((d for d, _ in texts), key=lambda d: (d is not None, d or 0))
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got[:-1], got[1:], strict=True))
+    crcs = sorted(zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for _, t in texts)
+    assert sorted(r["ids_crc32"] for r in got) == crcs
+
+
 def test_a_reader_decodes_only_the_chunks_it_needs():
     out = io.BytesIO()
     writer = planes.Writer(out, np.dtype("<u2"), "bit", 10)

@@ -55,37 +55,46 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def range_cuts(weights: DataFrame, key: str, weight: str, target: int) -> list[int]:
-    """First keys of consecutive key ranges of about ``target`` weight each; the first range has no entry.
+NULL_KEY = -(1 << 63)
 
-    Exact prefix sums of the weights along the key, so the cuts depend on the data alone and not on partitions.  Rows of
-    one key stay together.  The driver gets at most ``MAX_CUTS`` numbers.  Null keys belong to the first range.
+
+def range_cuts(weights: DataFrame, key: str, weight: str, target: int, tie: str | None = None) -> list[tuple[int, int]]:
+    """First (key, tie) of consecutive ranges of about ``target`` weight each; the first range has no entry.
+
+    Exact prefix sums of the weights along key and ``tie`` (a hash of the row's content; none: 0), so the cuts depend on the
+    data alone and not on partitions.  Null keys come first.  A key that many rows share spans ranges; rows with equal key
+    and tie stay together.  The driver gets at most ``MAX_CUTS`` pairs of numbers.
     """
-    spark = weights.sparkSession
-    rows = weights.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(weight).cast("long").alias("w"))
-    placed = stage(rows.repartitionByRange(F.col("k")).withColumn("part", F.spark_partition_id()), "cuts")
+    rows = weights.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("k"),
+                          (F.lit(0) if tie is None else F.col(tie)).cast("long").alias("t"), F.col(weight).cast("long").alias("w"))
+    placed = stage(rows.repartitionByRange(F.col("k"), F.col("t")).withColumn("part", F.spark_partition_id()), "cuts")
     total = placed.agg(F.sum("w")).first()[0] or 0
     target = max(target, -(-total // MAX_CUTS), 1)
     # One row per partition of the range sort.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("part").agg(F.sum("w").alias("w")).select("part", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("off"))
-    upto = F.sum("w").over(Window.partitionBy("part").orderBy("k"))
+    upto = F.sum("w").over(Window.partitionBy("part").orderBy("k", "t"))
     cell = F.floor((F.col("off") + upto - 1) / F.lit(target))
-    cuts = placed.join(offsets, "part").select("k", cell.alias("cell")).groupBy("cell").agg(F.min("k").alias("k")).collect()
-    return sorted(r["k"] for r in cuts)[1:]
+    cuts = placed.join(offsets, "part").select(F.struct("k", "t").alias("at"), cell.alias("cell")).groupBy("cell").agg(F.min("at").alias("at")).collect()
+    return sorted((r["at"]["k"], r["at"]["t"]) for r in cuts)[1:]
 
 
-def range_of(key: Column, cuts: list[int]) -> Column:
-    """Index of the range that ``key`` falls in (null: 0): a two-level search in literals, without a join or shuffle."""
-    key = F.coalesce(key.cast("long"), F.lit(-(1 << 63)))
+def range_of(key: Column, cuts: list[tuple[int, int]], tie: Column | None = None) -> Column:
+    """Index of the range that ``key`` (null: first) and ``tie`` fall in: a two-level search in literals, without a join or shuffle."""
+    key = F.coalesce(key.cast("long"), F.lit(NULL_KEY))
+    tie = F.lit(0).cast("long") if tie is None else tie
     if not cuts:
         return F.lit(0)
+
+    def reached(part: Column, ties: Column, first: Column) -> Column:
+        return F.size(F.filter(part, lambda c, i: (c < key) | ((c == key) & (F.get(ties, first + i) <= tie))))
+
+    keys, ties = [c[0] for c in cuts], [c[1] for c in cuts]
     step = max(1, int(len(cuts) ** 0.5))
-    table = F.lit(cuts)
     if step < 4:
-        return F.size(F.filter(table, lambda c: c <= key))
-    coarse = F.size(F.filter(F.lit(cuts[step - 1::step]), lambda c: c <= key)) * step
-    return coarse + F.size(F.filter(F.slice(table, coarse + 1, F.lit(step)), lambda c: c <= key))
+        return reached(F.lit(keys), F.lit(ties), F.lit(0))
+    coarse = reached(F.lit(keys[step - 1::step]), F.lit(ties[step - 1::step]), F.lit(0)) * step
+    return coarse + reached(F.slice(F.lit(keys), coarse + 1, F.lit(step)), F.lit(ties), coarse)
 
 
 def by_range(df: DataFrame, shard: str, cuts: list[int], *order: str) -> DataFrame:

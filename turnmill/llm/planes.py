@@ -14,7 +14,8 @@ wants.  One file holds one range of doc_ids; ranges are cut by exact prefix sums
 files.  Files get their names only after their task has ended (see ``common.commit``).
 
 A null or empty text is the end id alone.  Null doc_ids come first.  Repeated ids keep one entry per row (in order of their
-text hash).  An empty table gives one empty file or none, and an empty result.
+text hash), and an id that many rows share spans files; only rows with equal id and text stay in one file.  An empty table
+gives one empty file or none, and an empty result.
 """
 
 from __future__ import annotations
@@ -276,9 +277,10 @@ def write(documents: DataFrame, tokenizer: str, *, end_id: int = END_ID, planes:
     """Encode every text, in ascending doc_id order, to token files; returns the folder and the manifest."""
     folder = folder or fresh_path(documents.sparkSession, "token-files")
     rows = read_only_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    sizes = stage(rows.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("bytes")), "token-sizes")
-    cuts = range_cuts(sizes, "doc_id", "bytes", shard_bytes)
-    ranged = by_range(rows.withColumn("shard", range_of(F.col("doc_id"), cuts)).withColumn("tie", F.xxhash64("text")),
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    sizes = stage(rows.select("doc_id", "tie", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("bytes")), "token-sizes")
+    cuts = range_cuts(sizes, "doc_id", "bytes", shard_bytes, "tie")
+    ranged = by_range(rows.withColumn("shard", range_of(F.col("doc_id"), cuts, F.col("tie"))),
                       "shard", cuts, "doc_id", "tie").select("shard", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,8 @@ dates and record ids depend on the data alone, so equal tables give equal archiv
 
 Of records with equal payloads of at least ``MIN_REVISIT`` bytes, the one with the smallest page_id is a response and the
 others are revisits of it; smaller payloads are all responses.  The knowledge that a page's payload has copies travels as a
-short note that sorts just before the page, so the pages themselves are shuffled once and never joined.
+short note that sorts just before the page, so the pages themselves are shuffled once and never joined.  An id that many rows
+share spans shards: ranges are cut by page_id and payload hash, and only rows with equal id and payload stay in one shard.
 
 A null html is an empty payload, a null url the urn of the page.  Null page_ids sort first and are never the smallest of a
 group; copies that all have null ids are responses.  Of repeated rows with one page_id and payload the first is the response
@@ -101,13 +102,13 @@ def members(stream) -> Iterator[bytes]:
 # ---- Spark jobs ----------------------------------------------------------------------------------------------------
 
 def duplicates(sizes: DataFrame) -> DataFrame:
-    """``(page_id, digest, first)`` for payloads that occur more than once: the page that holds the response.
+    """``(page_id, tie, digest, first)`` for payloads that occur more than once: the page that holds the response.
 
-    ``sizes`` is (page_id, digest, bytes).  Copies are counted by map-side sums.
+    ``sizes`` is (page_id, tie, digest, bytes).  Copies are counted by map-side sums.
     """
     large = sizes.where(F.col("bytes") >= MIN_REVISIT)
     firsts = large.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1 and first is not null")
-    return large.select("page_id", "digest").join(firsts.select("digest", "first"), "digest").distinct()
+    return large.select("page_id", "tie", "digest").join(firsts.select("digest", "first"), "digest").distinct()
 
 
 def write(pages: DataFrame, *, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, level: int = LEVEL,
@@ -116,13 +117,15 @@ def write(pages: DataFrame, *, shard_bytes: int = SHARD_BYTES, roll_bytes: int =
     folder = folder or fresh_path(pages.sparkSession, "archives")
     rows = read_only_columns(pages, "page_id", "url", "html").select(
         F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    sizes = stage(rows.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("bytes")), "archive-sizes")
-    cuts = range_cuts(sizes.withColumn("weight", F.col("bytes") + OVERHEAD), "page_id", "weight", shard_bytes)
-    notes = duplicates(sizes).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"),
+    rows = rows.withColumn("tie", F.xxhash64("payload"))
+    sizes = stage(rows.select("page_id", "tie", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("bytes")), "archive-sizes")
+    cuts = range_cuts(sizes.withColumn("weight", F.col("bytes") + OVERHEAD), "page_id", "weight", shard_bytes, "tie")
+    notes = duplicates(sizes).select("page_id", "tie", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"),
                                      F.lit(0).alias("kind"), "digest", "first")
     records = rows.select("*", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("first"))
-    mixed = records.unionByName(notes).withColumn("shard", range_of(F.col("page_id"), cuts))
-    ranged = by_range(mixed, "shard", cuts, "page_id", "kind", "url", "payload").select("shard", "page_id", "kind", "url", "payload", "digest", "first")
+    mixed = records.unionByName(notes).withColumn("shard", range_of(F.col("page_id"), cuts, F.col("tie")))
+    ranged = by_range(mixed, "shard", cuts, "page_id", "tie", "kind", "url", "payload").select(
+        "shard", "page_id", "tie", "kind", "url", "payload", "digest", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
@@ -140,13 +143,14 @@ def write(pages: DataFrame, *, shard_bytes: int = SHARD_BYTES, roll_bytes: int =
                 "items": f["payload"], "bytes": f["bytes"], "sha256": f["hash"].hexdigest()}], schema=MANIFEST_ARROW)
 
         for batch in slices(batches):
-            for s, p, kind, url, payload, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for s, p, tie, kind, url, payload, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != shard:
                     if open_file:
                         yield finish(open_file)
                     shard, piece, open_file, page, firsts, seen = s, 0, None, None, {}, {}
-                if p != page:
-                    page, firsts, seen = p, {}, {}
+                # Rows of one page and payload stand together, so these hold one digest.
+                if (p, tie) != page:
+                    page, firsts, seen = (p, tie), {}, {}
                 if kind == 0:
                     firsts[digest] = first
                     continue
