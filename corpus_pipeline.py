@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input.
 
-1. ``language``: documents without any letter go; the network's certainty rejects none so far.
+1. ``language``: documents without any letter go, and those that the network takes for noise (limits by text length).
 2. ``near_duplicates``: one document of each group of near copies stays, the one with the smallest id
    (null last; rows that share an id are told apart by their texts).
 3. ``decontaminate``: documents that hold a passage of the benchmark go.
