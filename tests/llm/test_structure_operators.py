@@ -298,3 +298,30 @@ def test_frequent_values_are_counted_within_their_bound():
     counted = dict(zip(often.values, often.counts, strict=True))
     assert all(true[v] - len(values) / 200 <= counted.get(v, 0) <= true[v] for v in true)
     assert set(range(20)) <= {int(v) for v in often.leading(1)[0]}
+
+
+def test_ngram_classes_need_a_partner_of_fitting_size(spark):
+    # All hold the same 94 of 100 shingles: nine tenths of each set, but two sets of 100 must share 95.
+    common = list(range(94))
+    sets = {k: common + [1000 * k + i for i in range(6)] for k in range(1, 21)}
+    sets |= {30: common + [30_000, 30_001, 30_002, 30_003, 30_004, 30_005], 31: common + [30_000, 30_001, 30_002, 30_003, 30_004, 31_000]}
+    whole = spark.createDataFrame([(k, len(s), bytearray(np.array(s, np.uint64).tobytes())) for k, s in sets.items()], "row long, n long, set binary")
+    assert sorted(map(tuple, ngram_join.dense(whole).collect())) == [(30, 1), (31, 1)]
+    # A smaller partner asks for less.
+    smaller = spark.createDataFrame([(40, 92, bytearray(np.array(common[:92], np.uint64).tobytes()))], whole.schema)
+    assert (40, 0) in map(tuple, ngram_join.dense(whole.where("row <= 20").unionByName(smaller)).collect())
+
+
+def test_ngram_bitmaps_bound_what_is_shared():
+    rng = np.random.default_rng(3)
+    for n in (1, 3, 16, 17, 400):
+        x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for m in (n, max(n // 3, 1), 2 * n):
+            y = np.concatenate((x[:m - m // 5], rng.integers(0, 1 << 63, m).astype(np.uint64)))[:m]
+            most, total = ngram_join.most_shared(ngram_join.bitmap(x), ngram_join.bitmap(y))
+            both, size = ngram_join.shared(np.unique(x).tobytes(), np.unique(y).tobytes())
+            assert total == size == n + m
+            assert both <= most <= min(n, m)
+    far = rng.integers(0, 1 << 63, 800).astype(np.uint64)
+    most, _ = ngram_join.most_shared(ngram_join.bitmap(far[:400]), ngram_join.bitmap(far[400:]))
+    assert most < 200

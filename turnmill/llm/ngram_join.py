@@ -11,15 +11,18 @@ prefix finds more meetings, but asks for more of them before two sets are compar
 3. ``chosen``: for each of some depths k, the counted lists give what a class would cost: the entries to scan, and the partners
    to verify, at most (entries / k).  Each class takes the cheapest depth.  A class with fewer than k shared shingles at any
    depth k has no partner and goes.
-4. ``dense``: the whole sets of these classes are listed.  A class of which fewer than o shingles are in any other's set has no
-   partner either, and goes; that is repeated, as its shingles may have been all that others had in common with anyone.  Text
-   that makes up most, but not nine tenths, of many documents brings nobody together beyond this point.
-5. ``starred``: each class is verified against a few leaders of its lists, first any members, then those with the most links so
-   far.  That is linear, and makes one cluster of most groups of near copies.
+4. ``dense``: the whole sets of these classes are listed.  What a set must share with a partner depends on the partner's size, so
+   its shingles are counted that others of each band of sizes have.  A class with too few for partners of any band has none, and
+   goes; that is repeated, as its shingles may have been all that others had in common with anyone.  Text that many documents
+   share, but not enough of it to link, brings nobody together beyond this point.
+5. ``starred``: each class is verified against a few leaders of its lists, first those with the fewest shingles of their own, as
+   these stand in the middle of their groups, then those with the most links so far.  That is linear, and makes one cluster of
+   most groups of near copies.
 6. ``candidates``: only classes of different clusters are still to be compared.  Clusters meet in their lists first (long lists
    are cut in blocks, whose pairs of blocks are joined in different tasks), then the classes of clusters that share enough, and
    a pair stays if it shares as many shingles as the smaller of its depths asks for.
-7. ``verified``: pairs are compared on whole sets, packed by blocks of neighbours, so that a set is sent once per pair of blocks.
+7. ``verified``: pairs are compared on bitmaps of their sets, which bound what they share from above, then on whole sets.  Both
+   are packed by blocks of neighbours, so that a set is sent once per pair of blocks.
 
 The links that come out connect what all links would connect; pairs inside a cluster of step 5 are not listed.
 
@@ -31,7 +34,8 @@ the whole sequence is the one shingle.  Without words a document has an empty se
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +55,8 @@ FREQUENT = 1 << 16
 REPORTED, REPORTED_PART = 8, 64
 # Leaders against which a class is verified in each round.
 LEADERS = (6, 4)
+# Bands of sizes between a set and its smallest partner; the bands to both sides fit in 64 bits.
+BANDS = 11
 # Rounds in which classes are dropped that share too little of their whole sets; more rounds drop no class that has a partner.
 ROUNDS = 3
 # A list of more classes is cut in blocks of about so many.
@@ -248,24 +254,54 @@ def chosen(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
     return costs.where(enough).select("row", "n", F.array_min(F.array(*choices))["depth"].alias("depth"))
 
 
+def band_of(n: Column, percent: int = PERCENT) -> Column:
+    """Number of a size's band; the sizes of a set's partners reach ``BANDS`` bands to either side."""
+    return F.floor(F.log(n.cast("double")) / band_step(percent)).cast("int")
+
+
+def band_step(percent: int) -> float:
+    return max(math.log(100 / percent) / BANDS, 1e-3)
+
+
+def met_by_band(tokens: DataFrame) -> DataFrame:
+    """``tokens`` (row, n, band, token) that another class has, with ``bands``: bit ``band % 64`` is set if another class of that band has it."""
+    everyone, own = Window.partitionBy("token"), Window.partitionBy("token", "band")
+    marked = tokens.withColumn("bit", F.expr("shiftleft(1L, pmod(band, 64))")).withColumn("peers", F.count(F.lit(1)).over(own))
+    marked = marked.withColumn("m", F.count(F.lit(1)).over(everyone)).withColumn("all_bands", F.bit_or("bit").over(everyone))
+    bands = F.when(F.col("peers") > 1, F.col("all_bands")).otherwise(F.col("all_bands").bitwiseAND(F.bitwise_not("bit")))
+    return marked.where("m > 1").select("row", "n", "band", "token", bands.alias("bands"))
+
+
 def dense(whole: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """``(row)`` of the classes of ``whole`` (row, n, set) that share enough of their whole sets with others, after ``rounds``."""
+    """``(row, own)`` of the classes of ``whole`` (row, n, set) that share enough of their whole sets with others, after ``rounds``.
+
+    Enough for a partner depends on its size, so the shingles are counted that others of each band of sizes have; ``own`` is
+    the number of shingles that nobody else has.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets_ = [np.frombuffer(b, np.int64) for b in batch["set"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(sets_, pa.list_(pa.int64()))], ["row", "tokens"])
-
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["n"], pa.array(sets_, pa.list_(pa.int64()))], ["row", "n", "tokens"])
+
+    # One band more on either side than exact logarithms would ask for.
+    aways = range(-BANDS - 1, BANDS + 2)
+    has = [F.expr(f"shiftrightunsigned(bands, pmod(band + {k}, 64)) & 1L") for k in aways]
+    enough = F.lit(False)
+    for i, k in enumerate(aways):
+        least = F.ceil(F.exp((F.col("band") + k) * band_step(percent)) * (1 - 1e-9)).cast("long")
+        enough = enough | (F.col(f"met{i}") >= pair_bound(F.col("n"), F.greatest(least, overlap_bound(F.col("n"), percent)), percent))
     left = whole.select("row", "n")
-    tokens = stage(whole.select("row", "set").mapInArrow(run, "row long, tokens array<long>").select("row", F.explode("tokens").alias("token")), "ngram-tokens")
+    listed_ = whole.select("row", "n", "set").mapInArrow(run, "row long, n long, tokens array<long>")
+    tokens = listed_.select("row", "n", band_of(F.col("n"), percent).alias("band"), F.explode("tokens").alias("token"))
     for _ in range(rounds):
-        shared = tokens.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
-        met = shared.groupBy("row").agg(F.count(F.lit(1)).alias("met"))
+        shared = stage(met_by_band(tokens), "ngram-shared")
+        met = shared.groupBy("row", "n", "band").agg(F.count(F.lit(1)).alias("met"), *[F.sum(b).alias(f"met{i}") for i, b in enumerate(has)])
         before = left
-        left = stage(left.join(small(stage(met, "ngram-met")), "row").where(F.col("met") >= overlap_bound(F.col("n"), percent)).select("row", "n"), "ngram-dense")
+        left = stage(met.where(enough).select("row", "n", (F.col("n") - F.col("met")).alias("own")), "ngram-dense")
         if left.count() == before.count():
             break
-        tokens = stage(shared.drop("m").join(small(left.select("row")), "row", "left_semi"), "ngram-tokens")
-    return left.select("row")
+        tokens = shared.drop("bands").join(small(left.select("row")), "row", "left_semi")
+    return left.select("row", "own")
 
 
 def postings(entries: DataFrame, depths: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -274,17 +310,14 @@ def postings(entries: DataFrame, depths: DataFrame, percent: int = PERCENT) -> D
     return entries.join(small(depths), "row").where(inside).select("row", "n", "token", "depth")
 
 
-def starred(kept: DataFrame, links: DataFrame | None, leaders: int) -> DataFrame:
+def starred(kept: DataFrame, ranks: DataFrame, leaders: int) -> DataFrame:
     """``(a, b)``: each class with the ``leaders`` leaders that stand in most of its lists; ``kept`` are staged postings.
 
-    A list is led by the class with the most ``links`` so far, else by one drawn by hash, a different one in every list.
+    A list is led by the class with the least ``rank`` in ``ranks`` (row, rank), 0 where it has none; equal ones are drawn by
+    hash, a different one in every list.
     """
-    if links is None:
-        ranked = kept.select("row", "token", F.lit(0).alias("degree"))
-    else:
-        ends = links.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("degree"))
-        ranked = kept.select("row", "token").join(small(stage(ends, "ngram-degrees")), "row", "left").fillna(0, ["degree"])
-    best = F.min(F.struct((-F.col("degree")).alias("rank"), F.xxhash64("row", "token").alias("draw"), "row")).alias("best")
+    ranked = kept.select("row", "token").join(small(ranks), "row", "left").fillna(0, ["rank"])
+    best = F.min(F.struct("rank", F.xxhash64("row", "token").alias("draw"), "row")).alias("best")
     heads = ranked.groupBy("token").agg(best, F.count(F.lit(1)).alias("m")).where("m > 1").select("token", F.col("best.row").alias("leader"))
     met = kept.join(heads, "token").where("row <> leader").groupBy("row", "leader").agg(F.count(F.lit(1)).alias("m"))
     place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("m"), F.xxhash64("row", "leader")))
@@ -292,6 +325,12 @@ def starred(kept: DataFrame, links: DataFrame | None, leaders: int) -> DataFrame
     return top.select(F.least("row", "leader").alias("a"), F.greatest("row", "leader").alias("b")).distinct()
 
 
+def degrees(links: DataFrame) -> DataFrame:
+    """``(row, rank)`` of the classes in ``links``: most links first."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("row"))
+    return stage(ends.groupBy("row").agg((-F.count(F.lit(1))).alias("rank")), "ngram-degrees")
+
+
 def candidates(kept: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """``(a, b)``: classes of different clusters that share enough; ``kept`` (row, n, token, depth, cluster) is staged.
 
@@ -323,18 +362,54 @@ def candidates(kept: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> D
 
 
 def whole_sets(documents: DataFrame, classes: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``(row, n, set)``: the whole sets of the ``classes`` given, as bytes."""
+    """``(row, n, set, bits)``: the whole sets of the ``classes`` given, as bytes, and their ``bitmap``s."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in slices(batches):
-            blobs = [shingler.set_of(t).tobytes() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["n"], pa.array(blobs, pa.binary())], ["row", "n", "set"])
+            found = [shingler.set_of(t) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch["row"], batch["n"], pa.array([s.tobytes() for s in found], pa.binary()), pa.array([bitmap(s) for s in found], pa.binary())],
+                ["row", "n", "set", "bits"])
+
+    return _first_texts(documents, classes).mapInArrow(run, "row long, n long, set binary, bits binary")
+
+
+def bitmap(values: np.ndarray) -> bytes:
+    """The size of a set of hashes, then one bit for each value of their lowest binary digits, at least four bits a hash."""
+    size = 1 << max(int(4 * len(values) - 1).bit_length(), 6)
+    bits = np.zeros(size, bool)
+    bits[(values & np.uint64(size - 1)).astype(np.int64)] = True
+    return len(values).to_bytes(8, "little") + np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_shared(x: bytes, y: bytes) -> tuple[int, int]:
+    """``(most, total)`` of two bitmaps: no more shingles than ``most`` are in both sets, and ``total`` are in one or the other, counted twice."""
+    n1, n2 = (int.from_bytes(b[:8], "little") for b in (x, y))
+    p, q = (np.frombuffer(b, np.uint8, offset=8) for b in (x, y))
+    size = min(len(p), len(q))
+    p, q = (np.bitwise_or.reduce(v.reshape(-1, size), axis=0) for v in (p, q))
+    # A bit of one alone stands for at least one shingle of that set alone.
+    return min(n1 - int(np.bitwise_count(p & ~q).sum()), n2 - int(np.bitwise_count(q & ~p).sum())), n1 + n2
 
-    return _first_texts(documents, classes).mapInArrow(run, "row long, n long, set binary")
+
+def shared(x: bytes, y: bytes) -> tuple[int, int]:
+    """``(number, total)`` of two sets, as bytes: the shingles in both, and those in one or the other, counted twice."""
+    both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1])), len(both)
 
 
 def verified(whole: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough; ``pairs`` and ``whole`` (row, n, set) are staged.
+    """The pairs (a, b) whose whole sets are similar enough; ``pairs`` and ``whole`` (row, n, set, bits) are staged.
+
+    The bitmaps, a sixteenth of the sets, drop most pairs that are not; no set is sent for those.
+    """
+    close = stage(compared(whole.withColumn("set", F.col("bits")).drop("bits"), pairs, most_shared, percent), "ngram-close-pairs")
+    return compared(whole.drop("bits"), close, shared, percent)
+
+
+def compared(whole: DataFrame, pairs: DataFrame, count: Callable[[bytes, bytes], tuple[int, int]], percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar enough by ``count`` of their rows of ``whole`` (row, n, set).
 
     Classes with the same smallest partner stand in blocks; a pair of blocks gets each of its sets once.
     """
@@ -362,13 +437,10 @@ def verified(whole: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> Data
                 if (low, high) != cell:
                     cell, held = (low, high), {}
                 if a is None:
-                    held[b] = np.frombuffer(blob, np.uint64)
+                    held[b] = blob
                     continue
-                x, y = held[a], held[b]
-                both = np.concatenate((x, y))
-                both.sort()
-                inter = int(np.count_nonzero(both[1:] == both[:-1]))
-                if 100 * inter >= percent * (len(both) - inter):
+                inter, total = count(held[a], held[b])
+                if 100 * inter >= percent * (total - inter):
                     good.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], ["a", "b"])
 
@@ -390,11 +462,14 @@ def linked(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     entries = stage(listed(index), "ngram-entries")
     depths = stage(chosen(entries.join(small(classes.select("row", "n")), "row"), percent), "ngram-depths")
     whole = stage(whole_sets(documents, classes.join(small(depths.select("row")), "row", "left_semi"), size), "ngram-sets")
-    depths = stage(depths.join(small(stage(dense(whole, percent), "ngram-left")), "row", "left_semi").select("row", "n", "depth"), "ngram-depths")
+    left = dense(whole, percent)
+    depths = stage(depths.join(small(left.select("row")), "row", "left_semi").select("row", "n", "depth"), "ngram-depths")
+    whole = whole.join(small(left.select("row")), "row", "left_semi")
     kept = stage(postings(entries, depths, percent), "ngram-postings")
     found = None
     for leaders in LEADERS:
-        stars = stage(verified(whole, stage(starred(kept, found, leaders), "ngram-stars"), percent), "ngram-star-links")
+        ranks = left.select("row", F.col("own").alias("rank")) if found is None else degrees(found)
+        stars = stage(verified(whole, stage(starred(kept, ranks, leaders), "ngram-stars"), percent), "ngram-star-links")
         found = stars if found is None else stage(found.unionByName(stars).distinct(), "ngram-star-links")
     clusters = stage(components(found), "ngram-clusters")
     named = kept.join(small(clusters), kept["row"] == clusters["node"], "left").select(
