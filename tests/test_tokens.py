@@ -151,3 +151,14 @@ def test_python_tokenizer_gives_the_same_corpus(spark):
 
 def test_bos_policies():
     assert tk.bos_ids("qwen") == () and tk.bos_ids("chatglm") == (64790, 64792) and tk.bos_ids("llama", 1) == (1,)
+
+
+def test_lengths_and_labels_do_not_encode_inputs(spark):
+    conv = [("a b", "c", True, True, ""), ("d " * 50, "e  f", True, True, "g"), (None, "", False, True, "")]
+    coded = en.encode_conversation(spark.createDataFrame([(conv,)], f"conversation {TURN}"), tk.HashEncoder(), max_length=40)
+    counted = en.drop_unsupervised(coded).agg(F.count("*"), F.sum("num_tokens"))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5") == 1 and tuple(counted.collect()[0]) == (1, 40)
+    got = coded.collect()[0]
+    ids = [int(i) for i in spark.range(1).select(tk.HashEncoder().ids(F.lit("a b c" + " d" * 50))).collect()[0][0]]
+    assert got["input_ids"] == [1, *ids[:3], 2, 1, *ids[3:37]] and got["labels"] == [-100] * 3 + [ids[2], 2] + [-100] * 35

@@ -38,7 +38,7 @@ def bos_ids(family: str, own: int | None = None) -> tuple[int, ...]:
 
 def words(c: Column | str) -> Column:
     """Non-empty pieces between single spaces."""
-    return F.filter(F.split(col(c), " "), lambda w: w != "")
+    return F.array_remove(F.split(col(c), " "), "")
 
 
 def hash_id(word: Column) -> Column:
@@ -58,6 +58,13 @@ class HashEncoder:
     def ids(self, c: Column | str) -> Column:
         return F.transform(words(c), hash_id)
 
+    def units(self, c: Column | str) -> Column:
+        """What becomes a token each, as text: ``ids`` is ``unit_ids`` of it."""
+        return words(c)
+
+    def unit_ids(self, units: Column | str) -> Column:
+        return F.transform(col(units), hash_id)
+
     def length(self, c: Column | str) -> Column:
         """Token count without hashing; planning stages need no more."""
         return F.size(words(c))

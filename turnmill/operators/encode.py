@@ -102,21 +102,27 @@ def encode_conversation(df: DataFrame, encoder=HashEncoder(), *, max_length: int
                         column: str = "conversation") -> DataFrame:
     """Array form of ``encode_sft``: one record per row, any mix of ``need_eos_token``; no shuffle.
 
-    The token pieces pass a one-row generator, so that every text is encoded once however often ids
-    and labels are referred to, and later filters cannot be pushed below the encoding.
+    The pieces pass a one-row generator, so that every text is cut and encoded once however often ids
+    and labels are referred to, and later filters cannot be pushed below that.  Only outputs have labels:
+    inputs and separators pass it as the texts of their tokens, which ``input_ids`` alone encodes, so that
+    who reads labels and lengths pays for the ids of the outputs only.  No text goes on behind the cut.
     """
     empty = F.array().cast(INTS)
     bos, eos = int_array(encoder.bos), int_array(encoder.eos)
     before = lambda i: F.get(F.col(column), i - 1)["need_eos_token"]
+    # An encoder that does not tell cutting from encoding has its ids pass the generator.
+    cut, code = (encoder.units, encoder.unit_ids) if hasattr(encoder, "units") else (encoder.ids, lambda ids: ids)
+    units = lambda c: clip(cut(c), max_length)
     pieces = F.transform(column, lambda t, i: F.struct(
         F.when((i == 0) | before(i), bos).otherwise(empty).alias("b"),
-        encoder.ids(blank_if_null(t["input"])).alias("i"),
-        encoder.ids(t["output"]).alias("o"),
+        units(blank_if_null(t["input"])).alias("i"),
+        code(units(t["output"])).alias("o"),
         F.when(t["need_eos_token"], eos).otherwise(empty).alias("e"),
-        encoder.ids(blank_if_null(t["sep"])).alias("s"),
+        units(blank_if_null(t["sep"])).alias("s"),
         t["output_with_loss"].alias("loss")))
     coded = df.select(*df.columns, F.inline(F.array(F.struct(pieces.alias("_p")))))
-    ids = F.flatten(F.transform("_p", lambda p: F.concat(p["b"], p["i"], p["o"], p["e"], p["s"])))
+    ids = F.flatten(F.transform("_p", lambda p: F.concat(
+        p["b"], code(p["i"]), p["o"], p["e"], code(p["s"]))))
     labels = F.flatten(F.transform("_p", lambda p: F.concat(
         masked(p["b"]), masked(p["i"]), F.when(p["loss"], p["o"]).otherwise(masked(p["o"])),
         F.when(p["loss"], p["e"]).otherwise(masked(p["e"])), masked(p["s"]))))
