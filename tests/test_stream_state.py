@@ -3,11 +3,13 @@
 import random
 import time
 
+import numpy as np
+import pandas as pd
 from conftest import rows
 from pyspark.sql import functions as F
 
 from turnmill.session import fresh_path
-from turnmill.streaming import packing
+from turnmill.streaming import epochs, packing
 from turnmill.streaming.stream import PACK, run_available
 
 SCHEMA = "source string, at long, input_ids array<int>, labels array<int>, flush boolean"
@@ -70,3 +72,35 @@ def test_idle_keys_are_closed_by_their_timer(spark):
     time.sleep(0.2)
     feed("b", [9])
     assert run() == [("a", 0, [1, 2, 3, 4]), ("a", 1, [5])]
+
+
+def test_a_large_batch_is_sorted_as_flat_tokens_and_sent_in_parts(monkeypatch):
+    rng = random.Random(4)
+    samples = [(at, [rng.randrange(1000) for _ in range(rng.choice([0, 1, 3, 20, 45]))], rng.random() < 0.05) for at in range(200)]
+    mixed = rng.sample(samples, len(samples))
+    frames = [pd.DataFrame({"at": [a for a, _, _ in part], "input_ids": [np.array(i, np.int32) for _, i, _ in part],
+                            "labels": [-np.array(i, np.int32) for _, i, _ in part], "flush": [e for _, _, e in part]})
+              for part in (mixed[:90], mixed[90:90], mixed[90:])]
+    flat = list(packing.in_order(iter(frames), ["at"], "flush"))
+    assert [(list(i), [-x for x in labels], e) for i, labels, e in flat] == [(i, i, e) for _, i, e in samples]
+
+    class Handle:
+        getListState = getValueState = lambda self, *_: self
+        exists = lambda self: False
+        appendValue = update = lambda self, _: None
+
+    monkeypatch.setattr(packing, "SENT", 64)
+    processor = packing.PackProcessor(16, ["source"], "flush", ["at"], None)
+    processor.init(Handle())
+    sent = list(processor.handleInputRows(("a",), iter(frames), None))
+    assert 4 <= max(map(len, sent)) <= 5
+    got = [(int(r.pack), list(r.input_ids), list(r.cumulative_len)) for f in sent for r in f.itertuples()]
+    assert got == one_pass([(i, e) for _, i, e in samples], 16)
+
+
+def test_readers_hold_few_bytes(tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_text("".join("x" * n + "\n" for n in (5, 100, 1, 1, 1, 300)))
+    monkeypatch.setattr(epochs, "HELD_BYTES", 90)
+    reader = epochs.EpochReader({"path": str(tmp_path), "checkpoint": str(tmp_path / "ck")})
+    sent = [[len(v) for v in b["value"].to_pylist()] for b in reader.read(epochs.Piece(str(tmp_path / "a.txt"), 0, 0, 10_000))]
+    assert sent == [[5, 100], [1, 1, 1, 300]]

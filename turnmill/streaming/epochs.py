@@ -23,7 +23,8 @@ SCHEMA = "value string, epoch int, file string, offset long"
 ARROW = pa.schema([("value", pa.string()), ("epoch", pa.int32()), ("file", pa.string()), ("offset", pa.int64())])
 MAX_BYTES = 256 << 20
 PART_BYTES = 32 << 20
-ROWS = 4096
+# Rows and bytes that a task holds before it sends them on.
+ROWS, HELD_BYTES = 4096, 1 << 22
 
 
 def store_of(path: str):
@@ -144,6 +145,7 @@ class EpochReader(DataSourceStreamReader):
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         store, _ = store_of(self.path)
         held: list[tuple[int, bytes]] = []
+        size = 0
 
         def batch() -> pa.RecordBatch:
             n = len(held)
@@ -152,9 +154,10 @@ class EpochReader(DataSourceStreamReader):
                 pa.array([partition.path] * n, pa.string()), pa.array([at for at, _ in held], pa.int64())], schema=ARROW)
         for found in lines_of(store, partition.path, partition.start, partition.stop):
             held.append(found)
-            if len(held) == ROWS:
+            size += len(found[1])
+            if len(held) == ROWS or size >= HELD_BYTES:
                 yield batch()
-                held = []
+                held, size = [], 0
         if held:
             yield batch()
 

@@ -21,6 +21,37 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# Tokens of packs that are sent on together.
+SENT = 1 << 20
+
+
+def in_order(frames: Iterator[pd.DataFrame], order: Sequence[str], flush: str | None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """``(ids, labels, end)`` of all rows, sorted; what is held of a row are its flat tokens, eight bytes each, and its order."""
+    tokens: list[tuple[np.ndarray, np.ndarray]] = []
+    places = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        lens = np.array([len(ids) for ids in frame["input_ids"]], np.int64)
+        place = frame[list(order)].copy()
+        place["_stop"] = np.cumsum(lens)
+        place["_start"], place["_frame"] = place["_stop"] - lens, len(tokens)
+        place["_end"] = frame[flush].to_numpy(bool) if flush else False
+        places.append(place)
+        tokens.append(tuple(np.concatenate([np.asarray(v, np.int32) for v in frame[c]]) for c in ("input_ids", "labels")))
+    if places:
+        ranked = pd.concat(places).sort_values(list(order), kind="stable")
+        for k, start, stop, end in zip(*(ranked[c].to_numpy() for c in ("_frame", "_start", "_stop", "_end")), strict=True):
+            ids, labels = tokens[k]
+            yield ids[start:stop], labels[start:stop], bool(end)
+
+
+def as_they_come(frames: Iterator[pd.DataFrame], flush: str | None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    for frame in frames:
+        ends = frame[flush] if flush else [False] * len(frame)
+        yield from zip(frame["input_ids"], frame["labels"], ends, strict=True)
+
+
 class PackProcessor(StatefulProcessor):
     """Cuts a key's tokens every ``limit`` tokens; ``order`` are the columns by which a batch's rows of a key are sorted."""
 
@@ -44,33 +75,31 @@ class PackProcessor(StatefulProcessor):
         filled, packs = (int(v) for v in self.open.get()) if self.open.exists() else (0, 0)
         fresh: list[tuple[np.ndarray, np.ndarray]] = []  # of this batch, in the open pack
         stored = filled > 0  # whether pieces of the open pack lie in the store
-        frames = list(rows) if self.order else rows
-        if self.order and frames:
-            frames = [pd.concat(frames).sort_values(self.order, kind="stable")]
-        for frame in frames:
-            done = []
-
-            def close() -> None:
-                nonlocal filled, packs, fresh, stored
-                whole = (self._stored() if stored else []) + fresh
-                if stored:
-                    self.pieces.clear()
-                done.append(self._row(key, packs, whole))
-                filled, packs, fresh, stored = 0, packs + 1, [], False
-
-            ends = frame[self.flush] if self.flush else [False] * len(frame)
-            for ids, labels, end in zip(frame["input_ids"], frame["labels"], ends, strict=True):
-                at = 0
-                while at < len(ids):
-                    take = min(self.limit - filled, len(ids) - at)
-                    fresh.append((np.asarray(ids[at:at + take], np.int32), np.asarray(labels[at:at + take], np.int32)))
-                    at, filled = at + take, filled + take
-                    if filled == self.limit:
-                        close()
-                if end and filled:
+        done: list[dict] = []
+
+        def close() -> None:
+            nonlocal filled, packs, fresh, stored
+            whole = (self._stored() if stored else []) + fresh
+            if stored:
+                self.pieces.clear()
+            done.append(self._row(key, packs, whole))
+            filled, packs, fresh, stored = 0, packs + 1, [], False
+
+        for ids, labels, end in in_order(rows, self.order, self.flush) if self.order else as_they_come(rows, self.flush):
+            at = 0
+            while at < len(ids):
+                take = min(self.limit - filled, len(ids) - at)
+                fresh.append((np.asarray(ids[at:at + take], np.int32), np.asarray(labels[at:at + take], np.int32)))
+                at, filled = at + take, filled + take
+                if filled == self.limit:
                     close()
-            if done:
-                yield pd.DataFrame(done)
+                if len(done) * self.limit >= SENT:
+                    yield pd.DataFrame(done)
+                    done = []
+            if end and filled:
+                close()
+        if done:
+            yield pd.DataFrame(done)
         for ids, labels in fresh:
             self.pieces.appendValue((ids.tolist(), labels.tolist()))
         self.open.update((filled, packs))
@@ -97,7 +126,7 @@ def pack_state(samples: DataFrame, limit: int, *, keys: Sequence[str] = ("source
     """``(*keys, pack, input_ids, labels, cumulative_len)`` of a stream of samples (keys, input_ids, labels), in packs of ``limit`` tokens.
 
     With ``order`` a key's rows of one batch are sorted before they are cut, so that the packs are those of one pass in that
-    order if batches follow it; a batch's rows of one key are then held together, so bound the batch.  ``idle_ms`` closes the
+    order if batches follow it; the tokens of a batch's rows of one key are then held together, so bound the batch.  ``idle_ms`` closes the
     open pack of a key that got no row for so long, at the next batch; such a query has always something to wait for, so run it
     at intervals or once, not until all is done.  Give a hot source several keys, as ``shard``.
     """
