@@ -325,3 +325,51 @@ def test_ngram_bitmaps_bound_what_is_shared():
     far = rng.integers(0, 1 << 63, 800).astype(np.uint64)
     most, _ = ngram_join.most_shared(ngram_join.bitmap(far[:400]), ngram_join.bitmap(far[400:]))
     assert most < 200
+
+
+def one_text_cut(number, length, most, seed):
+    """Copies of one text without up to ``most`` of its words: some link, others are too far from most of them."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(length)]
+    return [" ".join(w for k, w in enumerate(base) if k not in out)
+            for out in (set(rng.sample(range(length), rng.randrange(most + 1))) for _ in range(number))]
+
+
+def test_ngram_classes_of_a_group_are_not_paired_with_each_other(spark, monkeypatch):
+    compared = []
+    verified = ngram_join.verified
+
+    def counted(whole, pairs, *more):
+        compared.append(pairs.count())
+        return verified(whole, pairs, *more)
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    rows = list(enumerate(one_text_cut(400, 120, 9, 4)))
+    found = sorted(map(tuple, ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert found == plain_join(rows)
+    # The last comparison is that of classes of different clusters.
+    assert compared[-1] < 400
+
+
+@pytest.mark.parametrize(("percent", "block"), [(90, 256), (90, 2), (75, 3), (80, 256)])
+def test_ngram_meetings_lose_no_pair(spark, percent, block):
+    rng = random.Random(percent + block)
+    apart, whole = [], {}
+    for pivot in (1000, 2000):
+        centre = set(range(pivot, pivot + 40))
+        whole[pivot] = centre
+        for row in range(pivot + 1, pivot + 90):
+            # Differences come from few values, so that many are shared, and reach beyond a link.
+            lost = rng.sample(sorted(centre), rng.choice((0, 1, 2, 3, 5, 9)))
+            whole[row] = (centre - set(lost)) | set(rng.sample(range(pivot + 500, pivot + 512), rng.choice((0, 1, 2, 4, 8))))
+        for row, values in whole.items():
+            if pivot < row < pivot + 100:
+                tokens = sorted(values ^ centre)
+                apart.append((row, len(values), row, pivot, 40, len(tokens), tokens))
+    df = spark.createDataFrame(apart, "row long, n long, cluster long, pivot long, pn long, d long, tokens array<long>")
+    found = set(map(tuple, ngram_join.meetings(df, percent, block).collect()))
+
+    def link(a, b):
+        return 100 * len(whole[a] & whole[b]) >= percent * len(whole[a] | whole[b])
+    wanted = {(a[0], b[0]) for a in apart for b in apart if a[0] < b[0] and a[3] == b[3] and link(a[0], b[0])
+              and not (link(a[0], a[3]) and link(b[0], b[3]))}
+    assert len(wanted) > 5 and wanted <= found

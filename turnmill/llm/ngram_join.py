@@ -17,11 +17,15 @@ prefix finds more meetings, but asks for more of them before two sets are compar
    share, but not enough of it to link, brings nobody together beyond this point.
 5. ``starred``: each class is verified against a few leaders of its lists, first those with the fewest shingles of their own, as
    these stand in the middle of their groups, then those with the most links so far.  That is linear, and makes one cluster of
-   most groups of near copies.
-6. ``candidates``: only classes of different clusters are still to be compared.  Clusters meet in their lists first (long lists
-   are cut in blocks, whose pairs of blocks are joined in different tasks), then the classes of clusters that share enough, and
-   a pair stays if it shares as many shingles as the smaller of its depths asks for.
-7. ``verified``: pairs are compared on bitmaps of their sets, which bound what they share from above, then on whole sets.  Both
+   most groups of near copies.  Pairs that miss a link by ``LOOSE`` per cent points at most make groups of clusters.
+6. ``candidates``: groups meet in their lists (long lists are cut in blocks, whose pairs of blocks are joined in different tasks);
+   two groups are close if they share as many shingles as the smallest of their depths asks for.
+7. ``spokes``: only classes of different clusters are still to be compared, of one group or of close ones.  They share most of
+   their text, so each is told by its differences from one pivot of the (larger) group: one row per class, not one per pair.
+8. ``meetings``: two sets are as far apart as their differences from a pivot are.  A class that does not link to the pivot lies
+   beyond its reach, so a partner must make up for that by differences in common: at least half of those of a class that links to
+   it.  The prefixes of the differences, the rarest first, find the pairs that share several.
+9. ``verified``: pairs are compared on bitmaps of their sets, which bound what they share from above, then on whole sets.  Both
    are packed by blocks of neighbours, so that a set is sent once per pair of blocks.
 
 The links that come out connect what all links would connect; pairs inside a cluster of step 5 are not listed.
@@ -55,6 +59,10 @@ FREQUENT = 1 << 16
 REPORTED, REPORTED_PART = 8, 64
 # Leaders against which a class is verified in each round.
 LEADERS = (6, 4)
+# Classes whose similarity misses that of a link by so many per cent points at most are in one group.
+LOOSE = 20
+# Differences that the prefixes ask for, if the pair needs so many: more than one word in another place or changed can make.
+DIFFERENCES = 2 * SHINGLE + 1
 # Bands of sizes between a set and its smallest partner; the bands to both sides fit in 64 bits.
 BANDS = 11
 # Rounds in which classes are dropped that share too little of their whole sets; more rounds drop no class that has a partner.
@@ -332,9 +340,9 @@ def degrees(links: DataFrame) -> DataFrame:
 
 
 def candidates(kept: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """``(a, b)``: classes of different clusters that share enough; ``kept`` (row, n, token, depth, cluster) is staged.
+    """``(one, two)``: clusters that share enough for a pair of their classes to link; ``kept`` (row, n, token, depth, cluster) is staged.
 
-    A pair of clusters shares at least what any of its pairs of classes shares, so few pairs of clusters reach their classes.
+    A pair of clusters shares at least what any of its pairs of classes shares.
     """
     units = kept.groupBy("token", "cluster").agg(F.min("depth").alias("depth"), F.min("n").alias("least"), F.max("n").alias("most"))
     lists = units.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
@@ -349,16 +357,65 @@ def candidates(kept: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> D
     met = x.join(y, same & (F.col("x.cluster") < F.col("y.cluster")) & once & sizes)
     shared = met.groupBy(F.col("x.cluster").alias("one"), F.col("y.cluster").alias("two")).agg(
         F.count(F.lit(1)).alias("shared"), F.min(F.least("x.depth", "y.depth")).alias("need"))
-    close = stage(shared.where("shared >= need").select("one", "two"), "ngram-close")
-    first = kept.select(F.col("cluster").alias("one"), F.col("row").alias("a"), "token", F.col("n").alias("n1"), F.col("depth").alias("d1"))
-    second = kept.select(F.col("cluster").alias("two"), F.col("row").alias("b"), "token", F.col("n").alias("n2"), F.col("depth").alias("d2"))
-    fits = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
-    # What a pair must share beyond o of either side, it must share in the prefix as well.
-    bound = pair_bound(F.col("n1"), F.col("n2"), percent)
-    need = F.least(F.col("d1") + bound - overlap_bound(F.col("n1"), percent), F.col("d2") + bound - overlap_bound(F.col("n2"), percent))
-    pairs = small(close).join(first, "one").join(second, ["two", "token"]).where(fits).groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("shared"), F.min(need).alias("need"))
-    return pairs.where("shared >= need").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return shared.where("shared >= need").select("one", "two")
+
+
+def spokes(classes: DataFrame, close: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``(row, pivot)``: the classes still to be compared, each with the pivots around which it is.
+
+    ``classes`` (row, cluster, grouped) and ``close`` (one, two: groups) are staged.  A group of several clusters is around its own
+    pivot, the class with the least ``rank`` in ``ranks`` (row, rank); two close groups are around that of the one with more classes.
+    """
+    first = F.min_by("row", F.struct(F.coalesce("rank", F.lit(0)), "row")).alias("pivot")
+    groups = stage(classes.join(small(ranks), "row", "left").groupBy("grouped").agg(
+        F.count(F.lit(1)).alias("m"), (F.min("cluster") < F.max("cluster")).alias("several"), first), "ngram-groups")
+    one, two = (groups.select(F.col("grouped").alias(g), F.struct("m", "pivot").alias(f"at_{g}")) for g in ("one", "two"))
+    across = small(close).join(one, "one").join(two, "two").select(
+        F.explode(F.array("one", "two")).alias("grouped"), F.greatest("at_one", "at_two")["pivot"].alias("pivot"))
+    around = stage(groups.where("several").select("grouped", "pivot").unionByName(across).distinct(), "ngram-around")
+    return classes.join(small(around), "grouped").where("row <> pivot").select("row", "pivot")
+
+
+def needed(percent: int = PERCENT) -> tuple[Column, Column, Column]:
+    """``(far, need, lesser)`` of a set of ``n`` shingles, ``d`` of which or of its pivot's ``pn`` are in one of both alone.
+
+    Sets of n1 and n2 link if at most ``r (n1 + n2)`` shingles are in one alone (r: ``(100 - percent) / (100 + percent)``), and these
+    are their differences from the pivot, less twice those in common.  ``far``: no link to the pivot.  Two sets that are not both
+    linked to it have at least ``need`` differences in common if they link, and ``lesser`` if this one has no more than the other.
+    """
+    d, n, both = F.col("d"), F.col("n"), F.col("n") + F.col("pn")
+    beyond = d * (100 + percent) - both * (100 - percent)
+    need = F.when(beyond > 0, F.ceil(beyond / F.lit(200))).otherwise(F.floor(d * percent / F.lit(100 + percent)) + 1)
+    lesser = F.greatest(need, F.ceil((d * (2 * percent) - n * (100 - percent)) / F.lit(2 * percent)))
+    return beyond > 0, need, lesser
+
+
+def meetings(apart: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """``(a, b)``: pairs of different clusters with as many differences in common as a link asks for.
+
+    ``apart`` (row, n, cluster, pivot, pn, d, tokens) has the differences of classes from their pivots.
+    """
+    far, need, lesser = needed(percent)
+    # A prefix leaves out the last differences: as many as a pair can have in common beyond those that the prefix asks for.
+    left, left_lesser = (F.greatest(c - DIFFERENCES, F.lit(0)) for c in (need, lesser))
+    listed_ = apart.select("row", "n", "cluster", "pivot", "d", far.alias("far"), left.alias("out"), left_lesser.alias("out_lesser"),
+                           F.explode("tokens").alias("token"))
+    counted = listed_.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("pivot", "token")))
+    placed = counted.withColumn("pos", F.row_number().over(Window.partitionBy("pivot", "row").orderBy("m", "token")))
+    lists = placed.where("m > 1 AND pos <= d - out").withColumn("parts", F.ceil(F.col("m") / block).cast("int"))
+    x = lists.where("pos <= d - out_lesser").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).alias("x")
+    y = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    same = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part"))
+    once = (F.struct("x.d", "x.row") < F.struct("y.d", "y.row")) & (F.col("x.cluster") != F.col("y.cluster")) & (F.col("x.far") | F.col("y.far"))
+    fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    # What a pair must have in common, and can have: before a difference in common, it and those behind it.
+    bound = F.ceil(((F.col("x.d") + F.col("y.d")) * (100 + percent) - (F.col("x.n") + F.col("y.n")) * (100 - percent)) / F.lit(2 * (100 + percent)))
+    behind = F.least(F.col("x.d") - F.col("x.pos"), F.col("y.d") - F.col("y.pos"))
+    met = x.join(y, same & once & fits & (F.least("x.pos", "y.pos") + behind >= bound)).select(
+        "x.pivot", F.col("x.row").alias("one"), F.col("y.row").alias("two"), bound.alias("bound"),
+        F.greatest("x.out_lesser", "y.out").alias("out"), behind.alias("behind"))
+    pairs = met.groupBy("pivot", "one", "two", "bound", "out").agg(F.count(F.lit(1)).alias("shared"), F.max("behind").alias("behind"))
+    return pairs.where("shared >= bound - out AND behind + 1 >= bound").select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
 
 
 def whole_sets(documents: DataFrame, classes: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -400,16 +457,65 @@ def shared(x: bytes, y: bytes) -> tuple[int, int]:
 
 
 def verified(whole: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough; ``pairs`` and ``whole`` (row, n, set, bits) are staged.
+    """The pairs (a, b) whose whole sets are similar enough, with ``both`` and ``total`` of ``shared``; ``pairs`` and ``whole``
+    (row, n, set, bits) are staged.
 
     The bitmaps, a sixteenth of the sets, drop most pairs that are not; no set is sent for those.
     """
-    close = stage(compared(whole.withColumn("set", F.col("bits")).drop("bits"), pairs, most_shared, percent), "ngram-close-pairs")
+    close = stage(compared(whole.withColumn("set", F.col("bits")).drop("bits"), pairs, most_shared, percent).select("a", "b"), "ngram-close-pairs")
     return compared(whole.drop("bits"), close, shared, percent)
 
 
+def links(percent: int = PERCENT) -> Column:
+    return F.col("both") * 100 >= (F.col("total") - F.col("both")) * percent
+
+
 def compared(whole: DataFrame, pairs: DataFrame, count: Callable[[bytes, bytes], tuple[int, int]], percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough by ``count`` of their rows of ``whole`` (row, n, set).
+    """``(a, b, both, total)``: the pairs (a, b) that are similar enough by ``count`` of their rows of ``whole`` (row, n, set)."""
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for met in in_cells(batches):
+            good = []
+            for a, b, x, y in met:
+                both, total = count(x, y)
+                if 100 * both >= percent * (total - both):
+                    good.append((a, b, both, total))
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in range(4)], ["a", "b", "both", "total"])
+
+    return cells(whole, pairs).mapInArrow(check, "a long, b long, both long, total long")
+
+
+def differences(whole: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(a, b, tokens)``: for each pair (a, b) the shingles that one of both sets alone has; ``whole`` (row, n, set)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int64())
+        for met in in_cells(batches):
+            out = [(a, b, np.setxor1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True)) for a, b, x, y in met]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
+                                              pa.array([o[2] for o in out], kind)], ["a", "b", "tokens"])
+
+    return cells(whole, pairs).mapInArrow(run, "a long, b long, tokens array<long>")
+
+
+def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[int, int, bytes, bytes]]]:
+    """For each batch of ``cells`` its pairs (a, b) with their sets; a cell's sets are held while it lasts."""
+    cell, held = None, {}
+
+    def met(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, bytes]]:
+        nonlocal cell, held
+        for low, high, a, b, blob in zip(*(batch[c].to_pylist() for c in ("low", "high", "a", "b", "set")), strict=True):
+            if (low, high) != cell:
+                cell, held = (low, high), {}
+            if a is None:
+                held[b] = blob
+            else:
+                yield a, b, held[a], held[b]
+
+    for batch in slices(batches, 1024):
+        yield met(batch)
+
+
+def cells(whole: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(low, high, a, b, set)``: in order, for each pair of blocks its sets (a: null, b: the row), then its pairs (a, b).
 
     Classes with the same smallest partner stand in blocks; a pair of blocks gets each of its sets once.
     """
@@ -427,24 +533,7 @@ def compared(whole: DataFrame, pairs: DataFrame, count: Callable[[bytes, bytes],
     sent = wanted.join(whole.select("row", "set"), "row").select("low", "high", F.lit(None).cast("long").alias("a"), F.col("row").alias("b"), "set")
     asked = celled.select("low", "high", "a", "b", F.lit(None).cast("binary").alias("set"))
     # Sets come before the pairs of their cell.
-    ready = sent.unionByName(asked).repartition("low", "high").sortWithinPartitions("low", "high", F.col("a").asc_nulls_first())
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held = None, {}
-        for batch in slices(batches, 1024):
-            good = []
-            for low, high, a, b, blob in zip(*(batch[c].to_pylist() for c in ("low", "high", "a", "b", "set")), strict=True):
-                if (low, high) != cell:
-                    cell, held = (low, high), {}
-                if a is None:
-                    held[b] = blob
-                    continue
-                inter, total = count(held[a], held[b])
-                if 100 * inter >= percent * (total - inter):
-                    good.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], ["a", "b"])
-
-    return ready.mapInArrow(check, "a long, b long")
+    return sent.unionByName(asked).repartition("low", "high").sortWithinPartitions("low", "high", F.col("a").asc_nulls_first())
 
 
 def linked(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -466,17 +555,27 @@ def linked(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     depths = stage(depths.join(small(left.select("row")), "row", "left_semi").select("row", "n", "depth"), "ngram-depths")
     whole = whole.join(small(left.select("row")), "row", "left_semi")
     kept = stage(postings(entries, depths, percent), "ngram-postings")
-    found = None
+    met = None
     for leaders in LEADERS:
-        ranks = left.select("row", F.col("own").alias("rank")) if found is None else degrees(found)
-        stars = stage(verified(whole, stage(starred(kept, ranks, leaders), "ngram-stars"), percent), "ngram-star-links")
-        found = stars if found is None else stage(found.unionByName(stars).distinct(), "ngram-star-links")
-    clusters = stage(components(found), "ngram-clusters")
-    named = kept.join(small(clusters), kept["row"] == clusters["node"], "left").select(
-        "row", "n", "token", "depth", F.coalesce("root", "row").alias("cluster"))
-    pairs = stage(candidates(stage(named, "ngram-named-postings"), percent), "ngram-candidates")
-    rest = stage(verified(whole, pairs, percent), "ngram-links")
-    return rows, classes, found.unionByName(rest)
+        ranks = left.select("row", F.col("own").alias("rank")) if met is None else degrees(met.where(links(percent)))
+        stars = stage(verified(whole, stage(starred(kept, ranks, leaders), "ngram-stars"), max(percent - LOOSE, 1)), "ngram-star-links")
+        met = stars if met is None else stage(met.unionByName(stars).distinct(), "ngram-star-links")
+    found = met.where(links(percent)).select("a", "b")
+    clusters, groups = stage(components(found), "ngram-clusters"), stage(components(met), "ngram-clusters")
+    at = stage(depths.join(small(clusters.select(F.col("node").alias("row"), F.col("root").alias("cluster"))), "row", "left").join(
+        small(groups.select(F.col("node").alias("row"), F.col("root").alias("grouped"))), "row", "left").select(
+        "row", "n", F.coalesce("cluster", "row").alias("cluster"), F.coalesce("grouped", "row").alias("grouped")), "ngram-at")
+    named = stage(kept.join(small(at.select("row", F.col("grouped").alias("cluster"))), "row"), "ngram-named-postings")
+    close = stage(candidates(named, percent), "ngram-close")
+    around = stage(spokes(at, close, degrees(met)), "ngram-spokes")
+    told = stage(differences(whole.drop("bits"), around.select(F.col("row").alias("a"), F.col("pivot").alias("b"))), "ngram-differences")
+    own, pivots = small(at.select("row", "n", "cluster")), small(at.select(F.col("row").alias("pivot"), F.col("n").alias("pn")))
+    apart = stage(told.select(F.col("a").alias("row"), F.col("b").alias("pivot"), F.size("tokens").cast("long").alias("d"), "tokens").join(
+        own, "row").join(pivots, "pivot"), "ngram-apart")
+    near = apart.where(~needed(percent)[0]).select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b"))
+    pairs = stage(meetings(apart, percent), "ngram-candidates")
+    rest = stage(verified(whole, pairs, percent).select("a", "b"), "ngram-links")
+    return rows, classes, stage(found.unionByName(near).unionByName(rest).distinct(), "ngram-all-links")
 
 
 def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
