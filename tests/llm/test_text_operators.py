@@ -142,6 +142,28 @@ def test_links_are_complete_whatever_is_refined(spark, hot):
     assert {tuple(r) for r in simhash.links(df, hot=hot).collect()} == want
 
 
+@pytest.mark.parametrize("hot", [1, 256])
+def test_variants_are_never_broadcast(spark, monkeypatch, hot):
+    # Some 64 rows per fingerprint, that Spark takes for as short as the fingerprints; both sides of their joins are shuffled.
+    plans, write = {}, simhash.stage
+
+    def final(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def seen(df, label):
+        plans.setdefault(label, []).append(final(df))
+        return write(df, label)
+
+    monkeypatch.setattr(simhash, "stage", seen)
+    near = [(k << 20) ^ (1 << b) for k in (5, 250) for b in (0, 1, 2, 40, 41)]
+    found = simhash.links(spark.createDataFrame([(f,) for f in near], "fp long"), hot=hot)
+    assert found.count() == 20
+    assert len(plans["simhash-buckets"]) == (3 if hot == 1 else 1)
+    for plan in [*plans["simhash-buckets"], final(found)]:
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(500, 499), (499, 500), (7, 7)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())

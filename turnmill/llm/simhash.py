@@ -92,10 +92,19 @@ def _meets_first(level: int, widths: dict[int, int]) -> Column:
     return masked | (bit == 0)
 
 
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """``rows``, whose joins are shuffled and sorted on both sides, whatever their estimated sizes.
+
+    Spark takes a table for as large as it was before an explode, and equal values in Parquet for as short as they are
+    written, so variants that hold some 64 rows per fingerprint would be broadcast by way of the driver.
+    """
+    return rows.hint("merge")
+
+
 def _split(rows: DataFrame, keys: list[str], hot: int) -> tuple[DataFrame, DataFrame]:
     """Members of buckets with company: those of short buckets, and those of long ones."""
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stage(rows.join(sizes, keys), "simhash-buckets")
+    shared = stage(_shuffled(rows).join(sizes, keys), "simhash-buckets")
     return shared.where(F.col("n") <= hot).drop("n"), shared.where(F.col("n") > hot).drop("n")
 
 
@@ -108,7 +117,7 @@ def _pairs(rows: DataFrame, level: int, bits: int, widths: list[dict[int, int]])
     first = F.lit(True)
     for i in range(1, level + 1):
         first = first & _meets_first(i, widths[i - 1])
-    joined = rows.alias("x").join(rows.alias("y"), same & (F.col("x.fp") < F.col("y.fp")) & close & first)
+    joined = _shuffled(rows.alias("x")).join(rows.alias("y"), same & (F.col("x.fp") < F.col("y.fp")) & close & first)
     return joined.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
