@@ -61,3 +61,17 @@ def test_pipeline_stages_keep_clean_documents(spark):
     tokens = got["tokens"].orderBy("start").collect()
     assert len(tokens) == got["mix"].count()
     assert all(a["start"] + a["n_tokens"] == b["start"] and a["doc_id"] <= b["doc_id"] for a, b in zip(tokens[:-1], tokens[1:], strict=True))
+
+
+def test_near_duplicates_shuffles_its_variants(spark, monkeypatch):
+    plans, write = {}, simhash.stage
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(simhash, "stage", seen)
+    docs = spark.createDataFrame([(k, f"copies of text {k // 2}", "en") for k in range(8)], "doc_id long, text string, lang string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in out.collect()) == [0, 2, 4, 6]
+    assert "SortMergeJoin" in plans["simhash-buckets"] and "Broadcast" not in plans["simhash-buckets"]
